@@ -70,14 +70,17 @@ def add_rolling_means_by_day(
     day: str,
     col: str,
     specs: Mapping[str, tuple[int, int]],
-    min_count: int = 1,
+    min_count: int | None = 1,
 ) -> DataFrame:
-    """Mean over the days ``(day - lag - win, day - lag]``; partial windows allowed down to ``min_count`` values."""
+    """Mean over the days ``(day - lag - win, day - lag]``.
+
+    Partial windows are allowed down to ``min_count`` values; ``None`` asks for the full window.
+    """
     w = series_window(key, day)
     out = {}
     for name, (lag, win) in specs.items():
         frame = w.rangeBetween(-(lag + win - 1), -lag)
-        out[name] = trailing_mean(col, frame, min_count)
+        out[name] = trailing_mean(col, frame, win if min_count is None else min_count)
     return df.withColumns(out)
 
 
