@@ -12,8 +12,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
@@ -23,7 +23,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.session import durable
+from tidecast.session import materialize
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) -> DataFrame:
@@ -33,6 +33,21 @@ def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) ->
     return df.withColumns(flags).withColumns(filled)
 
 
+def category_indexer(df: DataFrame, categorical: Sequence[str], on_unseen: str = "error") -> StringIndexerModel:
+    """``{c}_ix`` codes in sorted label order; an unseen label is an error by default.
+
+    Only the label sets matter, so the rows are reduced to distinct combinations
+    first. The labels are gathered by the indexer: ``categorical`` is for
+    columns with dictionaries of bounded size.
+    """
+    return StringIndexer(
+        inputCols=list(categorical),
+        outputCols=[f"{c}_ix" for c in categorical],
+        stringOrderType="alphabetAsc",
+        handleInvalid=on_unseen,
+    ).fit(df.select(*categorical).distinct())
+
+
 def feature_pipeline(
     df: DataFrame,
     numeric: Sequence[str],
@@ -40,29 +55,17 @@ def feature_pipeline(
     on_unseen: str = "error",
     one_hot: bool = False,
 ) -> PipelineModel:
-    """Index the categories in sorted order and assemble one feature vector.
-
-    Trees split on the indexed categories; linear models need ``one_hot``.
-    Category labels are gathered by the indexer, so ``categorical`` is for
-    columns with dictionaries of bounded size.
-    """
-    encoded = [f"{c}_ix" for c in categorical]
-    stages = []
+    """Index the categories and assemble one feature vector; linear models need ``one_hot``."""
+    stages, encoded = [], [f"{c}_ix" for c in categorical]
     if categorical:
-        stages.append(
-            StringIndexer(
-                inputCols=list(categorical),
-                outputCols=encoded,
-                stringOrderType="alphabetAsc",
-                handleInvalid=on_unseen,
-            )
-        )
+        stages.append(category_indexer(df, categorical, on_unseen))
         if one_hot:
             hot = [f"{c}_hot" for c in categorical]
-            stages.append(OneHotEncoder(inputCols=encoded, outputCols=hot))
+            sizes = stages[0].transform(df.select(*categorical).distinct())
+            stages.append(OneHotEncoder(inputCols=encoded, outputCols=hot).fit(sizes))
             encoded = hot
     stages.append(VectorAssembler(inputCols=[*numeric, *encoded], outputCol="features"))
-    return Pipeline(stages=stages).fit(df)
+    return PipelineModel(stages)
 
 
 def vector_names(df: DataFrame, column: str = "features") -> list[str]:
@@ -134,7 +137,7 @@ def fit_poisson_boost(
     subsample: float = 1.0,
     patience: int | None = None,
     max_delta_step: float = 0.7,
-    checkpoint_every: int = 5,
+    cut_every: int = 5,
     seed: int = 64,
 ) -> PoissonBoost:
     """Boost Poisson trees on the ``features`` vector of ``train``.
@@ -142,13 +145,13 @@ def fit_poisson_boost(
     With ``patience`` the rounds stop once the validation RMSE has not improved
     for that many rounds, and the best prefix is kept. Row subsamples are drawn
     by a hash of ``key`` and the round, so they survive a recomputed partition.
-    The running score is cut from its lineage every ``checkpoint_every`` rounds.
+    The running score is cut from its lineage every ``cut_every`` rounds.
     """
     columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash")]
     work = train.select(*columns, F.lit(False).alias("held"))
     if valid is not None:
         work = work.unionByName(valid.select(*columns, F.lit(True).alias("held")))
-    work = durable(work)
+    work = materialize(work, "boost")
     mean = work.where(~F.col("held")).agg(F.avg("y")).first()[0]
     if not mean or mean <= 0:
         raise ValueError("the Poisson loss needs a positive mean label")
@@ -177,7 +180,7 @@ def fit_poisson_boost(
         tree = learner.fit(rows.select("features", step.alias("step"), (mu * damp).alias("h")))
         model.trees.append(tree)
         scored = tree.transform(work).withColumn("eta", F.col("eta") + F.lit(rate) * F.col("pred")).drop("pred")
-        scored = durable(scored) if (i + 1) % checkpoint_every == 0 else scored.persist()
+        scored = materialize(scored, "boost") if (i + 1) % cut_every == 0 else scored.persist()
         loss = scored.groupBy("held").agg(
             F.sqrt(F.avg(F.pow(F.col("y") - mu, F.lit(2.0)))).alias("rmse"),
             F.avg(mu - F.col("y") * F.col("eta")).alias("nll"),
@@ -212,4 +215,4 @@ def fit_poisson_glm(train: DataFrame, label: str, reg: float = 1e-6, max_iter: i
         predictionCol="yhat",
         regParam=reg,
         maxIter=max_iter,
-    ).fit(durable(train.select("features", label)))
+    ).fit(materialize(train.select("features", label), "glm"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.boost import max_arity
-from tidecast.session import durable
 
 
 def fit_residual_gbt(
@@ -24,8 +23,8 @@ def fit_residual_gbt(
 ) -> GBTRegressionModel:
     """One pooled model over all series; store and department enter as categories.
 
-    A validation frame stops the boosting early. The data is cut from its
-    lineage first because every round scans it again.
+    A validation frame stops the boosting early. Every round scans the data
+    again, so pass frames that were written or checkpointed.
     """
     work = train.select("features", label, F.lit(False).alias("held"))
     if valid is not None:
@@ -43,5 +42,5 @@ def fit_residual_gbt(
         seed=seed,
     )
     if valid is not None:
-        learner = learner.setValidationIndicatorCol("held").setValidationTol(validation_tol)
-    return learner.fit(durable(work))
+        learner = learner.setParams(validationIndicatorCol="held", validationTol=validation_tol)
+    return learner.fit(work)

@@ -16,7 +16,7 @@ from tidecast.operators.split import blocked_split
 from tidecast.plans import known
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
 from tidecast.session import materialize
-from tidecast.sources.binding import DEPT_KEYS, Testbed
+from tidecast.sources.binding import DEPT_KEYS, BoundTables
 
 KEYS = list(DEPT_KEYS)
 LAGS = {"L7_demand": 7, "L14_demand": 14, "L28_demand": 28}
@@ -41,7 +41,7 @@ class Fitted:
 
 
 class AggregateForecast:
-    def __init__(self, t: Testbed):
+    def __init__(self, t: BoundTables):
         self.t = t
 
     @cached_property

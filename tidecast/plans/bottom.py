@@ -14,7 +14,7 @@ from tidecast.operators.split import sample_holdout
 from tidecast.plans import known, submission
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
 from tidecast.session import materialize
-from tidecast.sources.binding import SERIES_KEYS, Testbed
+from tidecast.sources.binding import SERIES_KEYS, BoundTables
 
 LAGS = {"lag_7": 7, "lag_28": 28}
 MEANS = {f"rmean_{lag}_{win}": (lag, win) for win in (7, 28) for lag in (7, 28)}
@@ -41,7 +41,7 @@ def build_long(
 
 
 class BottomForecast:
-    def __init__(self, t: Testbed, history_days: int = 400):
+    def __init__(self, t: BoundTables, history_days: int = 400):
         self.t = t
         self.history_days = history_days
         self.flags = [f"snap_{s}" for s in t.study.states]

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators import features, metrics, reshape, varx
-from tidecast.operators.boost import feature_pipeline
+from tidecast.operators.boost import category_indexer
 from tidecast.operators.residual import fit_residual_gbt
-from tidecast.operators.split import origin_split
+from tidecast.operators.split import blocked_split, origin_split
 from tidecast.plans import known
-from tidecast.session import durable, materialize
-from tidecast.sources.binding import DEPT_KEYS, Testbed
+from tidecast.session import materialize
+from tidecast.sources.binding import DEPT_KEYS, BoundTables
 
 KEYS = list(DEPT_KEYS)
 CATEGORIES = (
@@ -26,13 +26,12 @@ CATEGORIES = (
     *known.EVENTS,
     *known.LEAD_EVENTS,
     "snap",
-    "fcast_itter",
 )
 KNOWN = ["wday", "month", *known.EVENTS, "snap", *known.LEAD_EVENTS]
 
 
 class HybridForecast:
-    def __init__(self, t: Testbed, exog: str = "future"):
+    def __init__(self, t: BoundTables, exog: str = "future"):
         self.t = t
         self.exog = exog
 
@@ -59,11 +58,11 @@ class HybridForecast:
         ahead = reshape.day_range(s.forecast_first, s.forecast_last).alias("day_num")
         future = self.train_panel.where(F.col("day_num") == s.train_last).select(*KEYS, ahead)
         both = reshape.union_all(levels, future)
-        return durable(known.add_exog_array(varx.store_vectors(both), self.t))
+        return materialize(known.add_exog_array(varx.store_vectors(both), self.t), "vectors")
 
     @cached_property
     def coefficients(self) -> DataFrame:
-        return durable(varx.fit_varx(self.vectors, self.t.study.var_lags))
+        return materialize(varx.fit_varx(self.vectors, self.t.study.var_lags), "coefficients")
 
     @property
     def first_origin(self) -> int:
@@ -95,45 +94,60 @@ class HybridForecast:
     @cached_property
     def ahead(self) -> DataFrame:
         s = self.t.study
-        return durable(self.forecast(s.forecast_first, s.forecast_first, "future"))
+        return materialize(self.forecast(s.forecast_first, s.forecast_first, "future"), "ahead")
+
+    @cached_property
+    def day_features(self) -> DataFrame:
+        """Demand and indexed categories per series and day.
+
+        They are the same for every origin that forecasts the day, so they are
+        indexed on the panel and joined to the forecasts afterwards. The labels
+        are learned on the days outside the validation windows.
+        """
+        s = self.t.study
+        rows = known.add_known(self.panel.select(*KEYS, "day_num", "demand"), self.t, *KNOWN)
+        text = [c for c in CATEGORIES if c not in KEYS]
+        rows = rows.withColumns({c: F.col(c).cast("string") for c in text})
+        learned, _ = blocked_split(rows.where(F.col("day_num") <= s.train_last), "day_num", s.windows)
+        indexed = category_indexer(learned, CATEGORIES).transform(rows)
+        return indexed.select(*KEYS, "day_num", "demand", *[f"{c}_ix" for c in CATEGORIES])
 
     def residual_rows(self, forecasts: DataFrame) -> DataFrame:
-        """Forecast rows with the demand that followed and the residual model's features."""
-        actual = self.panel.select(*KEYS, "day_num", "demand")
+        """Forecast rows with the demand that followed and the residual model's feature vector."""
         rows = forecasts.select(*KEYS, "origin", "step", "day_num", "demand_fcast").join(
-            actual, [*KEYS, "day_num"], "left"
+            self.day_features, [*KEYS, "day_num"]
         )
         rows = rows.withColumn("resid", F.col("demand") - F.col("demand_fcast")).withColumn(
             "fcast_itter", F.col("day_num") - F.col("origin") + 1
         )
-        rows = known.add_known(rows, self.t, *KNOWN)
-        return rows.withColumns({c: F.col(c).cast("string") for c in CATEGORIES})
+        inputs = [f"{c}_ix" for c in CATEGORIES]
+        assembled = VectorAssembler(inputCols=[*inputs, "fcast_itter"], outputCol="features").transform(rows)
+        return assembled.drop(*inputs)
 
-    def fit(self, *, rounds: int, rate: float = 0.02, max_depth: int = 5) -> tuple[PipelineModel, GBTRegressionModel]:
+    @cached_property
+    def training(self) -> DataFrame:
+        """Residual rows of all origins, written once: every boosting round scans them."""
+        return materialize(self.residual_rows(self.rolling), "residuals")
+
+    def fit(self, *, rounds: int, rate: float = 0.02, max_depth: int = 5) -> GBTRegressionModel:
         s = self.t.study
-        rows = self.residual_rows(self.rolling)
-        train, valid, _ = origin_split(rows, "origin", "day_num", s.windows[0][0], s.windows)
-        pipeline = feature_pipeline(train, [], CATEGORIES)
-        model = fit_residual_gbt(
-            pipeline.transform(train), pipeline.transform(valid), rounds=rounds, rate=rate, max_depth=max_depth
-        )
-        return pipeline, model
+        train, valid, _ = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
+        return fit_residual_gbt(train, valid, rounds=rounds, rate=rate, max_depth=max_depth)
 
-    def combine(self, rows: DataFrame, pipeline: PipelineModel, model: GBTRegressionModel) -> DataFrame:
+    def combine(self, rows: DataFrame, model: GBTRegressionModel) -> DataFrame:
         """Final forecast = base forecast + predicted residual."""
-        scored = model.transform(pipeline.transform(rows))
+        scored = model.transform(rows)
         final = F.col("demand_fcast") + F.col("resid_fcast")
         return scored.select(
             *KEYS, "origin", "step", "day_num", "demand", "demand_fcast", "resid_fcast", final.alias("demand_fcast_final")
         )
 
-    def scored(self, pipeline: PipelineModel, model: GBTRegressionModel) -> DataFrame:
+    def scored(self, model: GBTRegressionModel) -> DataFrame:
         """Base and final forecasts at the origins that open a validation window."""
         s = self.t.study
-        rows = self.residual_rows(self.rolling)
-        _, _, held = origin_split(rows, "origin", "day_num", s.windows[0][0], s.windows)
-        return self.combine(held, pipeline, model)
+        _, _, held = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
+        return self.combine(held, model)
 
-    def rmse(self, pipeline: PipelineModel, model: GBTRegressionModel) -> DataFrame:
+    def rmse(self, model: GBTRegressionModel) -> DataFrame:
         models = {"var_rmse": "demand_fcast", "hybrid_rmse": "demand_fcast_final"}
-        return metrics.rmse_models(self.scored(pipeline, model), ["origin"], "demand", models)
+        return metrics.rmse_models(self.scored(model), ["origin"], "demand", models)

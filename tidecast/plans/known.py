@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as S
-from tidecast.sources.binding import Testbed
+from tidecast.sources.binding import BoundTables
 
 EVENTS = ("event_name_1", "event_type_1", "event_name_2", "event_type_2")
 LEADS = (1, 2, 3)
 LEAD_EVENTS = tuple(f"L{n}_{c}" for n in LEADS for c in ("event_type_1", "event_name_1"))
 
 
-def calendar_features(t: Testbed) -> DataFrame:
+def calendar_features(t: BoundTables) -> DataFrame:
     """The calendar with event leads and date parts; one row per day, so it may be broadcast."""
     cal = t.calendar
     base = cal
@@ -30,7 +30,7 @@ def calendar_features(t: Testbed) -> DataFrame:
     return cal.withColumns(extra).na.fill("none", [*EVENTS, *LEAD_EVENTS])
 
 
-def add_known(df: DataFrame, t: Testbed, *columns: str) -> DataFrame:
+def add_known(df: DataFrame, t: BoundTables, *columns: str) -> DataFrame:
     """Join calendar features on ``day_num``; ``snap`` is the flag of the store's own state."""
     joined = df.join(F.broadcast(calendar_features(t).drop("date")), "day_num")
     joined = joined.withColumn("snap", t.snap(F.col("store_id")).cast("string"))
@@ -43,7 +43,7 @@ def exog_names() -> list[str]:
     return [*names, "snap", *[f"month_{m}" for m in S.DUMMY_MONTHS]]
 
 
-def add_exog_array(df: DataFrame, t: Testbed) -> DataFrame:
+def add_exog_array(df: DataFrame, t: BoundTables) -> DataFrame:
     """``exog``: event-type dummies at leads 0..3, the benefit flag and month dummies, as one array."""
     cal = calendar_features(t)
     dummies = S.event_dummies(F.col("event_type_1"))

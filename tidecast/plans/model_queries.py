@@ -15,7 +15,7 @@ from tidecast.plans import known
 from tidecast.plans.registry import query
 from tidecast.operators.varx import name_terms
 from tidecast.session import shared_path
-from tidecast.sources.binding import Testbed
+from tidecast.sources.binding import BoundTables
 
 # Boosting rounds of the registered queries; the library functions take any number.
 ROUNDS = 6
@@ -47,7 +47,7 @@ def _recursion_sql() -> str:
 
 
 @query("forecast_recursive", _recursion_sql(), ["panel"])
-def forecast_recursive(t: Testbed) -> DataFrame:
+def forecast_recursive(t: BoundTables) -> DataFrame:
     """28 days of (lag 7 + lag 28) / 2, predictions feeding the later lags."""
     s = t.study
     spec = recursive.FeatureSpec(KEYS, "day_num", "demand", {"lag_7": 7, "lag_28": 28})
@@ -69,7 +69,7 @@ def forecast_recursive(t: Testbed) -> DataFrame:
 
 
 @query("ml_poisson_boost")
-def ml_poisson_boost(t: Testbed) -> DataFrame:
+def ml_poisson_boost(t: BoundTables) -> DataFrame:
     """Validation rows scored by a boosted Poisson model."""
     agg = AggregateForecast(t)
     fitted = agg.fit(rounds=ROUNDS, rate=0.3, patience=200)
@@ -78,7 +78,7 @@ def ml_poisson_boost(t: Testbed) -> DataFrame:
 
 
 @query("ml_poisson_glm")
-def ml_poisson_glm(t: Testbed) -> DataFrame:
+def ml_poisson_glm(t: BoundTables) -> DataFrame:
     """Validation rows scored by a log-linear Poisson model on one-hot categories."""
     _, train, valid = AggregateForecast(t).vectors(one_hot=True)
     model = boost.fit_poisson_glm(train, "demand")
@@ -86,7 +86,7 @@ def ml_poisson_glm(t: Testbed) -> DataFrame:
 
 
 @query("ml_feature_importance")
-def ml_feature_importance(t: Testbed) -> DataFrame:
+def ml_feature_importance(t: BoundTables) -> DataFrame:
     """Gain share per feature, ascending."""
     agg = AggregateForecast(t)
     fitted = agg.fit(rounds=2, rate=0.3)
@@ -98,7 +98,7 @@ def ml_feature_importance(t: Testbed) -> DataFrame:
 
 
 @query("ml_save_load_score")
-def ml_save_load_score(t: Testbed) -> DataFrame:
+def ml_save_load_score(t: BoundTables) -> DataFrame:
     agg = AggregateForecast(t)
     fitted = agg.fit(rounds=2, rate=0.3)
     path = shared_path(t.spark, "model")
@@ -109,7 +109,7 @@ def ml_save_load_score(t: Testbed) -> DataFrame:
 
 
 @query("forecast_aggregate_boosted")
-def forecast_aggregate_boosted(t: Testbed) -> DataFrame:
+def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Top-down submission of the recursive boosted department forecast."""
     s = t.study
     agg = AggregateForecast(t)
@@ -121,7 +121,7 @@ def forecast_aggregate_boosted(t: Testbed) -> DataFrame:
 
 
 @query("wrmse_aggregate_boosted")
-def wrmse_aggregate_boosted(t: Testbed) -> DataFrame:
+def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Weighted RMSE of the recursive boosted forecast on every validation window."""
     agg = AggregateForecast(t)
     fitted = agg.fit(rounds=ROUNDS, rate=0.3)
@@ -130,7 +130,7 @@ def wrmse_aggregate_boosted(t: Testbed) -> DataFrame:
 
 
 @query("forecast_bottom_boosted")
-def forecast_bottom_boosted(t: Testbed) -> DataFrame:
+def forecast_bottom_boosted(t: BoundTables) -> DataFrame:
     """Item submission of the recursive boosted item forecast."""
     bottom = BottomForecast(t)
     pipeline, model = bottom.fit(rounds=3, holdout=50_000, rate=0.3, max_depth=6)
@@ -148,7 +148,7 @@ FROM (SELECT *, lag(d_level) OVER (PARTITION BY store_id, dept_id ORDER BY day_n
 GROUP BY ALL""",
     ["levels"],
 )
-def ar1_fit(t: Testbed) -> DataFrame:
+def ar1_fit(t: BoundTables) -> DataFrame:
     levels = features.decompose(t.panel_calendar(), KEYS, "day_num", "wday", "demand")
     lagged = features.add_lags(levels, KEYS, "day_num", "d_level", {"prev": 1})
     fit = lagged.groupBy(*KEYS).agg(
@@ -158,18 +158,18 @@ def ar1_fit(t: Testbed) -> DataFrame:
 
 
 @query("var_fit_coeffs")
-def var_fit_coeffs(t: Testbed) -> DataFrame:
+def var_fit_coeffs(t: BoundTables) -> DataFrame:
     hybrid = HybridForecast(t)
     return name_terms(hybrid.coefficients, hybrid.vectors, known.exog_names())
 
 
 @query("var_forecast")
-def var_forecast(t: Testbed) -> DataFrame:
+def var_forecast(t: BoundTables) -> DataFrame:
     return HybridForecast(t).ahead
 
 
 @query("var_rolling_origin")
-def var_rolling_origin(t: Testbed) -> DataFrame:
+def var_rolling_origin(t: BoundTables) -> DataFrame:
     """Error of every forecast step over all origins."""
     hybrid = HybridForecast(t)
     rows = hybrid.forecast(hybrid.first_origin, t.study.train_last - t.study.horizon + 1)
@@ -181,24 +181,24 @@ def var_rolling_origin(t: Testbed) -> DataFrame:
 
 
 @query("ml_residual_gbt")
-def ml_residual_gbt(t: Testbed) -> DataFrame:
+def ml_residual_gbt(t: BoundTables) -> DataFrame:
     """Base and hybrid forecasts at the origins that open a validation window."""
     hybrid = HybridForecast(t)
-    return hybrid.scored(*hybrid.fit(rounds=3, rate=0.3, max_depth=4))
+    return hybrid.scored(hybrid.fit(rounds=3, rate=0.3, max_depth=4))
 
 
 @query("rmse_hybrid")
-def rmse_hybrid(t: Testbed) -> DataFrame:
+def rmse_hybrid(t: BoundTables) -> DataFrame:
     hybrid = HybridForecast(t)
-    return hybrid.rmse(*hybrid.fit(rounds=3, rate=0.3, max_depth=4)).orderBy("origin")
+    return hybrid.rmse(hybrid.fit(rounds=3, rate=0.3, max_depth=4)).orderBy("origin")
 
 
 @query("forecast_hybrid")
-def forecast_hybrid(t: Testbed) -> DataFrame:
+def forecast_hybrid(t: BoundTables) -> DataFrame:
     """Top-down submission of the hybrid department forecast."""
     hybrid = HybridForecast(t)
-    fitted = hybrid.fit(rounds=3, rate=0.3, max_depth=4)
-    ahead = hybrid.combine(hybrid.residual_rows(hybrid.ahead), *fitted)
+    model = hybrid.fit(rounds=3, rate=0.3, max_depth=4)
+    ahead = hybrid.combine(hybrid.residual_rows(hybrid.ahead), model)
     return submission.aggregate_submission(
         submission.submission_ids(t), submission.item_weights(t), ahead, "demand_fcast_final", t.study
     ).orderBy("id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.features import add_lags_by_day, add_rolling_means_by_day
-from tidecast.session import durable
+from tidecast.session import materialize
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def forecast_recursive(
 
     ``history`` holds key, day and value up to ``first - 1``; ``future`` holds
     key, day and the features known in advance; ``predict`` adds ``yhat``.
-    Returns key, day and ``yhat``. Each block's predictions are checkpointed
+    Returns key, day and ``yhat``. Each block's predictions are written
     before the next block reads them, so the plan does not grow with the horizon.
     """
     keyed = [*spec.key, spec.day]
@@ -61,17 +61,16 @@ def forecast_recursive(
     if not 1 <= size <= spec.block:
         raise ValueError(f"a block holds between 1 and {spec.block} days")
     day = F.col(spec.day)
-    known = durable(
-        history.where(day.between(first - spec.reach, first - 1)).select(*keyed, F.col(spec.value).cast("double"))
-    )
-    future = durable(future.where(day.between(first, last)))
+    recent = history.where(day.between(first - spec.reach, first - 1))
+    known = materialize(recent.select(*keyed, F.col(spec.value).cast("double").alias(spec.value)), "known")
+    future = materialize(future.where(day.between(first, last)), "future")
     done: DataFrame | None = None
     for start in range(first, last + 1, size):
         stop = min(start + size - 1, last)
         ahead = future.where(day.between(start, stop)).withColumn(spec.value, F.lit(None).cast("double"))
         frame = known.where(day >= start - spec.reach).unionByName(ahead, allowMissingColumns=True)
         features = spec.add(frame).where(day >= start)
-        rows = durable(predict(features).select(*keyed, F.col("yhat").cast("double").alias("yhat")))
+        rows = materialize(predict(features).select(*keyed, F.col("yhat").cast("double").alias("yhat")), "block")
         done = rows if done is None else done.unionByName(rows)
         known = known.unionByName(rows.withColumnRenamed("yhat", spec.value))
     return done

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.config import TESTBED
-from tidecast.sources.binding import Testbed
+from tidecast.sources.binding import BoundTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,10 +172,10 @@ def _prefixed(sql: str) -> str:
 def query(name: str, sql: str | None = None, uses: Sequence[str] = ()):
     """Register ``fn(testbed) -> DataFrame`` under ``name`` with its check SQL."""
 
-    def wrap(fn: Callable[[Testbed], DataFrame]):
+    def wrap(fn: Callable[[BoundTables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Testbed(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(BoundTables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_ctes(sql, uses)
         return fn

@@ -11,7 +11,7 @@ from tidecast.plans import submission
 from tidecast.plans.registry import IN_WINDOWS, query, window_case
 from tidecast.session import shared_path
 from tidecast.sources import tables
-from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, Testbed
+from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, BoundTables
 
 KEYS = list(DEPT_KEYS)
 IDS = ["id", *SERIES_KEYS]
@@ -31,7 +31,7 @@ def r6(col, name: str | None = None):
     "SELECT id, item_id, dept_id, cat_id, store_id, state_id, day_num, units AS sales FROM cells",
     ["cells"],
 )
-def scan_sales_long(t: Testbed) -> DataFrame:
+def scan_sales_long(t: BoundTables) -> DataFrame:
     return t.cells()
 
 
@@ -40,7 +40,7 @@ def scan_sales_long(t: Testbed) -> DataFrame:
     "SELECT id, day_num, units AS sales FROM cells WHERE day_num BETWEEN 2411 AND 2468",
     ["cells"],
 )
-def scan_day_range(t: Testbed) -> DataFrame:
+def scan_day_range(t: BoundTables) -> DataFrame:
     s = t.study
     return t.cells(max(1, s.train_last - s.max_lag), s.train_last).select("id", "day_num", "sales")
 
@@ -50,7 +50,7 @@ def scan_day_range(t: Testbed) -> DataFrame:
     "SELECT id, first_day, list_price FROM series ORDER BY id LIMIT 100",
     ["series"],
 )
-def scan_limit(t: Testbed) -> DataFrame:
+def scan_limit(t: BoundTables) -> DataFrame:
     return t.series.select("id", "first_day", "list_price").orderBy("id").limit(100)
 
 
@@ -59,7 +59,7 @@ def scan_limit(t: Testbed) -> DataFrame:
     "SELECT store_id, dept_id, day_num, demand FROM daily",
     ["daily"],
 )
-def sink_csv_roundtrip(t: Testbed) -> DataFrame:
+def sink_csv_roundtrip(t: BoundTables) -> DataFrame:
     daily = t.daily()
     path = shared_path(t.spark, "daily-csv")
     tables.write_csv(daily, path)
@@ -75,7 +75,7 @@ def sink_csv_roundtrip(t: Testbed) -> DataFrame:
   snap_AF, snap_AM, snap_AS, snap_EU, snap_MI FROM panel_cal""",
     ["panel_cal"],
 )
-def feature_columns(t: Testbed) -> DataFrame:
+def feature_columns(t: BoundTables) -> DataFrame:
     unused = {"day_num", "date", "demand", "d", "wm_yr_wk", "weekday", "year"}
     df = t.panel_calendar()
     return df.select([c for c in df.columns if c not in unused])
@@ -89,7 +89,7 @@ JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_w
 WHERE s.day_num BETWEEN 2440 AND 2468 GROUP BY s.id""",
     ["sales", "calendar", "prices"],
 )
-def rowwise_dollar_sales(t: Testbed) -> DataFrame:
+def rowwise_dollar_sales(t: BoundTables) -> DataFrame:
     """Dollar columns per day side by side, summed across the row."""
     s = t.study
     days = range(s.weight_first, s.train_last + 1)
@@ -109,7 +109,7 @@ def rowwise_dollar_sales(t: Testbed) -> DataFrame:
     """SELECT 'd_' || day_num AS d, day_num AS d_aux, count(*) AS lines FROM base GROUP BY ALL""",
     ["base"],
 )
-def parse_day_ordinal(t: Testbed) -> DataFrame:
+def parse_day_ordinal(t: BoundTables) -> DataFrame:
     labelled = t.facts().groupBy(S.day_label(F.col("day_num")).alias("d")).agg(F.count(F.lit(1)).alias("lines"))
     return labelled.select("d", S.day_ordinal(F.col("d")).alias("d_aux"), "lines")
 
@@ -119,7 +119,7 @@ def parse_day_ordinal(t: Testbed) -> DataFrame:
     "SELECT store_id, dept_id, day_num, demand FROM panel_all WHERE day_num BETWEEN 2469 AND 2496",
     ["panel_all"],
 )
-def filter_day_range(t: Testbed) -> DataFrame:
+def filter_day_range(t: BoundTables) -> DataFrame:
     s = t.study
     actual = t.panel(1, s.calendar_days).where(F.col("day_num").between(s.forecast_first, s.forecast_last))
     return actual.select(*KEYS, "day_num", "demand")
@@ -132,7 +132,7 @@ def filter_day_range(t: Testbed) -> DataFrame:
 FROM panel_all WHERE date BETWEEN DATE '1995-01-03' AND DATE '2001-11-01'""",
     ["panel_all"],
 )
-def filter_date_range(t: Testbed) -> DataFrame:
+def filter_date_range(t: BoundTables) -> DataFrame:
     s = t.study
     train_end = F.lit(s.date_of(s.train_last))
     both = t.panel(1, s.calendar_days).where(
@@ -148,7 +148,7 @@ def filter_date_range(t: Testbed) -> DataFrame:
   CASE WHEN {IN_WINDOWS('day_num')} THEN 'valid' ELSE 'train' END AS part FROM panel""",
     ["panel"],
 )
-def split_blocked_windows(t: Testbed) -> DataFrame:
+def split_blocked_windows(t: BoundTables) -> DataFrame:
     train, valid = split.blocked_split(t.panel().select(*KEYS, "day_num", "demand"), "day_num", t.study.windows)
     return reshape.union_all(
         train.withColumn("valid_window", F.lit(0)).withColumn("part", F.lit("train")),
@@ -161,7 +161,7 @@ SNAP_SQL = """CASE left(store_id, 2) WHEN 'AF' THEN snap_AF WHEN 'AM' THEN snap_
 
 
 @query("case_snap", f"SELECT store_id, dept_id, day_num, {SNAP_SQL} AS snap FROM panel_cal", ["panel_cal"])
-def case_snap(t: Testbed) -> DataFrame:
+def case_snap(t: BoundTables) -> DataFrame:
     return t.panel_calendar().select(*KEYS, "day_num", t.snap(F.col("store_id")).alias("snap"))
 
 
@@ -171,7 +171,7 @@ def case_snap(t: Testbed) -> DataFrame:
 FROM panel GROUP BY 1""",
     ["panel"],
 )
-def case_valid_window(t: Testbed) -> DataFrame:
+def case_valid_window(t: BoundTables) -> DataFrame:
     number = S.valid_window_number(F.col("day_num"), t.study.windows).alias("valid_sample_nr")
     return t.panel().groupBy(number).agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
 
@@ -183,7 +183,7 @@ def case_valid_window(t: Testbed) -> DataFrame:
   coalesce(event_type_2, 'none') AS event_type_2 FROM panel_cal""",
     ["panel_cal"],
 )
-def fill_event_none(t: Testbed) -> DataFrame:
+def fill_event_none(t: BoundTables) -> DataFrame:
     return t.panel_calendar().select(*KEYS, "day_num", *EVENT_COLUMNS).na.fill("none", list(EVENT_COLUMNS))
 
 
@@ -195,7 +195,7 @@ FROM panel_all p LEFT JOIN (SELECT store_id, dept_id, day_num + 28 AS day_num, d
 USING (store_id, dept_id, day_num) WHERE p.day_num <= 2496""",
     ["panel_all"],
 )
-def update_future_sales(t: Testbed) -> DataFrame:
+def update_future_sales(t: BoundTables) -> DataFrame:
     """Unknown future demand overwritten by the value 28 days earlier."""
     s = t.study
     known = t.panel().select(*KEYS, "day_num", "demand")
@@ -213,7 +213,7 @@ def update_future_sales(t: Testbed) -> DataFrame:
   CAST(day(date) AS SMALLINT) AS mday, CAST((isodow(date) - 1) AS SMALLINT) AS weekday_from_date FROM panel_cal""",
     ["panel_cal"],
 )
-def date_features(t: Testbed) -> DataFrame:
+def date_features(t: BoundTables) -> DataFrame:
     df = features.add_date_features(t.panel_calendar())
     plain = S.date_features(F.col("date"))["wday"].alias("weekday_from_date")
     return df.select(*KEYS, "day_num", "wday", "week", "month", "quarter", "year", "mday", plain)
@@ -221,20 +221,19 @@ def date_features(t: Testbed) -> DataFrame:
 
 @query(
     "narrow_numeric_types",
-    """SELECT store_id, dept_id, CAST(day_num AS SMALLINT) AS day_num, CAST(demand AS INTEGER) AS demand,
+    """SELECT store_id, dept_id, CAST(day_num AS SMALLINT) AS day_num, CAST(demand AS SMALLINT) AS demand,
   CAST(lines AS TINYINT) AS lines
 FROM (SELECT store_id, dept_id, day_num, sum(units) AS demand, count(*) AS lines FROM base GROUP BY ALL)""",
     ["base"],
 )
-def narrow_numeric_types(t: Testbed) -> DataFrame:
+def narrow_numeric_types(t: BoundTables) -> DataFrame:
     wide = t.rollup(
         t.facts(),
         (*DEPT_KEYS, "day_num"),
         F.sum(F.col("units").cast("bigint")).alias("demand"),
         F.count(F.lit(1)).alias("lines"),
     )
-    narrow = encode.narrow_numeric_types(wide)
-    return narrow.withColumn("demand", F.col("demand").cast("int"))
+    return encode.narrow_numeric_types(wide)
 
 
 @query(
@@ -243,7 +242,7 @@ def narrow_numeric_types(t: Testbed) -> DataFrame:
   min(p_retailprice) AS min_p_retailprice, max(p_retailprice) AS max_p_retailprice FROM base""",
     ["base"],
 )
-def narrow_type_ranges(t: Testbed) -> DataFrame:
+def narrow_type_ranges(t: BoundTables) -> DataFrame:
     return encode.column_ranges(t.facts().select("day_num", "units", "p_retailprice"))
 
 
@@ -256,7 +255,7 @@ def narrow_type_ranges(t: Testbed) -> DataFrame:
   CAST(dense_rank() OVER (ORDER BY event_type_2 NULLS FIRST) - 1 AS INTEGER) AS event_type_2_code FROM panel_cal""",
     ["panel_cal"],
 )
-def category_codes(t: Testbed) -> DataFrame:
+def category_codes(t: BoundTables) -> DataFrame:
     df = t.panel_calendar().select(*KEYS, "day_num", "event_name_1", "event_type_2")
     coded = encode.category_codes(df, ["store_id", "dept_id", "event_name_1", "event_type_2"])
     return coded.drop("event_name_1", "event_type_2")
@@ -269,7 +268,7 @@ def category_codes(t: Testbed) -> DataFrame:
   CAST(dense_rank() OVER (ORDER BY state_id) - 1 AS INTEGER) AS state_id_code FROM series""",
     ["series"],
 )
-def item_codes(t: Testbed) -> DataFrame:
+def item_codes(t: BoundTables) -> DataFrame:
     coded = encode.category_codes(t.series, ["item_id", "cat_id", "state_id"])
     return coded.select("id", "item_id_code", "cat_id_code", "state_id_code")
 
@@ -286,7 +285,7 @@ FROM filled f JOIN codes c ON c.v = f.event_name_1 JOIN stores s ON s.v = f.stor
 WHERE {IN_WINDOWS('day_num')}""",
     ["panel_cal"],
 )
-def label_encode(t: Testbed) -> DataFrame:
+def label_encode(t: BoundTables) -> DataFrame:
     """Dictionaries learned on the training days, applied to the validation windows."""
     df = t.panel_calendar().select(*KEYS, "day_num", "event_name_1").na.fill("none")
     train, valid = split.blocked_split(df, "day_num", t.study.windows)
@@ -314,7 +313,7 @@ _DUMMY_SQL = ", ".join(
     f"SELECT store_id, dept_id, day_num, {_DUMMY_SQL} FROM (SELECT *, {_LEAD_TYPE_SQL} FROM panel_cal)",
     ["panel_cal"],
 )
-def dummies_event_month(t: Testbed) -> DataFrame:
+def dummies_event_month(t: BoundTables) -> DataFrame:
     df = features.add_leads(t.panel_calendar(), KEYS, "day_num", ["event_type_1"], [1, 2, 3])
     cols = S.event_dummies(F.col("event_type_1"))
     for n in (1, 2, 3):
@@ -329,7 +328,7 @@ def dummies_event_month(t: Testbed) -> DataFrame:
   item_id || '_' || store_id AS key FROM series""",
     ["series"],
 )
-def parse_series_id(t: Testbed) -> DataFrame:
+def parse_series_id(t: BoundTables) -> DataFrame:
     parts = S.series_id_parts(F.col("id"))
     parsed = t.series.select("id", *[c.alias(n) for n, c in parts.items()])
     return parsed.withColumn("key", F.concat_ws("_", "item_id", "store_id"))
@@ -340,7 +339,7 @@ def parse_series_id(t: Testbed) -> DataFrame:
 MELT_DAYS = 56
 
 
-def wide_sales(t: Testbed) -> DataFrame:
+def wide_sales(t: BoundTables) -> DataFrame:
     """The last 56 training days as one column per day; a few cells are unknown."""
     first = t.study.train_last - MELT_DAYS + 1
     number = F.element_at(F.split("item_id", "_"), -1).cast("int")
@@ -357,11 +356,11 @@ def wide_sales(t: Testbed) -> DataFrame:
 FROM sales WHERE day_num > 2412""",
     ["sales"],
 )
-def melt_wide_sales(t: Testbed) -> DataFrame:
+def melt_wide_sales(t: BoundTables) -> DataFrame:
     return reshape.melt_days(wide_sales(t), IDS)
 
 
-def dept_names(t: Testbed) -> list[str]:
+def dept_names(t: BoundTables) -> list[str]:
     """Department names for pivot headers: a size-checked set read from the item dimension."""
     bound = 1_000
     rows = t.items.select("dept_id").distinct().orderBy("dept_id").limit(bound + 1).collect()
@@ -376,7 +375,7 @@ def dept_names(t: Testbed) -> list[str]:
 ON dept_id USING first(demand) GROUP BY store_id, day_num)""",
     ["panel"],
 )
-def pivot_dept_matrix(t: Testbed) -> DataFrame:
+def pivot_dept_matrix(t: BoundTables) -> DataFrame:
     panel = t.panel().select(*KEYS, "day_num", "demand")
     return reshape.series_matrix(panel, ["store_id", "day_num"], "dept_id", "demand", dept_names(t))
 
@@ -386,7 +385,7 @@ def pivot_dept_matrix(t: Testbed) -> DataFrame:
     """SELECT store_id, day_num, dept_id, demand_fcast FROM naive""",
     ["naive"],
 )
-def unpivot_forecast_matrix(t: Testbed) -> DataFrame:
+def unpivot_forecast_matrix(t: BoundTables) -> DataFrame:
     naive = submission.naive_forecast(t)
     wide = reshape.series_matrix(naive, ["store_id", "day_num"], "dept_id", "demand_fcast", dept_names(t))
     renamed = wide.toDF("store_id", "day_num", *[f"d_level_{c}_fcast" for c in wide.columns[2:]])
@@ -403,7 +402,7 @@ UNION ALL SELECT s.store_id, d.dept_id, c.day_num, NULL FROM (SELECT DISTINCT st
 CROSS JOIN (SELECT DISTINCT dept_id FROM panel) d CROSS JOIN calendar c WHERE c.day_num BETWEEN 2469 AND 2499""",
     ["panel", "calendar"],
 )
-def scaffold_future(t: Testbed) -> DataFrame:
+def scaffold_future(t: BoundTables) -> DataFrame:
     s = t.study
     panel = t.panel().select(*KEYS, "day_num", "demand")
     pairs = t.panel(s.train_last)
@@ -419,7 +418,7 @@ FROM panel o CROSS JOIN range(1, 29) h JOIN calendar c ON c.day_num = o.day_num
 WHERE o.day_num IN (2440, 2386, 2332, 2278, 2224, 2468)""",
     ["panel", "calendar"],
 )
-def horizon_index(t: Testbed) -> DataFrame:
+def horizon_index(t: BoundTables) -> DataFrame:
     s = t.study
     origins = [first - 1 for first, _ in s.windows] + [s.train_last]
     panel = t.panel().where(F.col("day_num").isin(origins))
@@ -438,7 +437,7 @@ def horizon_index(t: Testbed) -> DataFrame:
     """SELECT store_id, dept_id, day_num, demand, wm_yr_wk, weekday, wday, month, year, event_name_1 FROM panel_cal""",
     ["panel_cal"],
 )
-def join_calendar_left(t: Testbed) -> DataFrame:
+def join_calendar_left(t: BoundTables) -> DataFrame:
     cols = ["demand", "wm_yr_wk", "weekday", "wday", "month", "year", "event_name_1"]
     return t.panel_calendar().select(*KEYS, "day_num", *cols)
 
@@ -452,7 +451,7 @@ JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_w
 GROUP BY ALL""",
     ["sales", "calendar", "prices"],
 )
-def join_calendar_price(t: Testbed) -> DataFrame:
+def join_calendar_price(t: BoundTables) -> DataFrame:
     """Every item-day that was on sale, summarised per department and day."""
     priced = t.sales().join(F.broadcast(t.calendar.select("d", "wm_yr_wk")), "d").join(
         t.prices, ["store_id", "item_id", "wm_yr_wk"]
@@ -469,7 +468,7 @@ def join_calendar_price(t: Testbed) -> DataFrame:
     "SELECT id, item_id, dept_id, cat_id, store_id, state_id, round(dollar_sales, 6) AS dollar_sales FROM dollars",
     ["dollars"],
 )
-def dollar_sales_trailing(t: Testbed) -> DataFrame:
+def dollar_sales_trailing(t: BoundTables) -> DataFrame:
     return submission.trailing_dollars(t).select(*IDS, r6("dollar_sales"))
 
 
@@ -481,7 +480,7 @@ def dollar_sales_trailing(t: Testbed) -> DataFrame:
 FROM panel_cal WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["panel_cal"],
 )
-def join_exog(t: Testbed) -> DataFrame:
+def join_exog(t: BoundTables) -> DataFrame:
     """Panel rows joined to a separate table of exogenous columns on (store, department, day)."""
     cal = features.add_leads(t.panel_calendar(), KEYS, "day_num", ["event_type_1"], [1, 2, 3])
     exog = cal.select(
@@ -500,7 +499,7 @@ def join_exog(t: Testbed) -> DataFrame:
 FROM panel_all p LEFT JOIN naive n USING (store_id, dept_id, day_num) WHERE p.day_num BETWEEN 2469 AND 2496""",
     ["panel_all", "naive"],
 )
-def join_predictions_keyed(t: Testbed) -> DataFrame:
+def join_predictions_keyed(t: BoundTables) -> DataFrame:
     s = t.study
     actual = t.panel(s.forecast_first, s.forecast_last).select(*KEYS, "day_num", "demand")
     return actual.join(submission.naive_forecast(t), [*KEYS, "day_num"], "left")
@@ -512,7 +511,7 @@ def join_predictions_keyed(t: Testbed) -> DataFrame:
 FROM panel WHERE {IN_WINDOWS('day_num')}""",
     ["panel"],
 )
-def join_right_keys(t: Testbed) -> DataFrame:
+def join_right_keys(t: BoundTables) -> DataFrame:
     """Validation features keep their rows and regain the descriptive columns."""
     _, valid = split.blocked_split(t.panel(), "day_num", t.study.windows)
     return t.panel().select(*KEYS, "day_num", "date").join(valid.drop("date"), [*KEYS, "day_num"], "right")
@@ -524,7 +523,7 @@ def join_right_keys(t: Testbed) -> DataFrame:
 FROM daily c LEFT JOIN daily e ON e.store_id = c.store_id AND e.dept_id = c.dept_id AND e.day_num = c.day_num - 7""",
     ["daily"],
 )
-def lag_by_date_join(t: Testbed) -> DataFrame:
+def lag_by_date_join(t: BoundTables) -> DataFrame:
     return features.lag_by_date_join(t.daily(), KEYS, "day_num", "demand", 7, "lag_7")
 
 
@@ -536,7 +535,7 @@ def lag_by_date_join(t: Testbed) -> DataFrame:
 FROM daily WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["daily"],
 )
-def lag_by_date_window(t: Testbed) -> DataFrame:
+def lag_by_date_window(t: BoundTables) -> DataFrame:
     return features.add_lags_by_day(t.daily(), KEYS, "day_num", "demand", {"lag_7": 7, "lag_28": 28})
 
 
@@ -548,7 +547,7 @@ def lag_by_date_window(t: Testbed) -> DataFrame:
     "SELECT store_id, dept_id, day_num, demand FROM daily",
     ["daily"],
 )
-def agg_store_dept_daily(t: Testbed) -> DataFrame:
+def agg_store_dept_daily(t: BoundTables) -> DataFrame:
     return t.daily()
 
 
@@ -557,18 +556,18 @@ def agg_store_dept_daily(t: Testbed) -> DataFrame:
     """SELECT store_id, dept_id, round(sum(weight), 6) AS sum_weight FROM weights GROUP BY ALL""",
     ["weights"],
 )
-def check_weights_sum(t: Testbed) -> DataFrame:
+def check_weights_sum(t: BoundTables) -> DataFrame:
     totals = weights.check_totals(submission.item_weights(t).select(*KEYS, "weight"), KEYS)
     return totals.select(*KEYS, r6("sum_weight"))
 
 
 @query("count_by_day", "SELECT day_num, count(*) AS n FROM base GROUP BY day_num", ["base"])
-def count_by_day(t: Testbed) -> DataFrame:
+def count_by_day(t: BoundTables) -> DataFrame:
     return t.facts().groupBy("day_num").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("distinct_keys", "SELECT DISTINCT store_id, dept_id FROM base", ["base"])
-def distinct_keys(t: Testbed) -> DataFrame:
+def distinct_keys(t: BoundTables) -> DataFrame:
     return t.rollup(t.facts(), DEPT_KEYS, F.count(F.lit(1)).alias("n")).select(*KEYS)
 
 
@@ -580,7 +579,7 @@ UNION ALL SELECT 'sales', count(*), 10 FROM sales UNION ALL SELECT 'prices', cou
 UNION ALL SELECT 'panel', count(*), 5 FROM panel""",
     ["base", "sales", "prices", "panel"],
 )
-def table_shapes(t: Testbed) -> DataFrame:
+def table_shapes(t: BoundTables) -> DataFrame:
     frames = {
         "lineitem": t.lines(),
         "calendar_days_sold": t.facts().select("day_num").distinct(),
@@ -597,7 +596,7 @@ def table_shapes(t: Testbed) -> DataFrame:
     return reshape.union_all(*counts)
 
 
-def scored_windows(t: Testbed) -> DataFrame:
+def scored_windows(t: BoundTables) -> DataFrame:
     """Validation rows with two closed-form forecasts: lag 28 and the mean of lags 28 and 35."""
     panel = features.add_lags(t.panel(), KEYS, "day_num", "demand", {"lag_28": 28, "lag_35": 35})
     _, valid = split.blocked_split(panel, "day_num", t.study.windows)
@@ -616,7 +615,7 @@ _SCORED_SQL = f"""WITH scored AS (SELECT *, {window_case('day_num')} AS valid_wi
 FROM scored GROUP BY ALL""",
     ["panel"],
 )
-def rmse_by_window(t: Testbed) -> DataFrame:
+def rmse_by_window(t: BoundTables) -> DataFrame:
     scored = metrics.rmse_by(scored_windows(t), ["valid_window", *KEYS], "demand", "lag_28")
     return scored.select("valid_window", *KEYS, r6("rmse"))
 
@@ -630,7 +629,7 @@ SELECT valid_window, round(sum(w.dollar_sales * rmse), 6) AS wrmse
 FROM per JOIN dept_weights w USING (store_id, dept_id) GROUP BY valid_window""",
     ["panel", "dept_weights"],
 )
-def wrmse_by_window(t: Testbed) -> DataFrame:
+def wrmse_by_window(t: BoundTables) -> DataFrame:
     out = metrics.wrmse_by(
         scored_windows(t), "valid_window", KEYS, submission.dept_weights(t), "demand", "lag_28"
     )
@@ -644,7 +643,7 @@ def wrmse_by_window(t: Testbed) -> DataFrame:
 round(sqrt(avg((demand - (lag_28 + lag_35) / 2) ** 2)), 6) AS final_rmse FROM scored GROUP BY valid_window""",
     ["panel"],
 )
-def rmse_two_models(t: Testbed) -> DataFrame:
+def rmse_two_models(t: BoundTables) -> DataFrame:
     both = metrics.rmse_models(
         scored_windows(t), ["valid_window"], "demand", {"base_rmse": "lag_28", "final_rmse": "blend"}
     )
@@ -661,7 +660,7 @@ def rmse_two_models(t: Testbed) -> DataFrame:
 FROM panel WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["panel"],
 )
-def lag_demand(t: Testbed) -> DataFrame:
+def lag_demand(t: BoundTables) -> DataFrame:
     panel = t.panel().select(*KEYS, "day_num", "demand")
     return features.add_lags(panel, KEYS, "day_num", "demand", {f"L{n}_demand": n for n in (7, 14, 28)})
 
@@ -673,7 +672,7 @@ def lag_demand(t: Testbed) -> DataFrame:
     + " FROM panel_cal WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)",
     ["panel_cal"],
 )
-def lead_events(t: Testbed) -> DataFrame:
+def lead_events(t: BoundTables) -> DataFrame:
     df = t.panel_calendar().select(*KEYS, "day_num", "event_name_1", "event_type_1")
     led = features.add_leads(df, KEYS, "day_num", ["event_name_1", "event_type_1"], [1, 2, 3])
     return led.drop("event_name_1", "event_type_1")
@@ -689,7 +688,7 @@ def lead_events(t: Testbed) -> DataFrame:
 FROM panel WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["panel"],
 )
-def rolling_mean_lagged(t: Testbed) -> DataFrame:
+def rolling_mean_lagged(t: BoundTables) -> DataFrame:
     specs = {"mean_demand_28_7": (28, 7), "mean_demand_28_28": (28, 28)}
     means = features.add_rolling_means(t.panel(), KEYS, "day_num", "demand", specs)
     return means.select(*KEYS, "day_num", *[r6(c) for c in specs])
@@ -717,7 +716,7 @@ _BOTTOM_SQL = ", ".join(
   WINDOW w AS (PARTITION BY id ORDER BY day_num)) GROUP BY ALL""",
     ["sales", "calendar", "prices"],
 )
-def features_bottom_train(t: Testbed) -> DataFrame:
+def features_bottom_train(t: BoundTables) -> DataFrame:
     """Positional lags and full-window means of every item series, totalled per department and day."""
     priced = t.sales().join(F.broadcast(t.calendar.select("day_num", "wm_yr_wk")), "day_num").join(
         t.prices, ["store_id", "item_id", "wm_yr_wk"]
@@ -741,7 +740,7 @@ def features_bottom_train(t: Testbed) -> DataFrame:
     + " FROM daily WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)",
     ["daily"],
 )
-def rolling_mean_by_date(t: Testbed) -> DataFrame:
+def rolling_mean_by_date(t: BoundTables) -> DataFrame:
     """Partial calendar windows over the gappy daily series."""
     means = features.add_rolling_means_by_day(t.daily(), KEYS, "day_num", "demand", BOTTOM_MEANS)
     return means.select(*KEYS, "day_num", *[r6(c) for c in BOTTOM_MEANS])
@@ -755,7 +754,7 @@ FROM (SELECT *, lag(demand) OVER (PARTITION BY store_id, dept_id ORDER BY day_nu
 WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["panel"],
 )
-def level_reconstruct(t: Testbed) -> DataFrame:
+def level_reconstruct(t: BoundTables) -> DataFrame:
     """Levels rebuilt from the first known value and the running sum of differences."""
     w = features.series_window(KEYS, "day_num")
     panel = t.panel().select(*KEYS, "day_num", "demand")
@@ -773,7 +772,7 @@ def level_reconstruct(t: Testbed) -> DataFrame:
 FROM daily WHERE day_num <= 2468 GROUP BY ALL""",
     ["daily"],
 )
-def last_level(t: Testbed) -> DataFrame:
+def last_level(t: BoundTables) -> DataFrame:
     return features.last_known(t.daily(t.study.train_last), KEYS, "day_num", "demand", "last_demand")
 
 
@@ -784,7 +783,7 @@ fc AS (SELECT p.store_id, p.dept_id, o.origin, p.day_num, p.day_num - o.origin +
   JOIN panel h ON h.store_id = p.store_id AND h.dept_id = p.dept_id AND h.day_num = p.day_num - 28)"""
 
 
-def naive_residuals(t: Testbed) -> DataFrame:
+def naive_residuals(t: BoundTables) -> DataFrame:
     """Residuals of the lag-28 forecast for every window-opening origin."""
     s = t.study
     panel = features.add_lags(t.panel(), KEYS, "day_num", "demand", {"demand_fcast": s.horizon})
@@ -814,7 +813,7 @@ def naive_residuals(t: Testbed) -> DataFrame:
 FROM fc WINDOW w AS (PARTITION BY store_id, dept_id, origin ORDER BY day_num)""",
     ["panel"],
 )
-def lag_residual(t: Testbed) -> DataFrame:
+def lag_residual(t: BoundTables) -> DataFrame:
     key = [*KEYS, "origin"]
     df = features.add_lags(naive_residuals(t), key, "day_num", "resid", {f"resid_lag{n}": n for n in range(1, 8)})
     df = features.add_rolling_means(df, key, "day_num", "resid", {"rmean_1_7": (1, 7)})
@@ -827,7 +826,7 @@ def lag_residual(t: Testbed) -> DataFrame:
   round(d_level, 6) AS d_level FROM levels""",
     ["levels"],
 )
-def season_decompose(t: Testbed) -> DataFrame:
+def season_decompose(t: BoundTables) -> DataFrame:
     df = features.decompose(t.panel_calendar(), KEYS, "day_num", "wday", "demand")
     return df.select(*KEYS, "day_num", r6("season"), r6("level"), r6("d_level"))
 
@@ -841,7 +840,7 @@ JOIN season s0 ON s0.store_id = n.store_id AND s0.dept_id = n.dept_id AND s0.wda
 LEFT JOIN season s1 ON s1.store_id = n.store_id AND s1.dept_id = n.dept_id AND s1.wday = c1.wday""",
     ["naive", "calendar", "season"],
 )
-def season_add_back(t: Testbed) -> DataFrame:
+def season_add_back(t: BoundTables) -> DataFrame:
     """A level forecast (the level 28 days earlier) turned back into demand."""
     s = t.study
     panel = t.panel_calendar()
@@ -864,7 +863,7 @@ def season_add_back(t: Testbed) -> DataFrame:
   WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)) WHERE {IN_WINDOWS('day_num')}""",
     ["panel"],
 )
-def hybrid_combine(t: Testbed) -> DataFrame:
+def hybrid_combine(t: BoundTables) -> DataFrame:
     """Base forecast plus predicted residual, with a closed-form residual model."""
     df = scored_windows(t).withColumn("resid_fcast", (F.col("lag_35") - F.col("lag_28")) / 2)
     final = F.col("lag_28") + F.col("resid_fcast")
@@ -882,7 +881,7 @@ def hybrid_combine(t: Testbed) -> DataFrame:
   THEN 'holdout' ELSE 'train' END AS part FROM (SELECT store_id, dept_id, day_num, demand FROM panel)""",
     ["panel"],
 )
-def sample_holdout(t: Testbed) -> DataFrame:
+def sample_holdout(t: BoundTables) -> DataFrame:
     panel = t.panel().select(*KEYS, "day_num", "demand")
     train, holdout = split.sample_holdout(panel, [*KEYS, "day_num"], 2_000, seed=64)
     return reshape.union_all(train.withColumn("part", F.lit("train")), holdout.withColumn("part", F.lit("holdout")))
@@ -898,7 +897,7 @@ FROM calendar o JOIN panel p ON p.day_num BETWEEN o.day_num AND o.day_num + 27
 WHERE o.day_num BETWEEN 30 AND 2441 GROUP BY 1""",
     ["calendar", "panel"],
 )
-def split_origin(t: Testbed) -> DataFrame:
+def split_origin(t: BoundTables) -> DataFrame:
     """Rows of every forecast origin by the part of the split they fall into."""
     s = t.study
     rows = t.panel().select(
@@ -926,7 +925,7 @@ UNION ALL SELECT * FROM (SELECT store_id, dept_id, day_num, demand, 'tail' AS si
   ORDER BY store_id DESC, dept_id DESC, day_num DESC LIMIT 100)""",
     ["daily"],
 )
-def top_n_rows(t: Testbed) -> DataFrame:
+def top_n_rows(t: BoundTables) -> DataFrame:
     order = [*KEYS, "day_num"]
     daily = t.daily()
     head = daily.orderBy(*order).limit(100).withColumn("side", F.lit("head"))
@@ -939,7 +938,7 @@ def top_n_rows(t: Testbed) -> DataFrame:
     "SELECT store_id, dept_id, day_num, demand FROM daily ORDER BY store_id, dept_id, day_num",
     ["daily"],
 )
-def sort_multi_key(t: Testbed) -> DataFrame:
+def sort_multi_key(t: BoundTables) -> DataFrame:
     return t.daily().orderBy(*KEYS, "day_num")
 
 
@@ -952,7 +951,7 @@ def sort_multi_key(t: Testbed) -> DataFrame:
   round(grouped_dollar_sales, 6) AS grouped_dollar_sales, round(weight, 6) AS weight FROM weights""",
     ["weights"],
 )
-def weights_dollar_share(t: Testbed) -> DataFrame:
+def weights_dollar_share(t: BoundTables) -> DataFrame:
     cols = ["dollar_sales", "grouped_dollar_sales", "weight"]
     return submission.item_weights(t).select(*IDS, *[r6(c) for c in cols])
 
@@ -963,7 +962,7 @@ def weights_dollar_share(t: Testbed) -> DataFrame:
 FROM dept_weights""",
     ["dept_weights"],
 )
-def share_over_window(t: Testbed) -> DataFrame:
+def share_over_window(t: BoundTables) -> DataFrame:
     shares = weights.share_over_window(submission.dept_weights(t), ["store_id"], "dollar_sales", "share")
     return shares.select(*KEYS, r6("share"))
 
@@ -979,7 +978,7 @@ FROM series s CROSS JOIN {_PHASES} ph LEFT JOIN weights w ON w.id = s.id
 LEFT JOIN naive n ON n.store_id = s.store_id AND n.dept_id = s.dept_id""",
     ["series", "weights", "naive"],
 )
-def disaggregate_forecast(t: Testbed) -> DataFrame:
+def disaggregate_forecast(t: BoundTables) -> DataFrame:
     out = weights.disaggregate(
         submission.submission_ids(t), submission.item_weights(t), submission.naive_forecast(t)
     )
@@ -997,7 +996,7 @@ _STEPS_AGG = ", ".join(f"round(max(v) FILTER (WHERE day_num = {2468 + i}), 6) AS
   LEFT JOIN naive n ON n.store_id = s.store_id AND n.dept_id = s.dept_id) GROUP BY id ORDER BY id""",
     ["series", "weights", "naive"],
 )
-def submission_agg(t: Testbed) -> DataFrame:
+def submission_agg(t: BoundTables) -> DataFrame:
     out = submission.aggregate_submission(
         submission.submission_ids(t),
         submission.item_weights(t),
@@ -1020,7 +1019,7 @@ _STEPS_BOTTOM = ", ".join(f"coalesce(max(sales) FILTER (WHERE rk = {i}), 0.0) AS
   WHERE s.day_num + 28 BETWEEN 2469 AND 2496) CROSS JOIN {_PHASES} ph GROUP BY 1 ORDER BY 1""",
     ["sales", "calendar", "prices"],
 )
-def submission_bottom(t: Testbed) -> DataFrame:
+def submission_bottom(t: BoundTables) -> DataFrame:
     """Lag-28 item forecast on the days an item is priced, labelled, pivoted and doubled."""
     s = t.study
     lagged = t.sales(s.train_last - s.horizon + 1)

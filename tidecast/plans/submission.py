@@ -9,28 +9,28 @@ from pyspark.sql import functions as F
 from tidecast.config import Study
 from tidecast.functions.scalars import step_label
 from tidecast.operators import reshape, weights
-from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, Testbed
+from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, BoundTables
 
 
-def trailing_dollars(t: Testbed) -> DataFrame:
+def trailing_dollars(t: BoundTables) -> DataFrame:
     s = t.study
     return weights.trailing_dollar_sales(
         t.sales(s.weight_first), t.calendar, t.prices, s.weight_first, s.train_last, ["id", *SERIES_KEYS]
     )
 
 
-def item_weights(t: Testbed) -> DataFrame:
+def item_weights(t: BoundTables) -> DataFrame:
     return weights.dollar_share(trailing_dollars(t))
 
 
-def dept_weights(t: Testbed) -> DataFrame:
+def dept_weights(t: BoundTables) -> DataFrame:
     """Each (store, department)'s part of all trailing dollars: the scoring weights."""
     by_dept = trailing_dollars(t).groupBy(*DEPT_KEYS).agg(F.sum("dollar_sales").alias("dollar_sales"))
     grand = by_dept.agg(F.sum("dollar_sales"))
     return by_dept.withColumn("dollar_sales", F.col("dollar_sales") / grand.scalar())
 
 
-def naive_forecast(t: Testbed) -> DataFrame:
+def naive_forecast(t: BoundTables) -> DataFrame:
     """Department demand 28 days earlier, as a stand-in for a model."""
     s = t.study
     return t.panel(s.train_last - s.horizon + 1).select(
@@ -40,7 +40,7 @@ def naive_forecast(t: Testbed) -> DataFrame:
     )
 
 
-def submission_ids(t: Testbed) -> DataFrame:
+def submission_ids(t: BoundTables) -> DataFrame:
     """Every series once per phase."""
     phase = F.explode(F.array(F.lit("validation"), F.lit("evaluation"))).alias("phase")
     return t.series.select("item_id", "dept_id", "store_id", "state_id", phase).select(

@@ -1,4 +1,4 @@
-"""Session helpers: a local builder for tests and bench, and durable lineage cuts."""
+"""Session helpers: a local builder for tests and bench, and lineage cuts."""
 
 from __future__ import annotations
 
@@ -47,14 +47,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut the lineage of ``df``: write it to the shared folder as Parquet and read it back.
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back (columnar, prunable lineage cut)."""
+    The copy is columnar and prunable, survives the loss of any executor, and
+    starts a plan of constant size. (A checkpoint would hand the constraints of
+    its plan on to the next one, which piles up in iterative jobs.)
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ def series_id() -> Column:
     return F.concat_ws("_", "item_id", "store_id", F.lit("validation"))
 
 
-class Testbed:
+class BoundTables:
     """Lazy frames over one folder of test tables."""
 
     def __init__(self, spark: SparkSession, directory: str, study: Study = TESTBED):
