@@ -23,7 +23,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.session import materialize
+from tidecast.session import materialize, spread
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) -> DataFrame:
@@ -151,7 +151,7 @@ def fit_poisson_boost(
     work = train.select(*columns, F.lit(False).alias("held"))
     if valid is not None:
         work = work.unionByName(valid.select(*columns, F.lit(True).alias("held")))
-    work = materialize(work, "boost")
+    work = spread(materialize(work, "boost"))
     mean = work.where(~F.col("held")).agg(F.avg("y")).first()[0]
     if not mean or mean <= 0:
         raise ValueError("the Poisson loss needs a positive mean label")
@@ -215,4 +215,4 @@ def fit_poisson_glm(train: DataFrame, label: str, reg: float = 1e-6, max_iter: i
         predictionCol="yhat",
         regParam=reg,
         maxIter=max_iter,
-    ).fit(materialize(train.select("features", label), "glm"))
+    ).fit(spread(materialize(train.select("features", label), "glm")))

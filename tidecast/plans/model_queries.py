@@ -108,7 +108,7 @@ def ml_save_load_score(t: BoundTables) -> DataFrame:
     return again.predict(agg.features).select(*KEYS, "day_num", "demand", "yhat")
 
 
-@query("forecast_aggregate_boosted")
+@query("forecast_aggregate_boosted", compact="item")
 def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Top-down submission of the recursive boosted department forecast."""
     s = t.study
@@ -120,7 +120,7 @@ def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     ).orderBy("id")
 
 
-@query("wrmse_aggregate_boosted")
+@query("wrmse_aggregate_boosted", compact="item")
 def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Weighted RMSE of the recursive boosted forecast on every validation window."""
     agg = AggregateForecast(t)
@@ -129,7 +129,7 @@ def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
     return agg.wrmse(forecasts, submission.dept_weights(t)).orderBy("valid_window")
 
 
-@query("forecast_bottom_boosted")
+@query("forecast_bottom_boosted", compact="item")
 def forecast_bottom_boosted(t: BoundTables) -> DataFrame:
     """Item submission of the recursive boosted item forecast."""
     bottom = BottomForecast(t)
@@ -193,7 +193,7 @@ def rmse_hybrid(t: BoundTables) -> DataFrame:
     return hybrid.rmse(hybrid.fit(rounds=3, rate=0.3, max_depth=4)).orderBy("origin")
 
 
-@query("forecast_hybrid")
+@query("forecast_hybrid", compact="item")
 def forecast_hybrid(t: BoundTables) -> DataFrame:
     """Top-down submission of the hybrid department forecast."""
     hybrid = HybridForecast(t)

@@ -169,13 +169,22 @@ def _prefixed(sql: str) -> str:
     return re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 fx_\2", sql)
 
 
-def query(name: str, sql: str | None = None, uses: Sequence[str] = ()):
-    """Register ``fn(testbed) -> DataFrame`` under ``name`` with its check SQL."""
+def query(name: str, sql: str | None = None, uses: Sequence[str] = (), compact: str | None = None):
+    """Register ``fn(tables) -> DataFrame`` under ``name`` with its check SQL.
+
+    ``compact`` (``"item"`` or ``"dept"``) hands over tables whose sale lines are
+    already written as daily totals, for plans that derive several frames.
+    """
 
     def wrap(fn: Callable[[BoundTables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(BoundTables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tables = BoundTables(spark, sf_dir)
+            return fn(tables.compacted(compact) if compact else tables)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_ctes(sql, uses)
         return fn

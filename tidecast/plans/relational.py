@@ -88,6 +88,7 @@ FROM sales s JOIN calendar c ON c.day_num = s.day_num
 JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk
 WHERE s.day_num BETWEEN 2440 AND 2468 GROUP BY s.id""",
     ["sales", "calendar", "prices"],
+    compact="item",
 )
 def rowwise_dollar_sales(t: BoundTables) -> DataFrame:
     """Dollar columns per day side by side, summed across the row."""
@@ -194,6 +195,7 @@ def fill_event_none(t: BoundTables) -> DataFrame:
 FROM panel_all p LEFT JOIN (SELECT store_id, dept_id, day_num + 28 AS day_num, demand FROM panel_all) h
 USING (store_id, dept_id, day_num) WHERE p.day_num <= 2496""",
     ["panel_all"],
+    compact="dept",
 )
 def update_future_sales(t: BoundTables) -> DataFrame:
     """Unknown future demand overwritten by the value 28 days earlier."""
@@ -254,6 +256,7 @@ def narrow_type_ranges(t: BoundTables) -> DataFrame:
   CAST(dense_rank() OVER (ORDER BY event_name_1 NULLS FIRST) - 1 AS INTEGER) AS event_name_1_code,
   CAST(dense_rank() OVER (ORDER BY event_type_2 NULLS FIRST) - 1 AS INTEGER) AS event_type_2_code FROM panel_cal""",
     ["panel_cal"],
+    compact="dept",
 )
 def category_codes(t: BoundTables) -> DataFrame:
     df = t.panel_calendar().select(*KEYS, "day_num", "event_name_1", "event_type_2")
@@ -267,6 +270,7 @@ def category_codes(t: BoundTables) -> DataFrame:
   CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS INTEGER) AS cat_id_code,
   CAST(dense_rank() OVER (ORDER BY state_id) - 1 AS INTEGER) AS state_id_code FROM series""",
     ["series"],
+    compact="item",
 )
 def item_codes(t: BoundTables) -> DataFrame:
     coded = encode.category_codes(t.series, ["item_id", "cat_id", "state_id"])
@@ -284,6 +288,7 @@ SELECT f.store_id, f.dept_id, f.day_num, s.code AS store_id_code, c.code AS even
 FROM filled f JOIN codes c ON c.v = f.event_name_1 JOIN stores s ON s.v = f.store_id
 WHERE {IN_WINDOWS('day_num')}""",
     ["panel_cal"],
+    compact="dept",
 )
 def label_encode(t: BoundTables) -> DataFrame:
     """Dictionaries learned on the training days, applied to the validation windows."""
@@ -401,6 +406,7 @@ def unpivot_forecast_matrix(t: BoundTables) -> DataFrame:
 UNION ALL SELECT s.store_id, d.dept_id, c.day_num, NULL FROM (SELECT DISTINCT store_id FROM panel) s
 CROSS JOIN (SELECT DISTINCT dept_id FROM panel) d CROSS JOIN calendar c WHERE c.day_num BETWEEN 2469 AND 2499""",
     ["panel", "calendar"],
+    compact="dept",
 )
 def scaffold_future(t: BoundTables) -> DataFrame:
     s = t.study
@@ -450,6 +456,7 @@ FROM sales s JOIN calendar c ON c.d = s.d
 JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk
 GROUP BY ALL""",
     ["sales", "calendar", "prices"],
+    compact="item",
 )
 def join_calendar_price(t: BoundTables) -> DataFrame:
     """Every item-day that was on sale, summarised per department and day."""
@@ -467,6 +474,7 @@ def join_calendar_price(t: BoundTables) -> DataFrame:
     "dollar_sales_trailing",
     "SELECT id, item_id, dept_id, cat_id, store_id, state_id, round(dollar_sales, 6) AS dollar_sales FROM dollars",
     ["dollars"],
+    compact="item",
 )
 def dollar_sales_trailing(t: BoundTables) -> DataFrame:
     return submission.trailing_dollars(t).select(*IDS, r6("dollar_sales"))
@@ -479,6 +487,7 @@ def dollar_sales_trailing(t: BoundTables) -> DataFrame:
   lead(event_type_1, 3) OVER w AS L3_event_type_1, month
 FROM panel_cal WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)""",
     ["panel_cal"],
+    compact="dept",
 )
 def join_exog(t: BoundTables) -> DataFrame:
     """Panel rows joined to a separate table of exogenous columns on (store, department, day)."""
@@ -498,6 +507,7 @@ def join_exog(t: BoundTables) -> DataFrame:
     """SELECT p.store_id, p.dept_id, p.day_num, p.demand, n.demand_fcast
 FROM panel_all p LEFT JOIN naive n USING (store_id, dept_id, day_num) WHERE p.day_num BETWEEN 2469 AND 2496""",
     ["panel_all", "naive"],
+    compact="dept",
 )
 def join_predictions_keyed(t: BoundTables) -> DataFrame:
     s = t.study
@@ -510,6 +520,7 @@ def join_predictions_keyed(t: BoundTables) -> DataFrame:
     f"""SELECT store_id, dept_id, day_num, date, demand, {window_case('day_num')} AS valid_window
 FROM panel WHERE {IN_WINDOWS('day_num')}""",
     ["panel"],
+    compact="dept",
 )
 def join_right_keys(t: BoundTables) -> DataFrame:
     """Validation features keep their rows and regain the descriptive columns."""
@@ -555,6 +566,7 @@ def agg_store_dept_daily(t: BoundTables) -> DataFrame:
     "check_weights_sum",
     """SELECT store_id, dept_id, round(sum(weight), 6) AS sum_weight FROM weights GROUP BY ALL""",
     ["weights"],
+    compact="item",
 )
 def check_weights_sum(t: BoundTables) -> DataFrame:
     totals = weights.check_totals(submission.item_weights(t).select(*KEYS, "weight"), KEYS)
@@ -578,6 +590,7 @@ UNION ALL SELECT 'calendar_days_sold', count(DISTINCT day_num), 1 FROM base
 UNION ALL SELECT 'sales', count(*), 10 FROM sales UNION ALL SELECT 'prices', count(*), 4 FROM prices
 UNION ALL SELECT 'panel', count(*), 5 FROM panel""",
     ["base", "sales", "prices", "panel"],
+    compact="item",
 )
 def table_shapes(t: BoundTables) -> DataFrame:
     frames = {
@@ -628,6 +641,7 @@ FROM scored GROUP BY ALL)
 SELECT valid_window, round(sum(w.dollar_sales * rmse), 6) AS wrmse
 FROM per JOIN dept_weights w USING (store_id, dept_id) GROUP BY valid_window""",
     ["panel", "dept_weights"],
+    compact="item",
 )
 def wrmse_by_window(t: BoundTables) -> DataFrame:
     out = metrics.wrmse_by(
@@ -715,6 +729,7 @@ _BOTTOM_SQL = ", ".join(
   JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk)
   WINDOW w AS (PARTITION BY id ORDER BY day_num)) GROUP BY ALL""",
     ["sales", "calendar", "prices"],
+    compact="item",
 )
 def features_bottom_train(t: BoundTables) -> DataFrame:
     """Positional lags and full-window means of every item series, totalled per department and day."""
@@ -839,6 +854,7 @@ FROM naive n JOIN calendar c0 ON c0.day_num = n.day_num - 28 JOIN calendar c1 ON
 JOIN season s0 ON s0.store_id = n.store_id AND s0.dept_id = n.dept_id AND s0.wday = c0.wday
 LEFT JOIN season s1 ON s1.store_id = n.store_id AND s1.dept_id = n.dept_id AND s1.wday = c1.wday""",
     ["naive", "calendar", "season"],
+    compact="dept",
 )
 def season_add_back(t: BoundTables) -> DataFrame:
     """A level forecast (the level 28 days earlier) turned back into demand."""
@@ -880,6 +896,7 @@ def hybrid_combine(t: BoundTables) -> DataFrame:
     """SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(store_id || '|' || dept_id || '|' || day_num || '|64')) <= 2000
   THEN 'holdout' ELSE 'train' END AS part FROM (SELECT store_id, dept_id, day_num, demand FROM panel)""",
     ["panel"],
+    compact="dept",
 )
 def sample_holdout(t: BoundTables) -> DataFrame:
     panel = t.panel().select(*KEYS, "day_num", "demand")
@@ -896,6 +913,7 @@ def sample_holdout(t: BoundTables) -> DataFrame:
 FROM calendar o JOIN panel p ON p.day_num BETWEEN o.day_num AND o.day_num + 27
 WHERE o.day_num BETWEEN 30 AND 2441 GROUP BY 1""",
     ["calendar", "panel"],
+    compact="dept",
 )
 def split_origin(t: BoundTables) -> DataFrame:
     """Rows of every forecast origin by the part of the split they fall into."""
@@ -950,6 +968,7 @@ def sort_multi_key(t: BoundTables) -> DataFrame:
     """SELECT id, item_id, dept_id, cat_id, store_id, state_id, round(dollar_sales, 6) AS dollar_sales,
   round(grouped_dollar_sales, 6) AS grouped_dollar_sales, round(weight, 6) AS weight FROM weights""",
     ["weights"],
+    compact="item",
 )
 def weights_dollar_share(t: BoundTables) -> DataFrame:
     cols = ["dollar_sales", "grouped_dollar_sales", "weight"]
@@ -961,6 +980,7 @@ def weights_dollar_share(t: BoundTables) -> DataFrame:
     """SELECT store_id, dept_id, round(dollar_sales / nullif(sum(dollar_sales) OVER (PARTITION BY store_id), 0), 6) AS share
 FROM dept_weights""",
     ["dept_weights"],
+    compact="item",
 )
 def share_over_window(t: BoundTables) -> DataFrame:
     shares = weights.share_over_window(submission.dept_weights(t), ["store_id"], "dollar_sales", "share")
@@ -977,6 +997,7 @@ _PHASES = "(SELECT unnest(['validation', 'evaluation']) AS phase)"
 FROM series s CROSS JOIN {_PHASES} ph LEFT JOIN weights w ON w.id = s.id
 LEFT JOIN naive n ON n.store_id = s.store_id AND n.dept_id = s.dept_id""",
     ["series", "weights", "naive"],
+    compact="item",
 )
 def disaggregate_forecast(t: BoundTables) -> DataFrame:
     out = weights.disaggregate(
@@ -995,6 +1016,7 @@ _STEPS_AGG = ", ".join(f"round(max(v) FILTER (WHERE day_num = {2468 + i}), 6) AS
   FROM series s CROSS JOIN {_PHASES} ph LEFT JOIN weights w ON w.id = s.id
   LEFT JOIN naive n ON n.store_id = s.store_id AND n.dept_id = s.dept_id) GROUP BY id ORDER BY id""",
     ["series", "weights", "naive"],
+    compact="item",
 )
 def submission_agg(t: BoundTables) -> DataFrame:
     out = submission.aggregate_submission(
@@ -1018,6 +1040,7 @@ _STEPS_BOTTOM = ", ".join(f"coalesce(max(sales) FILTER (WHERE rk = {i}), 0.0) AS
   JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk
   WHERE s.day_num + 28 BETWEEN 2469 AND 2496) CROSS JOIN {_PHASES} ph GROUP BY 1 ORDER BY 1""",
     ["sales", "calendar", "prices"],
+    compact="item",
 )
 def submission_bottom(t: BoundTables) -> DataFrame:
     """Lag-28 item forecast on the days an item is priced, labelled, pivoted and doubled."""

@@ -57,3 +57,14 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, label: str = "spread") -> DataFrame:
+    """Give a written frame at least one partition per core.
+
+    Iterative learners scan their data hundreds of times. A frame with fewer
+    files than cores is small, so rewriting it once is cheap; larger frames are
+    returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else materialize(df.repartition(cores), label)

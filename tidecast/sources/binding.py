@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidecast.config import TESTBED, Study
 from tidecast.functions import scalars as S
 from tidecast.operators.reshape import day_range, fill_days
+from tidecast.session import materialize
 
 SERIES_KEYS = ("item_id", "dept_id", "cat_id", "store_id", "state_id")
 DEPT_KEYS = ("store_id", "dept_id")
@@ -34,10 +35,29 @@ def series_id() -> Column:
 class BoundTables:
     """Lazy frames over one folder of test tables."""
 
-    def __init__(self, spark: SparkSession, directory: str, study: Study = TESTBED):
+    def __init__(self, spark: SparkSession, directory: str, study: Study = TESTBED, compact: DataFrame | None = None):
         self.spark = spark
         self.directory = directory.rstrip("/")
         self.study = study
+        self._compact = compact
+
+    def compacted(self, level: str = "item") -> BoundTables:
+        """The same frames on top of written daily totals per store and item (or department).
+
+        For plans that need a frame several times: the sale lines are scanned,
+        joined and aggregated once, and the frames are derived from the totals,
+        whose size depends on series and days instead of sale lines. Totals per
+        department serve ``daily`` and ``panel`` only.
+        """
+        if level not in ("item", "dept"):
+            raise ValueError("level must be 'item' or 'dept'")
+        keys = ["dept_id", "state_id", "outlet", "day_num"]
+        totals = [F.sum("units").alias("units")]
+        if level == "item":
+            keys += ["item_id", "cat_id"]
+            totals.append(F.max("p_retailprice").alias("p_retailprice"))
+        written = materialize(self.facts().groupBy(*keys).agg(*totals), f"daily-{level}-totals")
+        return BoundTables(self.spark, self.directory, self.study, written)
 
     def _scan(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.directory}/{name}.parquet")
@@ -72,7 +92,14 @@ class BoundTables:
         return self._scan("lineitem", LINEITEM)
 
     def facts(self, first: int | None = None, last: int | None = None) -> DataFrame:
-        """One row per sale line; a day range is applied to the raw timestamp so it reaches the scan."""
+        """One row per sale line; a day range is applied to the raw timestamp so it reaches the scan.
+
+        After ``compacted()`` one row per daily total.
+        """
+        if self._compact is not None:
+            rows = self._compact
+            rows = rows if first is None else rows.where(F.col("day_num") >= first)
+            return rows if last is None else rows.where(F.col("day_num") <= last)
         lines = self.lines()
         shipped = F.col("l_shipdate")
         if first is not None:
