@@ -23,6 +23,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.operators.encode import MAX_CODES
 from tidecast.session import materialize, spread
 
 
@@ -37,15 +38,22 @@ def category_indexer(df: DataFrame, categorical: Sequence[str], on_unseen: str =
     """``{c}_ix`` codes in sorted label order; an unseen label is an error by default.
 
     Only the label sets matter, so the rows are reduced to distinct combinations
-    first. The labels are gathered by the indexer: ``categorical`` is for
-    columns with dictionaries of bounded size.
+    first. The indexer gathers the labels on the driver, so a column with more
+    than ``MAX_CODES`` labels is refused before it gets there.
     """
-    return StringIndexer(
+    combos = df.select(*categorical).distinct().persist()
+    counts = combos.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    large = [c for c in categorical if counts[c] > MAX_CODES]
+    if large:
+        raise ValueError(f"more than {MAX_CODES} labels in {', '.join(large)}")
+    indexer = StringIndexer(
         inputCols=list(categorical),
         outputCols=[f"{c}_ix" for c in categorical],
         stringOrderType="alphabetAsc",
         handleInvalid=on_unseen,
-    ).fit(df.select(*categorical).distinct())
+    ).fit(combos)
+    combos.unpersist()
+    return indexer
 
 
 def feature_pipeline(

@@ -92,13 +92,17 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def fit_varx(vectors: DataFrame, lags: int) -> DataFrame:
-    """Coefficients per store: one row per (equation, term); collinear terms get the least-norm solution."""
+def cross_products(vectors: DataFrame, lags: int) -> DataFrame:
+    """x'[x y] per store: term ``i`` against term ``j``, or against equation ``j - n_terms``."""
     products = lag_design(vectors, lags).mapInPandas(
         _partial_products, "store_id string, n_terms int, i int, j int, v double"
     )
-    summed = products.groupBy("store_id", "n_terms", "i", "j").agg(F.sum("v").alias("v"))
-    return summed.groupBy("store_id").applyInPandas(_solve, COEF_SCHEMA)
+    return products.groupBy("store_id", "n_terms", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def fit_varx(vectors: DataFrame, lags: int) -> DataFrame:
+    """Coefficients per store: one row per (equation, term); collinear terms get the least-norm solution."""
+    return cross_products(vectors, lags).groupBy("store_id").applyInPandas(_solve, COEF_SCHEMA)
 
 
 def name_terms(coefs: DataFrame, vectors: DataFrame, exog_names: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import ratio
+from tidecast.session import materialize
 
 
 def trailing_dollar_sales(
@@ -21,10 +22,10 @@ def trailing_dollar_sales(
     """
     days = calendar.select("day_num", "wm_yr_wk").where(F.col("day_num").between(first, last))
     weeks = days.select("wm_yr_wk").distinct()
-    recent = prices.join(F.broadcast(weeks), "wm_yr_wk", "left_semi")
+    recent = prices.join(weeks, "wm_yr_wk", "left_semi")
     priced = (
         sales.where(F.col("day_num").between(first, last))
-        .join(F.broadcast(days), "day_num")
+        .join(days, "day_num")
         .join(recent, ["store_id", "item_id", "wm_yr_wk"])
     )
     return (
@@ -49,7 +50,8 @@ def dollar_share(dollars: DataFrame, group: Sequence[str] = ("store_id", "dept_i
     """Share of each series in its group's dollars; null when the group sold nothing.
 
     Group totals are aggregated map-side and joined back, so a group that holds
-    most of the series is never sorted into one window partition.
+    most of the series is never sorted into one window partition. ``dollars`` is
+    read twice: pass a written frame.
     """
     totals = dollars.groupBy(*group).agg(F.sum("dollar_sales").alias("grouped_dollar_sales"))
     return dollars.join(totals, list(group), "left").withColumn(
@@ -65,7 +67,8 @@ def share_over_window(df: DataFrame, group: Sequence[str], value: str, name: str
 def dollar_share_weights(
     sales: DataFrame, calendar: DataFrame, prices: DataFrame, first: int, last: int, keys: Sequence[str]
 ) -> DataFrame:
-    return dollar_share(trailing_dollar_sales(sales, calendar, prices, first, last, keys))
+    """Weights of the trailing days; the dollar sales (one row per series) are written in between."""
+    return dollar_share(materialize(trailing_dollar_sales(sales, calendar, prices, first, last, keys), "dollars"))
 
 
 def disaggregate(ids: DataFrame, weights: DataFrame, forecast: DataFrame, yhat: str = "demand_fcast") -> DataFrame:

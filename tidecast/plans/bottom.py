@@ -37,7 +37,7 @@ def build_long(
     for n in range(last_day + 1, last_day + horizon + 1):
         wide = wide.withColumn(f"d_{n}", F.lit(None).cast("double"))
     long = reshape.melt_days(wide, ids)
-    return long.join(F.broadcast(calendar), "d").join(prices, ["store_id", "item_id", "wm_yr_wk"])
+    return long.join(calendar, "d").join(prices, ["store_id", "item_id", "wm_yr_wk"])
 
 
 class BottomForecast:
@@ -69,7 +69,7 @@ class BottomForecast:
 
     def fit(self, *, rounds: int, holdout: int, rate: float = 0.075, max_depth: int = 11, min_rows: int = 4095):
         """Train on all rows but a random holdout that is only monitored."""
-        rows = fill_missing(SPEC.add(self.long), DERIVED)
+        rows = materialize(fill_missing(SPEC.add(self.long), DERIVED), "bottom-features")
         pipeline = feature_pipeline(rows, self.numeric, CATEGORIES)
         train, held = sample_holdout(pipeline.transform(rows), ["id", "day_num"], holdout)
         model = fit_poisson_boost(

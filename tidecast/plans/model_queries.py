@@ -6,14 +6,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import boost, features
+from tidecast.operators import boost, features, varx
 from tidecast.plans import recursive, submission
 from tidecast.plans.aggregate import DERIVED, KEYS, AggregateForecast, Fitted
 from tidecast.plans.bottom import BottomForecast
 from tidecast.plans.hybrid import HybridForecast
 from tidecast.plans import known
 from tidecast.plans.registry import query
-from tidecast.operators.varx import name_terms
 from tidecast.session import shared_path
 from tidecast.sources.binding import BoundTables
 
@@ -160,7 +159,33 @@ def ar1_fit(t: BoundTables) -> DataFrame:
 @query("var_fit_coeffs")
 def var_fit_coeffs(t: BoundTables) -> DataFrame:
     hybrid = HybridForecast(t)
-    return name_terms(hybrid.coefficients, hybrid.vectors, known.exog_names())
+    return varx.name_terms(hybrid.coefficients, hybrid.vectors, known.exog_names())
+
+
+@query(
+    "var_cross_products",
+    """WITH pairs AS (SELECT store_id, dept_id, day_num, d_level, unnest(range(1, 29)) AS lag FROM levels WHERE day_num >= 30)
+SELECT a.store_id, a.dept_id, b.dept_id AS lag_dept_id, CAST(a.lag AS INTEGER) AS lag,
+  round(sum(a.d_level * b.d_level), 4) AS v
+FROM (SELECT *, day_num - lag AS past FROM pairs) a
+JOIN levels b ON b.store_id = a.store_id AND b.day_num = a.past GROUP BY ALL""",
+    ["levels"],
+)
+def var_cross_products(t: BoundTables) -> DataFrame:
+    """The lagged cross products every coefficient is solved from."""
+    hybrid = HybridForecast(t)
+    vectors = hybrid.vectors
+    n = 1 + len(known.exog_names())
+    depts = vectors.groupBy("store_id").agg(F.first("depts").alias("depts"))
+    sums = varx.cross_products(vectors, t.study.var_lags).where((F.col("i") >= n) & (F.col("j") >= F.col("n_terms")))
+    offset, m = F.col("i") - n, F.size("depts")
+    return sums.join(depts, "store_id").select(
+        "store_id",
+        F.get("depts", F.col("j") - F.col("n_terms")).alias("dept_id"),
+        F.get("depts", F.pmod(offset, m)).alias("lag_dept_id"),
+        (F.floor(offset / m) + 1).cast("int").alias("lag"),
+        F.round("v", 4).alias("v"),
+    )
 
 
 @query("var_forecast")

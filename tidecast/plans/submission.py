@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidecast.config import Study
 from tidecast.functions.scalars import step_label
 from tidecast.operators import reshape, weights
+from tidecast.session import materialize
 from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, BoundTables
 
 
@@ -20,12 +21,13 @@ def trailing_dollars(t: BoundTables) -> DataFrame:
 
 
 def item_weights(t: BoundTables) -> DataFrame:
-    return weights.dollar_share(trailing_dollars(t))
+    return weights.dollar_share(materialize(trailing_dollars(t), "dollars"))
 
 
 def dept_weights(t: BoundTables) -> DataFrame:
     """Each (store, department)'s part of all trailing dollars: the scoring weights."""
     by_dept = trailing_dollars(t).groupBy(*DEPT_KEYS).agg(F.sum("dollar_sales").alias("dollar_sales"))
+    by_dept = materialize(by_dept, "dept-dollars")
     grand = by_dept.agg(F.sum("dollar_sales"))
     return by_dept.withColumn("dollar_sales", F.col("dollar_sales") / grand.scalar())
 
