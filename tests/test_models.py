@@ -98,6 +98,12 @@ def counts(spark):
     return boost.feature_pipeline(df, ["x", "x_missing"], ["store"]).transform(df)
 
 
+def test_category_metadata_survives_a_written_frame(counts):
+    written = materialize(counts)
+    assert boost.max_arity(written) == 3
+    assert boost.vector_names(written) == ["x", "x_missing", "store_ix"]
+
+
 def nll(df):
     return df.select(F.avg(F.col("yhat") - F.col("y") * F.log("yhat"))).first()[0]
 

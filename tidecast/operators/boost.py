@@ -133,8 +133,18 @@ class PoissonBoost:
 
 
 def fit_poisson_boost(
-    train: DataFrame,
-    valid: DataFrame | None,
+    train: DataFrame, valid: DataFrame | None, label: str, key: Sequence[str], **options
+) -> PoissonBoost:
+    """Boost Poisson trees on the ``features`` vector of ``train``; ``options`` as in ``boost_rows``."""
+    rows = train.withColumn("held", F.lit(False))
+    if valid is not None:
+        columns = ["features", label, *key]
+        rows = rows.select(*columns, "held").unionByName(valid.select(*columns).withColumn("held", F.lit(True)))
+    return boost_rows(rows, label, key, **options)
+
+
+def boost_rows(
+    rows: DataFrame,
     label: str,
     key: Sequence[str],
     *,
@@ -148,18 +158,15 @@ def fit_poisson_boost(
     cut_every: int = 5,
     seed: int = 64,
 ) -> PoissonBoost:
-    """Boost Poisson trees on the ``features`` vector of ``train``.
+    """Boost Poisson trees on the rows whose ``held`` flag is false; held rows are monitored.
 
     With ``patience`` the rounds stop once the validation RMSE has not improved
     for that many rounds, and the best prefix is kept. Row subsamples are drawn
     by a hash of ``key`` and the round, so they survive a recomputed partition.
     The running score is cut from its lineage every ``cut_every`` rounds.
     """
-    columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash")]
-    work = train.select(*columns, F.lit(False).alias("held"))
-    if valid is not None:
-        work = work.unionByName(valid.select(*columns, F.lit(True).alias("held")))
-    work = spread(materialize(work, "boost"))
+    columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash"), "held"]
+    work = spread(materialize(rows.select(*columns), "boost"))
     mean = work.where(~F.col("held")).agg(F.avg("y")).first()[0]
     if not mean or mean <= 0:
         raise ValueError("the Poisson loss needs a positive mean label")
@@ -172,7 +179,7 @@ def fit_poisson_boost(
         weightCol="h",
         predictionCol="pred",
         maxDepth=max_depth,
-        maxBins=max(32, max_arity(train)),
+        maxBins=max(32, max_arity(work)),
         minInstancesPerNode=min_rows,
         seed=seed,
         cacheNodeIds=False,
@@ -208,7 +215,7 @@ def fit_poisson_boost(
             break
     if previous is not None:
         previous.unpersist()
-    if patience is not None and valid is not None and best_round:
+    if patience is not None and best_round:
         model.trees = model.trees[:best_round]
     return model
 

@@ -38,8 +38,8 @@ def key_digest(key: Sequence[str], seed: int):
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
 
 
-def sample_holdout(df: DataFrame, key: Sequence[str], n: int, seed: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``(train, holdout)`` with exactly ``n`` random holdout rows, without a global sort.
+def sample_flag(df: DataFrame, key: Sequence[str], n: int, seed: int = 64, name: str = "held") -> DataFrame:
+    """Mark exactly ``n`` random rows, without a global sort.
 
     Rows are ordered by the digest of their unique key; the n-th smallest digest
     is the cut and each row is then placed by a plain comparison. The cut is
@@ -47,10 +47,10 @@ def sample_holdout(df: DataFrame, key: Sequence[str], n: int, seed: int = 64) ->
     most) and ranking only the one prefix that crosses ``n``. The result does
     not depend on partitioning.
     """
+    digest = key_digest(key, seed)
     if n <= 0:
-        return df, df.limit(0)
-    tagged = df.withColumn("_digest", key_digest(key, seed))
-    digests = tagged.select("_digest", F.substring("_digest", 1, 5).alias("_bucket"))
+        return df.withColumn(name, F.lit(False))
+    digests = df.select(digest.alias("_digest")).withColumn("_bucket", F.substring("_digest", 1, 5))
     sizes = digests.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     crossing = (
@@ -66,8 +66,13 @@ def sample_holdout(df: DataFrame, key: Sequence[str], n: int, seed: int = 64) ->
         .agg(F.max("_digest").alias("_cut"))
     )
     # no crossing prefix means fewer than n rows: every digest is below "g"
-    taken = F.col("_digest") <= F.coalesce(nth.scalar(), F.lit("g"))
-    return tagged.where(~taken).drop("_digest"), tagged.where(taken).drop("_digest")
+    return df.withColumn(name, digest <= F.coalesce(nth.scalar(), F.lit("g")))
+
+
+def sample_holdout(df: DataFrame, key: Sequence[str], n: int, seed: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(train, holdout)`` with exactly ``n`` random holdout rows; see ``sample_flag``."""
+    marked = sample_flag(df, key, n, seed, "_held")
+    return marked.where(~F.col("_held")).drop("_held"), marked.where("_held").drop("_held")
 
 
 def without(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as S
 from tidecast.operators import reshape
-from tidecast.operators.boost import PoissonBoost, feature_pipeline, fill_missing, fit_poisson_boost
-from tidecast.operators.split import sample_holdout
+from tidecast.operators.boost import PoissonBoost, boost_rows, feature_pipeline, fill_missing
+from tidecast.operators.split import sample_flag
 from tidecast.plans import known, submission
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
 from tidecast.session import materialize
@@ -41,23 +41,25 @@ def build_long(
 
 
 class BottomForecast:
-    def __init__(self, t: BoundTables, history_days: int = 400):
+    def __init__(self, t: BoundTables, first_day: int = 1):
         self.t = t
-        self.history_days = history_days
+        self.first_day = first_day
         self.flags = [f"snap_{s}" for s in t.study.states]
         self.known = [*DAY_PARTS, *known.EVENTS, *self.flags]
         self.numeric = [*DAY_PARTS, *self.flags, "sell_price", *DERIVED, *[f"{c}_missing" for c in DERIVED]]
 
     def priced(self, rows: DataFrame) -> DataFrame:
-        """Calendar features and the week's price; unpriced days disappear."""
-        with_known = known.add_known(rows, self.t, "wm_yr_wk", *self.known)
-        return with_known.join(self.t.prices, ["store_id", "item_id", "wm_yr_wk"])
+        """Rows with the week's price; unpriced days disappear."""
+        weekly = rows.join(F.broadcast(self.t.calendar.select("day_num", "wm_yr_wk")), "day_num")
+        return weekly.join(self.t.prices, ["store_id", "item_id", "wm_yr_wk"]).drop("wm_yr_wk")
+
+    def with_known(self, rows: DataFrame) -> DataFrame:
+        return known.add_known(rows, self.t, *self.known)
 
     @cached_property
     def long(self) -> DataFrame:
         """Priced history, written once: training and the recursion both read it."""
-        s = self.t.study
-        sales = self.t.sales(s.train_last - self.history_days).select("id", *SERIES_KEYS, "day_num", "sales")
+        sales = self.t.sales(self.first_day).select("id", *SERIES_KEYS, "day_num", "sales")
         return materialize(self.priced(sales), "bottom-long")
 
     @cached_property
@@ -65,23 +67,16 @@ class BottomForecast:
         s = self.t.study
         days = reshape.day_range(s.forecast_first, s.forecast_last).alias("day_num")
         series = self.t.series.select("id", *SERIES_KEYS)
-        return self.priced(series.select("id", *SERIES_KEYS, days))
+        return self.with_known(self.priced(series.select("id", *SERIES_KEYS, days)))
 
     def fit(self, *, rounds: int, holdout: int, rate: float = 0.075, max_depth: int = 11, min_rows: int = 4095):
         """Train on all rows but a random holdout that is only monitored."""
-        rows = materialize(fill_missing(SPEC.add(self.long), DERIVED), "bottom-features")
-        pipeline = feature_pipeline(rows, self.numeric, CATEGORIES)
-        train, held = sample_holdout(pipeline.transform(rows), ["id", "day_num"], holdout)
-        model = fit_poisson_boost(
-            train,
-            held,
-            "sales",
-            ["id", "day_num"],
-            rounds=rounds,
-            rate=rate,
-            max_depth=max_depth,
-            min_rows=min_rows,
-            subsample=0.75,
+        pipeline = feature_pipeline(self.with_known(self.long), self.numeric, CATEGORIES)
+        key = ["id", "day_num"]
+        held = sample_flag(self.long, key, holdout)
+        rows = pipeline.transform(fill_missing(self.with_known(SPEC.add(held)), DERIVED))
+        model = boost_rows(
+            rows, "sales", key, rounds=rounds, rate=rate, max_depth=max_depth, min_rows=min_rows, subsample=0.75
         )
         return pipeline, model
 
