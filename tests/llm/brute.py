@@ -24,3 +24,21 @@ def suffix_dedup(docs, window):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((doc, len(t), sum(gone), spans, sha(bytes(c for c, g in zip(t, gone) if not g))))
     return out
+
+
+def kmer_dedup(docs, window):
+    words = [WORD.findall(t or "") for _, t in docs]
+    first = {}
+    rank = lambda d: -(2**63) if d is None else d
+    for (doc, _), w in zip(docs, words):
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, 2**63), rank(doc))
+    out = []
+    for (doc, _), w in zip(docs, words):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < rank(doc):
+                gone[i : i + window] = [True] * window
+        out.append((doc, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
+    return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm.suffix_dedup import remove_repeats
 from tidecast.llm.tables import read_table
 
@@ -34,3 +35,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_windows(read_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("words").alias("n_words"),
+        F.expr("aggregate(removed, 0L, (sum, x) -> sum + (x.hi - x.lo))").alias("n_removed"),
+        F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"),
+    )
