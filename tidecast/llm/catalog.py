@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm.kmer_dedup import remove_windows
+from tidecast.llm import quality
 from tidecast.llm.suffix_dedup import remove_repeats
 from tidecast.llm.tables import read_table
 
@@ -46,3 +47,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("aggregate(removed, 0L, (sum, x) -> sum + (x.hi - x.lo))").alias("n_removed"),
         F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"),
     )
+
+
+@query("op4_quality_rules", quality.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judge(read_table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
