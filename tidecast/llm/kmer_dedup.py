@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.minimizers import WordIds, gram_ids, runs
 from tidecast.llm.suffix_dedup import merged
-from tidecast.llm.tables import keyed, same_row, text_bytes
+from tidecast.llm.tables import keyed, same_row, sieve, sifted, text_bytes
 from tidecast.session import materialize
 
 #: Words whose windows are grouped together inside a task.
@@ -20,7 +20,7 @@ BLOCK = 1 << 16
 #: Neighbouring windows that travel in one packed string.
 CLASS = 8
 
-_RUNS = "_id long, _h long, lo int, n int, off int, bucket long, d1 long, d2 long"
+_RUNS = "_id long, _h long, lo int, n int, off int, bucket long, content long"
 _PACKED = "_id long, _h long, core int, class int, first int, last int, c1 long, c2 long, lead int, packed string"
 #: Null ids come before all others.
 _RANK = f"coalesce(_id, {-(2**63) + 1} - 1)"
@@ -40,17 +40,14 @@ def _scan(window: int, gram: int):
             if not len(first):
                 return None
             view = memoryview(units)
-            digest = b"".join(
-                xxhash.xxh3_128_digest(view[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)
-            )
-            digest = np.frombuffer(digest, "<i8").reshape(-1, 2)
+            content = [xxhash.xxh3_64_intdigest(view[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             row = pa.array(np.array(rows)[owner])
             lo = first - cuts[owner] + np.array(at)[owner]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row)]
                 + [pa.array(x.astype(np.int32)) for x in (lo, last - first + 1, place - first)]
-                + [pa.array(ids[place].view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                names=["_id", "_h", "lo", "n", "off", "bucket", "d1", "d2"],
+                + [pa.array(ids[place].view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64))],
+                names=["_id", "_h", "lo", "n", "off", "bucket", "content"],
             )
 
         for batch in batches:
@@ -123,24 +120,26 @@ def covered_words(docs: DataFrame, window: int = 50, gram: int = 16, id_col: str
         raise ValueError(f"gram has to lie between {CLASS} and {window - CLASS}")
     texts = keyed(docs, id_col, text_col)
     found = materialize(texts.mapInArrow(_scan(window, gram), _RUNS), "superkmers")
-    content = ["bucket", "d1", "d2"]
-    owner = found.groupBy(*content).agg(F.expr(f"min({_RANK})").alias("owner"), F.expr(f"max({_RANK})").alias("latest"))
-    whole = (
-        found.join(owner.where("owner < latest").select(*content, "owner"), content)
-        .where(f"{_RANK} > owner")
-        .selectExpr("_id", "_h", "lo", f"lo + n + {window - 1} AS hi")
-    )
-    mixed = found.groupBy("bucket").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("bucket")
-    several = materialize(found.join(mixed, "bucket", "left_semi"), "several")
-    owners = several.groupBy(*content).agg(F.expr(f"min({_RANK})").alias("owner"))
-    firsts = (
-        several.join(owners, content)
-        .where(f"{_RANK} = owner")
-        .groupBy("_id", "_h")
-        .agg(F.collect_list(F.struct("lo", "n", "off")).alias("found"))
+    owners = [F.expr(f"min({_RANK})").alias("owner"), F.expr(f"max({_RANK})").alias("latest")]
+    buckets = materialize(
+        found.groupBy("bucket")
+        .agg(*owners, F.min("content").alias("a"), F.max("content").alias("b"))
+        .where("owner < latest")
+        .selectExpr("bucket", "owner", "a < b AS mixed"),
+        "buckets",
     )
+    again = sifted(found, "bucket", sieve(buckets, "bucket")).where("_maybe").drop("_maybe").join(buckets, "bucket")
+    again = materialize(again, "again")
+    span = ["_id", "_h", "lo", f"lo + n + {window - 1} AS hi"]
+    whole = again.where(f"NOT mixed AND {_RANK} > owner").selectExpr(*span)
+    mixed = again.where("mixed").drop("owner")
+    mixed = materialize(mixed.join(mixed.groupBy("bucket", "content").agg(*owners), ["bucket", "content"]), "contents")
+    later = mixed.where(f"{_RANK} > owner").selectExpr(*span)
+    own = mixed.where(f"{_RANK} = owner")
+    firsts = own.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "n", "off")).alias("found"))
+    wanted = sifted(texts, "_h", sieve(own, "_h")).where("_maybe")
     packed = (
-        texts.alias("t")
+        wanted.alias("t")
         .join(firsts.alias("k"), same_row("t", "k"))
         .select("t._id", "t._h", "_text", "found")
         .mapInArrow(_pack(window), _PACKED)
@@ -163,13 +162,13 @@ def covered_words(docs: DataFrame, window: int = 50, gram: int = 16, id_col: str
         )
     )
     windows = materialize(windows, "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.expr(f"min({_RANK})").alias("owner"), F.expr(f"max({_RANK})").alias("latest")).where("owner < latest")
+    earliest = windows.groupBy("w1", "w2").agg(*owners).where("owner < latest")
     single = (
         windows.join(earliest.select("w1", "w2", "owner"), ["w1", "w2"])
         .where(f"{_RANK} > owner")
         .selectExpr("_id", "_h", "lo", f"lo + {window} AS hi")
     )
-    return merged(whole.unionByName(single))
+    return merged(whole.unionByName(later).unionByName(single))
 
 
 def remove_windows(docs: DataFrame, window: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,14 +183,20 @@ def remove_windows(docs: DataFrame, window: int = 50, gram: int = 16, id_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = bare.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(text)})
     words = F.expr(f"filter(split(coalesce(n.`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')")
-    joined = named.alias("n").join(spans.alias("s"), same_row("n", "s"), "left").withColumn("_words", words)
+    spans = materialize(spans, "spans")
+    named = sifted(named, "_h", sieve(spans, "_h"))
+    # only texts that may have lost words are shuffled
+    touched = named.where("_maybe").alias("n").join(spans.alias("s"), same_row("n", "s"), "left")
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    own = [F.col(f"n.`{c}`") for c in bare.columns]
+    joined = touched.select(*own, "spans").unionByName(named.where("NOT _maybe").alias("n").select(*own, none.alias("spans")))
+    joined = joined.alias("n").withColumn("_words", words)
     kept = F.expr(
-        """CASE WHEN spans IS NULL THEN array_join(_words, ' ') ELSE array_join(flatten(transform(
+        """CASE WHEN coalesce(size(spans), 0) <= 0 THEN array_join(_words, ' ') ELSE array_join(flatten(transform(
              sequence(0, size(spans)),
              i -> slice(_words, if(i = 0, 0, spans[i - 1].hi) + 1,
                if(i = size(spans), size(_words), spans[i].lo) - if(i = 0, 0, spans[i - 1].hi)))), ' ') END"""
     )
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
     return joined.select(
         *[F.col(f"n.`{c}`") for c in bare.columns],
         F.size("_words").cast("long").alias("words"),

@@ -47,3 +47,25 @@ def blocks(starts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + limit, side="right")) - 1)
         yield a, b
         a = b
+
+
+def sieve(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """A bitmap of 64-bit keys as rows ``(_word, _bits)``: at most ``2 ** (bits - 6)`` of them, whatever the input."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    return (
+        keys.select(F.shiftright(slot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({key}), 64) AS INT))").alias("_bits"))
+        .groupBy("_word")
+        .agg(F.bit_or("_bits").alias("_bits"))
+    )
+
+
+def sifted(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where the key is surely not among those of the bitmap.
+
+    The bitmap is broadcast: its size is bounded by ``sieve``. A full bitmap lets everything through, so it only saves
+    work; what uses it has to decide exactly afterwards.
+    """
+    named = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+    joined = named.join(F.broadcast(bitmap), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    maybe = F.expr("_bits IS NOT NULL AND (shiftright(_bits, CAST(pmod(_slot, 64) AS INT)) & 1L) = 1L")
+    return joined.withColumn("_maybe", maybe).drop("_slot", "_word", "_bits")
