@@ -42,3 +42,28 @@ def kmer_dedup(docs, window):
                 gone[i : i + window] = [True] * window
         out.append((doc, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
     return out
+
+
+def item_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return ITEM_WORD.findall(low)
+
+
+def decontaminate(docs, items, size=10):
+    windows = defaultdict(set)
+    for n, (_, text) in enumerate(items):
+        w = item_words(text)
+        for i in range(max(1, len(w) - size + 1) if w else 0):
+            windows[tuple(w[i : i + size])].add(n)
+    sizes = sorted({len(w) for w in windows})
+    out = []
+    for doc, text in docs:
+        w, hit, own = item_words(text), set(), set()
+        for k in sizes:
+            for i in range(len(w) - k + 1):
+                if (x := tuple(w[i : i + k])) in windows:
+                    hit.update(range(i, i + k))
+                    own |= windows[x]
+        ids = sorted({str(items[n][0]) for n in own if items[n][0] is not None})
+        out.append((doc, len(w), len(hit), len(ids), sha(",".join(ids)), bool(hit)))
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm import quality
+from tidecast.llm.decontaminate import contamination
 from tidecast.llm.packing import pack
 from tidecast.llm.suffix_dedup import remove_repeats
 from tidecast.llm.tables import read_table
@@ -61,3 +62,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )
