@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm import chat, quality
 from tidecast.llm.decontaminate import contamination
@@ -111,3 +112,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
