@@ -67,3 +67,31 @@ def decontaminate(docs, items, size=10):
         ids = sorted({str(items[n][0]) for n in own if items[n][0] is not None})
         out.append((doc, len(w), len(hit), len(ids), sha(",".join(ids)), bool(hit)))
     return out
+
+
+def jaccard(docs, size=3, percent=90):
+    sets = []
+    for _, text in docs:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        k = min(size, len(w))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    lists = defaultdict(list)
+    for i, s in enumerate(sets):
+        for t in s:
+            lists[t].append(i)
+    for i, s in enumerate(sets):
+        for j, c in Counter(j for t in s for j in lists[t] if j < i).items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    low = {}
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            low[root(i)] = min(low.get(root(i), doc), doc)
+    return [(doc, len(s), low.get(root(i))) for i, ((doc, _), s) in enumerate(zip(docs, sets))]

@@ -12,6 +12,7 @@ from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm import chat, quality
 from tidecast.llm.decontaminate import contamination
+from tidecast.llm.ngram_join import linked
 from tidecast.llm.packing import pack
 from tidecast.llm.sharding import shuffled_shards
 from tidecast.llm.suffix_dedup import remove_repeats
@@ -118,3 +119,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linked(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
