@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidecast.llm.minimizers import BYTE_IDS, gram_ids, runs
-from tidecast.llm.tables import blocks, keyed, same_row, text_bytes
+from tidecast.llm.tables import blocks, keyed, same_row, sieve, sifted, text_bytes
 from tidecast.session import materialize
 
 #: Bytes of text whose places are ranked together inside a task.
 BLOCK = 1 << 18
-#: Neighbouring windows that share one core in the second refinement.
-CLASS = 32
+#: Neighbouring windows that share one core, in the refinements after the runs.
+WIDTHS = (32, 8, 1)
+CLASS = WIDTHS[0]
 
-_RUNS = "_id long, _h long, lo int, n int, off int, bucket long, d1 long, d2 long"
+_RUNS = "_id long, _h long, lo int, n int, off int, bucket long, content long"
 _CORES = "_id long, _h long, core int, class int, open boolean, first int, last int, c1 long, c2 long, lead int, around binary"
 
 
@@ -50,14 +51,14 @@ def _scan(window: int, gram: int):
                 if not len(first):
                     continue
                 view = memoryview(part)
-                digest = _digests(view[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True))
+                content = [xxhash.xxh3_64_intdigest(view[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 owner = owner + row
                 lo = begin + first - starts[owner]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))]
                     + [pa.array(x.astype(np.int32)) for x in (lo, last - first + 1, place - first)]
-                    + [pa.array(ids[place].view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                    names=["_id", "_h", "lo", "n", "off", "bucket", "d1", "d2"],
+                    + [pa.array(ids[place].view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64))],
+                    names=["_id", "_h", "lo", "n", "off", "bucket", "content"],
                 )
 
     return scan
@@ -103,53 +104,87 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 128, id_col:
     ``spans`` holds the maximal runs ``(lo, hi)`` in order of place, ``hi`` not included; texts without any have no row.
 
     The sorted order of suffixes matters only where two of them share ``window`` bytes, so places are never sorted one
-    by one. The initial buckets are those of the q-gram every window chooses (``minimizers``); a bucket with one content
-    is done. The others are refined by the identifiers of later offsets, and each refinement works only on what the one
-    before left undecided: first by the whole run of windows, then by the core that ``CLASS`` neighbouring windows share,
-    then by the bytes around that core, which names each window exactly. Identifiers are made of content (128 bits), so
-    all tasks agree on them without exchanging ranks, and equal runs are counted before they are shuffled.
+    by one. The initial buckets are those of the q-gram every window chooses (``minimizers``); a bucket of one content
+    is decided at once. The others are refined by the identifiers of later offsets: by the whole run of windows, then
+    by the core that 32, 8 and 1 neighbouring windows share, each identifier made of the one before and of the bytes
+    that follow around it. Each refinement works only on what the one before left undecided. Identifiers are made of
+    content (two 64-bit ones decide), so tasks agree on them without exchanging ranks.
     """
     if not CLASS < gram <= window - CLASS:
         raise ValueError(f"gram has to lie between {CLASS} and {window - CLASS}")
     texts = keyed(docs, id_col, text_col)
     found = materialize(texts.mapInArrow(_scan(window, gram), _RUNS), "runs")
-    content = ["bucket", "d1", "d2"]
-    twice = found.groupBy(*content).count().where("count > 1").select(*content)
-    whole = found.join(twice, content, "left_semi").selectExpr("_id", "_h", "lo", f"lo + n + {window - 1} AS hi")
-    mixed = found.groupBy("bucket").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("bucket")
-    kinds = (
-        found.join(mixed, "bucket", "left_semi")
-        .groupBy(*content)
-        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("_id", "_h", "lo", "n", "off")])
-        .groupBy("_id", "_h")
-        .agg(F.collect_list(F.struct("lo", "n", "off", F.expr("c = 1").alias("open"))).alias("found"))
+    buckets = materialize(
+        found.groupBy("bucket")
+        .agg(F.count("*").alias("c"), F.min("content").alias("a"), F.max("content").alias("b"))
+        .where("c > 1")
+        .selectExpr("bucket", "a < b AS mixed"),
+        "buckets",
+    )
+    again = sifted(found, "bucket", sieve(buckets, "bucket")).where("_maybe").drop("_maybe").join(buckets, "bucket")
+    again = materialize(again, "again")
+    spans = [again.where("NOT mixed").selectExpr("_id", "_h", "lo", f"lo + n + {window - 1} AS hi")]
+    mixed = again.where("mixed")
+    contents = materialize(
+        mixed.groupBy("bucket", "content")
+        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("_id", "_h", "lo", "n", "off")]),
+        "contents",
     )
+    twice = contents.where("c > 1").select("bucket", "content")
+    whole = mixed.join(twice, ["bucket", "content"], "left_semi")
+    spans.append(whole.selectExpr("_id", "_h", "lo", f"lo + n + {window - 1} AS hi"))
+    kinds = contents.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "n", "off", F.expr("c = 1").alias("open"))).alias("found"))
+    wanted = sifted(texts, "_h", sieve(contents, "_h")).where("_maybe")
     cores = (
-        texts.alias("t")
+        wanted.alias("t")
         .join(kinds.alias("k"), same_row("t", "k"))
         .select("t._id", "t._h", "_text", "found")
         .mapInArrow(_cores(window), _CORES)
     )
-    cores = materialize(cores, "cores")
-    core = ["class", "c1", "c2"]
-    shared = cores.groupBy(*core).agg(F.count("*").alias("k"), F.max("open").alias("any")).where("k > 1 AND any").select(*core)
-    piece = F.expr(f"substring(around, lead - (d - class * {CLASS}) + 1, {CLASS - 1})")
-    windows = (
-        cores.join(shared, core, "left_semi")
-        .withColumn("d", F.explode(F.sequence("first", "last")))
-        .select(
-            "_id",
-            "_h",
-            F.expr(f"core - (d - class * {CLASS})").alias("lo"),
-            "open",
-            F.xxhash64("c1", "d", piece).alias("w1"),
-            F.xxhash64(piece, "c2", "d").alias("w2"),
+    rows = materialize(cores, "cores")
+    for width, finer in zip(WIDTHS, (*WIDTHS[1:], 0), strict=True):
+        full = F.xxhash64("c2", "around", "lead", "first", "last")
+        shared = (
+            rows.groupBy("class", "c1")
+            .agg(F.count("*").alias("k"), F.max("open").alias("any"), F.min(full).alias("a"), F.max(full).alias("b"))
+            .where("k > 1 AND any")
+            .selectExpr("class", "c1", "a = b AS same")
         )
+        rows = materialize(rows.join(shared, ["class", "c1"]), "shared")
+        # equal in all bytes around the core: every window of the class is repeated
+        equal = rows.where("same AND open")
+        spans.append(equal.selectExpr("_id", "_h", f"core - last + class * {width} AS lo", f"core - first + class * {width} + {window} AS hi"))
+        if finer:
+            rows = _refined(rows.where("NOT same").drop("same"), width, finer)
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return merged(out)
+
+
+def _refined(rows: DataFrame, width: int, finer: int) -> DataFrame:
+    """Classes of ``width`` windows cut into classes of ``finer``, named by the old core and the bytes added to it."""
+    cut = rows.withColumn("c", F.explode(F.sequence(F.expr(f"first DIV {finer}"), F.expr(f"last DIV {finer}"))))
+    cut = cut.withColumn("j", F.expr(f"c * {finer} - class * {width}"))  # bytes that join the core on the left
+    right = width - finer
+    piece = F.expr(f"substring(around, lead - j + 1, {right})")
+    before = F.expr(f"greatest(lead - j - {finer - 1}, 0)")
+    cut = cut.withColumns({"piece": piece, "before": before})
+    return cut.select(
+        "_id",
+        "_h",
+        F.expr("core - j").cast("int").alias("core"),
+        F.col("c").alias("class"),
+        "open",
+        F.expr(f"greatest(first, c * {finer})").alias("first"),
+        F.expr(f"least(last, c * {finer} + {finer - 1})").alias("last"),
+        F.xxhash64("c1", "j", "piece").alias("c1"),
+        F.xxhash64("piece", "c2", "j").alias("c2"),
+        F.expr("lead - j - before").alias("lead"),
+        F.expr(
+            f"concat(substring(around, before + 1, lead - j - before), substring(around, lead - j + {right} + 1, {finer - 1}))"
+        ).alias("around"),
     )
-    windows = materialize(windows, "windows")
-    again = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    single = windows.where("open").join(again, ["w1", "w2"], "left_semi").selectExpr("_id", "_h", "lo", f"lo + {window} AS hi")
-    return merged(whole.unionByName(single))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -177,8 +212,11 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 128, id_col:
     bare = docs.drop("removed", "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = bare.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(text)})
+    spans = materialize(spans, "spans")
+    named = sifted(named, "_h", sieve(spans, "_h"))
     data = F.encode(F.coalesce(F.col(f"n.{text_col}"), F.lit("")), "utf-8")
-    joined = named.alias("n").join(spans.alias("s"), same_row("n", "s"), "left").withColumns({"_data": data, "_end": F.octet_length(data)})
+    touched = named.where("_maybe").alias("n").join(spans.alias("s"), same_row("n", "s"), "left")
+    joined = touched.withColumns({"_data": data, "_end": F.octet_length(data)})
     # the bytes between the runs: each piece begins where one run ends and stops where the next begins
     kept = F.expr(
         """CASE WHEN spans IS NULL THEN _data ELSE aggregate(
@@ -187,4 +225,6 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 128, id_col:
                if(i = size(spans), _end, spans[i].lo) - if(i = 0, 0, spans[i - 1].hi)))) END"""
     )
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    return joined.select(*[F.col(f"n.`{c}`") for c in bare.columns], F.coalesce("spans", none).alias("removed"), kept.alias("kept"))
+    cut = joined.select(*[F.col(f"n.`{c}`") for c in bare.columns], F.coalesce("spans", none).alias("removed"), kept.alias("kept"))
+    clean = named.where("NOT _maybe").select(*[F.col(f"`{c}`") for c in bare.columns], none.alias("removed"), F.encode(text, "utf-8").alias("kept"))
+    return cut.unionByName(clean)
