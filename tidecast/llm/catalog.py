@@ -12,6 +12,7 @@ from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm import chat, quality
 from tidecast.llm.decontaminate import contamination
+from tidecast.llm.lm_score import fit, score
 from tidecast.llm.ngram_join import linked
 from tidecast.llm.packing import pack
 from tidecast.llm.sharding import shuffled_shards
@@ -125,3 +126,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linked(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, *fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
