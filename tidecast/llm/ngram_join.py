@@ -159,7 +159,8 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``_id``, ``_h`` (see ``tables.keyed``), ``n_shingles`` and ``component_id``.
+    """One row for each row of ``docs``: ``_id``, ``_h`` (see ``tables.keyed``), ``n_shingles``, ``component_id`` and
+    ``root`` (a name of the component in this result, null without words).
 
     Documents link when ``100 * shared >= percent * union`` of their ``size``-word shingles, after lower-casing A-Z; a
     text of fewer words is one shingle, and a text without words links with nothing. ``component_id`` is the smallest id
@@ -210,13 +211,29 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
 
     links = materialize(grouped.groupBy("root", "one", "two").applyInPandas(search, "a long, b long"), "links")
     joined = components(links)
-    names = reps.select("uid", "s1", "s2", "low").join(joined.withColumnRenamed("v", "uid"), "uid")
+    names = reps.select("uid", "s1", "s2", "low").join(joined.withColumnRenamed("v", "uid"), "uid", "left")
+    names = materialize(names.withColumn("root", F.coalesce("root", "uid")), "names")
     lows = materialize(names.groupBy("root").agg(F.min("low").alias("component")), "lows")
-    names = materialize(names.join(lows, "root").select("s1", "s2", "component"), "names")
-    sets = reps.select("s1", "s2", "low").join(names, ["s1", "s2"], "left")
-    sets = materialize(sets.select("s1", "s2", F.coalesce("component", "low").alias("component")), "classes")
+    sets = materialize(names.join(lows, "root").select("s1", "s2", "root", "component"), "classes")
     return (
         found.drop("rare")
         .join(sets, ["s1", "s2"], "left")
-        .select("_id", "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"))
+        .select("_id", "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"), "root")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``linked``: the smallest id (null last), of equal ids the smallest text digest.
+
+    Rows without words are linked with nothing, so all of them stay. Columns are those of ``docs``.
+    """
+    groups = linked(docs, size, percent, id_col, text_col)
+    order = F.struct(F.isnull("_id").alias("_none"), "_id", "_h")
+    best = groups.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("b")).select("b._none", "b._id", "b._h")
+    best = materialize(best.select(F.coalesce("_id", F.lit(0)).alias("_id"), "_none", "_h"), "best")
+    text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    named = docs.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": F.isnull(number), "_h": F.xxhash64(text)})
+    spoken = text.rlike(r"[^\x20\x09-\x0D]")
+    # the join and the removal of repeated rows share one exchange
+    kept = named.where(spoken).join(best, ["_id", "_none", "_h"], "left_semi").dropDuplicates(["_id", "_none", "_h"])
+    return kept.unionByName(named.where(~spoken)).select(*[f"`{c}`" for c in docs.columns])
