@@ -50,9 +50,11 @@ def start_model(counts: np.ndarray, hidden: int, seed: int) -> Model:
 class Classes(dict):
     """Word -> class: the most frequent words have one of their own, the others share ``shared`` by their hash."""
 
-    def __init__(self, words: list[bytes], shared: int):
+    def __init__(self, words: list[bytes], shared: int, inner: float = 0.0):
         super().__init__({w: i + shared + 1 for i, w in enumerate(words)})
         self.own, self.shared = len(words), shared
+        #: Logarithm of how many words share a class: each of them is equally likely inside it.
+        self.inner = inner
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.own + 200_000:
@@ -142,8 +144,9 @@ def fit(
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = materialize(word_counts(texts), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    classes = Classes([bytes(r.word) for r in top], shared)
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    total = sums.n or 0
+    classes = Classes([bytes(r.word) for r in top], shared, float(np.log(max(1, (sums.words - len(top)) / shared))))
     rest = (total - sum(r.n for r in top)) / shared
     model = start_model(np.array([0, *[rest] * shared, *[r.n for r in top]]), hidden, seed)
     names = [bytes(r.word) for r in top]
@@ -199,7 +202,7 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
     Columns named like the added ones are replaced; an empty table gives an empty result."""
     bare = docs.drop("n_tokens", "log_prob", "mean_log_prob")
     names = [w for w, _ in sorted(classes.items(), key=lambda x: x[1]) if classes[w] > classes.shared][: classes.own]
-    shared = classes.shared
+    shared, inner = classes.shared, classes.inner
     out = bare.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     keep = [c for c in bare.columns if c != text_col]
     schema = T.StructType(out.select(*[f"`{c}`" for c in keep], F.col("_text").alias(text_col)).schema.fields)
@@ -219,7 +222,8 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
                 n[a:b] = size
                 for k in range(0, len(at), BATCH):
                     now = at[k : k + BATCH]
-                    np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), every[now]))
+                    target = every[now]
+                    np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), target) - inner * (target <= shared))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(sums)], names=schema.names)
 
     rows = out.select(*[F.col(f"`{c}`") for c in keep], F.col("_text").alias(text_col)).mapInArrow(tell, schema)
