@@ -95,3 +95,18 @@ def jaccard(docs, size=3, percent=90):
         if doc is not None:
             low[root(i)] = min(low.get(root(i), doc), doc)
     return [(doc, len(s), low.get(root(i))) for i, ((doc, _), s) in enumerate(zip(docs, sets))]
+
+
+def quality(docs):
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        w = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        many = Counter(grams)
+        covered = {j for i, g in enumerate(grams) if many[g] > 1 for j in range(i, i + 5)}
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        symbols = sum(c in "#*$%&|<>" for c in text)
+        out.append((doc, len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(covered), failed))
+    return out
