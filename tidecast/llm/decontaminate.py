@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.tables import text_bytes
+from tidecast.llm.tables import boxed, text_bytes, unboxed
 
 #: Words are made of digits, ASCII letters (lower-cased) and all bytes of other characters; the rest separates them.
 _TABLE = bytes(
@@ -164,7 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     sized = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     passes = -(-total // PASS_BYTES) or 1
-    out = bare.withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_all": F.array().cast("array<int>"), "_ids": F.array().cast("array<long>")})
+    none = [F.array().cast("array<int>").alias("_all"), F.array().cast("array<long>").alias("_ids")]
+    out = bare.select(boxed(bare), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *none)
     for k in range(passes):
         part = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         windows = Windows([(r.item, r.text) for r in part.collect()], size)
@@ -175,4 +176,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         found = found.withColumns({"_all": F.array_union("_all", "_hit"), "_ids": F.array_union("_ids", own), "n_words": F.col("_n")})
         out = found.drop("_n", "_hit", "_items", "n_words") if k < passes - 1 else found
     named = F.expr("array_sort(transform(array_distinct(filter(_ids, x -> x IS NOT NULL)), x -> CAST(x AS STRING)))")
-    return out.select(*[F.col(f"`{c}`") for c in bare.columns], "n_words", F.sort_array("_all").alias("hit"), named.alias("items"))
+    return out.select(*unboxed(bare), "n_words", F.sort_array("_all").alias("hit"), named.alias("items"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidecast.llm.tables import boxed, unboxed
 from tidecast.session import materialize
 
 _RAW = "script style noscript template textarea title iframe svg math object canvas".split()
@@ -149,22 +150,21 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     empty text; a null URL has no neighbour; pages of equal URL are neighbours. Repeated rows keep their number. Columns
     named ``text`` or ``n_chars`` are replaced. An empty table gives an empty result.
     """
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    rest = pages.drop(html_col, "text", "n_chars")
     split = pages.select(
-        *[F.col(f"`{c}`") for c in rest],
+        boxed(rest),
         F.lower(F.regexp_extract(url_col, _HOST, 1)).alias("_host"),
         F.regexp_replace(F.regexp_replace(url_col, _HOST, ""), r"[?#].*$", "").alias("_path"),
         F.coalesce(F.col(html_col), F.lit("")).alias("_html"),
     )
-    names = [*rest, "_host", "_path"]
-    schema = T.StructType([*split.select(*[f"`{c}`" for c in names]).schema.fields])
+    schema = T.StructType(split.select("_row", "_host", "_path").schema.fields)
     schema.add("_uid", "long").add("_kinds", T.ArrayType(T.IntegerType())).add("_lines", T.ArrayType(T.StringType()))
     schema.add("_ids", T.ArrayType(T.LongType()))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = [text_lines(x) for x in batch.column(len(names)).to_pylist()]
+            found = [text_lines(x) for x in batch.column(3).to_pylist()]
             ids = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in x] for x in found]
             new = [
                 pa.array(range(uid, uid + len(found)), pa.int64()),
@@ -173,7 +173,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 pa.array(ids, pa.list_(pa.int64())),
             ]
             uid += len(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=schema.names)
 
     lines = materialize(split.mapInArrow(parse, schema), "lines")
     ordered = (
@@ -192,16 +192,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     one = beside.select(F.col("a._uid"), F.struct("b._path", "b._ids").alias("other"))
     two = beside.select(F.col("b._uid"), F.struct("a._path", "a._ids").alias("other"))
     others = one.unionByName(two).groupBy("_uid").agg(F.sort_array(F.collect_list("other")).alias("_others"))
-    joined = lines.join(others, "_uid", "left").select(*[f"`{c}`" for c in rest], "_path", "_kinds", "_lines", "_ids", "_others")
-    result = T.StructType(joined.select(*[f"`{c}`" for c in rest]).schema.fields).add("text", "string").add("n_chars", "long")
+    joined = lines.join(others, "_uid", "left").select("_row", "_path", "_kinds", "_lines", "_ids", "_others")
+    result = T.StructType(joined.select("_row").schema.fields).add("text", "string").add("n_chars", "long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for path, kinds, own, ids, others in zip(*[c.to_pylist() for c in batch.columns[len(rest) :]], strict=True):
+            for path, kinds, own, ids, others in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
                 other = max(others or [], key=lambda o: _common(path, o["_path"]), default=None)
                 texts.append(main_text(kinds, own, shared(ids, other["_ids"]) if other else set()))
             new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], names=result.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=result.names)
 
-    return joined.mapInArrow(compare, result)
+    return joined.mapInArrow(compare, result).select(*unboxed(rest), "text", "n_chars")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.minimizers import WordIds, gram_ids, runs
 from tidecast.llm.suffix_dedup import merged
-from tidecast.llm.tables import keyed, same_row, sieve, sifted, text_bytes
+from tidecast.llm.tables import boxed, keyed, same_row, sieve, sifted, text_bytes, unboxed
 from tidecast.session import materialize
 
 #: Words whose windows are grouped together inside a task.
@@ -133,7 +133,9 @@ def covered_words(docs: DataFrame, window: int = 50, gram: int = 16, id_col: str
     span = ["_id", "_h", "lo", f"lo + n + {window - 1} AS hi"]
     whole = again.where(f"NOT mixed AND {_RANK} > owner").selectExpr(*span)
     mixed = again.where("mixed").drop("owner")
-    mixed = materialize(mixed.join(mixed.groupBy("bucket", "content").agg(*owners), ["bucket", "content"]), "contents")
+    # both sides of the join are tables, so that Spark can split a content that very many documents have
+    contents = materialize(mixed.groupBy("bucket", "content").agg(*owners), "contents")
+    mixed = materialize(mixed.join(contents, ["bucket", "content"]), "owned")
     later = mixed.where(f"{_RANK} > owner").selectExpr(*span)
     own = mixed.where(f"{_RANK} = owner")
     firsts = own.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "n", "off")).alias("found"))
@@ -181,16 +183,15 @@ def remove_windows(docs: DataFrame, window: int = 50, gram: int = 16, id_col: st
     spans = covered_words(docs, window, gram, id_col, text_col)
     bare = docs.drop("words", "removed", "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = bare.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(text)})
-    words = F.expr(f"filter(split(coalesce(n.`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')")
+    named = bare.select(boxed(bare), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"))
+    words = F.expr(f"filter(split(coalesce(_row.`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')")
     spans = materialize(spans, "spans")
     named = sifted(named, "_h", sieve(spans, "_h"))
     # only texts that may have lost words are shuffled
     touched = named.where("_maybe").alias("n").join(spans.alias("s"), same_row("n", "s"), "left")
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    own = [F.col(f"n.`{c}`") for c in bare.columns]
-    joined = touched.select(*own, "spans").unionByName(named.where("NOT _maybe").alias("n").select(*own, none.alias("spans")))
-    joined = joined.alias("n").withColumn("_words", words)
+    joined = touched.select("_row", "spans").unionByName(named.where("NOT _maybe").select("_row", none.alias("spans")))
+    joined = joined.withColumn("_words", words)
     kept = F.expr(
         """CASE WHEN coalesce(size(spans), 0) <= 0 THEN array_join(_words, ' ') ELSE array_join(flatten(transform(
              sequence(0, size(spans)),
@@ -198,7 +199,7 @@ def remove_windows(docs: DataFrame, window: int = 50, gram: int = 16, id_col: st
                if(i = size(spans), size(_words), spans[i].lo) - if(i = 0, 0, spans[i - 1].hi)))), ' ') END"""
     )
     return joined.select(
-        *[F.col(f"n.`{c}`") for c in bare.columns],
+        *unboxed(bare),
         F.size("_words").cast("long").alias("words"),
         F.coalesce("spans", none).alias("removed"),
         kept.alias("kept"),

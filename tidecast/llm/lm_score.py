@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.tables import blocks, text_bytes
+from tidecast.llm.tables import blocks, boxed, text_bytes, unboxed
 from tidecast.session import materialize
 
 #: Words on each side that predict the one between.
@@ -203,15 +203,13 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
     bare = docs.drop("n_tokens", "log_prob", "mean_log_prob")
     names = [w for w, _ in sorted(classes.items(), key=lambda x: x[1]) if classes[w] > classes.shared][: classes.own]
     shared, inner = classes.shared, classes.inner
-    out = bare.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    keep = [c for c in bare.columns if c != text_col]
-    schema = T.StructType(out.select(*[f"`{c}`" for c in keep], F.col("_text").alias(text_col)).schema.fields)
-    schema = schema.add("n_tokens", "long").add("log_prob", "double")
+    texts = bare.select(boxed(bare), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = T.StructType(texts.select("_row").schema.fields).add("n_tokens", "long").add("log_prob", "double")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classes(names, shared)
         for batch in batches:
-            data, starts = text_bytes(batch.column(len(keep)))
+            data, starts = text_bytes(batch.column(1))
             n, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for a, b in blocks(starts, 1 << 18):
                 ids = [padded(data[starts[i] : starts[i + 1]].tobytes(), own) for i in range(a, b)]
@@ -224,7 +222,7 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
                     now = at[k : k + BATCH]
                     target = every[now]
                     np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), target) - inner * (target <= shared))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(sums)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums)], names=schema.names)
 
-    rows = out.select(*[F.col(f"`{c}`") for c in keep], F.col("_text").alias(text_col)).mapInArrow(tell, schema)
+    rows = texts.mapInArrow(tell, schema).select(*unboxed(bare), "n_tokens", "log_prob")
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

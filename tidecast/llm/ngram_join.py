@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.graph import components
 from tidecast.llm.minimizers import WordIds, gram_ids
-from tidecast.llm.tables import keyed, same_row, sieve, sifted, text_bytes
+from tidecast.llm.tables import boxed, keyed, same_row, sieve, sifted, text_bytes, unboxed
 from tidecast.session import materialize
 
 #: Counters that order shingles by rarity; their number does not depend on the corpus.
@@ -232,8 +232,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     best = groups.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("b")).select("b._none", "b._id", "b._h")
     best = materialize(best.select(F.coalesce("_id", F.lit(0)).alias("_id"), "_none", "_h"), "best")
     text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
-    named = docs.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": F.isnull(number), "_h": F.xxhash64(text)})
-    spoken = text.rlike(r"[^\x20\x09-\x0D]")
+    spoken = text.rlike(r"[^\x20\x09-\x0D]").alias("_spoken")
+    names = [F.coalesce(number, F.lit(0)).alias("_id"), F.isnull(number).alias("_none"), F.xxhash64(text).alias("_h")]
+    named = docs.select(boxed(docs), *names, spoken)
     # the join and the removal of repeated rows share one exchange
-    kept = named.where(spoken).join(best, ["_id", "_none", "_h"], "left_semi").dropDuplicates(["_id", "_none", "_h"])
-    return kept.unionByName(named.where(~spoken)).select(*[f"`{c}`" for c in docs.columns])
+    kept = named.where("_spoken").join(best, ["_id", "_none", "_h"], "left_semi").dropDuplicates(["_id", "_none", "_h"])
+    return kept.select("_row").unionByName(named.where("NOT _spoken").select("_row")).select(*unboxed(docs))

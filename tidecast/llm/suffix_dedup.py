@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidecast.llm.minimizers import BYTE_IDS, gram_ids, runs
-from tidecast.llm.tables import blocks, keyed, same_row, sieve, sifted, text_bytes
+from tidecast.llm.tables import blocks, boxed, keyed, same_row, sieve, sifted, text_bytes, unboxed
 from tidecast.session import materialize
 
 #: Bytes of text whose places are ranked together inside a task.
@@ -211,11 +211,11 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 128, id_col:
     spans = repeated_spans(docs, window, gram, id_col, text_col)
     bare = docs.drop("removed", "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = bare.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(text)})
+    named = bare.select(boxed(bare), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"))
     spans = materialize(spans, "spans")
     named = sifted(named, "_h", sieve(spans, "_h"))
-    data = F.encode(F.coalesce(F.col(f"n.{text_col}"), F.lit("")), "utf-8")
-    touched = named.where("_maybe").alias("n").join(spans.alias("s"), same_row("n", "s"), "left")
+    data = F.encode(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")), "utf-8")
+    touched = named.where("_maybe").alias("n").join(spans.alias("s"), same_row("n", "s"), "left").select("_row", "spans")
     joined = touched.withColumns({"_data": data, "_end": F.octet_length(data)})
     # the bytes between the runs: each piece begins where one run ends and stops where the next begins
     kept = F.expr(
@@ -225,6 +225,6 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 128, id_col:
                if(i = size(spans), _end, spans[i].lo) - if(i = 0, 0, spans[i - 1].hi)))) END"""
     )
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    cut = joined.select(*[F.col(f"n.`{c}`") for c in bare.columns], F.coalesce("spans", none).alias("removed"), kept.alias("kept"))
-    clean = named.where("NOT _maybe").select(*[F.col(f"`{c}`") for c in bare.columns], none.alias("removed"), F.encode(text, "utf-8").alias("kept"))
+    cut = joined.select(*unboxed(bare), F.coalesce("spans", none).alias("removed"), kept.alias("kept"))
+    clean = named.where("NOT _maybe").select(*unboxed(bare), none.alias("removed"), data.alias("kept"))
     return cut.unionByName(clean)

@@ -27,6 +27,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added for a while cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def unboxed(docs: DataFrame) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+
+
 def same_row(a: str, b: str) -> Column:
     """Join condition on the row names of the aliases ``a`` and ``b``; a null id equals a null id."""
     return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._h") == F.col(f"{b}._h"))
