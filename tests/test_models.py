@@ -143,7 +143,7 @@ def test_early_stopping_keeps_the_best_prefix(counts):
         noise.where("k % 2 = 0"), noise.where("k % 2 = 1"), "y", ["k"], rounds=8, rate=1.0, max_depth=6, min_rows=1, patience=1
     )
     seen = [h["valid_rmse"] for h in model.history]
-    assert len(seen) < 8 and len(model.trees) == max(1, int(np.argmin(seen)) + 1)
+    assert len(seen) < 8 and model.n_trees == max(1, int(np.argmin(seen)) + 1)
 
 
 def test_glm_and_residual_models(counts):

@@ -56,15 +56,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, tables.load_weights(spark, str(tmp_path / "out")).collect())) == [("a", "b", 1.25), ("c", "d", None)]
 
 
-def test_bottom_submission_ranks_steps_and_repeats_ids(spark):
-    rows = [("x_evaluation", 5, 1.0), ("x_evaluation", 9, 2.0), ("a_evaluation", 5, 3.0)]
+def test_bottom_submission_labels_steps_by_day_and_repeats_ids(spark):
+    # x lacks a day inside, a lacks its first one
+    rows = [("x_evaluation", 5, 1.0), ("x_evaluation", 7, 2.0), ("a_evaluation", 6, 3.0)]
     df = spark.createDataFrame(rows, "id string, day int, v double")
-    out = [tuple(r) for r in bottom_submission(df, "day", "v", 3).collect()]
+    out = [tuple(r) for r in bottom_submission(df, "day", "v", 5, 3).collect()]
     assert out == [
-        ("a_evaluation", 3.0, 0.0, 0.0),
-        ("a_validation", 3.0, 0.0, 0.0),
-        ("x_evaluation", 1.0, 2.0, 0.0),
-        ("x_validation", 1.0, 2.0, 0.0),
+        ("a_evaluation", 0.0, 3.0, 0.0),
+        ("a_validation", 0.0, 3.0, 0.0),
+        ("x_evaluation", 1.0, 0.0, 2.0),
+        ("x_validation", 1.0, 0.0, 2.0),
     ]
 
 

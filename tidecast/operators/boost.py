@@ -9,6 +9,7 @@ second derivative mu, so every leaf holds the Newton step sum(y - mu) / sum(h).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,14 +18,15 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel,
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
+    GBTRegressionModel,
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators.encode import MAX_CODES
-from tidecast.session import materialize, spread
+from tidecast.session import materialize, remove, shared_path, spread
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) -> DataFrame:
@@ -87,49 +89,54 @@ def max_arity(df: DataFrame, column: str = "features") -> int:
     return max((len(a.get("vals", [])) for a in nominal), default=0)
 
 
+def as_ensemble(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], rate: float) -> GBTRegressionModel:
+    """Trees as one Spark ML ensemble of equal weights, so that a row is scored in one pass however many there are."""
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    models = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        models[i], weights[i] = tree._java_obj, rate
+    uid = f"PoissonBoost_{uuid.uuid4().hex[:12]}"
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, models, weights))
+
+
 @dataclass
 class PoissonBoost:
-    """A fitted ensemble on the log scale."""
+    """A fitted ensemble on the log scale: ``eta = base + ensemble``."""
 
     base: float
-    rate: float
-    trees: list[DecisionTreeRegressionModel]
+    ensemble: GBTRegressionModel | None
     history: list[dict] = field(default_factory=list)
 
+    @property
+    def n_trees(self) -> int:
+        return self.ensemble.getNumTrees if self.ensemble else 0
+
     def add_score(self, df: DataFrame) -> DataFrame:
         """Add ``eta``, the log of the expected value."""
-        out, terms = df, []
-        for i, tree in enumerate(self.trees):
-            name = f"_tree_{i}"
-            out = tree.setPredictionCol(name).transform(out)
-            terms.append(name)
-        eta = F.lit(self.base)
-        for name in terms:
-            eta = eta + F.lit(self.rate) * F.col(name)
-        return out.withColumn("eta", eta).drop(*terms)
+        if self.ensemble is None:
+            return df.withColumn("eta", F.lit(self.base))
+        scored = self.ensemble.setPredictionCol("_margin").transform(df)
+        return scored.withColumn("eta", F.lit(self.base) + F.col("_margin")).drop("_margin")
 
     def transform(self, df: DataFrame, name: str = "yhat") -> DataFrame:
         return self.add_score(df).withColumn(name, F.exp("eta")).drop("eta")
 
     def importance(self, names: Sequence[str]) -> list[tuple[str, float]]:
         """Mean gain share per feature, ascending by value and name."""
-        total = sum((t.featureImportances.toArray() for t in self.trees))
-        share = total / max(total.sum(), 1e-300)
+        share = self.ensemble.featureImportances.toArray() if self.ensemble else [0.0] * len(names)
         return sorted(zip(names, map(float, share)), key=lambda p: (p[1], p[0]))
 
-    def save(self, spark, path: str) -> None:
-        meta = [(self.base, self.rate, len(self.trees))]
-        spark.createDataFrame(meta, "base double, rate double, trees int").write.mode("overwrite").parquet(
-            f"{path}/meta"
-        )
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{i}")
+    def save(self, spark: SparkSession, path: str) -> None:
+        meta = spark.createDataFrame([(self.base, self.n_trees)], "base double, trees int")
+        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        if self.ensemble:
+            self.ensemble.write().overwrite().save(f"{path}/ensemble")
 
     @classmethod
-    def load(cls, spark, path: str) -> PoissonBoost:
-        meta = spark.read.schema("base double, rate double, trees int").parquet(f"{path}/meta").first()
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(meta.trees)]
-        return cls(meta.base, meta.rate, trees)
+    def load(cls, spark: SparkSession, path: str) -> PoissonBoost:
+        meta = spark.read.schema("base double, trees int").parquet(f"{path}/meta").first()
+        return cls(meta.base, GBTRegressionModel.load(f"{path}/ensemble") if meta.trees else None)
 
 
 def fit_poisson_boost(
@@ -163,15 +170,15 @@ def boost_rows(
     With ``patience`` the rounds stop once the validation RMSE has not improved
     for that many rounds, and the best prefix is kept. Row subsamples are drawn
     by a hash of ``key`` and the round, so they survive a recomputed partition.
-    The running score is cut from its lineage every ``cut_every`` rounds.
+    The running score is cut from its lineage every ``cut_every`` rounds, and superseded cuts are deleted.
     """
     columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash"), "held"]
     work = spread(materialize(rows.select(*columns), "boost"))
     mean = work.where(~F.col("held")).agg(F.avg("y")).first()[0]
     if not mean or mean <= 0:
         raise ValueError("the Poisson loss needs a positive mean label")
-    model = PoissonBoost(math.log(mean), rate, [])
-    work = work.withColumn("eta", F.lit(model.base))
+    base, trees, history = math.log(mean), [], []
+    work = work.withColumn("eta", F.lit(base))
     damp = math.exp(max_delta_step)
     learner = DecisionTreeRegressor(
         featuresCol="features",
@@ -184,7 +191,8 @@ def boost_rows(
         seed=seed,
         cacheNodeIds=False,
     )
-    best, best_round, previous = math.inf, 0, None
+    best, best_round, previous, written = math.inf, 0, None, None
+    spark = rows.sparkSession
     mu = F.exp("eta")
     for i in range(rounds):
         rows = work.where(~F.col("held"))
@@ -193,9 +201,14 @@ def boost_rows(
             rows = rows.where(draw < int(subsample * 1_000_000))
         step = (F.col("y") - mu) / (mu * damp)
         tree = learner.fit(rows.select("features", step.alias("step"), (mu * damp).alias("h")))
-        model.trees.append(tree)
+        trees.append(tree)
         scored = tree.transform(work).withColumn("eta", F.col("eta") + F.lit(rate) * F.col("pred")).drop("pred")
-        scored = materialize(scored, "boost") if (i + 1) % cut_every == 0 else scored.persist()
+        cut = shared_path(spark, "boost") if (i + 1) % cut_every == 0 else None
+        if cut:
+            scored.write.parquet(cut)
+            scored = spark.read.schema(scored.schema).parquet(cut)
+        else:
+            scored = scored.persist()
         loss = scored.groupBy("held").agg(
             F.sqrt(F.avg(F.pow(F.col("y") - mu, F.lit(2.0)))).alias("rmse"),
             F.avg(mu - F.col("y") * F.col("eta")).alias("nll"),
@@ -203,11 +216,15 @@ def boost_rows(
         by_part = {r.held: r for r in loss.collect()}  # at most two rows
         if previous is not None:
             previous.unpersist()
+        if cut:
+            if written is not None:
+                remove(spark, written)  # nothing reads the cut before this one any more
+            written = cut
         work = previous = scored
         entry = {"train_rmse": by_part[False].rmse, "train_nll": by_part[False].nll}
         if True in by_part:
             entry |= {"valid_rmse": by_part[True].rmse, "valid_nll": by_part[True].nll}
-        model.history.append(entry)
+        history.append(entry)
         watched = entry.get("valid_rmse")
         if watched is not None and watched < best:
             best, best_round = watched, i + 1
@@ -215,9 +232,11 @@ def boost_rows(
             break
     if previous is not None:
         previous.unpersist()
+    if written is not None:
+        remove(spark, written)
     if patience is not None and best_round:
-        model.trees = model.trees[:best_round]
-    return model
+        trees = trees[:best_round]
+    return PoissonBoost(base, as_ensemble(spark, trees, rate) if trees else None, history)
 
 
 def fit_poisson_glm(train: DataFrame, label: str, reg: float = 1e-6, max_iter: int = 25) -> GeneralizedLinearRegressionModel:

@@ -105,10 +105,7 @@ def matrix_to_long(
 ) -> DataFrame:
     """Inverse of ``series_matrix``; the series key is recovered from the column name."""
     columns = [c for c in df.columns if c not in keys]
-    name = F.substring(F.col("_column"), len(prefix) + 1, 1_000)
-    if suffix:
-        name = F.expr(f"left(_column, length(_column) - {len(suffix)})")
-        name = F.substring(name, len(prefix) + 1, 1_000)
+    name = F.expr(f"substring(left(_column, length(_column) - {len(suffix)}), {len(prefix) + 1})")
     return df.unpivot(list(keys), columns, "_column", value).select(*keys, name.alias(series), value)
 
 

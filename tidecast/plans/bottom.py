@@ -96,4 +96,4 @@ class BottomForecast:
     def submission(self, forecast: DataFrame) -> DataFrame:
         phase = F.replace("id", F.lit("validation"), F.lit("evaluation")).alias("id")
         rows = forecast.select(phase, "day_num", F.col("yhat").alias("sales"))
-        return submission.bottom_submission(rows, "day_num", "sales", self.t.study.horizon)
+        return submission.bottom_submission(rows, "day_num", "sales", self.t.study.forecast_first, self.t.study.horizon)

@@ -117,11 +117,9 @@ class HybridForecast:
         rows = forecasts.select(*KEYS, "origin", "step", "day_num", "demand_fcast").join(
             self.day_features, [*KEYS, "day_num"]
         )
-        rows = rows.withColumn("resid", F.col("demand") - F.col("demand_fcast")).withColumn(
-            "fcast_itter", F.col("day_num") - F.col("origin") + 1
-        )
+        rows = rows.withColumn("resid", F.col("demand") - F.col("demand_fcast"))
         inputs = [f"{c}_ix" for c in CATEGORIES]
-        assembled = VectorAssembler(inputCols=[*inputs, "fcast_itter"], outputCol="features").transform(rows)
+        assembled = VectorAssembler(inputCols=[*inputs, "step"], outputCol="features").transform(rows)
         return assembled.drop(*inputs)
 
     @cached_property

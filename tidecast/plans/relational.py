@@ -107,12 +107,12 @@ def rowwise_dollar_sales(t: BoundTables) -> DataFrame:
 
 @query(
     "parse_day_ordinal",
-    """SELECT 'd_' || day_num AS d, day_num AS d_aux, count(*) AS lines FROM base GROUP BY ALL""",
+    """SELECT 'd_' || day_num AS d, day_num, count(*) AS lines FROM base GROUP BY ALL""",
     ["base"],
 )
 def parse_day_ordinal(t: BoundTables) -> DataFrame:
     labelled = t.facts().groupBy(S.day_label(F.col("day_num")).alias("d")).agg(F.count(F.lit(1)).alias("lines"))
-    return labelled.select("d", S.day_ordinal(F.col("d")).alias("d_aux"), "lines")
+    return labelled.select("d", S.day_ordinal(F.col("d")).alias("day_num"), "lines")
 
 
 @query(
@@ -168,12 +168,12 @@ def case_snap(t: BoundTables) -> DataFrame:
 
 @query(
     "case_valid_window",
-    f"""SELECT {window_case('day_num')} AS valid_sample_nr, count(*) AS n, sum(demand) AS demand
+    f"""SELECT {window_case('day_num')} AS valid_window, count(*) AS n, sum(demand) AS demand
 FROM panel GROUP BY 1""",
     ["panel"],
 )
 def case_valid_window(t: BoundTables) -> DataFrame:
-    number = S.valid_window_number(F.col("day_num"), t.study.windows).alias("valid_sample_nr")
+    number = S.valid_window_number(F.col("day_num"), t.study.windows).alias("valid_window")
     return t.panel().groupBy(number).agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
 
 
@@ -190,10 +190,9 @@ def fill_event_none(t: BoundTables) -> DataFrame:
 
 @query(
     "update_future_sales",
-    """SELECT store_id, dept_id, p.day_num,
-  CASE WHEN p.day_num <= 2468 THEN p.demand ELSE h.demand END AS demand
-FROM panel_all p LEFT JOIN (SELECT store_id, dept_id, day_num + 28 AS day_num, demand FROM panel_all) h
-USING (store_id, dept_id, day_num) WHERE p.day_num <= 2496""",
+    """SELECT store_id, dept_id, day_num, CASE WHEN day_num <= 2468 THEN demand
+  ELSE lag(demand, 28) OVER (PARTITION BY store_id, dept_id ORDER BY day_num) END AS demand
+FROM panel_all WHERE day_num <= 2496""",
     ["panel_all"],
     compact="dept",
 )
@@ -365,6 +364,13 @@ def melt_wide_sales(t: BoundTables) -> DataFrame:
     return reshape.melt_days(wide_sales(t), IDS)
 
 
+#: Departments of the bound tables, as the check SQL has to name its columns.
+_BY_DEPT = ", ".join(
+    f"max(demand) FILTER (WHERE dept_id = '{d}') AS \"{d}\""
+    for d in ("ECONOMY_1", "LARGE_1", "MEDIUM_1", "PROMO_1", "SMALL_1", "STANDARD_1")
+)
+
+
 def dept_names(t: BoundTables) -> list[str]:
     """Department names for pivot headers: a size-checked set read from the item dimension."""
     bound = 1_000
@@ -376,8 +382,7 @@ def dept_names(t: BoundTables) -> list[str]:
 
 @query(
     "pivot_dept_matrix",
-    """SELECT * FROM (PIVOT (SELECT store_id, dept_id, day_num, demand FROM panel)
-ON dept_id USING first(demand) GROUP BY store_id, day_num)""",
+    f"""SELECT store_id, day_num, {_BY_DEPT} FROM panel GROUP BY store_id, day_num""",
     ["panel"],
 )
 def pivot_dept_matrix(t: BoundTables) -> DataFrame:
@@ -435,6 +440,23 @@ def horizon_index(t: BoundTables) -> DataFrame:
     return index.join(F.broadcast(wdays), "day_num").select(*KEYS, "origin", "step", "day_num", "date", "wday")
 
 
+@query(
+    "horizon_index_all",
+    """SELECT store_id, dept_id, day_num AS origin, CAST(28 AS BIGINT) AS n_steps, CAST(day_num + 1 AS INTEGER) AS first_day,
+  CAST(day_num + 28 AS INTEGER) AS last_day, CAST(date + 28 AS DATE) AS last_date FROM panel""",
+    ["panel"],
+)
+def horizon_index_all(t: BoundTables) -> DataFrame:
+    """The steps of every origin of the history, one row an origin."""
+    index = reshape.horizon_index(t.panel().withColumnRenamed("day_num", "origin"), "origin", t.study.horizon, [*KEYS, "date"])
+    return index.groupBy(*KEYS, "origin").agg(
+        F.count("*").alias("n_steps"),
+        F.min("day_num").alias("first_day"),
+        F.max("day_num").alias("last_day"),
+        F.max(F.date_add("date", F.col("step"))).alias("last_date"),
+    )
+
+
 # ---- joins -------------------------------------------------------------------
 
 
@@ -792,7 +814,7 @@ def last_level(t: BoundTables) -> DataFrame:
 
 
 _RESID_SQL = """WITH origins AS (SELECT DISTINCT day_num AS origin FROM panel WHERE day_num IN (2441, 2387, 2333, 2279, 2225)),
-fc AS (SELECT p.store_id, p.dept_id, o.origin, p.day_num, p.day_num - o.origin + 1 AS fcast_itter,
+fc AS (SELECT p.store_id, p.dept_id, o.origin, p.day_num, p.day_num - o.origin + 1 AS step,
   p.demand - h.demand AS resid
   FROM origins o JOIN panel p ON p.day_num BETWEEN o.origin AND o.origin + 27
   JOIN panel h ON h.store_id = p.store_id AND h.dept_id = p.dept_id AND h.day_num = p.day_num - 28)"""
@@ -812,7 +834,7 @@ def naive_residuals(t: BoundTables) -> DataFrame:
             *KEYS,
             "origin",
             "day_num",
-            (F.col("day_num") - F.col("origin") + 1).alias("fcast_itter"),
+            (F.col("day_num") - F.col("origin") + 1).alias("step"),
             (F.col("demand") - F.col("demand_fcast")).alias("resid"),
         )
     )
@@ -873,15 +895,16 @@ def season_add_back(t: BoundTables) -> DataFrame:
 
 @query(
     "hybrid_combine",
-    f"""SELECT store_id, dept_id, day_num, demand - lag_28 AS resid,
+    """SELECT store_id, dept_id, day_num, demand - lag_28 AS resid,
   round(lag_28 + (lag_35 - lag_28) / 2, 6) AS demand_fcast_final FROM (
   SELECT *, lag(demand, 28) OVER w AS lag_28, lag(demand, 35) OVER w AS lag_35 FROM panel
-  WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num)) WHERE {IN_WINDOWS('day_num')}""",
+  WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY day_num))""",
     ["panel"],
 )
 def hybrid_combine(t: BoundTables) -> DataFrame:
-    """Base forecast plus predicted residual, with a closed-form residual model."""
-    df = scored_windows(t).withColumn("resid_fcast", (F.col("lag_35") - F.col("lag_28")) / 2)
+    """Base forecast plus predicted residual on all days, with a closed-form residual model."""
+    panel = features.add_lags(t.panel(), KEYS, "day_num", "demand", {"lag_28": 28, "lag_35": 35})
+    df = panel.withColumn("resid_fcast", (F.col("lag_35") - F.col("lag_28")) / 2)
     final = F.col("lag_28") + F.col("resid_fcast")
     return df.select(
         *KEYS, "day_num", (F.col("demand") - F.col("lag_28")).alias("resid"), r6(final, "demand_fcast_final")
@@ -1035,7 +1058,7 @@ _STEPS_BOTTOM = ", ".join(f"coalesce(max(sales) FILTER (WHERE rk = {i}), 0.0) AS
 @query(
     "submission_bottom",
     f"""SELECT replace(id, 'validation', ph.phase) AS id, {_STEPS_BOTTOM} FROM (
-  SELECT s.id, s.sales, row_number() OVER (PARTITION BY s.id ORDER BY s.day_num) AS rk FROM sales s
+  SELECT s.id, s.sales, s.day_num + 28 - 2468 AS rk FROM sales s
   JOIN calendar c ON c.day_num = s.day_num + 28
   JOIN prices p ON p.store_id = s.store_id AND p.item_id = s.item_id AND p.wm_yr_wk = c.wm_yr_wk
   WHERE s.day_num + 28 BETWEEN 2469 AND 2496) CROSS JOIN {_PHASES} ph GROUP BY 1 ORDER BY 1""",
@@ -1053,4 +1076,4 @@ def submission_bottom(t: BoundTables) -> DataFrame:
     evaluation = priced.select(
         F.replace("id", F.lit("validation"), F.lit("evaluation")).alias("id"), "day_num", "sales"
     )
-    return submission.bottom_submission(evaluation, "day_num", "sales", s.horizon)
+    return submission.bottom_submission(evaluation, "day_num", "sales", s.forecast_first, s.horizon)

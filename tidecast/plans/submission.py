@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast.config import Study
@@ -67,11 +66,13 @@ def aggregate_submission(
     )
 
 
-def bottom_submission(forecast: DataFrame, day: str, value: str, horizon: int) -> DataFrame:
-    """Item submission: steps numbered per id, pivoted, zero-filled, sorted, repeated under the second phase."""
+def bottom_submission(forecast: DataFrame, day: str, value: str, first_day: int, horizon: int) -> DataFrame:
+    """Item submission: steps labelled by day, pivoted, zero-filled, sorted, repeated under the second phase.
+
+    A day without a forecast (an item that is not priced yet) is a zero in its own place; it moves no other day.
+    """
     labels = [f"F{i}" for i in range(1, horizon + 1)]
-    rank = F.row_number().over(W.partitionBy("id").orderBy(day))
-    stepped = forecast.select("id", step_label(rank).alias("F"), value)
+    stepped = forecast.select("id", step_label(F.col(day) - (first_day - 1)).alias("F"), value)
     wide = reshape.pivot_horizon(stepped, ["id"], "F", value, labels).na.fill(0.0)
     other = wide.withColumn("id", F.replace("id", F.lit("evaluation"), F.lit("validation")))
     return reshape.union_all(wide, other).orderBy("id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,15 @@ def local_session(cpus: int | str = "*", app: str = "tidecast") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    machine-local folder would not survive the loss of an executor.
+    Only a local master may do without: it falls back to a folder of the warehouse. On a cluster a machine-local folder
+    would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="tidecast-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured or sc.getCheckpointDir()
@@ -47,6 +46,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate, wherever the session's file systems keep it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder as Parquet and read it back.
 
