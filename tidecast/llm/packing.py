@@ -87,19 +87,33 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
 
 
 class _Encoded(dict):
-    """Ids of words as bytes (little-endian, 32 bits); the tokenizer never joins characters across ASCII white space."""
+    """Ids of lower-cased words as bytes (little-endian, 32 bits).
 
-    def __init__(self, vocabulary: str, most: int = 250_000):
+    The tokenizer lower-cases, and never joins characters across ASCII white space or between an ASCII letter or digit
+    and the marks of ``TAIL``, so words and the marks behind them are looked up apart. Two generations of at most ``most``
+    words are remembered: what is not asked for while one fills up is forgotten.
+    """
+
+    TAIL = b".,!?;:*#%$&|"
+
+    def __init__(self, vocabulary: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.vocabulary, self.most, self.tokenizer = vocabulary, most, Tokenizer.from_file(vocabulary)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
+        if (out := self.older.get(word)) is None:
+            core = word.rstrip(self.TAIL)
+            if len(core) < len(word) and core[-1:].isalnum():
+                out = self[core] + self[word[len(core) :]]
+            else:
+                out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
         return out
 
 
@@ -125,7 +139,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc
             data, starts = text_bytes(batch.column(1))
             rows, held = [], 0
             for i in range(len(batch)):
-                words = data[starts[i] : starts[i + 1]].tobytes().split()
+                words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
