@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
-from tidecast.llm import chat, quality
+from tidecast.llm import chat, oracles, quality
 from tidecast.llm.decontaminate import contamination
 from tidecast.llm.lm_score import fit, score
 from tidecast.llm.ngram_join import linked
@@ -45,7 +45,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", oracles.WINDOW_DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_windows(read_table(spark, sf_dir, "documents"))
     return out.select(
@@ -68,7 +68,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-@query("op8_benchmark_decontamination")
+@query("op8_benchmark_decontamination", oracles.DECONTAMINATION)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -122,7 +122,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", "n_chars")
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", oracles.JACCARD_JOIN)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linked(read_table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
