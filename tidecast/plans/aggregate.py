@@ -68,7 +68,7 @@ class AggregateForecast:
         pipeline = feature_pipeline(train, NUMERIC, CATEGORIES, one_hot=one_hot)
         return pipeline, pipeline.transform(train), pipeline.transform(valid.drop("valid_window"))
 
-    def fit(self, *, rounds: int, rate: float = 0.03, max_depth: int = 5, patience: int | None = 200) -> Fitted:
+    def fit(self, *, rounds: int = 1_000, rate: float = 0.03, max_depth: int = 5, patience: int | None = 200) -> Fitted:
         pipeline, train, valid = self.split
         model = fit_poisson_boost(
             train,

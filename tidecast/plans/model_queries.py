@@ -16,8 +16,8 @@ from tidecast.plans.registry import query
 from tidecast.session import shared_path
 from tidecast.sources.binding import BoundTables
 
-# Boosting rounds of the registered queries; the library functions take any number.
-ROUNDS = 6
+# The registered queries boost in long steps until the validation error has not improved for PATIENCE rounds.
+RATE, PATIENCE = 0.5, 3
 
 
 def r6(c: str):
@@ -71,7 +71,7 @@ def forecast_recursive(t: BoundTables) -> DataFrame:
 def ml_poisson_boost(t: BoundTables) -> DataFrame:
     """Validation rows scored by a boosted Poisson model."""
     agg = AggregateForecast(t)
-    fitted = agg.fit(rounds=ROUNDS, rate=0.3, patience=200)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
     _, _, valid = agg.split
     return fitted.model.transform(valid).select(*KEYS, "day_num", "demand", "yhat")
 
@@ -88,7 +88,7 @@ def ml_poisson_glm(t: BoundTables) -> DataFrame:
 def ml_feature_importance(t: BoundTables) -> DataFrame:
     """Gain share per feature, ascending."""
     agg = AggregateForecast(t)
-    fitted = agg.fit(rounds=2, rate=0.3)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
     _, train, _ = agg.split
     ranked = fitted.model.importance(boost.vector_names(train))
     return t.spark.createDataFrame([(v, n) for n, v in ranked], "value double, feature string").orderBy(
@@ -99,7 +99,7 @@ def ml_feature_importance(t: BoundTables) -> DataFrame:
 @query("ml_save_load_score")
 def ml_save_load_score(t: BoundTables) -> DataFrame:
     agg = AggregateForecast(t)
-    fitted = agg.fit(rounds=2, rate=0.3)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
     path = shared_path(t.spark, "model")
     fitted.model.save(t.spark, f"{path}/boost")
     fitted.pipeline.write().overwrite().save(f"{path}/features")
@@ -112,7 +112,7 @@ def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Top-down submission of the recursive boosted department forecast."""
     s = t.study
     agg = AggregateForecast(t)
-    fitted = agg.fit(rounds=ROUNDS, rate=0.3)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
     ahead = agg.recursive(fitted, [s.forecast_first])
     return submission.aggregate_submission(
         submission.submission_ids(t), submission.item_weights(t), ahead, "demand_fcast", s
@@ -123,7 +123,7 @@ def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
 def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Weighted RMSE of the recursive boosted forecast on every validation window."""
     agg = AggregateForecast(t)
-    fitted = agg.fit(rounds=ROUNDS, rate=0.3)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
     forecasts = agg.recursive(fitted, [first for first, _ in t.study.windows])
     return agg.wrmse(forecasts, submission.dept_weights(t)).orderBy("valid_window")
 

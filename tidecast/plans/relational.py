@@ -12,6 +12,7 @@ from tidecast.plans.registry import IN_WINDOWS, query, window_case
 from tidecast.session import shared_path
 from tidecast.sources import tables
 from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, BoundTables
+from tidecast.sources.bundle import BundleTables, write_bundle
 
 KEYS = list(DEPT_KEYS)
 IDS = ["id", *SERIES_KEYS]
@@ -1032,15 +1033,16 @@ def disaggregate_forecast(t: BoundTables) -> DataFrame:
 _STEPS_AGG = ", ".join(f"round(max(v) FILTER (WHERE day_num = {2468 + i}), 6) AS F{i}" for i in range(1, 29))
 
 
-@query(
-    "submission_agg",
+_SUBMISSION_AGG = (
     f"""SELECT id, {_STEPS_AGG} FROM (
   SELECT s.item_id || '_' || s.store_id || '_' || ph.phase AS id, n.day_num, n.demand_fcast * w.weight AS v
   FROM series s CROSS JOIN {_PHASES} ph LEFT JOIN weights w ON w.id = s.id
   LEFT JOIN naive n ON n.store_id = s.store_id AND n.dept_id = s.dept_id) GROUP BY id ORDER BY id""",
     ["series", "weights", "naive"],
-    compact="item",
 )
+
+
+@query("submission_agg", *_SUBMISSION_AGG, compact="item")
 def submission_agg(t: BoundTables) -> DataFrame:
     out = submission.aggregate_submission(
         submission.submission_ids(t),
@@ -1052,6 +1054,17 @@ def submission_agg(t: BoundTables) -> DataFrame:
     return out.select("id", *[r6(c) for c in out.columns if c != "id"]).orderBy("id")
 
 
+@query("submission_agg_csv", *_SUBMISSION_AGG, compact="item")
+def submission_agg_csv(t: BoundTables) -> DataFrame:
+    """The same submission from CSV files to a CSV file: the tables are written as a bundle first."""
+    folder = shared_path(t.spark, "bundle")
+    first = t.study.weight_first
+    write_bundle(t, folder, first)
+    out = submission_agg(BundleTables(t.spark, folder, t.study, first_day=first))
+    tables.write_csv(out, f"{folder}/submission.csv")
+    return tables.read_csv(t.spark, f"{folder}/submission.csv", tables.submission_schema(t.study.horizon))
+
+
 _STEPS_BOTTOM = ", ".join(f"coalesce(max(sales) FILTER (WHERE rk = {i}), 0.0) AS F{i}" for i in range(1, 29))
 
 

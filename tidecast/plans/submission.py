@@ -42,11 +42,7 @@ def naive_forecast(t: BoundTables) -> DataFrame:
 
 
 def submission_ids(t: BoundTables) -> DataFrame:
-    """Every series once per phase."""
-    phase = F.explode(F.array(F.lit("validation"), F.lit("evaluation"))).alias("phase")
-    return t.series.select("item_id", "dept_id", "store_id", "state_id", phase).select(
-        F.concat_ws("_", "item_id", "store_id", "phase").alias("id"), "item_id", "dept_id", "store_id", "state_id"
-    )
+    return t.submission_ids()
 
 
 def aggregate_submission(

@@ -187,6 +187,13 @@ class BoundTables:
             F.max("p_retailprice").alias("list_price"),
         ).select(series_id().alias("id"), *SERIES_KEYS, "first_day", "list_price")
 
+    def submission_ids(self) -> DataFrame:
+        """Every series once per phase."""
+        phase = F.explode(F.array(F.lit("validation"), F.lit("evaluation"))).alias("phase")
+        return self.series.select("item_id", "dept_id", "store_id", "state_id", phase).select(
+            F.concat_ws("_", "item_id", "store_id", "phase").alias("id"), "item_id", "dept_id", "store_id", "state_id"
+        )
+
     # ---- dimensions --------------------------------------------------------
 
     @cached_property

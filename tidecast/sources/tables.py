@@ -48,6 +48,7 @@ def load_tables(
     spark: SparkSession,
     directory: str,
     *,
+    first_day: int = 1,
     last_day: int,
     states: Sequence[str],
     horizon: int = 28,
@@ -57,7 +58,7 @@ def load_tables(
     root = directory.rstrip("/")
     calendar = read_csv(spark, f"{root}/calendar.csv", calendar_schema(states))
     return {
-        "sales": read_csv(spark, f"{root}/{sales_file}", sales_schema(1, last_day)),
+        "sales": read_csv(spark, f"{root}/{sales_file}", sales_schema(first_day, last_day)),
         "calendar": calendar.withColumn("day_num", day_ordinal(F.col("d"))),
         "prices": read_csv(spark, f"{root}/sell_prices.csv", PRICE_SCHEMA),
         "submission": read_csv(spark, f"{root}/sample_submission.csv", submission_schema(horizon)),
