@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tidecast.operators import boost, residual, varx
@@ -206,3 +208,18 @@ def test_block_cannot_exceed_the_smallest_lag(series):
     assert SPEC.block == 7 and SPEC.reach == 55
     with pytest.raises(ValueError):
         forecast_recursive(series, future_rows(series), SPEC, predict, 61, 88, block=8)
+
+
+def test_an_ensemble_of_400_trees_is_scored_saved_and_loaded(spark, tmp_path):
+    rows = [(Vectors.dense(float(i % 7), float(i % 3)), float(i % 7 + 2 * (i % 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, ["features", "y"])
+    trees = [DecisionTreeRegressor(labelCol="y", maxDepth=d).fit(df) for d in (1, 2)]
+    model = boost.PoissonBoost(0.1, boost.as_ensemble(spark, trees * 200, 0.001))
+    assert model.n_trees == 400
+    one, two = ([r.prediction for r in t.transform(df).collect()] for t in trees)
+    want = [0.1 + 0.2 * (a + b) for a, b in zip(one, two)]
+    assert np.allclose([r.eta for r in model.add_score(df).collect()], want)
+    model.save(spark, str(tmp_path / "m"))
+    again = boost.PoissonBoost.load(spark, str(tmp_path / "m"))
+    assert np.allclose([r.eta for r in again.add_score(df).collect()], want)
+    assert [n for n, _ in again.importance(["a", "b"])] == [n for n, _ in model.importance(["a", "b"])]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tidecast.plans.aggregate import DERIVED, KEYS, AggregateForecast, Fitted
 from tidecast.plans.bottom import BottomForecast
 from tidecast.plans.hybrid import HybridForecast
 from tidecast.plans import known
-from tidecast.plans.registry import query
+from tidecast.plans.registry import IN_WINDOWS, query
 from tidecast.session import shared_path
 from tidecast.sources.binding import BoundTables
 
@@ -76,6 +77,45 @@ def ml_poisson_boost(t: BoundTables) -> DataFrame:
     return fitted.model.transform(valid).select(*KEYS, "day_num", "demand", "yhat")
 
 
+CLOSED_ROUNDS, CLOSED_RATE = 8, 0.5
+
+
+def _closed_form_sql() -> str:
+    """On one binary feature a tree of depth 1 holds both group steps, so the rounds are a recursion over two means."""
+    damp = "exp(0.7)"
+    first = "SELECT weekend, avg(demand) AS m, ln((SELECT avg(demand) FROM panel)) AS eta FROM rows_of GROUP BY weekend"
+    parts = [f"e0 AS ({first})"]
+    for i in range(CLOSED_ROUNDS):
+        parts.append(f"e{i + 1} AS (SELECT weekend, m, eta + {CLOSED_RATE} * (m / exp(eta) - 1) / {damp} AS eta FROM e{i})")
+    rows = "rows_of AS (SELECT demand, CASE WHEN wday <= 2 THEN 1 ELSE 0 END AS weekend FROM panel_cal)"
+    return f"WITH {rows}, {', '.join(parts)} SELECT CAST(weekend AS INTEGER) AS weekend, round(exp(eta), 6) AS yhat FROM e{CLOSED_ROUNDS}"
+
+
+@query("ml_boost_closed_form", _closed_form_sql(), ["panel_cal", "panel"])
+def ml_boost_closed_form(t: BoundTables) -> DataFrame:
+    """A boosted Poisson model on one binary feature, whose value per group has a closed recursion."""
+    rows = t.panel_calendar().select(*KEYS, "day_num", "demand", (F.col("wday") <= 2).cast("int").alias("weekend"))
+    rows = VectorAssembler(inputCols=["weekend"], outputCol="features").transform(rows).withColumn("held", F.lit(False))
+    model = boost.boost_rows(rows, "demand", [*KEYS, "day_num"], rounds=CLOSED_ROUNDS, rate=CLOSED_RATE, max_depth=1)
+    scored = model.transform(rows).groupBy("weekend").agg(F.avg("yhat").alias("yhat"))
+    return scored.select("weekend", r6("yhat"))
+
+
+@query(
+    "ml_glm_totals",
+    f"""SELECT store_id, round(sum(demand), 3) AS demand, TRUE AS equal FROM panel WHERE NOT {IN_WINDOWS('day_num')}
+GROUP BY store_id""",
+    ["panel"],
+)
+def ml_glm_totals(t: BoundTables) -> DataFrame:
+    """Without a penalty, predictions of a log-linear model sum to the demand of every store it has a term for."""
+    _, train, _ = AggregateForecast(t).vectors(one_hot=True)
+    scored = boost.fit_poisson_glm(train, "demand", reg=0.0).transform(train)
+    sums = scored.groupBy("store_id").agg(F.sum("demand").alias("demand"), F.sum("yhat").alias("yhat"))
+    near = F.abs(F.col("yhat") - F.col("demand")) <= F.col("demand") * 1e-4
+    return sums.select("store_id", F.round("demand", 3).alias("demand"), near.alias("equal"))
+
+
 @query("ml_poisson_glm")
 def ml_poisson_glm(t: BoundTables) -> DataFrame:
     """Validation rows scored by a log-linear Poisson model on one-hot categories."""
@@ -96,17 +136,37 @@ def ml_feature_importance(t: BoundTables) -> DataFrame:
     )
 
 
+def saved_and_loaded(t: BoundTables, fitted: Fitted) -> Fitted:
+    path = shared_path(t.spark, "model")
+    fitted.model.save(t.spark, f"{path}/boost")
+    fitted.pipeline.write().overwrite().save(f"{path}/features")
+    return Fitted(PipelineModel.load(f"{path}/features"), boost.PoissonBoost.load(t.spark, f"{path}/boost"))
+
+
 @query("ml_save_load_score")
 def ml_save_load_score(t: BoundTables) -> DataFrame:
     agg = AggregateForecast(t)
     fitted = agg.fit(rate=RATE, patience=PATIENCE)
-    path = shared_path(t.spark, "model")
-    fitted.model.save(t.spark, f"{path}/boost")
-    fitted.pipeline.write().overwrite().save(f"{path}/features")
-    again = Fitted(PipelineModel.load(f"{path}/features"), boost.PoissonBoost.load(t.spark, f"{path}/boost"))
+    again = saved_and_loaded(t, fitted)
     return again.predict(agg.features).select(*KEYS, "day_num", "demand", "yhat")
 
 
+@query(
+    "ml_save_load_equal",
+    "SELECT store_id, dept_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM panel GROUP BY store_id, dept_id",
+    ["panel"],
+)
+def ml_save_load_equal(t: BoundTables) -> DataFrame:
+    """Rows that a saved and loaded model scores otherwise than the fitted one: none."""
+    agg = AggregateForecast(t)
+    fitted = agg.fit(rate=RATE, patience=PATIENCE)
+    again = saved_and_loaded(t, fitted)
+    both = fitted.predict(agg.features).select(*KEYS, "day_num", "yhat")
+    both = both.join(again.predict(agg.features).select(*KEYS, "day_num", F.col("yhat").alias("other")), [*KEYS, "day_num"])
+    different = F.coalesce((F.col("yhat") != F.col("other")).cast("long"), F.lit(1))
+    return both.groupBy(*KEYS).agg(F.count("*").alias("n_rows"), F.sum(different).alias("n_different"))
+
+
 @query("forecast_aggregate_boosted", compact="item")
 def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Top-down submission of the recursive boosted department forecast."""
