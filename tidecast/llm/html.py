@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,41 +147,37 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     Pages of one host are ordered by the path of their URL, and each is compared with the neighbour whose path agrees
     with its own the longest: lines in a longest common subsequence of both are shared (see ``main_text``). The order is
-    global, by ranges of host and path, so a host of any size is spread over many tasks. Null or empty html gives an
-    empty text; a null URL has no neighbour; pages of equal URL are neighbours. Repeated rows keep their number. Columns
+    global, by ranges of host and path, so a host of any size is spread over many tasks. Only identifiers
+    of lines are ordered and paired; lines travel once, packed, to meet those of the neighbours. Null or empty html gives an
+    empty text; a null URL has no neighbour; pages that agree in URL and html are one page here, but every row gets its text. Columns
     named ``text`` or ``n_chars`` are replaced. An empty table gives an empty result.
     """
     rest = pages.drop(html_col, "text", "n_chars")
+    url, page = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     split = pages.select(
         boxed(rest),
         F.lower(F.regexp_extract(url_col, _HOST, 1)).alias("_host"),
         F.regexp_replace(F.regexp_replace(url_col, _HOST, ""), r"[?#].*$", "").alias("_path"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("_html"),
+        F.xxhash64(url, page).alias("_k1"),
+        F.xxhash64(page, F.lit(1), url).alias("_k2"),
+        page.alias("_html"),
     )
-    schema = T.StructType(split.select("_row", "_host", "_path").schema.fields)
-    schema.add("_uid", "long").add("_kinds", T.ArrayType(T.IntegerType())).add("_lines", T.ArrayType(T.StringType()))
-    schema.add("_ids", T.ArrayType(T.LongType()))
+    key = ["_k1", "_k2"]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
+    def line_ids(lines: list[tuple[int, str]]) -> list[int]:
+        return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in lines]
+
+    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_lines(x) for x in batch.column(3).to_pylist()]
-            ids = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in x] for x in found]
-            new = [
-                pa.array(range(uid, uid + len(found)), pa.int64()),
-                pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())),
-                pa.array([[t for _, t in x] for x in found], pa.list_(pa.string())),
-                pa.array(ids, pa.list_(pa.int64())),
-            ]
-            uid += len(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=schema.names)
-
-    lines = materialize(split.mapInArrow(parse, schema), "lines")
+            ids = [line_ids(text_lines(x)) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int64()))], names=["_host", "_path", *key, "_ids"])
+
+    slim = split.where("_path IS NOT NULL").select("_host", "_path", *key, "_html")
+    slim = slim.mapInArrow(identify, "_host string, _path string, _k1 long, _k2 long, _ids array<long>")
+    known = materialize(slim.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("_host", "_path", "_ids")]), "pages")
     ordered = (
-        lines.where("_path IS NOT NULL")
-        .select("_host", "_path", "_uid", "_ids")
-        .repartitionByRange("_host", "_path", "_uid")
-        .sortWithinPartitions("_host", "_path", "_uid")
+        known.repartitionByRange("_host", "_path", *key)
+        .sortWithinPartitions("_host", "_path", *key)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     ordered = materialize(ordered, "ordered").withColumns({"_part": F.shiftright("_at", 33), "_at": F.expr("_at & ((1L << 33) - 1)")})
@@ -189,18 +186,30 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     ranked = ordered.join(firsts, "_part").withColumn("_rank", F.col("_first") + F.col("_at"))
     a, b = ranked.alias("a"), ranked.alias("b")
     beside = a.join(b, (F.col("a._rank") + 1 == F.col("b._rank")) & (F.col("a._host") == F.col("b._host")))
-    one = beside.select(F.col("a._uid"), F.struct("b._path", "b._ids").alias("other"))
-    two = beside.select(F.col("b._uid"), F.struct("a._path", "a._ids").alias("other"))
-    others = one.unionByName(two).groupBy("_uid").agg(F.sort_array(F.collect_list("other")).alias("_others"))
-    joined = lines.join(others, "_uid", "left").select("_row", "_path", "_kinds", "_lines", "_ids", "_others")
+    one = beside.select("a._k1", "a._k2", F.struct("b._path", "b._ids").alias("other"))
+    two = beside.select("b._k1", "b._k2", F.struct("a._path", "a._ids").alias("other"))
+    others = one.unionByName(two).groupBy(*key).agg(F.sort_array(F.collect_list("other")).alias("_others"))
+    others = materialize(others, "neighbours")
+
+    lines = T.StructType([*split.select("_row", "_path", *key).schema.fields]).add("_lines", "binary")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [zstandard.compress(json.dumps(text_lines(x), ensure_ascii=False).encode(errors="surrogatepass"), 3) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=lines.names)
+
+    parsed = split.select("_row", "_path", *key, "_html").mapInArrow(parse, lines)
+    joined = parsed.join(others, key, "left").select("_row", "_path", "_lines", "_others")
     result = T.StructType(joined.select("_row").schema.fields).add("text", "string").add("n_chars", "long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for path, kinds, own, ids, others in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                other = max(others or [], key=lambda o: _common(path, o["_path"]), default=None)
-                texts.append(main_text(kinds, own, shared(ids, other["_ids"]) if other else set()))
+            for path, packed, near in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                own = json.loads(zstandard.decompress(packed))
+                other = max(near or [], key=lambda o: _common(path, o["_path"]), default=None)
+                again = shared(line_ids(own), other["_ids"]) if other else set()
+                texts.append(main_text([k for k, _ in own], [t for _, t in own], again))
             new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=result.names)
 
