@@ -154,7 +154,9 @@ def forecast_varx(
     shift = 0 if exog == "future" else lags
 
     def run_block(key, data: pd.DataFrame, system: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or system.empty:
+        if system.empty and not data.empty:
+            raise ValueError(f"store {key[0]} has no coefficients")
+        if data.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
         data = data.sort_values("day_num")
         days = data["day_num"].to_numpy()

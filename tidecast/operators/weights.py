@@ -32,7 +32,7 @@ def trailing_dollar_sales(
         priced.groupBy(*keys)
         .agg(
             F.coalesce(F.sum(F.col("sell_price") * F.col("sales")), F.lit(0.0)).alias("dollar_sales"),
-            F.count_distinct("day_num").alias("priced_days"),
+            F.count("day_num").alias("priced_days"),  # a series has one row a day
         )
         .where(F.col("priced_days") == last - first + 1)
         .drop("priced_days")

@@ -30,9 +30,16 @@ def calendar_features(t: BoundTables) -> DataFrame:
     return cal.withColumns(extra).na.fill("none", [*EVENTS, *LEAD_EVENTS])
 
 
+def _with_days(df: DataFrame, days: DataFrame) -> DataFrame:
+    """Join calendar rows on ``day_num``; a day that the calendar does not hold is an error."""
+    joined = df.join(F.broadcast(days.withColumn("_held", F.lit(True))), "day_num", "left")
+    missing = F.raise_error(F.concat(F.lit("the calendar has no day "), F.col("day_num").cast("string"))).cast("int")
+    return joined.withColumn("day_num", F.when(F.col("_held").isNull(), missing).otherwise(F.col("day_num"))).drop("_held")
+
+
 def add_known(df: DataFrame, t: BoundTables, *columns: str) -> DataFrame:
     """Join calendar features on ``day_num``; ``snap`` is the flag of the store's own state."""
-    joined = df.join(F.broadcast(calendar_features(t).drop("date")), "day_num")
+    joined = _with_days(df, calendar_features(t).drop("date"))
     joined = joined.withColumn("snap", t.snap(F.col("store_id")).cast("string"))
     return joined.select(*df.columns, *[c for c in columns if c not in df.columns])
 
@@ -55,5 +62,5 @@ def add_exog_array(df: DataFrame, t: BoundTables) -> DataFrame:
         "day_num", F.array(*dummies.values()).alias("_events"), F.array(*months.values()).alias("_months"), *flags
     )
     snap = F.array(t.snap(F.col("store_id")).cast("double"))
-    joined = df.join(F.broadcast(days), "day_num")
+    joined = _with_days(df, days)
     return joined.withColumn("exog", F.concat("_events", snap, "_months")).select(*df.columns, "exog")
