@@ -18,8 +18,10 @@ from tidecast.llm.minimizers import WordIds, gram_ids
 from tidecast.llm.tables import boxed, keyed, same_row, sieve, sifted, text_bytes, unboxed
 from tidecast.session import materialize
 
-#: Counters that order shingles by rarity; their number does not depend on the corpus.
-SKETCH_BITS = 18
+#: Slots that hold how frequent shingles are; their number does not depend on the corpus.
+SLOT_BITS = 25
+#: Shingles that one task sorts at a time, when it counts its own and when it sums a range of identifiers.
+RUN_SHINGLES = 1 << 21
 #: Shingles of one block of documents, which a task holds twice.
 BLOCK_SHINGLES = 1 << 20
 
@@ -42,44 +44,80 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """Class of every sketch counter: the logarithm of how many shingles of all documents fall into it."""
-    width, chunk = 1 << SKETCH_BITS, 1 << 12
+    """How frequent shingles are: for every slot (top bits of an identifier) the logarithm of the largest document count.
+
+    All shingles of all documents are counted by the first 40 bits of their identifiers. They travel as sorted runs of
+    differences, one for each range of identifiers, and every range is summed by a group of its own; there are as many
+    ranges as the bytes of text ask for. The result is an order of shingles and nothing else: slots that clash make it
+    less sharp, never wrong.
+    """
+    expected = (texts.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0) // 6
+    range_bits = min(SLOT_BITS - 3, max(6, (expected // RUN_SHINGLES).bit_length()))
+    span = SLOT_BITS - range_bits
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        every, times = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(every, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(40 - range_bits))
+        rows = []
+        for r, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(every)), strict=True)):
+            if a < b:
+                steps = np.diff(every[a:b], prepend=every[a : a + 1]).astype("<u8").view(np.uint8).reshape(-1, 8)
+                packed = zstandard.compress(np.ascontiguousarray(steps[:, :5].T).tobytes(), 1)
+                rows.append((r, int(every[a]), packed, zstandard.compress(times[a:b].astype("<u4").tobytes(), 1)))
+        columns = zip(*rows, strict=True)
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "first", "steps", "times"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordIds(), np.zeros(width, np.int64)
+        known, held, n = WordIds(), [], 0
         for batch in batches:
-            held = [s >> np.uint64(64 - SKETCH_BITS) for s in _of(batch, 0, known, size)]
-            if held:
-                seen += np.bincount(np.concatenate(held).astype(np.int64), minlength=width)
-        parts = seen.reshape(-1, chunk)
-        own = np.flatnonzero(parts.any(axis=1))
-        packed = [zstandard.compress(parts[i].tobytes(), 1) for i in own]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+            for s in _of(batch, 0, known, size):
+                held.append(s >> np.uint64(24))
+                n += len(s)
+                if n > RUN_SHINGLES:
+                    yield told(held)
+                    held, n = [], 0
+        if n:
+            yield told(held)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zstandard.decompress(x), np.int64)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
-
-    sums = texts.select("_text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
-    out = np.zeros((width // chunk, chunk), np.int64)
-    for r in sums.collect():
-        out[r.part] = np.frombuffer(r.counts, np.int64)
-    return np.log2(out.reshape(-1) + 1).astype(np.uint8)
+        ids, times = [], []
+        for first, steps, n in zip(pdf["first"], pdf["steps"], pdf["times"], strict=True):
+            n = np.frombuffer(zstandard.decompress(n), "<u4")
+            wide = np.zeros((len(n), 8), np.uint8)
+            wide[:, :5] = np.frombuffer(zstandard.decompress(steps), np.uint8).reshape(5, -1).T
+            ids.append(np.cumsum(wide.view("<u8").reshape(-1)) + np.uint64(first))
+            times.append(n)
+        ids, times = np.concatenate(ids), np.concatenate(times)
+        order = np.argsort(ids, kind="stable")
+        ids, times = ids[order], times[order].astype(np.int64)
+        start = np.flatnonzero(np.diff(ids, prepend=ids[:1] - np.uint64(1)))
+        df = np.add.reduceat(times, start)
+        often = df > 1
+        classes = np.zeros(1 << span, np.uint8)
+        slot = (ids[start][often] >> np.uint64(40 - SLOT_BITS)).astype(np.int64) & ((1 << span) - 1)
+        np.maximum.at(classes, slot, np.log2(df[often]).astype(np.uint8))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "classes": [zstandard.compress(classes.tobytes(), 3)]})
+
+    runs = texts.select("_text").mapInArrow(count, "part int, first long, steps binary, times binary")
+    out = np.zeros((1 << range_bits, 1 << span), np.uint8)
+    for r in runs.groupBy("part").applyInPandas(add, "part int, classes binary").toLocalIterator():
+        out[r.part] = np.frombuffer(zstandard.decompress(r.classes), np.uint8)
+    return out.reshape(-1)
 
 
 def _described(texts: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
     """Each text's number of shingles, the identifier of its set, and its rarest shingles that a partner must share."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)  # of fixed size
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds()
+        known, classes = WordIds(), shared.value
         for batch in batches:
             n, digest, rare = [], [], []
             for s in _of(batch, 2, known, size):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s))
-                rank = np.lexsort((s, classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                rank = np.lexsort((s, classes[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
                 rare.append(s[rank[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64) if len(s) else [])
             digest = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
