@@ -33,7 +33,7 @@ def shuffled_shards(
     firsts = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     filled = (
         bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("_row"), bucket.alias("_bucket"), place.alias("_place"))
-        .repartition(buckets, "_bucket")
+        .repartitionById(buckets, "_bucket")  # one bucket a task
         .sortWithinPartitions("_bucket", "_place")
         .groupBy("_bucket")
         .agg(F.collect_list("_row").alias("_rows"))
