@@ -148,6 +148,26 @@ def test_extraction_differences_neighbours(spark, nothing):
     assert html.extract(pages.where("page_id > 99")).isEmpty()
 
 
+def test_extraction_differences_pages_with_articles(spark):
+    wrapped = "<main><div>Terms of this site</div><p>{}</p><div>Back to top</div></main>"
+    teaser = "<article>Read more</article><p>{}</p><div class=related-posts>{}</div>"
+    copied = "<article><h1>Head</h1><p>A long text on both pages</article><div>seen {}</div>"
+    rows = [
+        ("https://a.example/1", wrapped.format("first body"), "first body"),
+        ("https://a.example/2", wrapped.format("second body"), "second body"),
+        ("https://b.example/1", teaser.format("body outside", "own"), "body outside own"),
+        ("https://b.example/2", teaser.format("another body", "too"), "another body too"),
+        ("https://c.example/1", copied.format(1), "Head A long text on both pages seen 1"),
+        ("https://c.example/2", copied.format(2), "Head A long text on both pages seen 2"),
+        ("https://d.example/1", "<body><nav>Menu<article><header><h1>One</h1></header><p>x</article>", "One x"),
+        ("https://d.example/2", "<body><nav>Menu<article><header><h1>Two</h1></header><p>y</article>", "Two y"),
+        ("https://e.example/1", "<div><aside>Menu</div><p>left<ul><li class=ad><p>ad<li>item</ul>", "left item"),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for *_, want in rows]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=9))
 def test_shared_is_a_longest_common_subsequence(a, b):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,10 +29,9 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_NAME = re.compile(r"[a-z]+")
 #: Elements that hold no article text.
 _AWAY = frozenset("nav header footer aside form button select menu dialog fieldset head".split())
-#: Words of class, id and role names that mark such parts, too.
+#: Whole class, id and role names that mark such parts, too; other names are left to differencing.
 _AWAY_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu menubar "
     "breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended comment comments reply replies disqus "
@@ -44,31 +44,64 @@ _BLOCKS = frozenset(
     "h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSED_BY_BLOCK = frozenset(("p", "li", "dt", "dd", "option", "td", "th", "tr"))
+#: Start tags that end an open element: ``p`` and ``head`` end at any block, the others at these.
+_ENDED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"},
+}
+_COMMENTS = frozenset("comment comments reply replies disqus".split())
 #: What the markup says of a line.
 OPEN, MAIN, AWAY = 0, 1, 2
 
 
-def _is_away(tag: str, attrs: str) -> bool:
-    if tag in _AWAY:
-        return True
-    if tag in ("html", "body", "main", "article") and "comment" not in attrs:
+def _is_away(tag: str, attrs: str, inside: bool) -> bool:
+    if tag in ("html", "body", "main"):
         return False
-    return any(not _AWAY_NAMES.isdisjoint(_NAME.findall(m[2].lower())) for m in _ATTR.finditer(attrs))
+    if tag in _AWAY and not (tag == "header" and inside):  # the header of an article holds its title
+        return True
+    names = _COMMENTS if tag == "article" else _AWAY_NAMES
+    return any(not names.isdisjoint(m[2].strip("\"'").lower().split()) for m in _ATTR.finditer(attrs))
+
+
+class _Element:
+    """An open element. ``number``: of an article or main element, else 0. ``ends``: an element of no article text
+    holds all lines to its end if its end tag comes, else those before the first article or main element in it."""
+
+    __slots__ = ("away", "closed", "ends", "number", "tag")
+
+    def __init__(self, tag: str, away: bool, number: int):
+        self.tag, self.away, self.number, self.closed, self.ends = tag, away, number, False, None
 
 
-def text_lines(html: str) -> list[tuple[int, str]]:
+def text_lines(html: str) -> list[tuple[int, str, list[int]]]:
     """The lines (blocks of text) of a page in order, each as ``MAIN`` (inside an article or main element), ``AWAY``
-    (inside an element that is named as no article text) or ``OPEN``."""
-    lines: list[tuple[int, str]] = []
+    (inside an element that is named as no article text) or ``OPEN``, with the numbers of the article and main elements
+    around it. An end tag ends the elements left open inside its own, as in browsers."""
+    lines: list[tuple[str, list[int], list[_Element]]] = []
     parts: list[str] = []
-    away, depth, main, at = "", 0, 0, 0
+    stack: list[_Element] = []
+    mains: list[int] = []
+    aways: list[_Element] = []
+    opened: Counter[str] = Counter()
+    numbers, at = 0, 0
 
     def flush() -> None:
         if text := " ".join(unescape("".join(parts)).split()):
-            lines.append((AWAY if away else MAIN if main else OPEN, text))
+            lines.append((text, [*mains], [*aways]))
         parts.clear()
 
+    def end(tag: str) -> None:
+        while stack:
+            e = stack.pop()
+            opened[e.tag] -= 1
+            if e.away:
+                flush()
+                aways.pop()
+            if e.number:
+                mains.pop()
+            if e.tag == tag:
+                e.closed = True
+                return
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             parts.append(html[at : m.start()])
@@ -77,25 +110,45 @@ def text_lines(html: str) -> list[tuple[int, str]]:
             flush()
         if not (tag := (m["tag"] or "").lower()):
             continue
-        end, attrs = bool(m["end"]), m["attrs"]
-        if tag in _BLOCKS:
+        block = tag in _BLOCKS
+        if block:
             flush()
-            if away in _CLOSED_BY_BLOCK and not (end and tag == away) and tag != "br":
-                away = ""
+        if m["end"]:
+            # an inline element ends inside its block only
+            if opened[tag] and (block or next(e.tag for e in reversed(stack) if e.tag == tag or e.tag in _BLOCKS) == tag):
+                end(tag)
+            continue
+        if tag in _VOID:
+            continue
+        while block and stack:
+            last = next((e.tag for e in reversed(stack) if e.tag in _BLOCKS), "")
+            if last not in ("p", "head") and tag not in _ENDED_BY.get(last, ()):
+                break
+            end(last)
+        away = _is_away(tag, m["attrs"], bool(mains))
+        # inline elements count where they may hold or end a part of no article text
+        if not (block or away or opened[tag]):
+            continue
         if away:
-            if tag == away:
-                depth += -1 if end else 1
-                if not depth:
-                    flush()
-                    away = ""
-        elif not end and tag not in _VOID and _is_away(tag, attrs):
             flush()
-            away, depth = tag, 1
-        elif tag in ("article", "main"):
-            main = max(0, main + (-1 if end else 1))
+        number = 0
+        if tag in ("article", "main") and not away:
+            number = numbers = numbers + 1
+            mains.append(number)
+            for e in aways:
+                e.ends = len(lines) if e.ends is None else e.ends
+        e = _Element(tag, away, number)
+        stack.append(e)
+        opened[tag] += 1
+        if away:
+            aways.append(e)
     parts.append(html[at:])
     flush()
-    return lines
+    out = []
+    for i, (text, around, parts_away) in enumerate(lines):
+        away = any(e.closed or e.ends is None or i < e.ends for e in parts_away)
+        out.append((AWAY if away else MAIN if around else OPEN, text, around))
+    return out
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -126,17 +179,30 @@ def _common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def main_text(kinds: list[int], lines: list[str], repeated: set[int]) -> str:
-    """Join what differencing and markup leave.
+def main_text(lines: list[tuple[int, str, list[int]]], repeated: set[int] | None) -> str:
+    """Join what differencing and markup leave; ``repeated`` holds the lines of a neighbour, None without one.
 
-    Lines the other page has, too, go, and so do those of elements named as no article. Inside an article element a
-    shared line stays (copies of an article are articles), and an article element closes out what stands around it. A
-    page whose open lines are all shared is a copy of its neighbour and keeps them.
+    Lines of elements named as no article go. Of the others, inside an article or not, those stay that the neighbour
+    lacks. Shared lines stay in an article or main element that is shared as a whole and no shorter than the page's own
+    lines, as copies of an article are articles; a page without any own line or article is a copy, too. Without a
+    neighbour the markup alone decides: an article element closes out what stands around it.
     """
-    if MAIN in kinds:
-        return " ".join(t for k, t in zip(kinds, lines, strict=True) if k == MAIN)
-    left = [i for i, k in enumerate(kinds) if k == OPEN]
-    return " ".join(lines[i] for i in ([i for i in left if i not in repeated] or left))
+    kept = [i for i, (kind, *_) in enumerate(lines) if kind != AWAY]
+    inside = [i for i in kept if lines[i][0] == MAIN]
+    if repeated is None:
+        stay = set(inside or kept)
+    else:
+        stay = {i for i in kept if i not in repeated}
+        own = sum(len(lines[i][1]) for i in stay)
+        elements: dict[int, list[int]] = {}
+        for i in inside:
+            for number in lines[i][2]:
+                elements.setdefault(number, []).append(i)
+        for places in elements.values():
+            if repeated.issuperset(places) and sum(len(lines[i][1]) for i in places) >= own:
+                stay.update(places)
+        stay = stay or set(kept)
+    return " ".join(lines[i][1] for i in kept if i in stay)
 
 
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
@@ -164,8 +230,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     )
     key = ["_k1", "_k2"]
 
-    def line_ids(lines: list[tuple[int, str]]) -> list[int]:
-        return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in lines]
+    def line_ids(lines: list[tuple[int, str, list[int]]]) -> list[int]:
+        return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t, _ in lines]
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +274,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             for path, packed, near in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
                 own = json.loads(zstandard.decompress(packed))
                 other = max(near or [], key=lambda o: _common(path, o["_path"]), default=None)
-                again = shared(line_ids(own), other["_ids"]) if other else set()
-                texts.append(main_text([k for k, _ in own], [t for _, t in own], again))
+                texts.append(main_text(own, shared(line_ids(own), other["_ids"]) if other else None))
             new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=result.names)
 
