@@ -192,6 +192,19 @@ def test_scores_tell_text_from_noise(spark, small_dir):
     assert trained > mean(lm_score.score(mixed, model, classes)) + 0.5
 
 
+def test_every_word_is_a_training_target(spark):
+    for size in (0, 1, 5, 40):
+        places = np.concatenate([lm_score.targets(size, k, 3) for k in range(3)]) - lm_score.SIDE
+        assert sorted(places) == list(range(size))
+    # the fifth word tells the sixth; both lie where every 16th word of a short text never falls
+    ends = [("a c", "a d"), ("b d", "b c")]
+    rows = [(f"w{i % 7} x{i % 5} y{i % 3} z{i % 11} {ends[i % 2][0]}", f"w{i % 7} x{i % 5} y{i % 3} z{i % 11} {ends[i % 2][1]}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "text string, swapped string").repartition(2)
+    model, classes = lm_score.fit(docs)
+    mean = lambda c: lm_score.score(docs, model, classes, c).agg(F.avg("log_prob").alias("m")).first().m
+    assert mean("text") > mean("swapped") + 1
+
+
 def test_scores_of_awkward_rows(awkward, nothing):
     docs, rows = awkward
     out = lm_score.score(docs, *lm_score.fit(docs))

@@ -18,8 +18,6 @@ from tidecast.session import materialize
 
 #: Words on each side that predict the one between.
 SIDE = 2
-#: Every STRIDE-th token of every document is a target of one training round; rounds take turns.
-STRIDE = 16
 BATCH = 1024
 
 
@@ -81,6 +79,11 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + d] for d in range(-SIDE, SIDE + 1) if d], axis=1)
 
 
+def targets(size: int, k: int, rounds: int) -> np.ndarray:
+    """Padded places of the words that round ``k`` takes as targets; over all rounds every word is one exactly once."""
+    return np.arange(SIDE + k, SIDE + size, rounds)
+
+
 class Trainer:
     """Mini-batch gradient descent with per-parameter steps (Adagrad)."""
 
@@ -137,9 +140,9 @@ def fit(
     """Train on all documents.
 
     Counts of all words give the classes. In every round each task descends from the same model over its documents,
-    taking every ``STRIDE``-th word of each as target (rounds begin at other words), and the resulting models are
-    averaged by their numbers of targets. The sums run as a Spark aggregation over single parameters; the driver holds
-    ``words`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
+    taking every ``rounds``-th word of each as target (each round begins one word later, so that every word is a target
+    of one round), and the resulting models are averaged by their numbers of targets. The sums run as a Spark aggregation
+    over single parameters; the driver holds ``words`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = materialize(word_counts(texts), "words")
@@ -170,9 +173,8 @@ def fit(
                 for i in range(len(batch)):
                     ids = padded(data[starts[i] : starts[i + 1]].tobytes(), own)
                     size = len(ids) - 2 * SIDE
-                    if size:
-                        first = (size * 7 + k * (STRIDE // 2 + 1)) % min(STRIDE, size)
-                        at = np.arange(SIDE + first, SIDE + size, STRIDE)
+                    at = targets(size, k, rounds)
+                    if len(at):
                         held.append((contexts(ids, at), ids[at]))
                         n, waiting = n + len(at), waiting + len(at)
                     if waiting >= 64 * BATCH:
@@ -184,13 +186,13 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat])], names=["n", "weights"])
 
         models = materialize(texts.mapInArrow(descend, "n long, weights array<double>"), "models")
-        targets = models.agg(F.sum("n").alias("n")).first().n
-        if not targets:
-            break
+        taken = models.agg(F.sum("n").alias("n")).first().n
+        if not taken:
+            continue
         sums = models.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum("w").alias("w")).collect()
         flat = np.zeros(len(sums))
         for r in sums:
-            flat[r.i] = r.w / targets
+            flat[r.i] = r.w / taken
         cuts = np.cumsum([x.size for x in model])[:-1]
         model = Model(*(p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, cuts), model, strict=True)))
     return model, classes
