@@ -205,6 +205,23 @@ def test_every_word_is_a_training_target(spark):
     assert mean("text") > mean("swapped") + 1
 
 
+def test_rare_words_are_charged_by_their_counts(spark):
+    counts = {"the": 400, "often": 60, "some": 8, "few": 3, "once": 1}
+    rows = [(w,) for w, n in counts.items() for _ in range(n)]
+    docs, asked = spark.createDataFrame(rows, "text string"), spark.createDataFrame([(w,) for w in [*counts, "never"]], "text string")
+    found = []
+    # all counts held, and the last three of them joined
+    for known in (100, 2):
+        model, classes = lm_score.fit(docs, words=1, shared=1, known=known)
+        assert (classes.rest is None) == (known == 100)
+        found.append({r.text: r.log_prob for r in lm_score.score(asked, model, classes).collect()})
+    for got in found:
+        for w in ("often", "some", "few", "never"):
+            assert got[w] - got["once"] == pytest.approx(np.log(counts.get(w, 1)))
+        assert 0.9 < sum(map(np.exp, got.values())) <= 1
+    assert found[0] == pytest.approx(found[1])
+
+
 def test_scores_of_awkward_rows(awkward, nothing):
     docs, rows = awkward
     out = lm_score.score(docs, *lm_score.fit(docs))

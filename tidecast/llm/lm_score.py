@@ -48,11 +48,15 @@ def start_model(counts: np.ndarray, hidden: int, seed: int) -> Model:
 class Classes(dict):
     """Word -> class: the most frequent words have one of their own, the others share ``shared`` by their hash."""
 
-    def __init__(self, words: list[bytes], shared: int, inner: float = 0.0):
+    def __init__(self, words: list[bytes], shared: int):
         super().__init__({w: i + shared + 1 for i, w in enumerate(words)})
         self.own, self.shared = len(words), shared
-        #: Logarithm of how many words share a class: each of them is equally likely inside it.
-        self.inner = inner
+        #: Words after those with classes of their own, the most frequent first, and their numbers.
+        self.known: list[tuple[bytes, int]] = []
+        #: Number of all words in each shared class.
+        self.totals = np.zeros(shared)
+        #: Digests (``_word``) and numbers (``n``, 2 or more) of all words that are neither of these; None without any.
+        self.rest: DataFrame | None = None
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.own + 200_000:
@@ -67,6 +71,29 @@ class Classes(dict):
         return self.own + self.shared + 1
 
 
+def digest(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+class Shares(dict):
+    """Word -> place in ``classes`` and ``logs``, the logarithm of its share of its class.
+
+    Place 0 stands before the first and after the last word. Places from ``rare`` on are those of words that are not
+    held here, one a class, as if counted once: a class keeps that much for a word that no text had.
+    """
+
+    def __init__(self, words: list[bytes], shared: int, known: list[tuple[bytes, int]], totals: np.ndarray):
+        super().__init__({w: i + 1 for i, w in enumerate([*words, *(w for w, _ in known)])})
+        self.shared, self.rare = shared, len(self) + 1
+        of_known = np.array([xxhash.xxh3_64_intdigest(w) % shared for w, _ in known], np.int64)
+        every = np.log(totals + 1)
+        self.classes = np.concatenate([[0], np.arange(len(words)) + shared + 1, of_known + 1, np.arange(shared) + 1]).astype(np.int64)
+        self.logs = np.concatenate([np.zeros(len(words) + 1), np.log([float(n) for _, n in known]) - every[of_known], -every])
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rare + xxhash.xxh3_64_intdigest(word) % self.shared
+
+
 def padded(text: bytes, classes: Classes) -> np.ndarray:
     words = text.lower().split()
     out = np.zeros(len(words) + 2 * SIDE, np.int64)
@@ -135,24 +162,52 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, words: int = 191, shared: int = 64, hidden: int = 16, rounds: int = 2, rate: float = 0.05, seed: int = 7, text_col: str = "text"
+    docs: DataFrame,
+    words: int = 447,
+    shared: int = 64,
+    hidden: int = 16,
+    rounds: int = 2,
+    rate: float = 0.05,
+    seed: int = 7,
+    text_col: str = "text",
+    known: int = 100_000,
 ) -> tuple[Model, Classes]:
     """Train on all documents.
 
-    Counts of all words give the classes. In every round each task descends from the same model over its documents,
+    Counts of all words give the classes; those of the ``known`` most frequent words are held, the others stay a table
+    that grows with the corpus and that ``score`` joins. In every round each task descends from the same model over its documents,
     taking every ``rounds``-th word of each as target (each round begins one word later, so that every word is a target
     of one round), and the resulting models are averaged by their numbers of targets. The sums run as a Spark aggregation
-    over single parameters; the driver holds ``words`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
+    over single parameters; the driver holds ``known`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = materialize(word_counts(texts), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
-    total = sums.n or 0
-    classes = Classes([bytes(r.word) for r in top], shared, float(np.log(max(1, (sums.words - len(top)) / shared))))
-    rest = (total - sum(r.n for r in top)) / shared
-    model = start_model(np.array([0, *[rest] * shared, *[r.n for r in top]]), hidden, seed)
-    names = [bytes(r.word) for r in top]
+    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(max(known, words)).collect()]
+    names = [w for w, _ in top[:words]]
+    classes = Classes(names, shared)
+    classes.known = top[words:]
+    on_top = frozenset(w for w, _ in top)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shared, np.int64)
+        for batch in batches:
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w) % shared for w in batch.column(0).to_pylist()), np.int64, len(batch))
+            np.add.at(sums, of, batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(range(shared)), pa.array(sums)], names=["c", "n"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(digest(w), n) for w, n in zip(*[c.to_pylist() for c in batch.columns], strict=True) if w not in on_top]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([h for h, _ in kept], [n for _, n in kept])], names=["_word", "n"])
+
+    # the sums of the classes of all words, less those with a class of their own
+    for r in counts.mapInArrow(share, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        classes.totals[r.c] = r.n
+    for w, n in top[:words]:
+        classes.totals[xxhash.xxh3_64_intdigest(w) % shared] -= n
+    if len(top) == max(known, words):
+        classes.rest = counts.where("n > 1").mapInArrow(others, "_word long, n long")
+    model = start_model(np.array([0, *classes.totals, *[n for _, n in top[:words]]]), hidden, seed)
 
     for k in range(rounds):
         now = model
@@ -204,27 +259,43 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
     Columns named like the added ones are replaced; an empty table gives an empty result."""
     bare = docs.drop("n_tokens", "log_prob", "mean_log_prob")
     names = [w for w, _ in sorted(classes.items(), key=lambda x: x[1]) if classes[w] > classes.shared][: classes.own]
-    shared, inner = classes.shared, classes.inner
+    shared, known, totals = classes.shared, classes.known, classes.totals
     texts = bare.select(boxed(bare), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = T.StructType(texts.select("_row").schema.fields).add("n_tokens", "long").add("log_prob", "double")
+    schema = T.StructType(texts.select("_row").schema.fields).add("n_tokens", "long").add("log_prob", "double").add("_rare", T.ArrayType(T.LongType()))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Classes(names, shared)
+        places = Shares(names, shared, known, totals)
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             n, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            rare: list[list[int]] = []
             for a, b in blocks(starts, 1 << 18):
-                ids = [padded(data[starts[i] : starts[i + 1]].tobytes(), own) for i in range(a, b)]
+                ids = []
+                for i in range(a, b):
+                    words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
+                    own = np.zeros(len(words) + 2 * SIDE, np.int64)
+                    own[SIDE : SIDE + len(words)] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                    ids.append(own)
+                    rare.append([digest(words[x - SIDE]) for x in np.flatnonzero(own >= places.rare)])
                 size = np.array([len(x) - 2 * SIDE for x in ids])
                 every, owner = np.concatenate(ids), np.repeat(np.arange(a, b), size)
+                logs, every = places.logs[every], places.classes[every]
                 first = np.cumsum(size + 2 * SIDE) - size - SIDE
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
                 n[a:b] = size
                 for k in range(0, len(at), BATCH):
                     now = at[k : k + BATCH]
-                    target = every[now]
-                    np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), target) - inner * (target <= shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums)], names=schema.names)
-
-    rows = texts.mapInArrow(tell, schema).select(*unboxed(bare), "n_tokens", "log_prob")
+                    np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), every[now]) + logs[now])
+            new = [pa.array(n), pa.array(sums), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=schema.names)
+
+    rows = texts.mapInArrow(tell, schema)
+    log_prob = F.col("log_prob")
+    if classes.rest is not None:
+        # words that are not held counted once so far
+        rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "scored")
+        more = rows.select("_id", F.explode("_rare").alias("_word")).join(classes.rest, "_word")
+        more = more.groupBy("_id").agg(F.sum(F.log("n")).alias("_more"))
+        rows, log_prob = rows.join(more, "_id", "left"), log_prob + F.coalesce("_more", F.lit(0.0))
+    rows = rows.select(*unboxed(bare), "n_tokens", log_prob.alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
