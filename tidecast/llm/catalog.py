@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
-from tidecast.llm import chat, oracles, quality
+from tidecast.llm import chat, divergence, filter_audit, oracles, quality
 from tidecast.llm.decontaminate import contamination
 from tidecast.llm.lm_score import fit, score
 from tidecast.llm.ngram_join import linked
@@ -132,3 +132,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, *fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
+@query("op11_source_divergence", divergence.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_interaction", filter_audit.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.text_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
