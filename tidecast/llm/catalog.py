@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.html import extract
 from tidecast.llm.kmer_dedup import remove_windows
-from tidecast.llm import chat, divergence, filter_audit, oracles, quality
+from tidecast.llm import chat, divergence, filter_audit, lang_id, oracles, quality
 from tidecast.llm.decontaminate import contamination
 from tidecast.llm.lm_score import fit, score
 from tidecast.llm.ngram_join import linked
@@ -142,3 +142,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_filter_interaction", filter_audit.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.text_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = lang_id.identify(docs, lang_id.fit(docs))
+    return told.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
