@@ -233,7 +233,7 @@ def test_scores_of_awkward_rows(awkward, nothing):
 
 def test_query_of_every_operator(spark, small_dir):
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert catalog.QUERIES["op1_html_extraction"](spark, small_dir).count() == 50
     assert catalog.QUERIES["op9_lm_scoring"](spark, small_dir).count() == 200
     shards = catalog.QUERIES["op6_sharding"](spark, small_dir).groupBy("shard").count().collect()
