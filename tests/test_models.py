@@ -124,7 +124,7 @@ def test_poisson_boost_beats_the_constant_and_keeps_improving(spark, counts, tmp
     ranked = model.importance(names)
     assert sum(v for _, v in ranked) == pytest.approx(1.0) and ranked == sorted(ranked, key=lambda p: (p[1], p[0]))
     model.save(spark, str(tmp_path / "m"))
-    again = boost.PoissonBoost.load(spark, str(tmp_path / "m"))
+    again = boost.Boosted.load(spark, str(tmp_path / "m"))
     assert [r.yhat for r in again.transform(valid).orderBy("k").collect()] == pytest.approx(
         [r.yhat for r in model.transform(valid).orderBy("k").collect()]
     )
@@ -148,16 +148,103 @@ def test_early_stopping_keeps_the_best_prefix(counts):
     assert len(seen) < 8 and model.n_trees == max(1, int(np.argmin(seen)) + 1)
 
 
-def test_glm_and_residual_models(counts):
+def test_glm(counts):
     glm = boost.fit_poisson_glm(counts, "y")
     assert all(r.yhat > 0 for r in glm.transform(counts).collect())
+
+
+def test_residual_model_stops_by_patience(counts):
+    noise = counts.withColumn("resid", F.pmod(F.xxhash64("k"), F.lit(7)).cast("double"))
+    train, valid = noise.where("k % 2 = 0"), noise.where("k % 2 = 1")
+    model = residual.fit_residual_boost(train, valid, "resid", ["k"], rounds=30, rate=0.8, max_depth=5, min_rows=1, patience=2, subsample=0.8)
+    seen = [h["valid_rmse"] for h in model.history]
+    best = int(np.argmin(seen)) + 1
+    assert len(seen) < 30 and len(seen) - best == 2 and model.n_trees == best
+    # the kept prefix scores as it did while it was the last
+    found = model.transform(valid).agg(F.sqrt(F.avg(F.pow(F.col("resid") - F.col("yhat"), F.lit(2.0))))).first()[0]
+    assert found == pytest.approx(seen[best - 1])
+
+
+def test_residual_model_explains(counts):
     resid = counts.withColumn("resid", F.col("y") - 2.0)
-    gbt = residual.fit_residual_gbt(resid.where("k % 4 > 0"), resid.where("k % 4 = 0"), rounds=4, rate=0.5, max_depth=3)
-    scored = gbt.transform(resid)
-    error = scored.agg(F.avg(F.pow(F.col("resid") - F.col("resid_fcast"), F.lit(2.0)))).first()[0]
+    model = residual.fit_residual_boost(resid.where("k % 4 > 0"), resid.where("k % 4 = 0"), "resid", ["k"], rounds=4, rate=0.5, max_depth=3)
+    error = model.transform(resid).agg(F.avg(F.pow(F.col("resid") - F.col("yhat"), F.lit(2.0)))).first()[0]
     assert error < resid.agg(F.var_pop("resid")).first()[0]
 
 
+@pytest.mark.parametrize("loss", ["poisson", "squared"])
+def test_penalty_on_leaves(counts, loss):
+    made = boost.LOSSES[loss]()
+    rows = counts.select("k", "y", "store", "features").withColumn("held", F.lit(False))
+    model = boost.boost_rows(rows, "y", ["k"], loss=made, rounds=2, rate=0.5, max_depth=2, l2=30.0)
+    free = boost.boost_rows(rows, "y", ["k"], loss=made, rounds=2, rate=0.5, max_depth=2)
+    tree, data = free.ensemble.trees[0], rows.toPandas()
+    leaf = np.array([tree.predictLeaf(v) for v in data.features])
+    base = model.base
+    g = data.y - (np.exp(base) if loss == "poisson" else base)
+    h = np.full(len(data), np.exp(base) * np.exp(0.7) if loss == "poisson" else 1.0)
+    want = {i: g[leaf == i].sum() / (h[leaf == i].sum() + 30.0) for i in set(leaf)}
+    assert len(want) > 2
+    first = model.ensemble.trees[0]
+    assert [first.predict(v) for v in data.features] == pytest.approx([want[i] for i in leaf])
+
+
+def plain_boost(trees, frame, base, rate, shrink):
+    """Score of every row, from the leaves that the trees name: pooled values and those of the series."""
+    eta, pooled, own = np.full(len(frame), base), [], []
+    for tree in trees:
+        leaf, g = np.array([int(tree.predictLeaf(v)) for v in frame.features]), frame.y.to_numpy() - eta
+        v = {i: g[leaf == i].mean() for i in set(leaf)}
+        table = {}
+        for s in set(frame.store):
+            for i in set(leaf):
+                at = (leaf == i) & (frame.store == s)
+                if at.any():
+                    table[s, i] = (g[at].sum() + shrink * v[i]) / (at.sum() + shrink)
+        pooled.append(v)
+        own.append(table)
+        eta = eta + rate * np.array([table[s, i] for s, i in zip(frame.store, leaf)])
+    return eta, pooled, own
+
+
+def test_series_have_leaves_of_their_own(spark, counts, tmp_path):
+    # the store is no feature here: only its leaves can tell it apart
+    df = boost.feature_pipeline(counts.drop("features", "store_ix"), ["x", "x_missing"], []).transform(counts.drop("features", "store_ix"))
+    rows = df.select("k", "y", "store", "features").withColumn("held", F.lit(False))
+    options = {"rounds": 6, "rate": 0.5, "max_depth": 2, "cut_every": 3}
+    model = residual.fit_residual_boost(rows, None, "y", ["k"], ["store"], shrink=10.0, **options)
+    frame = rows.toPandas()
+    want, pooled, _ = plain_boost(model.ensemble.trees, frame, model.base, 0.5, 10.0)
+    scored = model.transform(rows).toPandas()
+    got = dict(zip(scored.k, scored.yhat))
+    assert [got[k] for k in frame.k] == pytest.approx(list(want))
+    common = residual.fit_residual_boost(rows, None, "y", ["k"], **options)
+    assert model.history[-1]["train_rmse"] < common.history[-1]["train_rmse"] - 0.1
+    # a series that training has not seen gets the pooled values
+    other = model.transform(rows.withColumn("store", F.lit("new"))).toPandas()
+    for r in other.itertuples():
+        leaves = [int(t.predictLeaf(r.features)) for t in model.ensemble.trees]
+        assert r.yhat == pytest.approx(model.base + 0.5 * sum(v[i] for v, i in zip(pooled, leaves)))
+    model.save(spark, str(tmp_path / "m"))
+    again = boost.Boosted.load(spark, str(tmp_path / "m")).transform(rows).toPandas()
+    assert dict(zip(again.k, again.yhat)) == pytest.approx(got)
+
+
+def test_split_counts(spark, counts):
+    model = boost.fit_poisson_boost(counts, None, "y", ["k"], rounds=3, max_depth=2)
+    used = {r.feature: r.splits for r in model.split_counts(spark, boost.vector_names(counts)).collect()}
+    assert set(used) == {"x", "x_missing", "store_ix"}
+    assert sum(used.values()) == sum((t.numNodes - 1) // 2 for t in model.ensemble.trees)
+
+
+def test_too_many_labels_for_a_tree(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("v"), F.lit("a").alias("w"))
+    with pytest.raises(ValueError, match="more than 256 labels in v"):
+        boost.category_indexer(df, ["w", "v"])
+    model = boost.category_indexer(df.limit(12), ["w", "v"])
+    assert model.labelsArray == [["a"], sorted(str(i) for i in range(12))] or len(model.labelsArray[1]) == 12
+
+
 @pytest.fixture(scope="module")
 def series(spark):
     rng = np.random.default_rng(2)
@@ -214,12 +301,12 @@ def test_an_ensemble_of_400_trees_is_scored_saved_and_loaded(spark, tmp_path):
     rows = [(Vectors.dense(float(i % 7), float(i % 3)), float(i % 7 + 2 * (i % 3))) for i in range(60)]
     df = spark.createDataFrame(rows, ["features", "y"])
     trees = [DecisionTreeRegressor(labelCol="y", maxDepth=d).fit(df) for d in (1, 2)]
-    model = boost.PoissonBoost(0.1, boost.as_ensemble(spark, trees * 200, 0.001))
+    model = boost.Boosted(0.1, boost.as_ensemble(spark, trees * 200, 0.001))
     assert model.n_trees == 400
     one, two = ([r.prediction for r in t.transform(df).collect()] for t in trees)
     want = [0.1 + 0.2 * (a + b) for a, b in zip(one, two)]
     assert np.allclose([r.eta for r in model.add_score(df).collect()], want)
     model.save(spark, str(tmp_path / "m"))
-    again = boost.PoissonBoost.load(spark, str(tmp_path / "m"))
+    again = boost.Boosted.load(spark, str(tmp_path / "m"))
     assert np.allclose([r.eta for r in again.add_score(df).collect()], want)
     assert [n for n, _ in again.importance(["a", "b"])] == [n for n, _ in model.importance(["a", "b"])]

@@ -1,20 +1,22 @@
-"""Poisson regression: gradient-boosted trees grown with Spark ML, and a GLM baseline.
+"""Gradient-boosted trees grown with Spark ML under any loss that is given as columns, and a Poisson GLM baseline.
 
-Spark ML's own boosting covers squared and absolute loss only. The Poisson loss
-is fitted by Newton boosting (Friedman 2001): each round fits one weighted
-regression tree to (y - mu) / h with weight h, where h is proportional to the
-second derivative mu, so every leaf holds the Newton step sum(y - mu) / sum(h).
+Spark ML's own boosting covers squared and absolute loss only, knows a tolerance instead of patience, and no penalty
+on leaves. Here a loss is a gradient and a weight (Newton boosting, Friedman 2001): each round fits one weighted
+regression tree to ``gradient / weight`` with that weight, so every leaf holds the Newton step
+``sum(gradient) / sum(weight)``. Both sums of a leaf stand in the tree's saved nodes; from them the leaf's value is
+estimated again with a penalty, ``sum(gradient) / (sum(weight) + l2)``, and, where asked for, once more per series.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
@@ -22,12 +24,59 @@ from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.operators.encode import MAX_CODES
 from tidecast.session import materialize, remove, shared_path, spread
 
+#: Categories of one column that a tree may tell apart: the bins that Spark ML counts on the driver for every node.
+MAX_LABELS = 256
+
+
+@dataclass(frozen=True)
+class Loss:
+    """What a boosting round needs to know of a loss, as columns of the label and the running score."""
+
+    name: str
+    start: Callable[[float], float]
+    expected: Callable[[Column], Column]
+    gradient: Callable[[Column, Column], Column]
+    weight: Callable[[Column, Column], Column]
+    row_loss: Callable[[Column, Column], Column]
+
+
+def poisson(max_delta_step: float = 0.7) -> Loss:
+    """Score on the log scale; weights are inflated by ``exp(max_delta_step)``, which damps the steps."""
+
+    def start(mean: float) -> float:
+        if not mean or mean <= 0:
+            raise ValueError("the Poisson loss needs a positive mean label")
+        return math.log(mean)
+
+    damp = math.exp(max_delta_step)
+    return Loss(
+        "poisson",
+        start,
+        F.exp,
+        lambda y, eta: y - F.exp(eta),
+        lambda y, eta: F.exp(eta) * damp,
+        lambda y, eta: F.exp(eta) - y * eta,
+    )
+
+
+def squared() -> Loss:
+    return Loss(
+        "squared",
+        lambda mean: mean or 0.0,
+        lambda eta: eta,
+        lambda y, eta: y - eta,
+        lambda y, eta: F.lit(1.0),
+        lambda y, eta: (y - eta) * (y - eta),
+    )
+
+
+LOSSES = {"poisson": poisson, "squared": squared}
+
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) -> DataFrame:
     """Vectors cannot hold missing values: fill them and keep a ``{c}_missing`` indicator."""
@@ -36,26 +85,28 @@ def fill_missing(df: DataFrame, columns: Sequence[str], value: float = -1.0) ->
     return df.withColumns(flags).withColumns(filled)
 
 
-def category_indexer(df: DataFrame, categorical: Sequence[str], on_unseen: str = "error") -> StringIndexerModel:
+def category_indexer(
+    df: DataFrame, categorical: Sequence[str], on_unseen: str = "error", max_labels: int = MAX_LABELS
+) -> StringIndexerModel:
     """``{c}_ix`` codes in sorted label order; an unseen label is an error by default.
 
-    Only the label sets matter, so the rows are reduced to distinct combinations
-    first. The indexer gathers the labels on the driver, so a column with more
-    than ``MAX_CODES`` labels is refused before it gets there.
+    A tree node counts every label on the driver, so a column of more than ``max_labels`` labels raises; give such a
+    column to the learner as a number (``encode.TargetMeans``). Only the distinct labels leave the tasks.
     """
-    combos = df.select(*categorical).distinct().persist()
-    counts = combos.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    large = [c for c in categorical if counts[c] > MAX_CODES]
-    if large:
-        raise ValueError(f"more than {MAX_CODES} labels in {', '.join(large)}")
-    indexer = StringIndexer(
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(categorical)]
+    labels = df.select(F.explode(F.array(*pairs)).alias("s")).select("s.*").where("v IS NOT NULL").distinct().persist()
+    counts = {r.i: r.n for r in labels.groupBy("i").agg(F.count("*").alias("n")).collect()}  # one row a column
+    if large := [c for i, c in enumerate(categorical) if counts.get(i, 0) > max_labels]:
+        labels.unpersist()
+        raise ValueError(f"more than {max_labels} labels in {', '.join(large)}")
+    held = {r.i: r.v for r in labels.groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("v")).collect()}
+    labels.unpersist()
+    return StringIndexerModel.from_arrays_of_labels(
+        [held.get(i, []) for i in range(len(categorical))],
         inputCols=list(categorical),
         outputCols=[f"{c}_ix" for c in categorical],
-        stringOrderType="alphabetAsc",
         handleInvalid=on_unseen,
-    ).fit(combos)
-    combos.unpersist()
-    return indexer
+    )
 
 
 def feature_pipeline(
@@ -85,7 +136,7 @@ def vector_names(df: DataFrame, column: str = "features") -> list[str]:
 
 
 def max_arity(df: DataFrame, column: str = "features") -> int:
-    nominal = df.schema[column].metadata["ml_attr"]["attrs"].get("nominal", [])
+    nominal = df.schema[column].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
     return max((len(a.get("vals", [])) for a in nominal), default=0)
 
 
@@ -96,58 +147,156 @@ def as_ensemble(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel
     weights = gateway.new_array(jvm.double, len(trees))
     for i, tree in enumerate(trees):
         models[i], weights[i] = tree._java_obj, rate
-    uid = f"PoissonBoost_{uuid.uuid4().hex[:12]}"
+    uid = f"Boosted_{uuid.uuid4().hex[:12]}"
     return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, models, weights))
 
 
+def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes of a tree or an ensemble saved at ``path``: ``tree, id, is_leaf, feature, h, g``.
+
+    Nodes are numbered from the root, left before right, so the leaves in order of ``id`` are the leaves 0, 1, .. that
+    ``leafCol`` names. ``h`` and ``g`` are the sums of the weights and of the weighted labels that grew the node.
+    """
+    data = spark.read.parquet(f"{path}/data")
+    if "nodeData" in data.columns:
+        data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
+    else:
+        data = data.withColumn("tree", F.lit(0))
+    return data.select(
+        "tree",
+        "id",
+        (F.col("leftChild") < 0).alias("is_leaf"),
+        F.col("split.featureIndex").alias("feature"),
+        F.col("impurityStats")[0].alias("h"),
+        F.col("impurityStats")[1].alias("g"),
+    )
+
+
+def leaf_values(spark: SparkSession, tree: DecisionTreeRegressionModel, l2: float) -> list[float]:
+    """Penalised value of every leaf of a tree, in the order of ``leafCol``; at most ``2 ** depth`` of them."""
+    path = shared_path(spark, "tree")
+    tree.write().overwrite().save(path)
+    rows = saved_nodes(spark, path).where("is_leaf").orderBy("id").collect()
+    remove(spark, path)
+    return [r.g / (r.h + l2) for r in rows]
+
+
+def penalised(spark: SparkSession, ensemble: GBTRegressionModel, l2: float) -> GBTRegressionModel:
+    """The ensemble with ``sum(g) / (sum(h) + l2)`` in every leaf: its saved nodes are rewritten and loaded again."""
+    old, new = shared_path(spark, "trees"), shared_path(spark, "trees")
+    ensemble.write().overwrite().save(old)
+    node = F.col("nodeData")
+    value = node["impurityStats"][1] / (node["impurityStats"][0] + l2)
+    data = spark.read.parquet(f"{old}/data")
+    fresh = F.when(node["leftChild"] < 0, value).otherwise(node["prediction"])
+    data.withColumn("nodeData", node.withField("prediction", fresh)).write.parquet(f"{new}/data")
+    spark.read.parquet(f"{old}/treesMetadata").write.parquet(f"{new}/treesMetadata")
+    spark.read.text(f"{old}/metadata").coalesce(1).write.text(f"{new}/metadata")
+    loaded = GBTRegressionModel.load(new)
+    remove(spark, old)
+    remove(spark, new)
+    return loaded
+
+
 @dataclass
-class PoissonBoost:
-    """A fitted ensemble on the log scale: ``eta = base + ensemble``."""
+class Boosted:
+    """A fitted ensemble: ``eta = base + ensemble``, and what its series add to the leaves, if they have their own."""
 
     base: float
     ensemble: GBTRegressionModel | None
+    loss: str = "poisson"
+    rate: float = 1.0
+    #: one row a series: its columns and ``_fixes``, an array of ``(tree, deltas)`` with what it adds to each leaf
+    fixes: DataFrame | None = None
     history: list[dict] = field(default_factory=list)
 
     @property
     def n_trees(self) -> int:
         return self.ensemble.getNumTrees if self.ensemble else 0
 
+    @property
+    def series(self) -> list[str]:
+        return [] if self.fixes is None else [c for c in self.fixes.columns if c != "_fixes"]
+
     def add_score(self, df: DataFrame) -> DataFrame:
-        """Add ``eta``, the log of the expected value."""
+        """Add ``eta``; a series that training has not seen, or not in some leaf, gets the pooled value there."""
         if self.ensemble is None:
             return df.withColumn("eta", F.lit(self.base))
-        scored = self.ensemble.setPredictionCol("_margin").transform(df)
-        return scored.withColumn("eta", F.lit(self.base) + F.col("_margin")).drop("_margin")
+        model = self.ensemble.setPredictionCol("_margin")
+        if self.fixes is None:
+            return model.transform(df).withColumn("eta", F.lit(self.base) + F.col("_margin")).drop("_margin")
+        model = model.copy().setLeafCol("_leaves")
+        scored = model.transform(df).withColumn("_at", vector_to_array("_leaves")).join(self.fixes, self.series, "left")
+        # the leaves are bound once by the outer transform, not computed again for every tree
+        own = F.expr(
+            "transform(array(_at), at -> aggregate(coalesce(_fixes, array()), 0D, (s, f) -> "
+            "s + coalesce(try_element_at(f.deltas, CAST(at[f.tree] AS INT)), 0D)))[0]"
+        )
+        eta = F.lit(self.base) + F.col("_margin") + F.lit(self.rate) * own
+        return scored.withColumn("eta", eta).select(*df.columns, "eta")
 
     def transform(self, df: DataFrame, name: str = "yhat") -> DataFrame:
-        return self.add_score(df).withColumn(name, F.exp("eta")).drop("eta")
+        expected = LOSSES[self.loss]().expected
+        return self.add_score(df).withColumn(name, expected(F.col("eta"))).drop("eta")
 
     def importance(self, names: Sequence[str]) -> list[tuple[str, float]]:
         """Mean gain share per feature, ascending by value and name."""
         share = self.ensemble.featureImportances.toArray() if self.ensemble else [0.0] * len(names)
         return sorted(zip(names, map(float, share)), key=lambda p: (p[1], p[0]))
 
+    def split_counts(self, spark: SparkSession, names: Sequence[str]) -> DataFrame:
+        """``(feature, splits)``: how many nodes of the saved ensemble split on each feature, unused ones included."""
+        named = spark.createDataFrame(list(enumerate(names)), "feature int, name string")
+        if self.ensemble is None:
+            return named.select(F.col("name").alias("feature"), F.lit(0).cast("long").alias("splits"))
+        path = shared_path(spark, "nodes")
+        self.ensemble.write().overwrite().save(path)
+        used = saved_nodes(spark, path).where("NOT is_leaf").groupBy("feature").agg(F.count("*").alias("splits"))
+        joined = named.join(used, "feature", "left")
+        return joined.select(F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"))
+
     def save(self, spark: SparkSession, path: str) -> None:
-        meta = spark.createDataFrame([(self.base, self.n_trees)], "base double, trees int")
+        row = (self.base, self.n_trees, self.loss, self.rate, self.fixes is not None)
+        meta = spark.createDataFrame([row], "base double, trees int, loss string, rate double, own boolean")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
         if self.ensemble:
             self.ensemble.write().overwrite().save(f"{path}/ensemble")
+        if self.fixes is not None:
+            self.fixes.write.mode("overwrite").parquet(f"{path}/fixes")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> PoissonBoost:
-        meta = spark.read.schema("base double, trees int").parquet(f"{path}/meta").first()
-        return cls(meta.base, GBTRegressionModel.load(f"{path}/ensemble") if meta.trees else None)
+    def load(cls, spark: SparkSession, path: str) -> Boosted:
+        meta = spark.read.parquet(f"{path}/meta").first()
+        ensemble = GBTRegressionModel.load(f"{path}/ensemble") if meta.trees else None
+        fixes = spark.read.parquet(f"{path}/fixes") if meta.own else None
+        return cls(meta.base, ensemble, meta.loss, meta.rate, fixes)
 
 
 def fit_poisson_boost(
-    train: DataFrame, valid: DataFrame | None, label: str, key: Sequence[str], **options
-) -> PoissonBoost:
+    train: DataFrame, valid: DataFrame | None, label: str, key: Sequence[str], max_delta_step: float = 0.7, **options
+) -> Boosted:
     """Boost Poisson trees on the ``features`` vector of ``train``; ``options`` as in ``boost_rows``."""
-    rows = train.withColumn("held", F.lit(False))
-    if valid is not None:
-        columns = ["features", label, *key]
-        rows = rows.select(*columns, "held").unionByName(valid.select(*columns).withColumn("held", F.lit(True)))
-    return boost_rows(rows, label, key, **options)
+    return boost_rows(flagged(train, valid, ["features", label, *key]), label, key, loss=poisson(max_delta_step), **options)
+
+
+def flagged(train: DataFrame, valid: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Training and validation rows as one frame with a ``held`` flag."""
+    columns = list(dict.fromkeys(columns))
+    rows = train.select(*columns, F.lit(False).alias("held"))
+    return rows if valid is None else rows.unionByName(valid.select(*columns, F.lit(True).alias("held")))
+
+
+def series_fixes(scored: DataFrame, grown: Column, g: Column, h: Column, pooled: Column, series: Sequence[str], shrink: float) -> DataFrame:
+    """One row a series: ``deltas``, a map from leaf to what the series adds to the pooled value ``v`` of the leaf.
+
+    The leaf of the series alone would hold ``sum(g) / sum(h)``; it is shrunk to ``v`` as if ``shrink`` weight of pooled
+    rows stood beside its own, ``(sum(g) + shrink v) / (sum(h) + shrink)``, of which ``v`` is taken off.
+    """
+    sums = scored.where(grown).groupBy(*series, F.col("leaf").cast("int").alias("leaf")).agg(
+        F.sum(g).alias("g"), F.sum(h).alias("h"), F.first(pooled).alias("v")
+    )
+    delta = (F.col("g") - F.col("v") * F.col("h")) / (F.col("h") + shrink)
+    return sums.groupBy(*series).agg(F.map_from_entries(F.collect_list(F.struct("leaf", delta))).alias("deltas"))
 
 
 def boost_rows(
@@ -155,36 +304,41 @@ def boost_rows(
     label: str,
     key: Sequence[str],
     *,
+    loss: Loss | None = None,
     rounds: int = 100,
     rate: float = 0.075,
     max_depth: int = 5,
     min_rows: int = 20,
     subsample: float = 1.0,
     patience: int | None = None,
-    max_delta_step: float = 0.7,
+    l2: float = 0.0,
+    series: Sequence[str] = (),
+    shrink: float = 100.0,
     cut_every: int = 5,
     seed: int = 64,
-) -> PoissonBoost:
-    """Boost Poisson trees on the rows whose ``held`` flag is false; held rows are monitored.
+) -> Boosted:
+    """Boost trees on the rows whose ``held`` flag is false; held rows are monitored. The loss is Poisson by default.
 
     With ``patience`` the rounds stop once the validation RMSE has not improved
-    for that many rounds, and the best prefix is kept. Row subsamples are drawn
-    by a hash of ``key`` and the round, so they survive a recomputed partition.
-    The running score is cut from its lineage every ``cut_every`` rounds, and superseded cuts are deleted.
+    for that many rounds, and the best prefix is kept. ``l2`` is the penalty on
+    leaves. With ``series`` the trees are grown on all rows, and every series
+    has leaf values of its own, shrunk to the pooled ones (``series_fixes``).
+    Row subsamples are drawn by a hash of ``key`` and the round, so they survive
+    a recomputed partition. The running score is cut from its lineage every
+    ``cut_every`` rounds, and superseded cuts are deleted.
     """
-    columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash"), "held"]
+    loss, spark = loss or poisson(), rows.sparkSession
+    columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash"), "held", *series]
     work = spread(materialize(rows.select(*columns), "boost"))
-    mean = work.where(~F.col("held")).agg(F.avg("y")).first()[0]
-    if not mean or mean <= 0:
-        raise ValueError("the Poisson loss needs a positive mean label")
-    base, trees, history = math.log(mean), [], []
+    base = loss.start(work.where(~F.col("held")).agg(F.avg("y")).first()[0])
+    trees, history, tables = [], [], []
     work = work.withColumn("eta", F.lit(base))
-    damp = math.exp(max_delta_step)
     learner = DecisionTreeRegressor(
         featuresCol="features",
         labelCol="step",
         weightCol="h",
         predictionCol="pred",
+        leafCol="leaf",
         maxDepth=max_depth,
         maxBins=max(32, max_arity(work)),
         minInstancesPerNode=min_rows,
@@ -192,28 +346,39 @@ def boost_rows(
         cacheNodeIds=False,
     )
     best, best_round, previous, written = math.inf, 0, None, None
-    spark = rows.sparkSession
-    mu = F.exp("eta")
+    y, eta, held = F.col("y"), F.col("eta"), F.col("held")
+    g, h = loss.gradient(y, eta), loss.weight(y, eta)
     for i in range(rounds):
-        rows = work.where(~F.col("held"))
+        grown = ~held
         if subsample < 1.0:
             draw = F.pmod(F.xxhash64("row_hash", F.lit(seed + i)), F.lit(1_000_000))
-            rows = rows.where(draw < int(subsample * 1_000_000))
-        step = (F.col("y") - mu) / (mu * damp)
-        tree = learner.fit(rows.select("features", step.alias("step"), (mu * damp).alias("h")))
+            grown = grown & (draw < int(subsample * 1_000_000))
+        tree = learner.fit(work.where(grown).select("features", (g / h).alias("step"), h.alias("h")))
         trees.append(tree)
-        scored = tree.transform(work).withColumn("eta", F.col("eta") + F.lit(rate) * F.col("pred")).drop("pred")
-        cut = shared_path(spark, "boost") if (i + 1) % cut_every == 0 else None
-        if cut:
-            scored.write.parquet(cut)
-            scored = spark.read.schema(scored.schema).parquet(cut)
+        scored, step = tree.transform(work), F.col("pred")
+        if l2:
+            values = F.array(*[F.lit(v) for v in leaf_values(spark, tree, l2)])
+            step = F.element_at(values, F.col("leaf").cast("int") + 1)
+        if series:
+            table = materialize(series_fixes(scored, grown, g, h, step, series, shrink), "fixes")
+            tables.append(table.withColumn("tree", F.lit(i)))
+            scored = scored.join(table, list(series), "left")
+            step = step + F.coalesce(F.try_element_at("deltas", F.col("leaf").cast("int")), F.lit(0.0))
+        scored = scored.withColumn("eta", eta + F.lit(rate) * step).select(*work.columns)
+        # sums of both parts in the pass that writes or keeps the new score
+        error = F.pow(y - loss.expected(eta), F.lit(2.0))
+        sums = [
+            F.sum(F.when(part, value)).alias(f"{name}_{what}")
+            for name, part in (("train", ~held), ("valid", held))
+            for what, value in (("n", F.lit(1)), ("rmse", error), ("nll", loss.row_loss(y, eta)))
+        ]
+        if (i + 1) % cut_every == 0:
+            seen, cut = Observation(), shared_path(spark, "boost")
+            scored.observe(seen, *sums).write.parquet(cut)
+            found, scored = seen.get, spark.read.schema(scored.schema).parquet(cut)
         else:
-            scored = scored.persist()
-        loss = scored.groupBy("held").agg(
-            F.sqrt(F.avg(F.pow(F.col("y") - mu, F.lit(2.0)))).alias("rmse"),
-            F.avg(mu - F.col("y") * F.col("eta")).alias("nll"),
-        )
-        by_part = {r.held: r for r in loss.collect()}  # at most two rows
+            cut, scored = None, scored.persist()
+            found = scored.agg(*sums).first().asDict()
         if previous is not None:
             previous.unpersist()
         if cut:
@@ -221,9 +386,10 @@ def boost_rows(
                 remove(spark, written)  # nothing reads the cut before this one any more
             written = cut
         work = previous = scored
-        entry = {"train_rmse": by_part[False].rmse, "train_nll": by_part[False].nll}
-        if True in by_part:
-            entry |= {"valid_rmse": by_part[True].rmse, "valid_nll": by_part[True].nll}
+        entry = {}
+        for part in ("train", "valid"):
+            if n := found[f"{part}_n"]:
+                entry |= {f"{part}_rmse": math.sqrt(found[f"{part}_rmse"] / n), f"{part}_nll": found[f"{part}_nll"] / n}
         history.append(entry)
         watched = entry.get("valid_rmse")
         if watched is not None and watched < best:
@@ -236,7 +402,18 @@ def boost_rows(
         remove(spark, written)
     if patience is not None and best_round:
         trees = trees[:best_round]
-    return PoissonBoost(base, as_ensemble(spark, trees, rate) if trees else None, history)
+    if not trees:
+        return Boosted(base, None, loss.name, rate, None, history)
+    ensemble, fixes = as_ensemble(spark, trees, rate), None
+    if l2:
+        ensemble = penalised(spark, ensemble, l2)
+    if series:
+        every = tables[0]
+        for table in tables[1 : len(trees)]:
+            every = every.unionByName(table)
+        packed = every.groupBy(*series).agg(F.collect_list(F.struct("tree", "deltas")).alias("_fixes"))
+        fixes = materialize(packed, "series-fixes")
+    return Boosted(base, ensemble, loss.name, rate, fixes, history)
 
 
 def fit_poisson_glm(train: DataFrame, label: str, reg: float = 1e-6, max_iter: int = 25) -> GeneralizedLinearRegressionModel:

@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidecast.operators.boost import max_arity
+from tidecast.operators.boost import Boosted, boost_rows, flagged, squared
 
 
-def fit_residual_gbt(
-    train: DataFrame,
-    valid: DataFrame | None,
-    label: str = "resid",
-    *,
-    rounds: int = 100,
-    rate: float = 0.02,
-    max_depth: int = 5,
-    min_rows: int = 20,
-    validation_tol: float = 0.0,
-    seed: int = 64,
-) -> GBTRegressionModel:
-    """One pooled model over all series; store and department enter as categories.
+def fit_residual_boost(
+    train: DataFrame, valid: DataFrame | None, label: str, key: Sequence[str], series: Sequence[str] = (), **options
+) -> Boosted:
+    """Trees grown on all series, with leaf values per series where ``series`` names its columns.
 
-    A validation frame stops the boosting early. Every round scans the data
-    again, so pass frames that were written or checkpointed.
+    ``options`` as in ``boost_rows``. A model for each series alone would have to find its splits in the rows of that
+    series; here the splits are found once, in all rows, and only the leaves are told apart, so the work does not grow
+    with the number of series and a short series falls back on the others.
     """
-    work = train.select("features", label, F.lit(False).alias("held"))
-    if valid is not None:
-        work = work.unionByName(valid.select("features", label, F.lit(True).alias("held")))
-    learner = GBTRegressor(
-        featuresCol="features",
-        labelCol=label,
-        predictionCol="resid_fcast",
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=max_depth,
-        maxBins=max(32, max_arity(train)),
-        minInstancesPerNode=min_rows,
-        checkpointInterval=5,
-        seed=seed,
-    )
-    if valid is not None:
-        learner = learner.setParams(validationIndicatorCol="held", validationTol=validation_tol)
-    return learner.fit(work)
+    columns = ["features", label, *key, *series]
+    return boost_rows(flagged(train, valid, columns), label, key, loss=squared(), series=series, **options)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators import metrics
-from tidecast.operators.boost import PoissonBoost, feature_pipeline, fill_missing, fit_poisson_boost
+from tidecast.operators.boost import Boosted, feature_pipeline, fill_missing, fit_poisson_boost
 from tidecast.operators.split import blocked_split
 from tidecast.plans import known
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
@@ -34,7 +34,7 @@ PANEL_SPEC = FeatureSpec(KEYS, "day_num", "demand", LAGS, MEANS, min_count=None)
 @dataclass
 class Fitted:
     pipeline: PipelineModel
-    model: PoissonBoost
+    model: Boosted
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.pipeline.transform(fill_missing(df, DERIVED)))

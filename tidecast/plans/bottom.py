@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as S
 from tidecast.operators import reshape
-from tidecast.operators.boost import PoissonBoost, boost_rows, feature_pipeline, fill_missing
+from tidecast.operators.boost import Boosted, boost_rows, feature_pipeline, fill_missing
 from tidecast.operators.split import sample_flag
 from tidecast.plans import known, submission
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
@@ -80,7 +80,7 @@ class BottomForecast:
         )
         return pipeline, model
 
-    def forecast(self, pipeline, model: PoissonBoost) -> DataFrame:
+    def forecast(self, pipeline, model: Boosted) -> DataFrame:
         """Columns: id, day_num, yhat."""
         s = self.t.study
         history = self.long.select("id", "day_num", "sales")

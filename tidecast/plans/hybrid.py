@@ -5,13 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators import features, metrics, reshape, varx
-from tidecast.operators.boost import category_indexer
-from tidecast.operators.residual import fit_residual_gbt
+from tidecast.operators.boost import Boosted, category_indexer
+from tidecast.operators.residual import fit_residual_boost
 from tidecast.operators.split import blocked_split, origin_split
 from tidecast.plans import known
 from tidecast.session import materialize
@@ -127,25 +126,31 @@ class HybridForecast:
         """Residual rows of all origins, written once: every boosting round scans them."""
         return materialize(self.residual_rows(self.rolling), "residuals")
 
-    def fit(self, *, rounds: int, rate: float = 0.02, max_depth: int = 5) -> GBTRegressionModel:
+    def fit(
+        self, *, rounds: int = 1_000, rate: float = 0.02, max_depth: int = 5, patience: int | None = 10, l2: float = 0.0
+    ) -> Boosted:
+        """Trees common to all series, leaf values per store and department, stopped by patience on the windows."""
         s = self.t.study
         train, valid, _ = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
-        return fit_residual_gbt(train, valid, rounds=rounds, rate=rate, max_depth=max_depth)
+        key = [*KEYS, "origin", "step"]
+        return fit_residual_boost(
+            train, valid, "resid", key, KEYS, rounds=rounds, rate=rate, max_depth=max_depth, patience=patience, l2=l2
+        )
 
-    def combine(self, rows: DataFrame, model: GBTRegressionModel) -> DataFrame:
+    def combine(self, rows: DataFrame, model: Boosted) -> DataFrame:
         """Final forecast = base forecast + predicted residual."""
-        scored = model.transform(rows)
+        scored = model.transform(rows, "resid_fcast")
         final = F.col("demand_fcast") + F.col("resid_fcast")
         return scored.select(
             *KEYS, "origin", "step", "day_num", "demand", "demand_fcast", "resid_fcast", final.alias("demand_fcast_final")
         )
 
-    def scored(self, model: GBTRegressionModel) -> DataFrame:
+    def scored(self, model: Boosted) -> DataFrame:
         """Base and final forecasts at the origins that open a validation window."""
         s = self.t.study
         _, _, held = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
         return self.combine(held, model)
 
-    def rmse(self, model: GBTRegressionModel) -> DataFrame:
+    def rmse(self, model: Boosted) -> DataFrame:
         models = {"var_rmse": "demand_fcast", "hybrid_rmse": "demand_fcast_final"}
         return metrics.rmse_models(self.scored(model), ["origin"], "demand", models)

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators import boost, features, varx
+from tidecast.operators.residual import fit_residual_boost
 from tidecast.plans import recursive, submission
 from tidecast.plans.aggregate import DERIVED, KEYS, AggregateForecast, Fitted
 from tidecast.plans.bottom import BottomForecast
 from tidecast.plans.hybrid import HybridForecast
 from tidecast.plans import known
 from tidecast.plans.registry import IN_WINDOWS, query
-from tidecast.session import shared_path
+from tidecast.session import materialize, shared_path
 from tidecast.sources.binding import BoundTables
 
 # The registered queries boost in long steps until the validation error has not improved for PATIENCE rounds.
@@ -77,30 +78,97 @@ def ml_poisson_boost(t: BoundTables) -> DataFrame:
     return fitted.model.transform(valid).select(*KEYS, "day_num", "demand", "yhat")
 
 
-CLOSED_ROUNDS, CLOSED_RATE = 8, 0.5
+# On one binary feature a tree of depth 1 holds a step for each of its two values, so the rounds are a recursion in SQL.
+CLOSED_ROUNDS, CLOSED_RATE, CLOSED_L2, CLOSED_SHRINK = 8, 0.5, 0.1, 50.0
+_WEEKEND = "CASE WHEN wday <= 2 THEN 1 ELSE 0 END"
+#: Demand minus the demand 28 days before.
+_NAIVE_ROWS = f"""rows_of AS (SELECT store_id, dept_id, demand - before AS resid, {_WEEKEND} AS weekend FROM (
+  SELECT *, lag(demand, 28) OVER (PARTITION BY store_id, dept_id ORDER BY day_num) AS before FROM panel_cal)
+  WHERE before IS NOT NULL)"""
 
 
-def _closed_form_sql() -> str:
-    """On one binary feature a tree of depth 1 holds both group steps, so the rounds are a recursion over two means."""
-    damp = "exp(0.7)"
-    first = "SELECT weekend, avg(demand) AS m, ln((SELECT avg(demand) FROM panel)) AS eta FROM rows_of GROUP BY weekend"
-    parts = [f"e0 AS ({first})"]
-    for i in range(CLOSED_ROUNDS):
-        parts.append(f"e{i + 1} AS (SELECT weekend, m, eta + {CLOSED_RATE} * (m / exp(eta) - 1) / {damp} AS eta FROM e{i})")
-    rows = "rows_of AS (SELECT demand, CASE WHEN wday <= 2 THEN 1 ELSE 0 END AS weekend FROM panel_cal)"
-    return f"WITH {rows}, {', '.join(parts)} SELECT CAST(weekend AS INTEGER) AS weekend, round(exp(eta), 6) AS yhat FROM e{CLOSED_ROUNDS}"
+def _chain(first: str, step: str, rounds: int = CLOSED_ROUNDS) -> str:
+    return ", ".join([f"e0 AS ({first})", *[f"e{i + 1} AS ({step.format(e=f'e{i}')})" for i in range(rounds)]])
 
 
-@query("ml_boost_closed_form", _closed_form_sql(), ["panel_cal", "panel"])
-def ml_boost_closed_form(t: BoundTables) -> DataFrame:
-    """A boosted Poisson model on one binary feature, whose value per group has a closed recursion."""
+def _poisson_sql() -> str:
+    rows = f"rows_of AS (SELECT demand, {_WEEKEND} AS weekend FROM panel_cal)"
+    first = """SELECT weekend, count(*) AS n, avg(demand) AS m, ln((SELECT avg(demand) FROM panel)) AS eta
+  FROM rows_of GROUP BY weekend"""
+    step = f"SELECT weekend, n, m, eta + {CLOSED_RATE} * n * (m - exp(eta)) / (n * exp(eta) * exp(0.7) + {CLOSED_L2}) AS eta FROM {{e}}"
+    last = f"SELECT CAST(weekend AS INTEGER) AS weekend, round(exp(eta), 6) AS yhat FROM e{CLOSED_ROUNDS}"
+    return f"WITH {rows}, {_chain(first, step)} {last}"
+
+
+def weekend_rows(t: BoundTables) -> DataFrame:
     rows = t.panel_calendar().select(*KEYS, "day_num", "demand", (F.col("wday") <= 2).cast("int").alias("weekend"))
-    rows = VectorAssembler(inputCols=["weekend"], outputCol="features").transform(rows).withColumn("held", F.lit(False))
-    model = boost.boost_rows(rows, "demand", [*KEYS, "day_num"], rounds=CLOSED_ROUNDS, rate=CLOSED_RATE, max_depth=1)
+    return VectorAssembler(inputCols=["weekend"], outputCol="features").transform(rows).withColumn("held", F.lit(False))
+
+
+def closed_form_model(t: BoundTables, rows: DataFrame) -> boost.Boosted:
+    options = {"rounds": CLOSED_ROUNDS, "rate": CLOSED_RATE, "max_depth": 1, "l2": CLOSED_L2}
+    return boost.boost_rows(rows, "demand", [*KEYS, "day_num"], **options)
+
+
+@query("ml_boost_closed_form", _poisson_sql(), ["panel_cal", "panel"])
+def ml_boost_closed_form(t: BoundTables) -> DataFrame:
+    """A boosted Poisson model with a penalty on leaves, on one binary feature."""
+    rows = weekend_rows(t)
+    scored = closed_form_model(t, rows).transform(rows).groupBy("weekend").agg(F.avg("yhat").alias("yhat"))
+    return scored.select("weekend", r6("yhat"))
+
+
+@query("ml_split_counts", f"SELECT 'weekend' AS feature, CAST({CLOSED_ROUNDS} AS BIGINT) AS splits")
+def ml_split_counts(t: BoundTables) -> DataFrame:
+    """Importance as the number of splits on a feature, read from the saved trees: one in each tree of depth 1."""
+    rows = weekend_rows(t)
+    return closed_form_model(t, rows).split_counts(t.spark, boost.vector_names(rows))
+
+
+def naive_residual_rows(t: BoundTables) -> DataFrame:
+    lagged = features.add_lags(weekend_rows(t), KEYS, "day_num", "demand", {"before": 28})
+    return lagged.where(F.col("before").isNotNull()).withColumn("resid", F.col("demand") - F.col("before"))
+
+
+def _residual_sql() -> str:
+    first = """SELECT weekend, count(*) AS n, avg(resid) AS m, (SELECT avg(resid) FROM rows_of) AS eta
+  FROM rows_of GROUP BY weekend"""
+    step = f"SELECT weekend, n, m, eta + {CLOSED_RATE} * n * (m - eta) / (n + {CLOSED_L2}) AS eta FROM {{e}}"
+    last = f"SELECT CAST(weekend AS INTEGER) AS weekend, round(eta, 6) AS yhat FROM e{CLOSED_ROUNDS}"
+    return f"WITH {_NAIVE_ROWS}, {_chain(first, step)} {last}"
+
+
+@query("ml_residual_closed_form", _residual_sql(), ["panel_cal"])
+def ml_residual_closed_form(t: BoundTables) -> DataFrame:
+    """A boosted squared-loss model on residuals, one for all series."""
+    rows = naive_residual_rows(t)
+    options = {"rounds": CLOSED_ROUNDS, "rate": CLOSED_RATE, "max_depth": 1, "l2": CLOSED_L2}
+    model = fit_residual_boost(rows, None, "resid", [*KEYS, "day_num"], **options)
     scored = model.transform(rows).groupBy("weekend").agg(F.avg("yhat").alias("yhat"))
     return scored.select("weekend", r6("yhat"))
 
 
+def _per_series_sql() -> str:
+    first = """SELECT store_id, dept_id, weekend, count(*) AS n, avg(resid) AS m, (SELECT avg(resid) FROM rows_of) AS eta
+  FROM rows_of GROUP BY ALL"""
+    pooled = f"(sum(n * (m - eta)) OVER (PARTITION BY weekend)) / ((sum(n) OVER (PARTITION BY weekend)) + {CLOSED_L2})"
+    step = f"""SELECT store_id, dept_id, weekend, n, m,
+  eta + {CLOSED_RATE} * (n * (m - eta) + {CLOSED_SHRINK} * v) / (n + {CLOSED_SHRINK}) AS eta
+  FROM (SELECT *, {pooled} AS v FROM {{e}})"""
+    last = f"SELECT store_id, dept_id, CAST(weekend AS INTEGER) AS weekend, round(eta, 6) AS yhat FROM e{CLOSED_ROUNDS}"
+    return f"WITH {_NAIVE_ROWS}, {_chain(first, step)} {last}"
+
+
+@query("ml_residual_per_series", _per_series_sql(), ["panel_cal"])
+def ml_residual_per_series(t: BoundTables) -> DataFrame:
+    """Trees grown on the residuals of all series, with leaf values of each store and department shrunk to the pooled ones."""
+    rows = materialize(naive_residual_rows(t), "naive-residuals")
+    options = {"rounds": CLOSED_ROUNDS, "rate": CLOSED_RATE, "max_depth": 1, "l2": CLOSED_L2, "shrink": CLOSED_SHRINK}
+    model = fit_residual_boost(rows, None, "resid", [*KEYS, "day_num"], KEYS, **options)
+    cells = rows.dropDuplicates([*KEYS, "weekend"])
+    return model.transform(cells).select(*KEYS, "weekend", r6("yhat"))
+
+
 @query(
     "ml_glm_totals",
     f"""SELECT store_id, round(sum(demand), 3) AS demand, TRUE AS equal FROM panel WHERE NOT {IN_WINDOWS('day_num')}
@@ -140,7 +208,7 @@ def saved_and_loaded(t: BoundTables, fitted: Fitted) -> Fitted:
     path = shared_path(t.spark, "model")
     fitted.model.save(t.spark, f"{path}/boost")
     fitted.pipeline.write().overwrite().save(f"{path}/features")
-    return Fitted(PipelineModel.load(f"{path}/features"), boost.PoissonBoost.load(t.spark, f"{path}/boost"))
+    return Fitted(PipelineModel.load(f"{path}/features"), boost.Boosted.load(t.spark, f"{path}/boost"))
 
 
 @query("ml_save_load_score")
@@ -269,20 +337,20 @@ def var_rolling_origin(t: BoundTables) -> DataFrame:
 def ml_residual_gbt(t: BoundTables) -> DataFrame:
     """Base and hybrid forecasts at the origins that open a validation window."""
     hybrid = HybridForecast(t)
-    return hybrid.scored(hybrid.fit(rounds=3, rate=0.3, max_depth=4))
+    return hybrid.scored(hybrid.fit(rate=RATE, patience=PATIENCE))
 
 
 @query("rmse_hybrid")
 def rmse_hybrid(t: BoundTables) -> DataFrame:
     hybrid = HybridForecast(t)
-    return hybrid.rmse(hybrid.fit(rounds=3, rate=0.3, max_depth=4)).orderBy("origin")
+    return hybrid.rmse(hybrid.fit(rate=RATE, patience=PATIENCE)).orderBy("origin")
 
 
 @query("forecast_hybrid", compact="item")
 def forecast_hybrid(t: BoundTables) -> DataFrame:
     """Top-down submission of the hybrid department forecast."""
     hybrid = HybridForecast(t)
-    model = hybrid.fit(rounds=3, rate=0.3, max_depth=4)
+    model = hybrid.fit(rate=RATE, patience=PATIENCE)
     ahead = hybrid.combine(hybrid.residual_rows(hybrid.ahead), model)
     return submission.aggregate_submission(
         submission.submission_ids(t), submission.item_weights(t), ahead, "demand_fcast_final", t.study
