@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as S
-from tidecast.operators import encode, split
+from tidecast.operators import encode, rank, split
 
 
 def test_narrowing_uses_open_bounds(spark):
@@ -29,10 +30,52 @@ def test_label_encoding_learns_on_train_only(spark):
     assert encode.apply_codes(other, codes, on_unseen="null").first().v_code is None
 
 
-def test_dictionary_refuses_to_grow(spark):
-    df = spark.range(10).select(F.col("id").cast("string").alias("v"))
-    with pytest.raises(Exception, match="more than 4 values"):
-        encode.dictionary(df, "v", "code", max_values=4).collect()
+def test_codes_of_many_labels(spark):
+    df = spark.range(100_000).select(F.sha1(F.col("id").cast("string")).alias("v")).repartition(4)
+    codes = encode.dictionary(df.union(df.limit(500)), "v", "code")
+    rows = codes.collect()
+    assert len(rows) == 100_000
+    assert [r.v for r in sorted(rows, key=lambda r: r.code)] == sorted(r.v for r in rows)
+    assert sorted(r.code for r in rows) == list(range(100_000))
+    coded = encode.category_codes(df, ["v"])
+    assert coded.where("v_code IS NULL").count() == 0 and coded.agg(F.max("v_code")).first()[0] == 99_999
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan or "_rows" in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_places_within_groups(spark, partitions):
+    rows = [(g, i * 7 % 50, f"t{i % 5}") for g in ("a", None, "c") for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, n int, t string").repartition(partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = rank.numbered(df, ["n", "t"], "at", ["g"], ["n"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    for g in ("a", None, "c"):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r["at"])
+        assert [r["at"] for r in own] == list(range(50)) and [r.n for r in own] == list(range(49, -1, -1))
+    assert rank.numbered(df.limit(0), ["n"], "at").isEmpty()
+
+
+def test_item_means_leave_the_own_fold_out(spark):
+    rows = [(i, "abc"[i % 3] if i % 11 else None, float(i % 7) if i % 13 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, item string, y double").withColumn("fold", encode.fold_of(["k"], 4))
+    means = encode.fit_target_means(df, "item", "y", ["k"], folds=4, prior=3.0)
+    data = df.collect()
+
+    def mean(item, without):
+        left = [r for r in data if r.fold != without and r.y is not None]
+        own = [r.y for r in left if r["item"] == item]
+        m = sum(r.y for r in left) / len(left)
+        return (sum(own) + 3.0 * m) / (len(own) + 3.0)
+
+    half = means.encode(df, "code", trained=F.col("k") % 2 == 0).collect()
+    assert len(half) == 400
+    for r in half:
+        assert r.code == pytest.approx(mean(r["item"], r.fold if r.k % 2 == 0 else None))
+    new = means.encode(spark.createDataFrame([(900, "zz")], "k int, item string"), "code").first()
+    assert new.code == pytest.approx(np.mean([r.y for r in data if r.y is not None]))
 
 
 def test_blocked_split_is_complete_and_disjoint(spark):
@@ -86,3 +129,20 @@ def test_scalar_expressions(spark):
     ).first()
     assert (row.item_id, row.dept_id, row.store_id, row.state_id) == ("FOODS_3_090", "FOODS_3", "CA_3", "CA")
     assert (row.n, row.snap, row.none, row.w, row["F"], row.r) == (17, 1, 0, 1, "F3", None)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6])
+def test_selection_looks_behind_equal_prefixes(spark, n):
+    digests = ["aaaa0000" + "0" * 24, "aaaa0001" + "0" * 24, "aaaa0001" + "0" * 23 + "1", "aaaa0001" + "f" * 24, "b" * 32]
+    df = spark.createDataFrame([(d,) for d in digests], "_digest string")
+    cut = split.nth_digest(df, n)
+    if n > 5:
+        assert cut is None
+    else:
+        assert [d for d in digests if d[: len(cut)] <= cut] == digests[:n]
+
+
+def test_holdout_ranks_nothing(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    plan = split.sample_flag(df, ["k"], 700)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.operators import reshape
+from tidecast.operators import features, reshape
 
 
 def test_melt_keeps_null_cells(spark):
@@ -31,10 +31,54 @@ def test_scaffold_holds_pairs_never_seen_together(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_dimension_array_refuses_to_grow(spark):
-    df = spark.range(5).select(F.col("id").cast("string").alias("k"), F.lit("s").alias("store"))
-    with pytest.raises(Exception, match="more than 3"):
-        df.limit(1).withColumn("a", reshape.distinct_array(df, "k", 3)).collect()
+def test_key_product_of_large_dimensions(spark):
+    df = spark.range(300).select(F.concat(F.lit("s"), "id").alias("store"), F.concat(F.lit("d"), F.col("id") % 200).alias("dept"))
+    df = df.union(spark.createDataFrame([(None, "d0"), ("s0", None)], "store string, dept string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = reshape.key_product(df, "store", "dept", buckets=7)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert pairs.count() == pairs.distinct().count() == 300 * 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def priced_frames(spark):
+    cells = [("s", "i", 2, 5.0), ("s", "i", 9, 1.0), ("s", "i", 16, 2.0), ("s", "j", 30, 4.0), ("t", "i", 8, 7.0), ("t", "k", 9, 1.0), ("s", "i", 40, 9.0)]
+    prices = [("s", "i", w, 1.0 + w, "x") for w in (1, 2, 4)] + [("t", "i", 2, 9.0, "y"), ("s", "j", 1, 3.0, None), ("t", "z", 3, 1.0, "z")]
+    weeks = [(w, 7 * w - 6, 7 * w) for w in range(1, 6)]
+    return (
+        (cells, spark.createDataFrame(cells, "store string, item string, day int, sales double")),
+        (prices, spark.createDataFrame(prices, "store string, item string, week int, price double, note string")),
+        (weeks, spark.createDataFrame(weeks, "week int, _from int, _to int")),
+    )
+
+
+@pytest.mark.parametrize(("first", "last"), [(1, 35), (3, 25), (9, 9), (20, 21)])
+def test_priced_days_equal_a_dense_join(spark, first, last):
+    (cells, sold), (prices, priced), (_, weeks) = priced_frames(spark)
+    out = reshape.priced_days(sold, priced, weeks, ["store", "item"], "day", "sales", "price", first, last)
+    assert out.columns == ["store", "item", "price", "note", "day", "sales"]
+    units = {(a, b, d): v for a, b, d, v in cells}
+    want = [
+        (a, b, p, note, d, units.get((a, b, d), 0.0)) for a, b, w, p, note in prices for d in range(7 * w - 6, 7 * w + 1) if first <= d <= last
+    ]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+
+
+def test_daily_rows_are_never_moved(spark):
+    """Sparse rows are exchanged once; windows over the daily rows of a series need no exchange of their own."""
+    (_, sold), (_, priced), (_, weeks) = priced_frames(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        daily = reshape.priced_days(sold, priced, weeks, ["store", "item"], "day", "sales", "price", 1, 35)
+        lagged = features.add_rolling_means(daily, ["store", "item"], "day", "sales", {"m": (7, 7)})
+        plan = lagged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+        assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_fill_days_covers_the_range(spark):

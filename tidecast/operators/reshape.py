@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 
 def melt_days(df: DataFrame, ids: Sequence[str], var: str = "d", value: str = "sales", prefix: str = "d_") -> DataFrame:
-    """One row per (id row, day column); null cells are kept."""
+    """One row per (id row, day column); null cells are kept.
+
+    The day columns become one array, so the plan is the same however many there are.
+    """
     days = [c for c in df.columns if c.startswith(prefix)]
-    return df.unpivot(list(ids), days, var, value)
+    if not days:
+        return df.select(*ids, F.lit(None).cast("string").alias(var), F.lit(None).cast("double").alias(value)).limit(0)
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`") for c in days])).alias("_at", value)
+    names = F.array(*[F.lit(c) for c in days])
+    return df.select(*ids, cells).select(*ids, F.get(names, F.col("_at")).alias(var), value)
 
 
 def pivot_horizon(df: DataFrame, keys: Sequence[str], step: str, value: str, steps: Sequence) -> DataFrame:
@@ -23,44 +30,26 @@ def pivot_horizon(df: DataFrame, keys: Sequence[str], step: str, value: str, ste
     return df.groupBy(*keys).pivot(step, list(steps)).agg(single)
 
 
-def distinct_array(df: DataFrame, column: str, max_values: int = 10_000) -> Column:
-    """Distinct values of a dimension column as one sorted array (a scalar subquery).
-
-    The set is cut at ``max_values + 1`` before it is gathered and a longer one
-    raises, so the array has a proven bound.
-    """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1)
-    gathered = values.agg(F.array_sort(F.collect_list(column)).alias("v"))
-    checked = gathered.select(
-        F.when(
-            F.size("v") > max_values,
-            F.raise_error(F.lit(f"{column} has more than {max_values} values")).cast(gathered.schema["v"].dataType),
-        )
-        .otherwise(F.col("v"))
-        .alias("v")
-    )
-    return checked.scalar()
-
-
 def day_range(first: int, last: int) -> Column:
     return F.explode(F.sequence(F.lit(first), F.lit(last)))
 
 
-def scaffold(df: DataFrame, outer: str, inner: str, day: str, first: int, last: int) -> DataFrame:
-    """Every ``outer`` key x every ``inner`` key x every day of the range.
+def key_product(df: DataFrame, outer: str, inner: str, buckets: int = 64) -> DataFrame:
+    """Every ``outer`` key with every ``inner`` key, pairs never seen together included.
 
-    The full key product is the point of the operator (pairs never seen
-    together are included); it is built by exploding a size-checked array of
-    the ``inner`` dimension, so the plan holds no nested-loop join.
+    A replicated equi-join: an ``outer`` key goes to one bucket by its hash, every ``inner`` key to all of them, so each
+    pair meets once, no task holds more than its bucket, and the plan has no nested-loop join.
     """
-    inner_values = distinct_array(df, inner)
-    return (
-        df.select(outer)
-        .distinct()
-        .withColumn("_inner", inner_values)
-        .select(outer, F.explode("_inner").alias(inner))
-        .select(outer, inner, day_range(first, last).alias(day))
-    )
+    left = df.select(outer).where(F.col(outer).isNotNull()).distinct()
+    left = left.withColumn("_bucket", F.pmod(F.xxhash64(outer), F.lit(buckets)).cast("int"))
+    right = df.select(inner).where(F.col(inner).isNotNull()).distinct()
+    right = right.select(inner, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"))
+    return left.join(right, "_bucket").select(outer, inner)
+
+
+def scaffold(df: DataFrame, outer: str, inner: str, day: str, first: int, last: int) -> DataFrame:
+    """Every ``outer`` key x every ``inner`` key x every day of the range."""
+    return key_product(df, outer, inner).select(outer, inner, day_range(first, last).alias(day))
 
 
 def fill_days(
@@ -115,3 +104,35 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
+
+
+def priced_days(
+    cells: DataFrame, prices: DataFrame, weeks: DataFrame, key: Sequence[str], day: str, value: str, price: str, first: int, last: int
+) -> DataFrame:
+    """Daily rows of every series over ``[first, last]`` on the days that it has a price, ``value`` 0 where nothing sold.
+
+    ``cells`` holds ``key``, ``day`` and ``value`` where something sold, ``prices`` one row a series and week with ``key``,
+    the week, ``price`` and columns to carry, ``weeks`` the week's days ``_from`` to ``_to`` (a calendar, so it may be
+    broadcast). Sparse cells and weekly prices are brought together by ``key`` once; each row is then stretched to the
+    day before the next one or to the end of its price's week. The daily rows come out partitioned by ``key``, so the
+    windows of a series behind it need no exchange, and they are never joined.
+    """
+    week = next(c for c in weeks.columns if c not in ("_from", "_to"))
+    carried = [c for c in prices.columns if c not in (*key, week)]
+    spells = prices.join(F.broadcast(weeks), week).where((F.col("_to") >= first) & (F.col("_from") <= last))
+    spells = spells.select(
+        *key,
+        F.greatest("_from", F.lit(first)).alias(day),
+        F.struct(F.least("_to", F.lit(last)).alias("_to"), *carried).alias("_spell"),
+    )
+    sold = cells.where(F.col(day).between(first, last)).select(*key, day, value)
+    rows = spells.unionByName(sold, allowMissingColumns=True).repartition(*key)
+    rows = rows.groupBy(*key, day).agg(F.first("_spell", ignorenulls=True).alias("_spell"), F.sum(value).alias(value))
+    own = W.partitionBy(*key).orderBy(day)
+    until = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    runs = rows.withColumns({"_spell": F.last("_spell", ignorenulls=True).over(until), "_next": F.lead(day).over(own)})
+    ends = F.least(F.col("_spell._to"), F.coalesce(F.col("_next") - 1, F.col("_spell._to")))
+    runs = runs.where(F.col(day) <= F.col("_spell._to"))
+    stretched = runs.select(*key, F.col(day).alias("_seen"), value, "_spell", F.explode(F.sequence(F.col(day), ends)).alias(day))
+    filled = F.when(F.col(day) == F.col("_seen"), F.coalesce(F.col(value), F.lit(0.0))).otherwise(F.lit(0.0))
+    return stretched.select(*key, *[F.col(f"_spell.`{c}`").alias(c) for c in carried], day, filled.alias(value))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalars import valid_window_number
+from tidecast.session import materialize
 
 
 def blocked_split(
@@ -38,35 +38,47 @@ def key_digest(key: Sequence[str], seed: int):
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
 
 
+#: Hex digits of the digest that one step of the selection looks at, as many counters as ``16 ** DIGITS``.
+DIGITS = 4
+
+
+def nth_digest(digests: DataFrame, n: int) -> str | None:
+    """The least prefix that parts the ``n`` smallest of unique hex digests from the others; None for fewer than ``n``.
+
+    Radix selection: count the digests by their next digits, follow the value that holds the n-th one, and look at the
+    digits behind it in the rows of that value only, until the prefix holds no row behind the n-th one.
+    Nothing is sorted or ranked; the driver sees at most ``16 ** DIGITS`` counters a step.
+    """
+    prefix, left = "", n
+    while len(prefix) < 32:
+        step = F.substring("_digest", len(prefix) + 1, DIGITS).alias("_next")
+        sizes = sorted((r._next, r["count"]) for r in digests.groupBy(step).count().collect())
+        for value, size in sizes:
+            if size >= left:
+                break
+            left -= size
+        else:
+            return None
+        prefix += value
+        if size == left:
+            return prefix
+        digests = materialize(digests.where(F.col("_digest").startswith(prefix)), "digests")
+    return prefix
+
+
 def sample_flag(df: DataFrame, key: Sequence[str], n: int, seed: int = 64, name: str = "held") -> DataFrame:
-    """Mark exactly ``n`` random rows, without a global sort.
+    """Mark exactly ``n`` random rows, without a sort.
 
     Rows are ordered by the digest of their unique key; the n-th smallest digest
-    is the cut and each row is then placed by a plain comparison. The cut is
-    found by counting rows per five-digit digest prefix (1,048,576 counters at
-    most) and ranking only the one prefix that crosses ``n``. The result does
-    not depend on partitioning.
+    is the cut (``nth_digest``) and each row is then placed by a plain
+    comparison. The result does not depend on partitioning.
     """
-    digest = key_digest(key, seed)
     if n <= 0:
         return df.withColumn(name, F.lit(False))
-    digests = df.select(digest.alias("_digest")).withColumn("_bucket", F.substring("_digest", 1, 5))
-    sizes = digests.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    crossing = (
-        sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where((F.col("_before") < n) & (F.col("_before") + F.col("_size") >= n))
-        .select("_bucket", "_before")
-    )
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_digest"))
-    nth = (
-        digests.join(F.broadcast(crossing), "_bucket")
-        .withColumn("_rank", rank + F.col("_before"))
-        .where(F.col("_rank") == n)
-        .agg(F.max("_digest").alias("_cut"))
-    )
-    # no crossing prefix means fewer than n rows: every digest is below "g"
-    return df.withColumn(name, digest <= F.coalesce(nth.scalar(), F.lit("g")))
+    digest = key_digest(key, seed)
+    cut = nth_digest(df.select(digest.alias("_digest")), n)
+    # a cut that is a prefix takes in all digests that begin with it
+    return df.withColumn(name, F.lit(True) if cut is None else F.substring(digest, 1, len(cut)) <= cut)
 
 
 def sample_holdout(df: DataFrame, key: Sequence[str], n: int, seed: int = 64) -> tuple[DataFrame, DataFrame]:

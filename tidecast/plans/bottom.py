@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions import scalars as S
 from tidecast.operators import reshape
 from tidecast.operators.boost import Boosted, boost_rows, feature_pipeline, fill_missing
+from tidecast.operators.encode import TargetMeans, fit_target_means
 from tidecast.operators.split import sample_flag
 from tidecast.plans import known, submission
 from tidecast.plans.recursive import FeatureSpec, forecast_recursive
@@ -19,9 +22,10 @@ from tidecast.sources.binding import SERIES_KEYS, BoundTables
 LAGS = {"lag_7": 7, "lag_28": 28}
 MEANS = {f"rmean_{lag}_{win}": (lag, win) for win in (7, 28) for lag in (7, 28)}
 DERIVED = [*LAGS, *MEANS]
-CATEGORIES = ("item_id", "dept_id", "store_id", "cat_id", "state_id", *known.EVENTS)
+CATEGORIES = ("dept_id", "store_id", "cat_id", "state_id", *known.EVENTS)
 DAY_PARTS = ("wday", "week", "month", "quarter", "year", "mday")
-SPEC = FeatureSpec(("id",), "day_num", "sales", LAGS, MEANS, min_count=1)
+KEY = ["store_id", "item_id"]
+SPEC = FeatureSpec(KEY, "day_num", "sales", LAGS, MEANS, min_count=1)
 
 
 def build_long(
@@ -40,13 +44,24 @@ def build_long(
     return long.join(calendar, "d").join(prices, ["store_id", "item_id", "wm_yr_wk"])
 
 
+@dataclass
+class FittedBottom:
+    items: TargetMeans
+    pipeline: PipelineModel
+    model: Boosted
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        named = self.items.encode(df, "item_mean")
+        return self.model.transform(self.pipeline.transform(fill_missing(named, DERIVED)))
+
+
 class BottomForecast:
     def __init__(self, t: BoundTables, first_day: int = 1):
         self.t = t
         self.first_day = first_day
         self.flags = [f"snap_{s}" for s in t.study.states]
         self.known = [*DAY_PARTS, *known.EVENTS, *self.flags]
-        self.numeric = [*DAY_PARTS, *self.flags, "sell_price", *DERIVED, *[f"{c}_missing" for c in DERIVED]]
+        self.numeric = [*DAY_PARTS, *self.flags, "sell_price", "item_mean", *DERIVED, *[f"{c}_missing" for c in DERIVED]]
 
     def priced(self, rows: DataFrame) -> DataFrame:
         """Rows with the week's price; unpriced days disappear."""
@@ -59,8 +74,7 @@ class BottomForecast:
     @cached_property
     def long(self) -> DataFrame:
         """Priced history, written once: training and the recursion both read it."""
-        sales = self.t.sales(self.first_day).select("id", *SERIES_KEYS, "day_num", "sales")
-        return materialize(self.priced(sales), "bottom-long")
+        return materialize(self.t.priced_sales(self.first_day, carry=True), "bottom-long")
 
     @cached_property
     def future(self) -> DataFrame:
@@ -69,29 +83,48 @@ class BottomForecast:
         series = self.t.series.select("id", *SERIES_KEYS)
         return self.with_known(self.priced(series.select("id", *SERIES_KEYS, days)))
 
-    def fit(self, *, rounds: int, holdout: int, rate: float = 0.075, max_depth: int = 11, min_rows: int = 4095):
-        """Train on all rows but a random holdout that is only monitored."""
-        pipeline = feature_pipeline(self.with_known(self.long), self.numeric, CATEGORIES)
+    def fit(
+        self,
+        *,
+        rounds: int = 1_200,
+        holdout: int = 2_000_000,
+        rate: float = 0.075,
+        max_depth: int = 11,
+        min_rows: int = 4095,
+        l2: float = 0.1,
+        patience: int | None = None,
+    ) -> FittedBottom:
+        """Train on all rows but a random holdout that is monitored, and stops the rounds where ``patience`` is given.
+
+        The item enters as its mean sales, taken from the other folds of the training rows.
+        """
         key = ["id", "day_num"]
         held = sample_flag(self.long, key, holdout)
-        rows = pipeline.transform(fill_missing(self.with_known(SPEC.add(held)), DERIVED))
+        items = fit_target_means(held.where("NOT held"), "item_id", "sales", key)
+        rows = items.encode(self.with_known(SPEC.add(held)), "item_mean", trained=~F.col("held"))
+        rows = fill_missing(rows, DERIVED)
+        pipeline = feature_pipeline(self.with_known(self.long), self.numeric, CATEGORIES)
         model = boost_rows(
-            rows, "sales", key, rounds=rounds, rate=rate, max_depth=max_depth, min_rows=min_rows, subsample=0.75
+            pipeline.transform(rows),
+            "sales",
+            key,
+            rounds=rounds,
+            rate=rate,
+            max_depth=max_depth,
+            min_rows=min_rows,
+            subsample=0.75,
+            l2=l2,
+            patience=patience,
         )
-        return pipeline, model
+        return FittedBottom(items, pipeline, model)
 
-    def forecast(self, pipeline, model: Boosted) -> DataFrame:
+    def forecast(self, fitted: FittedBottom) -> DataFrame:
         """Columns: id, day_num, yhat."""
         s = self.t.study
-        history = self.long.select("id", "day_num", "sales")
-        return forecast_recursive(
-            history,
-            self.future,
-            SPEC,
-            lambda df: model.transform(pipeline.transform(fill_missing(df, DERIVED))),
-            s.forecast_first,
-            s.forecast_last,
-        )
+        history = self.long.select(*KEY, "day_num", "sales")
+        ids = self.t.series.select("id", *KEY)
+        out = forecast_recursive(history, self.future, SPEC, fitted.predict, s.forecast_first, s.forecast_last)
+        return out.join(ids, KEY).select("id", "day_num", "yhat")
 
     def submission(self, forecast: DataFrame) -> DataFrame:
         phase = F.replace("id", F.lit("validation"), F.lit("evaluation")).alias("id")

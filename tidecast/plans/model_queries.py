@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import boost, features, varx
+from tidecast.operators import boost, encode, features, varx
 from tidecast.operators.residual import fit_residual_boost
 from tidecast.plans import recursive, submission
 from tidecast.plans.aggregate import DERIVED, KEYS, AggregateForecast, Fitted
@@ -260,8 +260,35 @@ def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
 def forecast_bottom_boosted(t: BoundTables) -> DataFrame:
     """Item submission of the recursive boosted item forecast."""
     bottom = BottomForecast(t)
-    pipeline, model = bottom.fit(rounds=3, holdout=50_000, rate=0.3, max_depth=6)
-    return bottom.submission(bottom.forecast(pipeline, model))
+    fitted = bottom.fit(holdout=50_000, rate=RATE, max_depth=6, patience=PATIENCE)
+    return bottom.submission(bottom.forecast(fitted))
+
+
+_ITEM_ROWS = """rows_of AS (SELECT item_id, sales,
+  CAST('0x' || substr(md5(id || '|' || day_num || '|64'), 1, 8) AS BIGINT) % 5 AS fold FROM sales)"""
+
+
+@query(
+    "ml_item_encoding",
+    f"""WITH {_ITEM_ROWS},
+f AS (SELECT fold, count(*) AS n, sum(sales) AS s FROM rows_of GROUP BY fold),
+m AS (SELECT fold, ((SELECT sum(s) FROM f) - s) / ((SELECT sum(n) FROM f) - n) AS m FROM f),
+c AS (SELECT item_id, fold, count(*) AS n, sum(sales) AS s FROM rows_of GROUP BY ALL),
+i AS (SELECT *, sum(n) OVER (PARTITION BY item_id) - n AS n_out, sum(s) OVER (PARTITION BY item_id) - s AS s_out FROM c)
+SELECT item_id, CAST(fold AS INTEGER) AS fold, n AS n_rows, round((s_out + 20 * m) / (n_out + 20), 6) AS low,
+  round((s_out + 20 * m) / (n_out + 20), 6) AS high FROM i JOIN m USING (fold)""",
+    ["sales"],
+    compact="item",
+)
+def ml_item_encoding(t: BoundTables) -> DataFrame:
+    """The item as a number: its smoothed mean sales in the other folds, the same for all rows of an item and fold."""
+    key = ["id", "day_num"]
+    rows = t.sales().select("id", "item_id", "day_num", "sales")
+    coded = encode.fit_target_means(rows, "item_id", "sales", key).encode(rows, "mean", trained=True)
+    by_fold = coded.groupBy("item_id", encode.fold_of(key, 5).alias("fold"))
+    return by_fold.agg(
+        F.count("*").alias("n_rows"), F.round(F.min("mean"), 6).alias("low"), F.round(F.max("mean"), 6).alias("high")
+    )
 
 
 # ---- vector autoregression and residual boosting -------------------------------

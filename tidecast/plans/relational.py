@@ -123,8 +123,7 @@ def parse_day_ordinal(t: BoundTables) -> DataFrame:
 )
 def filter_day_range(t: BoundTables) -> DataFrame:
     s = t.study
-    actual = t.panel(1, s.calendar_days).where(F.col("day_num").between(s.forecast_first, s.forecast_last))
-    return actual.select(*KEYS, "day_num", "demand")
+    return t.panel(s.forecast_first, s.forecast_last).select(*KEYS, "day_num", "demand")
 
 
 @query(
@@ -341,28 +340,34 @@ def parse_series_id(t: BoundTables) -> DataFrame:
 
 # ---- reshaping ---------------------------------------------------------------
 
-MELT_DAYS = 56
-
-
 def wide_sales(t: BoundTables) -> DataFrame:
-    """The last 56 training days as one column per day; a few cells are unknown."""
-    first = t.study.train_last - MELT_DAYS + 1
+    """All training days as one column per day; a few cells are unknown."""
     number = F.element_at(F.split("item_id", "_"), -1).cast("int")
     gap = (number % 10 == 0) & (F.col("day_num") % 13 == 0)
-    long = t.sales(first).withColumn("sales", F.when(~gap, F.col("sales")))
-    names = [f"d_{d}" for d in range(first, t.study.train_last + 1)]
+    long = t.sales().withColumn("sales", F.when(~gap, F.col("sales")))
+    names = [f"d_{d}" for d in range(1, t.study.train_last + 1)]
     return long.groupBy(*IDS).pivot("d", names).agg(F.first("sales"))
 
 
 @query(
     "melt_wide_sales",
-    """SELECT id, item_id, dept_id, cat_id, store_id, state_id, d,
-  CASE WHEN CAST(right(item_id, 3) AS INTEGER) % 10 = 0 AND day_num % 13 = 0 THEN NULL ELSE sales END AS sales
-FROM sales WHERE day_num > 2412""",
+    """SELECT id, item_id, dept_id, cat_id, store_id, state_id, CAST((day_num - 1) // 28 AS INTEGER) AS block, count(*) AS n_days,
+  count(*) - count(v) AS n_unknown, coalesce(sum(v), 0.0) AS sales, coalesce(sum(v * day_num), 0.0) AS by_day
+FROM (SELECT *, CASE WHEN CAST(right(item_id, 3) AS INTEGER) % 10 = 0 AND day_num % 13 = 0 THEN NULL ELSE sales END AS v FROM sales)
+GROUP BY ALL""",
     ["sales"],
+    compact="item",
 )
 def melt_wide_sales(t: BoundTables) -> DataFrame:
-    return reshape.melt_days(wide_sales(t), IDS)
+    """Every cell of the wide matrix as a row of its own, summed up by series and 28 days."""
+    long = reshape.melt_days(wide_sales(t), IDS).withColumn("day_num", S.day_ordinal(F.col("d")))
+    block = F.floor((F.col("day_num") - 1) / 28).cast("int").alias("block")
+    return long.groupBy(*IDS, block).agg(
+        F.count("*").alias("n_days"),
+        (F.count("*") - F.count("sales")).alias("n_unknown"),
+        F.coalesce(F.sum("sales"), F.lit(0.0)).alias("sales"),
+        F.coalesce(F.sum(F.col("sales") * F.col("day_num")), F.lit(0.0)).alias("by_day"),
+    )
 
 
 #: Departments of the bound tables, as the check SQL has to name its columns.
@@ -483,9 +488,7 @@ GROUP BY ALL""",
 )
 def join_calendar_price(t: BoundTables) -> DataFrame:
     """Every item-day that was on sale, summarised per department and day."""
-    priced = t.sales().join(F.broadcast(t.calendar.select("d", "wm_yr_wk")), "d").join(
-        t.prices, ["store_id", "item_id", "wm_yr_wk"]
-    )
+    priced = t.priced_sales(carry=True)
     return priced.groupBy(*KEYS, "day_num").agg(
         F.count(F.lit(1)).alias("priced_items"),
         F.sum("sales").alias("sales"),
@@ -756,9 +759,7 @@ _BOTTOM_SQL = ", ".join(
 )
 def features_bottom_train(t: BoundTables) -> DataFrame:
     """Positional lags and full-window means of every item series, totalled per department and day."""
-    priced = t.sales().join(F.broadcast(t.calendar.select("day_num", "wm_yr_wk")), "day_num").join(
-        t.prices, ["store_id", "item_id", "wm_yr_wk"]
-    )
+    priced = t.priced_sales(carry=True)
     key = ["store_id", "item_id"]
     df = features.add_lags(priced, key, "day_num", "sales", BOTTOM_LAGS)
     df = features.add_rolling_means(df, key, "day_num", "sales", BOTTOM_MEANS)
@@ -814,48 +815,42 @@ def last_level(t: BoundTables) -> DataFrame:
     return features.last_known(t.daily(t.study.train_last), KEYS, "day_num", "demand", "last_demand")
 
 
-_RESID_SQL = """WITH origins AS (SELECT DISTINCT day_num AS origin FROM panel WHERE day_num IN (2441, 2387, 2333, 2279, 2225)),
-fc AS (SELECT p.store_id, p.dept_id, o.origin, p.day_num, p.day_num - o.origin + 1 AS step,
-  p.demand - h.demand AS resid
-  FROM origins o JOIN panel p ON p.day_num BETWEEN o.origin AND o.origin + 27
-  JOIN panel h ON h.store_id = p.store_id AND h.dept_id = p.dept_id AND h.day_num = p.day_num - 28)"""
+_RESID_LAGS = {f"resid_lag{n}": n for n in range(1, 8)}
+_RESID_SQL = f"""WITH r AS (SELECT p.store_id, p.dept_id, p.day_num, p.demand - h.demand AS resid,
+  unnest(range(p.day_num - 27, p.day_num + 1)) AS origin FROM panel p
+  JOIN panel h ON h.store_id = p.store_id AND h.dept_id = p.dept_id AND h.day_num = p.day_num - 28),
+l AS (SELECT *, {", ".join(f"lag(resid, {n}) OVER w AS {c}" for c, n in _RESID_LAGS.items())},
+  CASE WHEN count(resid) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) = 7
+    THEN avg(resid) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END AS rmean_1_7
+  FROM r WHERE origin BETWEEN 29 AND 2441 WINDOW w AS (PARTITION BY store_id, dept_id, origin ORDER BY day_num))
+SELECT store_id, dept_id, CAST(origin AS INTEGER) AS origin, count(*) AS n_steps, sum(resid) AS resid,
+  {", ".join(f"sum(resid * {c}) AS {c}" for c in _RESID_LAGS)}, count(rmean_1_7) AS n_means,
+  round(sum(rmean_1_7 * day_num), 4) AS rmean_1_7 FROM l GROUP BY ALL"""
 
 
 def naive_residuals(t: BoundTables) -> DataFrame:
-    """Residuals of the lag-28 forecast for every window-opening origin."""
+    """Residuals of the lag-28 forecast at every step of every origin whose whole horizon is known."""
     s = t.study
     panel = features.add_lags(t.panel(), KEYS, "day_num", "demand", {"demand_fcast": s.horizon})
-    number = S.valid_window_number(F.col("day_num"), s.windows)
-    starts = F.element_at(F.array(*[F.lit(a) for a, _ in s.windows]), F.col("valid_window"))
-    return (
-        panel.withColumn("valid_window", number)
-        .where(F.col("valid_window") > 0)
-        .withColumn("origin", starts)
-        .select(
-            *KEYS,
-            "origin",
-            "day_num",
-            (F.col("day_num") - F.col("origin") + 1).alias("step"),
-            (F.col("demand") - F.col("demand_fcast")).alias("resid"),
-        )
-    )
+    day = F.col("day_num")
+    origins = F.sequence(F.greatest(day - s.horizon + 1, F.lit(s.horizon + 1)), F.least(day, F.lit(s.train_last - s.horizon + 1)))
+    known = panel.where((day > s.horizon) & (F.greatest(day - s.horizon + 1, F.lit(s.horizon + 1)) <= s.train_last - s.horizon + 1))
+    return known.select(*KEYS, F.explode(origins).alias("origin"), "day_num", (F.col("demand") - F.col("demand_fcast")).alias("resid"))
 
 
-@query(
-    "lag_residual",
-    _RESID_SQL
-    + " SELECT *, "
-    + ", ".join(f"lag(resid, {n}) OVER w AS resid_lag{n}" for n in range(1, 8))
-    + """, CASE WHEN count(resid) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) = 7
-    THEN round(avg(resid) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) END AS rmean_1_7
-FROM fc WINDOW w AS (PARTITION BY store_id, dept_id, origin ORDER BY day_num)""",
-    ["panel"],
-)
+@query("lag_residual", _RESID_SQL, ["panel"])
 def lag_residual(t: BoundTables) -> DataFrame:
+    """Residual lags and their weekly mean within each origin, summed up by origin."""
     key = [*KEYS, "origin"]
-    df = features.add_lags(naive_residuals(t), key, "day_num", "resid", {f"resid_lag{n}": n for n in range(1, 8)})
+    df = features.add_lags(naive_residuals(t), key, "day_num", "resid", _RESID_LAGS)
     df = features.add_rolling_means(df, key, "day_num", "resid", {"rmean_1_7": (1, 7)})
-    return df.withColumn("rmean_1_7", F.round("rmean_1_7", 6))
+    return df.groupBy(*key).agg(
+        F.count("*").alias("n_steps"),
+        F.sum("resid").alias("resid"),
+        *[F.sum(F.col("resid") * F.col(c)).alias(c) for c in _RESID_LAGS],
+        F.count("rmean_1_7").alias("n_means"),
+        F.round(F.sum(F.col("rmean_1_7") * F.col("day_num")), 4).alias("rmean_1_7"),
+    )
 
 
 @query(

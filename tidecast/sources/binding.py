@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidecast.config import TESTBED, Study
 from tidecast.functions import scalars as S
-from tidecast.operators.reshape import day_range, fill_days
+from tidecast.operators.reshape import day_range, fill_days, priced_days
 from tidecast.session import materialize
 
 SERIES_KEYS = ("item_id", "dept_id", "cat_id", "store_id", "state_id")
@@ -238,6 +238,20 @@ class BoundTables:
             odd.alias("snap_MI"),
         )
 
+    @cached_property
+    def weeks(self) -> DataFrame:
+        """First and last day of every week."""
+        return self.calendar.groupBy("wm_yr_wk").agg(F.min("day_num").alias("_from"), F.max("day_num").alias("_to"))
+
+    def priced_sales(self, first: int = 1, last: int | None = None, carry: bool = False) -> DataFrame:
+        """Daily sales and price of every series on the days it has one; ``carry`` adds the id and the other series keys."""
+        last = self.study.train_last if last is None else last
+        prices = self.prices
+        if carry:
+            prices = prices.join(self.series.select("id", *SERIES_KEYS), ["store_id", "item_id"])
+        cells = self.cells(first, last)
+        return priced_days(cells, prices, self.weeks, ["store_id", "item_id"], "day_num", "sales", "sell_price", first, last)
+
     def snap(self, store_id) -> Column:
         return S.snap_flag(store_id, {s: F.col(f"snap_{s}") for s in self.study.states})
 
