@@ -241,8 +241,8 @@ def test_too_many_labels_for_a_tree(spark):
     df = spark.range(300).select(F.col("id").cast("string").alias("v"), F.lit("a").alias("w"))
     with pytest.raises(ValueError, match="more than 256 labels in v"):
         boost.category_indexer(df, ["w", "v"])
-    model = boost.category_indexer(df.limit(12), ["w", "v"])
-    assert model.labelsArray == [["a"], sorted(str(i) for i in range(12))] or len(model.labelsArray[1]) == 12
+    model = boost.category_indexer(df.where("v < 12"), ["w", "v"])
+    assert [list(v) for v in model.labelsArray] == [["a"], sorted(str(i) for i in range(12))]
 
 
 @pytest.fixture(scope="module")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
@@ -101,12 +101,16 @@ def category_indexer(
         raise ValueError(f"more than {max_labels} labels in {', '.join(large)}")
     held = {r.i: r.v for r in labels.groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("v")).collect()}
     labels.unpersist()
-    return StringIndexerModel.from_arrays_of_labels(
-        [held.get(i, []) for i in range(len(categorical))],
+    # as many rows as the longest list, shorter ones begin again
+    lists = [held.get(i) or [None] for i in range(len(categorical))]
+    rows = [tuple(v[k % len(v)] for v in lists) for k in range(max(map(len, lists)))]
+    small = df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` string" for c in categorical))
+    return StringIndexer(
         inputCols=list(categorical),
         outputCols=[f"{c}_ix" for c in categorical],
+        stringOrderType="alphabetAsc",
         handleInvalid=on_unseen,
-    )
+    ).fit(small)
 
 
 def feature_pipeline(
@@ -338,7 +342,7 @@ def boost_rows(
         labelCol="step",
         weightCol="h",
         predictionCol="pred",
-        leafCol="leaf",
+        leafCol="leaf" if l2 or series else "",
         maxDepth=max_depth,
         maxBins=max(32, max_arity(work)),
         minInstancesPerNode=min_rows,
