@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import boost, encode, features, varx
+from tidecast.operators import boost, encode, features, reshape, varx
 from tidecast.operators.residual import fit_residual_boost
 from tidecast.plans import recursive, submission
 from tidecast.plans.aggregate import DERIVED, KEYS, AggregateForecast, Fitted
@@ -343,6 +343,90 @@ def var_cross_products(t: BoundTables) -> DataFrame:
     )
 
 
+# With one series and one lag the system is a line, so its fit, its forecasts and all origins have a closed form.
+_LINE = """line AS (SELECT store_id, dept_id, regr_slope(d_level, prev) AS b, regr_intercept(d_level, prev) AS c
+  FROM (SELECT *, lag(d_level) OVER (PARTITION BY store_id, dept_id ORDER BY day_num) AS prev FROM levels) GROUP BY ALL),
+steps AS (SELECT *, c * (1 - b ** step) / (1 - b) AS d_c, b ** step AS d_b FROM line, (SELECT unnest(range(1, 29)) AS step)),
+paths AS (SELECT *, sum(d_c) OVER w AS l_c, sum(d_b) OVER w AS l_b FROM steps
+  WINDOW w AS (PARTITION BY store_id, dept_id ORDER BY step))"""
+
+
+def single_systems(t: BoundTables, hybrid: HybridForecast) -> DataFrame:
+    """Every series as a system of its own, without exogenous terms; forecast days carry no level."""
+    s = t.study
+    levels = features.decompose(hybrid.train_panel, KEYS, "day_num", "wday", "demand").where(F.col("d_level").isNotNull())
+    ahead = reshape.day_range(s.forecast_first, s.forecast_last).alias("day_num")
+    future = hybrid.train_panel.where(F.col("day_num") == s.train_last).select(*KEYS, ahead)
+    rows = reshape.union_all(levels.select(*KEYS, "day_num", "d_level", "level"), future)
+    rows = rows.withColumn("store_id", F.concat_ws("/", "store_id", "dept_id"))
+    none = F.array().cast("array<double>")
+    return materialize(varx.store_vectors(rows).withColumn("exog", none), "single-systems")
+
+
+def store_of(column: str = "store_id"):
+    return F.split_part(F.col(column), F.lit("/"), F.lit(1)).alias("store_id")
+
+
+@query(
+    "var_one_lag_fit",
+    f"WITH {_LINE} SELECT store_id, dept_id, round(b, 6) AS slope, round(c, 6) AS intercept FROM line",
+    ["levels"],
+)
+def var_one_lag_fit(t: BoundTables) -> DataFrame:
+    """Systems of one series and one lag, solved from their cross products: the slope and intercept of a line."""
+    vectors = single_systems(t, HybridForecast(t))
+    named = varx.name_terms(varx.fit_varx(vectors, 1), vectors, [])
+    both = named.groupBy("store_id", "dept_id").agg(
+        F.max(F.when(F.col("term") != "const", F.col("coef"))).alias("slope"),
+        F.max(F.when(F.col("term") == "const", F.col("coef"))).alias("intercept"),
+    )
+    return both.select(store_of(), "dept_id", r6("slope"), r6("intercept"))
+
+
+def one_lag_forecasts(t: BoundTables, hybrid: HybridForecast, first: int, last: int) -> DataFrame:
+    vectors = single_systems(t, hybrid)
+    coefs = materialize(varx.fit_varx(vectors, 1), "one-lag")
+    rows = varx.forecast_varx(vectors, coefs, lags=1, horizon=t.study.horizon, first_origin=first, last_origin=last)
+    return rows.withColumn("store_id", store_of())
+
+
+@query(
+    "var_one_lag_forecast",
+    f"""WITH {_LINE} SELECT p.store_id, p.dept_id, CAST(step AS INTEGER) AS step, CAST(2468 + step AS INTEGER) AS day_num,
+  round(l_c + l_b * d_level + level, 5) AS level_fcast
+FROM paths p JOIN levels l ON l.store_id = p.store_id AND l.dept_id = p.dept_id WHERE l.day_num = 2468""",
+    ["levels"],
+)
+def var_one_lag_forecast(t: BoundTables) -> DataFrame:
+    first = t.study.forecast_first
+    rows = one_lag_forecasts(t, HybridForecast(t), first, first)
+    return rows.select(*KEYS, "step", "day_num", F.round("level_fcast", 5).alias("level_fcast"))
+
+
+@query(
+    "var_one_lag_rolling",
+    f"""WITH {_LINE},
+ahead AS MATERIALIZED (SELECT p.store_id, p.dept_id, step, CAST(l.day_num + step AS INTEGER) AS day_num,
+  l_c + l_b * l.d_level + l.level AS level_fcast
+  FROM paths p JOIN levels l ON l.store_id = p.store_id AND l.dept_id = p.dept_id
+  WHERE l.d_level IS NOT NULL AND l.day_num + 28 <= 2468)
+SELECT a.store_id, a.dept_id, CAST(step AS INTEGER) AS step, count(*) AS n_origins,
+  round(sqrt(avg((x.demand - x.season - a.level_fcast) ** 2)), 5) AS rmse
+FROM ahead a JOIN levels x ON x.store_id = a.store_id AND x.dept_id = a.dept_id AND x.day_num = a.day_num GROUP BY ALL""",
+    ["levels"],
+)
+def var_one_lag_rolling(t: BoundTables) -> DataFrame:
+    """Error of every step over all origins of the history, from systems of one series and one lag."""
+    hybrid = HybridForecast(t)
+    rows = one_lag_forecasts(t, hybrid, 3, t.study.train_last - t.study.horizon + 1)
+    actual = hybrid.train_panel.select(*KEYS, "day_num", "wday", "demand")
+    joined = rows.join(actual, [*KEYS, "day_num"]).join(hybrid.seasons, [*KEYS, "wday"])
+    error = F.col("demand") - F.col("level_fcast") - F.col("season")
+    return joined.groupBy(*KEYS, "step").agg(
+        F.count("*").alias("n_origins"), F.round(F.sqrt(F.avg(error * error)), 5).alias("rmse")
+    )
+
+
 @query("var_forecast")
 def var_forecast(t: BoundTables) -> DataFrame:
     return HybridForecast(t).ahead

@@ -9,10 +9,11 @@ from tidecast.functions import scalars as S
 from tidecast.operators import encode, features, metrics, reshape, split, weights
 from tidecast.plans import submission
 from tidecast.plans.registry import IN_WINDOWS, query, window_case
-from tidecast.session import shared_path
+from tidecast.session import materialize, shared_path
 from tidecast.sources import tables
 from tidecast.sources.binding import DEPT_KEYS, SERIES_KEYS, BoundTables
 from tidecast.sources.bundle import BundleTables, write_bundle
+from tidecast.sources.clustered import ClusteredFact
 
 KEYS = list(DEPT_KEYS)
 IDS = ["id", *SERIES_KEYS]
@@ -46,6 +47,35 @@ def scan_day_range(t: BoundTables) -> DataFrame:
     return t.cells(max(1, s.train_last - s.max_lag), s.train_last).select("id", "day_num", "sales")
 
 
+def clustered_cells(t: BoundTables, buckets: int = 8) -> ClusteredFact:
+    cells = t.cells().withColumn("date", t.date_of(F.col("day_num")))
+    return ClusteredFact.write(cells.select("store_id", "item_id", "date", "sales"), ["store_id", "item_id"], "date", buckets)
+
+
+def trailing_sales(fact: ClusteredFact, first, last) -> DataFrame:
+    """Sales of each series' current and two earlier selling days, for the days of a range."""
+    w = features.series_window(["store_id", "item_id"], "date").rowsBetween(-2, 0)
+    rows = fact.range(first, last)
+    return rows.select("store_id", "item_id", "date", "sales", F.sum("sales").over(w).alias("trailing"))
+
+
+@query(
+    "scan_clustered_range",
+    """SELECT store_id, item_id, CAST(DATE '1995-01-01' + day_num AS DATE) AS date, units AS sales,
+  sum(units) OVER (PARTITION BY store_id, item_id ORDER BY day_num ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS trailing
+FROM cells WHERE day_num BETWEEN 2411 AND 2468""",
+    ["cells"],
+)
+def scan_clustered_range(t: BoundTables) -> DataFrame:
+    """A window over a day range of the fact clustered by series; the table is dropped before the rows are handed over."""
+    s = t.study
+    fact = clustered_cells(t)
+    try:
+        return materialize(trailing_sales(fact, s.date_of(s.train_last - s.max_lag), s.date_of(s.train_last)), "trailing")
+    finally:
+        fact.drop()
+
+
 @query(
     "scan_limit",
     "SELECT id, first_day, list_price FROM series ORDER BY id LIMIT 100",
@@ -676,6 +706,24 @@ def wrmse_by_window(t: BoundTables) -> DataFrame:
     return out.select("valid_window", r6("wrmse"))
 
 
+@query(
+    "wrmse_csv_weights",
+    _SCORED_SQL
+    + """, per AS (SELECT valid_window, store_id, dept_id, sqrt(avg((demand - lag_28) ** 2)) AS rmse
+FROM scored GROUP BY ALL)
+SELECT valid_window, round(sum(w.dollar_sales * rmse), 6) AS wrmse
+FROM per JOIN dept_weights w USING (store_id, dept_id) GROUP BY valid_window""",
+    ["panel", "dept_weights"],
+    compact="item",
+)
+def wrmse_csv_weights(t: BoundTables) -> DataFrame:
+    """The weighted error with weights read from a CSV file of the published layout."""
+    path = shared_path(t.spark, "weights")
+    tables.write_csv(submission.dept_weights(t).select(*KEYS, "dollar_sales"), path)
+    out = metrics.wrmse_by(scored_windows(t), "valid_window", KEYS, tables.load_weights(t.spark, path), "demand", "lag_28")
+    return out.select("valid_window", r6("wrmse"))
+
+
 @query(
     "rmse_two_models",
     _SCORED_SQL

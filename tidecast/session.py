@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that ``shared_path`` has given out and nothing has removed yet, oldest first.
+_given: list[str] = []
+
 
 def local_session(cpus: int | str = "*", app: str = "tidecast") -> SparkSession:
     """Session for tests and bench only; on a cluster pass the session you already have."""
@@ -43,13 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for one written intermediate."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate, wherever the session's file systems keep it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _given:
+        _given.remove(path)
 
 
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -64,6 +73,20 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving, with or without an error, all intermediates that were written inside.
+
+    Frames are lazy, so use them up (write, collect) before leaving.
+    """
+    before = set(_given)
+    try:
+        yield
+    finally:
+        for path in [p for p in _given if p not in before]:
+            remove(spark, path)
+
+
 def spread(df: DataFrame, label: str = "spread") -> DataFrame:
     """Give a written frame at least one partition per core.
 
