@@ -91,7 +91,8 @@ class _Encoded(dict):
 
     The tokenizer lower-cases, and never joins characters across ASCII white space or between an ASCII letter or digit
     and the marks of ``TAIL``, so words and the marks behind them are looked up apart. Two generations of at most ``most``
-    words are remembered: what is not asked for while one fills up is forgotten.
+    words are remembered: what is not asked for while one fills up is forgotten. Special strings are sought before the
+    text is lower-cased, so a word that may hold one is looked up as it is written.
     """
 
     TAIL = b".,!?;:*#%$&|"
@@ -102,6 +103,17 @@ class _Encoded(dict):
         super().__init__()
         self.vocabulary, self.most, self.tokenizer = vocabulary, most, Tokenizer.from_file(vocabulary)
         self.older: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: strings that the tokenizer looks for before it lower-cases
+        self.special = [t.content.lower().encode() for t in added if not t.normalized]
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Words of a text as they are looked up: lower-cased, but for those that hold a special string in any case."""
+        low = text.lower()
+        if not any(s in low for s in self.special):
+            return low.split()
+        pairs = zip(low.split(), text.split(), strict=True)
+        return [own if any(s in word for s in self.special) else word for word, own in pairs]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
@@ -139,7 +151,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc
             data, starts = text_bytes(batch.column(1))
             rows, held = [], 0
             for i in range(len(batch)):
-                words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
+                words = known.words(data[starts[i] : starts[i + 1]].tobytes())
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
