@@ -63,7 +63,7 @@ def _is_away(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class _Element:
-    """An open element. ``number``: of an article or main element, else 0. ``ends``: an element of no article text
+    """An open element. ``number``: of an article, below 0 of a main element, else 0. ``ends``: an element of no article text
     holds all lines to its end if its end tag comes, else those before the first article or main element in it."""
 
     __slots__ = ("away", "closed", "ends", "number", "tag")
@@ -74,8 +74,8 @@ class _Element:
 
 def text_lines(html: str) -> list[tuple[int, str, list[int]]]:
     """The lines (blocks of text) of a page in order, each as ``MAIN`` (inside an article or main element), ``AWAY``
-    (inside an element that is named as no article text) or ``OPEN``, with the numbers of the article and main elements
-    around it. An end tag ends the elements left open inside its own, as in browsers."""
+    (inside an element that is named as no article text) or ``OPEN``, with the numbers of the article (above 0) and main
+    elements (below 0) around it. An end tag ends the elements left open inside its own, as in browsers."""
     lines: list[tuple[str, list[int], list[_Element]]] = []
     parts: list[str] = []
     stack: list[_Element] = []
@@ -133,7 +133,8 @@ def text_lines(html: str) -> list[tuple[int, str, list[int]]]:
             flush()
         number = 0
         if tag in ("article", "main") and not away:
-            number = numbers = numbers + 1
+            numbers += 1
+            number = numbers if tag == "article" else -numbers
             mains.append(number)
             for e in aways:
                 e.ends = len(lines) if e.ends is None else e.ends
@@ -182,10 +183,12 @@ def _common(a: str, b: str) -> int:
 def main_text(lines: list[tuple[int, str, list[int]]], repeated: set[int] | None) -> str:
     """Join what differencing and markup leave; ``repeated`` holds the lines of a neighbour, None without one.
 
-    Lines of elements named as no article go. Of the others, inside an article or not, those stay that the neighbour
-    lacks. Shared lines stay in an article or main element that is shared as a whole and no shorter than the page's own
-    lines, as copies of an article are articles; a page without any own line or article is a copy, too. Without a
-    neighbour the markup alone decides: an article element closes out what stands around it.
+    Lines of elements named as no article go. Of the others, those stay that the neighbour lacks. An article is one text:
+    it stays or goes as a whole, and goes only if the neighbour has all of it and it is shorter than the page's own lines
+    (a teaser, a notice); a copy of a long article is an article, and a paragraph that two articles share is part of
+    both. A main element may wrap boilerplate, so its shared lines go one by one, unless all of it is shared and it is no
+    shorter than the page's own lines. A page without any own line or such an element is a copy, too, and keeps all.
+    Without a neighbour the markup alone decides: an article element closes out what stands around it.
     """
     kept = [i for i, (kind, *_) in enumerate(lines) if kind != AWAY]
     inside = [i for i in kept if lines[i][0] == MAIN]
@@ -198,8 +201,9 @@ def main_text(lines: list[tuple[int, str, list[int]]], repeated: set[int] | None
         for i in inside:
             for number in lines[i][2]:
                 elements.setdefault(number, []).append(i)
-        for places in elements.values():
-            if repeated.issuperset(places) and sum(len(lines[i][1]) for i in places) >= own:
+        for number, places in elements.items():
+            copied = repeated.issuperset(places)
+            if sum(len(lines[i][1]) for i in places) >= own if copied else number > 0:
                 stay.update(places)
         stay = stay or set(kept)
     return " ".join(lines[i][1] for i in kept if i in stay)
