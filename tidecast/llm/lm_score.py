@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.llm.tables import blocks, boxed, text_bytes, unboxed
+from tidecast.operators.rank import numbered
 from tidecast.session import materialize
 
 #: Words on each side that predict the one between.
@@ -182,7 +183,9 @@ def fit(
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = materialize(word_counts(texts), "words")
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(max(known, words)).collect()]
+    # places are found by ranges of the sorted words, so the driver gets these words once, not the best of every task
+    ranked = numbered(counts, ["n", "word"], "place", descending=["n"]).where(F.col("place") < max(known, words))
+    top = [(bytes(r.word), r.n) for r in sorted(ranked.collect(), key=lambda r: r.place)]
     names = [w for w, _ in top[:words]]
     classes = Classes(names, shared)
     classes.known = top[words:]
