@@ -44,6 +44,16 @@ def test_packing_awkward_rows(awkward, nothing):
     assert packing.pack(nothing, VOCABULARY).isEmpty()
 
 
+def test_special_strings_are_sought_before_lower_casing(spark):
+    texts = ["<|endoftext|>", "<|ENDOFTEXT|>", "A<|startoftext|>B <|StartOfText|> c", "x <|endoftext|>, Y", "a <| b |> C", "<|END OF TEXT|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack(docs, VOCABULARY).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes()), text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1))
 def test_plan_packs_every_piece_once(counts):
@@ -115,6 +125,29 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.windows(empty)).isEmpty()
 
 
+def test_windows_keep_their_budget(spark):
+    sizes = {1: [400] + [250] * 30, 2: [5, 90, 300, 10, 10, 2000, 7, 7, 500, 30], 3: [700, 100, 600, 100, 20], 4: [3000, 10, 10]}
+    rows = [(c, t, "system" if t == 0 and c != 2 else "ua"[t % 2], "x" * (4 * n - 20)) for c, own in sizes.items() for t, n in enumerate(own)]
+    rows += [(5, 0, "system", "alone")]
+    rows = [(c, t, {"u": "user", "a": "assistant"}.get(r, r), x) for c, t, r, x in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.windows(df, budget=1024).collect()
+    weight = lambda text: sum((len(p.encode()) + len(chat.CLOSE) + 3) // 4 for p in text.split(chat.CLOSE) if p)
+    for r in found:
+        turns = [p for p in r.formatted.split(chat.CLOSE) if p]
+        new = turns[r.context_turns :]
+        ordinary = [p for p in new if not p.startswith(f"{chat.OPEN}system")]
+        system = weight(turns[0] + chat.CLOSE) if turns[0].startswith(f"{chat.OPEN}system") else 0
+        if weight(r.formatted) > 1024:
+            # one turn that is too large beside the system turn, and no history with it
+            assert len(ordinary) == 1 and (system + weight(ordinary[0] + chat.CLOSE) > 1024)
+            assert r.context_turns == (1 if system and r.window else 0)
+    assert max(weight(r.formatted) for r in found if r.conv_id == 1) <= 1024
+    back = {r.conv_id: r for r in chat.read_back(spark.createDataFrame(found)).collect()}
+    for c in {r[0] for r in rows}:
+        assert [(t.role, t.text) for t in back[c].turns] == [(role, text) for conv, _, role, text in rows if conv == c]
+
+
 PAGE = (
     "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><div class='menu'>M</div>"
     "<p>Home</p><p>A &amp; B\n  <b>bold</b>text</p><p class=ad>Buy<p>more {n}</p><form>Mail</form><div class='comments'><p>first!</p></div>"
@@ -163,11 +196,32 @@ def test_extraction_differences_pages_with_articles(spark):
         ("https://d.example/2", "<body><nav>Menu<article><header><h1>Two</h1></header><p>y</article>", "Two y"),
         ("https://e.example/1", "<div><aside>Menu</div><p>left<ul><li class=ad><p>ad<li>item</ul>", "left item"),
     ]
+    joint = "<div>Top</div><article><h1>{0}</h1><p>A closing word that both have.</p><p>own {0}</p></article><div>Bottom</div>"
+    rows += [(f"https://f.example/{x}", joint.format(x), f"{x} A closing word that both have. own {x}") for x in ("one", "two")]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert [got[i] for i in range(len(rows))] == [want for *_, want in rows]
 
 
+def test_extraction_without_telling_names(spark, monkeypatch):
+    """Boilerplate whose names say nothing goes because the neighbours have it, too; articles stay whole."""
+    monkeypatch.setattr(html, "_AWAY_NAMES", frozenset())
+    page = (
+        "<div class=a1><a>Home</a><p>All topics</p></div><div class=b2><article><h1>{0}</h1><p>{0} {0}</p><p>Shared end</p></article></div>"
+        "<div class=z9><p>We use small files</p><p>Read more here</p></div>"
+    )
+    names = ["red", "green", "blue", "white"]
+    pages = spark.createDataFrame([(n, f"https://a.example/{n}", page.format(n)) for n in names], "page_id string, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {n: f"{n} {n} {n} Shared end" for n in names}
+
+
+def test_extraction_of_a_very_long_page(spark):
+    body = "".join(f"<p>paragraph {i}</p>" for i in range(40_000))
+    rows = [(1, "https://a.example/1", f"<div>Menu</div><article>{body}</article>"), (2, "https://a.example/2", "<div>Menu</div><article>short</article>")]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text == " ".join(f"paragraph {i}" for i in range(40_000)) and got[2].text == "short"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=9))
 def test_shared_is_a_longest_common_subsequence(a, b):
