@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecast.config import RETAIL_2016, TESTBED
-from tidecast.plans.bottom import build_long
+from tidecast.plans.bottom import BottomForecast, build_long
+from tidecast.plans.hybrid import HybridForecast
 from tidecast.plans.submission import bottom_submission
-from tidecast.session import materialize, shared_dir
+from tidecast.session import materialize, scratch, shared_dir
 from tidecast.sources import tables
+from tidecast.sources.binding import BoundTables
+from tidecast.sources.bundle import BundleTables, write_bundle
 
 
 @pytest.fixture()
@@ -80,3 +83,28 @@ def test_study_parameters():
     assert RETAIL_2016.windows[0] == (RETAIL_2016.train_last - 27, RETAIL_2016.train_last)
     assert TESTBED.weight_first == 2440 and TESTBED.calendar_last_week == 358
     assert str(TESTBED.date_of(TESTBED.forecast_first)) == "2001-10-05"
+
+
+def test_item_and_hybrid_forecasts_from_files(spark, small_dir, tmp_path):
+    """Both forecasts run on files of the published layout, whose frames are those of the tables they were written from."""
+    with scratch(spark):
+        t = BoundTables(spark, small_dir).compacted("item")
+        write_bundle(t, str(tmp_path), 1)
+        files = BundleTables(spark, str(tmp_path), t.study, first_day=1)
+        one, two = t.priced_sales(2300, carry=True), files.priced_sales(2300, carry=True)
+        assert one.count() == two.count() and one.exceptAll(two.select(one.columns)).isEmpty()
+        assert t.panel().select("store_id", "dept_id", "day_num", "demand").exceptAll(
+            files.panel().select("store_id", "dept_id", "day_num", "demand")
+        ).isEmpty()
+        bottom = BottomForecast(files, first_day=2050)  # the events of the forecast days occur in it
+        fitted = bottom.fit(rounds=2, holdout=500, rate=0.3, max_depth=3, min_rows=20, patience=1)
+        out = bottom.submission(bottom.forecast(fitted)).toPandas()
+        ids = {f"{r.id}".replace("validation", phase) for r in t.series.collect() for phase in ("validation", "evaluation")}
+        assert set(out.id) <= ids and len(out) > 0.9 * len(ids) and (out.drop(columns="id").to_numpy() >= 0).all()
+        assert out.drop(columns="id").to_numpy().max() > 0
+        # the forecasts of the autoregression, and with them all frames behind it, are the same
+        key = ["store_id", "dept_id", "step"]
+        ahead = HybridForecast(t).ahead.select(*key, "demand_fcast")
+        pairs = ahead.join(HybridForecast(files).ahead.select(*key, F.col("demand_fcast").alias("other")), key).collect()
+        assert len(pairs) == ahead.count() > 0
+        assert all(r.other == pytest.approx(r.demand_fcast, abs=1e-6) for r in pairs)

@@ -75,7 +75,7 @@ def _as_rows(store: str, matrix: np.ndarray) -> pd.DataFrame:
     )
 
 
-def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+def _solve(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
     k = int(rows["n_terms"].iloc[0])
     full = np.zeros((k, int(rows["j"].max()) + 1))
     full[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["v"].to_numpy()
@@ -83,7 +83,7 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     scale = np.sqrt(np.diag(gram))
     scale[scale == 0] = 1.0
     values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
-    keep = values > 1e-10 * values.max()
+    keep = values > tolerance * values.max()
     inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
     coef = (inverse @ (cross / scale[:, None])) / scale[:, None]
     term, eq = np.indices(coef.shape)
@@ -100,9 +100,13 @@ def cross_products(vectors: DataFrame, lags: int) -> DataFrame:
     return products.groupBy("store_id", "n_terms", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def fit_varx(vectors: DataFrame, lags: int) -> DataFrame:
-    """Coefficients per store: one row per (equation, term); collinear terms get the least-norm solution."""
-    return cross_products(vectors, lags).groupBy("store_id").applyInPandas(_solve, COEF_SCHEMA)
+def fit_varx(vectors: DataFrame, lags: int, tolerance: float = 1e-10) -> DataFrame:
+    """Coefficients per store: one row per (equation, term); collinear terms get the least-norm solution.
+
+    Terms are scaled to one length; a direction of less than ``tolerance`` times the largest eigenvalue counts as collinear.
+    """
+    products = cross_products(vectors, lags).groupBy("store_id")
+    return products.applyInPandas(lambda rows: _solve(rows, tolerance), COEF_SCHEMA)
 
 
 def name_terms(coefs: DataFrame, vectors: DataFrame, exog_names: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from tidecast.plans import known
 from tidecast.plans.registry import IN_WINDOWS, query
 from tidecast.session import materialize, shared_path
 from tidecast.sources.binding import BoundTables
+from tidecast.sources.bundle import BundleTables, write_bundle
 
 # The registered queries boost in long steps until the validation error has not improved for PATIENCE rounds.
 RATE, PATIENCE = 0.5, 3
@@ -247,6 +248,34 @@ def forecast_aggregate_boosted(t: BoundTables) -> DataFrame:
     ).orderBy("id")
 
 
+@query(
+    "forecast_csv_shares",
+    """SELECT store_id, dept_id, count(*) AS n_items, TRUE AS equal FROM weights WHERE weight IS NOT NULL
+GROUP BY store_id, dept_id""",
+    ["weights"],
+    compact="item",
+)
+def forecast_csv_shares(t: BoundTables) -> DataFrame:
+    """The boosted department forecast from CSV files: in its submission every item has its share of the department.
+
+    The tables are written in the published file layout and read again, so that everything behind comes from the files.
+    """
+    folder = shared_path(t.spark, "bundle")
+    write_bundle(t, folder, 1)
+    files = BundleTables(t.spark, folder, t.study, first_day=1)
+    agg = AggregateForecast(files)
+    ahead = materialize(agg.recursive(agg.fit(rate=RATE, patience=PATIENCE), [t.study.forecast_first]), "ahead")
+    shares = submission.item_weights(files).where("weight IS NOT NULL").select("id", *KEYS, "weight")
+    out = submission.aggregate_submission(submission.submission_ids(files), submission.item_weights(files), ahead, "demand_fcast", t.study)
+    steps = F.posexplode(F.array(*[F.col(f"F{i}") for i in range(1, t.study.horizon + 1)])).alias("at", "value")
+    items = out.select("id", steps).join(shares, "id").select("id", *KEYS, (F.col("at") + 1).alias("step"), "value", "weight")
+    joined = items.join(ahead.select(*KEYS, "step", "demand_fcast"), [*KEYS, "step"])
+    near = F.abs(F.col("value") - F.col("weight") * F.col("demand_fcast")) <= 1e-6
+    return joined.groupBy(*KEYS).agg(
+        F.count_distinct("id").alias("n_items"), F.coalesce(F.bool_and(near), F.lit(False)).alias("equal")
+    )
+
+
 @query("wrmse_aggregate_boosted", compact="item")
 def wrmse_aggregate_boosted(t: BoundTables) -> DataFrame:
     """Weighted RMSE of the recursive boosted forecast on every validation window."""

@@ -87,12 +87,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def spread(df: DataFrame, label: str = "spread") -> DataFrame:
-    """Give a written frame at least one partition per core.
+def spread(df: DataFrame, label: str = "spread", partitions: int | None = None) -> DataFrame:
+    """Give a written frame at least ``partitions`` partitions (default: the session's parallelism).
 
-    Iterative learners scan their data hundreds of times. A frame with fewer
-    files than cores is small, so rewriting it once is cheap; larger frames are
-    returned as they are.
+    Iterative learners scan their data hundreds of times, so a frame of fewer files is written once more; a frame that
+    has as many is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else materialize(df.repartition(cores), label)
+    wanted = df.sparkSession.sparkContext.defaultParallelism if partitions is None else partitions
+    return df if df.rdd.getNumPartitions() >= wanted else materialize(df.repartition(wanted), label)
