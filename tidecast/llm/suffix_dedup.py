@@ -1,4 +1,4 @@
-"""Exact removal of long repeated byte strings by bucket-pointer refinement."""
+"""Exact removal of long repeated byte strings: windows bucketed by a shared q-gram, buckets refined by content."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -201,6 +201,12 @@ def merged(spans: DataFrame) -> DataFrame:
     )
 
 
+def whole_characters(data: Column) -> Column:
+    """Bytes as text; what a cut has left of a character goes."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, window: int = 400, gram: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``removed`` (runs ``(lo, hi)`` of bytes) and ``kept`` (the remaining bytes) added.
 
