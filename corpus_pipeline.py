@@ -12,7 +12,7 @@ from tidecast.llm import quality
 from tidecast.llm.decontaminate import contamination
 from tidecast.llm.ngram_join import one_of_each
 from tidecast.llm.packing import pack
-from tidecast.llm.suffix_dedup import remove_repeats
+from tidecast.llm.suffix_dedup import remove_repeats, whole_characters
 from tidecast.llm.tables import read_table
 from tidecast.session import materialize
 
@@ -29,16 +29,20 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return one_of_each(docs, size=5, percent=80)
 
 
+#: Bytes that two places have to share for the stage to cut them: fewer than the shortest passage of 50 words is long.
+PASSAGE_BYTES, PASSAGE_GRAM = 256, 96
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur more than once.
+    """Texts without the bytes of strings of ``PASSAGE_BYTES`` that occur more than once.
 
-    A cut may fall inside a character; what is left of it goes, too. ``n_chars`` follows the text. Documents of which
-    nothing is left stay as empty ones.
+    A passage of over 50 words is longer than that in the languages at hand (the shortest in the test tables has 285
+    bytes), so what is cut holds all of it. A cut may fall inside a character; what is left of it goes, too. ``n_chars``
+    follows the text. Documents of which nothing is left stay as empty ones.
     """
-    out = remove_repeats(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("removed", "kept")}))
-    kept = F.col("kept").cast("string")
-    whole = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit("")))
-    out = out.withColumn("text", F.when(F.size("removed") > 0, whole).otherwise(F.col("text")))
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("removed", "kept")})
+    out = remove_repeats(own, window=PASSAGE_BYTES, gram=PASSAGE_GRAM)
+    out = out.withColumn("text", F.when(F.size("removed") > 0, whole_characters(F.col("kept"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size("removed") > 0, changed).otherwise(F.col("n_chars")))
