@@ -16,7 +16,7 @@ from tidecast.llm.lm_score import fit, score
 from tidecast.llm.ngram_join import linked
 from tidecast.llm.packing import pack
 from tidecast.llm.sharding import shuffled_shards
-from tidecast.llm.suffix_dedup import remove_repeats
+from tidecast.llm.suffix_dedup import remove_repeats, whole_characters
 from tidecast.llm.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("aggregate(removed, 0L, (sum, x) -> sum + (x.hi - x.lo))").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        whole_characters(F.col("kept")).alias("text"),
     )
 
 
