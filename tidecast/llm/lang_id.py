@@ -197,19 +197,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A network learned from text and language of rows that are not held out; None without such a row.
 
     Bounds of the sample, whatever the input: ``per_lang`` documents of each language, those with the least hashes of
-    id and text; ``per_doc`` windows of each, spread over the whole text; more than ``languages`` languages raise. One task trains on these
+    id and text; ``per_doc`` windows of each, spread over the whole text; more than ``languages`` languages raise. The least
+    hashes are sought in a slice of the hashes as wide as the language's count asks for, so no task sees a language. One task trains on these
     windows (at most ``languages * per_lang * per_doc`` of them, 128 bytes each); a lost one is trained again, the same way.
     """
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     named = docs.where(~held_out(id_col) & lang.isNotNull() & ~letterless(text)).select(
         lang.alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed)).alias("hash"), text.alias("text")
     )
-    least = Window.partitionBy("lang").orderBy("hash")
-    chosen = named.select("lang", "hash").distinct().withColumn("nr", F.row_number().over(least)).where(F.col("nr") <= per_lang)
-    chosen = materialize(chosen.select("lang", "hash"), "lang-sample")
-    found = chosen.select("lang").distinct().limit(languages + 1).count()
-    if found > languages:
+    hashes = materialize(named.select("lang", "hash").distinct(), "lang-hashes")
+    counts = hashes.groupBy("lang").count().limit(languages + 1).collect()
+    if len(counts) > languages:
         raise ValueError(f"more than {languages} languages")
+    if not counts:
+        return None
+    # the hashes are even, so a slice of them holds about four times the rows that are wanted, whatever the language
+    shares = [(r.lang, min(1.0, 4 * (per_lang + 16) / r["count"])) for r in counts]
+    slices = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    cut = F.pmod("hash", F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))
+    least = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash")
+    chosen = hashes.join(F.broadcast(slices), "lang").where(cut).withColumn("nr", F.row_number().over(least))
+    chosen = materialize(chosen.where(F.col("nr") <= per_lang).select("lang", "hash"), "lang-sample")
     rows = named.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
     windows = rows.select("lang", "hash", "text").mapInArrow(_sampled(per_doc), "lang string, hash long, nth long, window binary")
     models = windows.repartition(1).mapInArrow(_fit(steps, seed), "model binary").collect()  # one row of fixed size
