@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,27 +24,57 @@ BATCH = 1024
 
 
 class Model(NamedTuple):
-    """``hidden = tanh(sum of one embedding per place)``, ``scores = hidden @ out + bias``."""
+    """``hidden = tanh(sum of one embedding per place)``; a softmax over groups of neighbouring classes, then one over the
+    classes of the target's group, so that a word costs about twice the square root of the number of classes."""
 
     inside: np.ndarray  # places x classes x hidden
-    out: np.ndarray  # hidden x classes
-    bias: np.ndarray
+    groups: np.ndarray  # hidden x groups
+    group_bias: np.ndarray
+    out: np.ndarray  # groups x (classes of a group) x hidden
+    bias: np.ndarray  # groups x (classes of a group)
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        return np.tanh(sum(e[context[:, i]] for i, e in enumerate(self.inside)))
+
+    def parts(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Group and member of every target, and the log-probabilities of all groups and of all members of its group."""
+        group, member = np.divmod(target, self.bias.shape[1])
+        scores = np.matmul(self.out[group], hidden[:, :, None])[:, :, 0] + self.bias[group]
+        return group, member, log_softmax(hidden @ self.groups + self.group_bias), log_softmax(scores)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = np.tanh(sum(e[context[:, i]] for i, e in enumerate(self.inside)))
-        scores = hidden @ self.out + self.bias
-        top = scores.max(axis=1)
-        return scores[np.arange(len(target)), target] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        group, member, of_group, of_member = self.parts(self.hidden(context), target)
+        rows = np.arange(len(target))
+        return of_group[rows, group] + of_member[rows, member]
+
+
+def log_softmax(scores: np.ndarray) -> np.ndarray:
+    scores = scores - scores.max(axis=1, keepdims=True)
+    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+
+
+#: Score of the places that fill up the last group: no class.
+NONE = -1e9
 
 
 def start_model(counts: np.ndarray, hidden: int, seed: int) -> Model:
-    """Small random embeddings; the bias is the log-frequency of each class, so training starts at the unigram model."""
+    """Small random embeddings; the biases are the log-frequencies of groups and classes, so training starts at the unigram model."""
     rng = np.random.default_rng(seed)
     classes = len(counts)
-    inside = rng.normal(0, 0.1, (2 * SIDE, classes, hidden)).astype(np.float32)
-    out = rng.normal(0, 0.1, (hidden, classes)).astype(np.float32)
-    share = (counts + 1) / (counts.sum() + classes)
-    return Model(inside, out, np.log(share).astype(np.float32))
+    size = math.isqrt(classes - 1) + 1
+    number = -(-classes // size)
+    share = np.zeros(number * size)
+    share[:classes] = (counts + 1) / (counts.sum() + classes)
+    share = share.reshape(number, size)
+    of_group = share.sum(axis=1)
+    bias = np.where(share > 0, np.log(np.maximum(share, 1e-300) / of_group[:, None]), NONE)
+    return Model(
+        rng.normal(0, 0.1, (2 * SIDE, classes, hidden)).astype(np.float32),
+        rng.normal(0, 0.1, (hidden, number)).astype(np.float32),
+        np.log(of_group).astype(np.float32),
+        rng.normal(0, 0.1, (number, size, hidden)).astype(np.float32),
+        bias.astype(np.float32),
+    )
 
 
 class Classes(dict):
@@ -112,32 +143,52 @@ def targets(size: int, k: int, rounds: int) -> np.ndarray:
     return np.arange(SIDE + k, SIDE + size, rounds)
 
 
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sums of the rows of ``values`` that belong to each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Trainer:
     """Mini-batch gradient descent with per-parameter steps (Adagrad)."""
 
     def __init__(self, model: Model, rate: float):
         self.model, self.rate = Model(*(x.copy() for x in model)), rate
-        self.sums = [np.full_like(x, 1e-6) for x in model]
+        self.sums = Model(*(np.full_like(x, 1e-6) for x in model))
+
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> list[tuple[str, object, np.ndarray]]:
+        """``(parameter, where, slope)`` of the mean loss of a batch; only what the batch touches."""
+        model, rows = self.model, np.arange(len(target))
+        hidden = model.hidden(context)
+        group, member, of_group, of_member = model.parts(hidden, target)
+        error = np.exp(of_group)
+        error[rows, group] -= 1
+        error /= len(target)
+        inner = np.exp(of_member)
+        inner[rows, member] -= 1
+        inner /= len(target)
+        back = error @ model.groups.T + np.matmul(inner[:, None, :], model.out[group])[:, 0]
+        back = (back * (1 - hidden * hidden)).astype(np.float32)
+        # the slopes of a group's classes: rows in order of groups, one product for each group of the batch
+        order = np.argsort(group, kind="stable")
+        which, first = np.unique(group[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        own = [order[a:b] for a, b in zip(first, ends, strict=True)]
+        slopes = np.stack([inner[x].T @ hidden[x] for x in own])
+        out = [("groups", slice(None), hidden.T @ error), ("group_bias", slice(None), error.sum(axis=0))]
+        out += [("out", which, slopes), ("bias", which, np.stack([inner[x].sum(axis=0) for x in own]))]
+        for i in range(len(model.inside)):
+            classes, slope = summed(context[:, i], back)
+            out.append(("inside", (i, classes), slope))
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        inside, out, bias = self.model
-        hidden = np.tanh(sum(e[context[:, i]] for i, e in enumerate(inside)))
-        scores = hidden @ out + bias
-        scores -= scores.max(axis=1, keepdims=True)
-        error = np.exp(scores)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
-        back = (error @ out.T) * (1 - hidden * hidden)
-        for value, total, slope in ((out, self.sums[1], hidden.T @ error), (bias, self.sums[2], error.sum(axis=0))):
-            total += slope * slope
-            value -= self.rate * slope / np.sqrt(total)
-        for i in range(len(inside)):
-            rows, where = np.unique(context[:, i], return_inverse=True)
-            slope = np.zeros((len(rows), back.shape[1]), np.float32)
-            np.add.at(slope, where, back)
-            self.sums[0][i, rows] += slope * slope
-            inside[i, rows] -= self.rate * slope / np.sqrt(self.sums[0][i, rows])
+        for name, where, slope in self.gradients(context, target):
+            value, total = getattr(self.model, name), getattr(self.sums, name)
+            total[where] += slope * slope
+            value[where] -= self.rate * slope / np.sqrt(total[where])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
