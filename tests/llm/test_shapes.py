@@ -246,6 +246,58 @@ def test_scores_tell_text_from_noise(spark, small_dir):
     assert trained > mean(lm_score.score(mixed, model, classes)) + 0.5
 
 
+def plain_log_prob(model, classes, text):
+    """Sum over the words of ``text``, each given two neighbours a side, written out with loops."""
+    words = text.lower().encode().split()
+    ids = [0, 0, *(classes[w] for w in words), 0, 0]
+    total, size = 0.0, model.bias.shape[1]
+    for t, word in enumerate(words):
+        near = [ids[t], ids[t + 1], ids[t + 3], ids[t + 4]]
+        hidden = [np.tanh(sum(float(model.inside[i][c][k]) for i, c in enumerate(near))) for k in range(model.inside.shape[2])]
+        group, member = divmod(ids[t + 2], size)
+        score = lambda row, bias: sum(h * float(x) for h, x in zip(hidden, row)) + float(bias)
+        over = [score(model.groups[:, g], model.group_bias[g]) for g in range(len(model.group_bias))]
+        inner = [score(model.out[group][m], model.bias[group][m]) for m in range(size)]
+        total += over[group] - np.log(sum(map(np.exp, over))) + inner[member] - np.log(sum(map(np.exp, inner)))
+        counts = dict(classes.known)
+        if ids[t + 2] <= classes.shared:
+            total += np.log(counts.get(word, 1)) - np.log(classes.totals[ids[t + 2] - 1] + 1)
+    return total
+
+
+def test_log_probabilities_by_hand(spark):
+    texts = ["the cat sat on the mat", "a dog", "the the the cat", "", "zebra", "on a mat the dog sat quietly"]
+    docs = spark.createDataFrame([(t,) for t in texts * 20], "text string")
+    model, classes = lm_score.fit(docs, words=4, shared=3, hidden=5)
+    for r in lm_score.score(docs, model, classes).distinct().collect():
+        assert r.log_prob == pytest.approx(plain_log_prob(model, classes, r.text), abs=1e-3)
+        assert r.n_tokens == len(r.text.split())
+
+
+def test_slopes_are_those_of_the_loss():
+    draw = np.random.default_rng(2)
+    model = lm_score.start_model(np.arange(11.0), 3, 1)
+    trainer = lm_score.Trainer(lm_score.Model(*(x.astype(np.float64) for x in model)), 0.1)
+    context, target = draw.integers(0, 11, (9, 2 * lm_score.SIDE)), draw.integers(1, 11, 9)
+    loss = lambda: -trainer.model.log_probs(context, target).mean()
+    assert np.exp(trainer.model.log_probs(np.repeat(context[:1], 11, 0), np.arange(11))).sum() == pytest.approx(1)
+    full = {k: np.zeros_like(getattr(trainer.model, k)) for k in model._fields}
+    for name, where, slope in trainer.gradients(context, target):
+        full[name][where] += slope
+    for name, slopes in full.items():
+        value = getattr(trainer.model, name)
+        for at in zip(*(draw.integers(0, n, 12) for n in value.shape), strict=True):
+            if name in ("out", "bias") and at[0] * model.bias.shape[1] + at[1] >= 11:
+                continue
+            kept = value[at]
+            value[at] = kept + 1e-5
+            up = loss()
+            value[at] = kept - 1e-5
+            down = loss()
+            value[at] = kept
+            assert slopes[at] == pytest.approx((up - down) / 2e-5, abs=1e-6), name
+
+
 def test_every_word_is_a_training_target(spark):
     for size in (0, 1, 5, 40):
         places = np.concatenate([lm_score.targets(size, k, 3) for k in range(3)]) - lm_score.SIDE
