@@ -53,9 +53,9 @@ def dollar_share(dollars: DataFrame, group: Sequence[str] = ("store_id", "dept_i
     most of the series is never sorted into one window partition. ``dollars`` is
     read twice: pass a written frame.
     """
-    totals = dollars.groupBy(*group).agg(F.sum("dollar_sales").alias("grouped_dollar_sales"))
+    totals = dollars.groupBy(*group).agg(F.sum("dollar_sales").alias("dept_dollars"))
     return dollars.join(totals, list(group), "left").withColumn(
-        "weight", ratio(F.col("dollar_sales"), F.col("grouped_dollar_sales"))
+        "weight", ratio(F.col("dollar_sales"), F.col("dept_dollars"))
     )
 
 

@@ -116,8 +116,8 @@ GROUP BY ALL HAVING count(DISTINCT s.day_num) = {_S.weight_days}""",
     ),
     "weights": (
         ("dollars",),
-        """SELECT d.*, g.grouped_dollar_sales, d.dollar_sales / nullif(g.grouped_dollar_sales, 0) AS weight
-FROM dollars d JOIN (SELECT store_id, dept_id, sum(dollar_sales) AS grouped_dollar_sales FROM dollars GROUP BY ALL) g
+        """SELECT d.*, g.dept_dollars, d.dollar_sales / nullif(g.dept_dollars, 0) AS weight
+FROM dollars d JOIN (SELECT store_id, dept_id, sum(dollar_sales) AS dept_dollars FROM dollars GROUP BY ALL) g
 ON g.store_id = d.store_id AND g.dept_id = d.dept_id""",
     ),
     "dept_weights": (

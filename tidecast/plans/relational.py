@@ -129,11 +129,11 @@ def rowwise_dollar_sales(t: BoundTables) -> DataFrame:
         t.sales(s.weight_first)
         .join(F.broadcast(t.calendar.select("day_num", "wm_yr_wk")), "day_num")
         .join(t.prices, ["store_id", "item_id", "wm_yr_wk"])
-        .select("id", "day_num", (F.col("sell_price") * F.col("sales")).alias("unit_sales"))
+        .select("id", "day_num", (F.col("sell_price") * F.col("sales")).alias("dollars"))
     )
-    wide = dollars.groupBy("id").pivot("day_num", list(days)).agg(F.first("unit_sales"))
-    wide = wide.toDF("id", *[f"unit_sales_{d}" for d in days])
-    return weights.row_sum(wide, "unit_sales", "dollar_sales").select("id", r6("dollar_sales"))
+    wide = dollars.groupBy("id").pivot("day_num", list(days)).agg(F.first("dollars"))
+    wide = wide.toDF("id", *[f"dollars_{d}" for d in days])
+    return weights.row_sum(wide, "dollars", "dollar_sales").select("id", r6("dollar_sales"))
 
 
 @query(
@@ -1033,12 +1033,12 @@ def sort_multi_key(t: BoundTables) -> DataFrame:
 @query(
     "weights_dollar_share",
     """SELECT id, item_id, dept_id, cat_id, store_id, state_id, round(dollar_sales, 6) AS dollar_sales,
-  round(grouped_dollar_sales, 6) AS grouped_dollar_sales, round(weight, 6) AS weight FROM weights""",
+  round(dept_dollars, 6) AS dept_dollars, round(weight, 6) AS weight FROM weights""",
     ["weights"],
     compact="item",
 )
 def weights_dollar_share(t: BoundTables) -> DataFrame:
-    cols = ["dollar_sales", "grouped_dollar_sales", "weight"]
+    cols = ["dollar_sales", "dept_dollars", "weight"]
     return submission.item_weights(t).select(*IDS, *[r6(c) for c in cols])
 
 
