@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidecast.llm.tables import boxed
 from tidecast.session import materialize
@@ -157,23 +158,41 @@ def masks(docs: DataFrame, filters: dict[str, Column], part: Column, labels: Dat
         sum(bits[1:], bits[0]).cast("int").alias("mask"),
     )
     facts = materialize(facts, "filter-facts")
-    if copies:
-        first = facts.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        facts = facts.join(first.select("_digest", "_first"), "_digest", "left")
-        copied = F.when(F.coalesce(F.col("_first") < F.col("_id"), F.lit(False)), 1 << len(filters)).otherwise(0)
-        facts = facts.withColumn("mask", F.col("mask") + copied)
     said = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max((F.col("quality") == 1).cast("int")).alias("_good"), F.max((F.col("toxic") == 1).cast("int")).alias("_toxic")
     )
-    return (
-        facts.join(said, "_id", "left")
-        .groupBy("part", "mask")
-        .agg(
-            F.count("*").alias("n"),
-            F.coalesce(F.sum("_good"), F.lit(0)).cast("long").alias("good"),
-            F.coalesce(F.sum("_toxic"), F.lit(0)).cast("long").alias("toxic"),
-        )
+    rows = facts.join(said, "_id", "left").na.fill(0, ["_good", "_toxic"])
+    kind = ["part", "mask", "_good", "_toxic"]
+    if copies:
+        counted = _copies_told(rows, kind, 1 << len(filters))
+    else:
+        counted = rows.groupBy(*kind).agg(F.count("*").alias("n"))
+    sums = {"n": F.col("n"), "good": F.col("n") * F.col("_good"), "toxic": F.col("n") * F.col("_toxic")}
+    return counted.groupBy("part", "mask").agg(*[F.sum(c).cast("long").alias(name) for name, c in sums.items()])
+
+
+def _copies_told(rows: DataFrame, kind: list[str], bit: int) -> DataFrame:
+    """Rows counted by ``kind``, with ``bit`` set in the mask of those whose text a smaller id has.
+
+    The rows of a text are counted by kind before they meet, so a text of any number of copies brings a few rows to the
+    task that finds its smallest id.
+    """
+    by_id = rows.groupBy("_digest", *kind, "_id").agg(F.count("*").alias("n"))
+    by_kind = by_id.groupBy("_digest", *kind).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("_id").isNull(), F.col("n")).otherwise(0)).alias("_loose"),
+        F.min("_id").alias("_first"),
+        F.min_by("n", "_id").alias("_n_first"),
+    )
+    least = F.min("_first").over(Window.partitionBy("_digest"))
+    own = F.when(F.col("_first") == F.col("_least"), F.col("_n_first")).otherwise(0)
+    told = by_kind.withColumn("_least", least).withColumn("_fails", F.col("n") - F.col("_loose") - own)
+    both = F.array(
+        F.struct(F.col("mask"), (F.col("n") - F.col("_fails")).alias("n")),
+        F.struct((F.col("mask") + bit).alias("mask"), F.col("_fails").alias("n")),
     )
+    rest = [c for c in kind if c != "mask"]
+    return told.select(*rest, F.explode(both).alias("s")).select(*rest, "s.mask", "s.n").where("n > 0")
 
 
 def audit(counted: DataFrame, names: Sequence[str]) -> DataFrame:
