@@ -1,5 +1,8 @@
+import dataclasses
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
@@ -310,3 +313,46 @@ def test_an_ensemble_of_400_trees_is_scored_saved_and_loaded(spark, tmp_path):
     again = boost.Boosted.load(spark, str(tmp_path / "m"))
     assert np.allclose([r.eta for r in again.add_score(df).collect()], want)
     assert [n for n, _ in again.importance(["a", "b"])] == [n for n, _ in model.importance(["a", "b"])]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows of few distinct features, each many times with labels of its own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1_200):
+        a, b = i % 4, int(rng.integers(0, 6))
+        rows.append((i, "uv"[i % 2], float(a), float(b), float(3 * (a > 1) - b + rng.normal()), i % 5 == 0))
+    df = spark.createDataFrame(rows, "k int, store string, a double, b double, y double, held boolean")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+def test_rows_with_the_same_features_are_held_as_one(repeated):
+    rows = repeated.select("features", "store", "held", "y")
+    cells = boost.alike(rows)
+    few = cells.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    assert few.n == 1_200 and few.rows <= 48
+    lost = cells.agg(F.sum(F.col("ss") + F.col("n") * F.col("y") * F.col("y"))).first()[0]
+    assert lost == pytest.approx(rows.agg(F.sum(F.col("y") * F.col("y"))).first()[0])
+
+
+@pytest.mark.parametrize("series", [(), ("store",)])
+@pytest.mark.parametrize("min_rows", [1, 130])
+def test_rows_held_as_one_grow_the_same_trees(repeated, series, min_rows):
+    options = {"rounds": 4, "rate": 0.5, "max_depth": 3, "min_rows": min_rows, "l2": 1.0, "series": series, "patience": 4}
+    one_by_one = dataclasses.replace(boost.squared(), square=False)
+    want = boost.boost_rows(repeated, "y", ["k"], loss=one_by_one, **options)
+    got = residual.fit_residual_boost(repeated.where("NOT held"), repeated.where("held"), "y", ["k"], **options)
+    cells = boost.alike(repeated.select("features", "held", *series, "y"))
+    ready = residual.fit_residual_cells(cells, **options)
+    told = [[r.yhat for r in m.transform(repeated).orderBy("k").collect()] for m in (want, got, ready)]
+    assert told[1] == pytest.approx(told[0]) and told[2] == pytest.approx(told[0])
+    assert got.n_trees == want.n_trees
+    for a, b in zip(want.history, got.history, strict=True):
+        assert b == pytest.approx(a)
+
+
+def test_too_few_rows_for_two_leaves_grow_no_split(repeated):
+    few = repeated.where("NOT held").limit(39)
+    model = residual.fit_residual_boost(few, None, "y", ["k"], rounds=1, rate=1.0, min_rows=20)
+    assert model.transform(few).select("yhat").distinct().count() == 1

@@ -43,6 +43,8 @@ class Loss:
     gradient: Callable[[Column, Column], Column]
     weight: Callable[[Column, Column], Column]
     row_loss: Callable[[Column, Column], Column]
+    #: the weight is 1 and the loss a square: rows with the same features may be held as one, see ``alike``
+    square: bool = False
 
 
 def poisson(max_delta_step: float = 0.7) -> Loss:
@@ -72,6 +74,7 @@ def squared() -> Loss:
         lambda y, eta: y - eta,
         lambda y, eta: F.lit(1.0),
         lambda y, eta: (y - eta) * (y - eta),
+        square=True,
     )
 
 
@@ -283,9 +286,9 @@ def fit_poisson_boost(
     return boost_rows(flagged(train, valid, ["features", label, *key]), label, key, loss=poisson(max_delta_step), **options)
 
 
-def flagged(train: DataFrame, valid: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+def flagged(train: DataFrame, valid: DataFrame | None, columns: Sequence[str | Column]) -> DataFrame:
     """Training and validation rows as one frame with a ``held`` flag."""
-    columns = list(dict.fromkeys(columns))
+    columns = [*dict.fromkeys(c for c in columns if isinstance(c, str)), *[c for c in columns if not isinstance(c, str)]]
     rows = train.select(*columns, F.lit(False).alias("held"))
     return rows if valid is None else rows.unionByName(valid.select(*columns, F.lit(True).alias("held")))
 
@@ -303,6 +306,19 @@ def series_fixes(scored: DataFrame, grown: Column, g: Column, h: Column, pooled:
     return sums.groupBy(*series).agg(F.map_from_entries(F.collect_list(F.struct("leaf", delta))).alias("deltas"))
 
 
+def alike(rows: DataFrame) -> DataFrame:
+    """Rows with the same features (series and ``held`` included) as one: the mean of ``y``, their number ``n``, and
+    ``ss``, the sum of squares about that mean.
+
+    They get the same score in every round, so under the squared loss they grow the same trees as one row of weight
+    ``n``: in the gain of a split, what lies inside of them cancels out. With features that hardly repeat it is as many
+    rows as before. Rows without a label stay apart from the others. The features may be a vector or its parts.
+    """
+    y, n = F.col("y"), F.count(F.lit(1))
+    same = [*[c for c in rows.columns if c != "y"], y.isNull().alias("_none")]
+    return rows.groupBy(*same).agg(F.avg(y).alias("y"), n.alias("n"), (F.var_pop(y) * n).alias("ss")).drop("_none")
+
+
 def boost_rows(
     rows: DataFrame,
     label: str,
@@ -329,12 +345,29 @@ def boost_rows(
     has leaf values of its own, shrunk to the pooled ones (``series_fixes``).
     Row subsamples are drawn by a hash of ``key`` and the round, so they survive
     a recomputed partition. The running score is cut from its lineage every
-    ``cut_every`` rounds, and superseded cuts are deleted.
+    ``cut_every`` rounds, and superseded cuts are deleted. Under the squared loss,
+    without a subsample, rows with the same features are held as one; ``rows`` may
+    come that way (``alike``).
     """
     loss, spark = loss or poisson(), rows.sparkSession
-    columns = ["features", F.col(label).cast("double").alias("y"), F.xxhash64(*key).alias("row_hash"), "held", *series]
-    work = spread(materialize(rows.select(*columns), "boost"))
-    base = loss.start(work.where(~F.col("held")).agg(F.avg("y")).first()[0])
+    columns = ["features", F.col(label).cast("double").alias("y"), "held", *series]
+    if as_one := loss.square and subsample >= 1.0:
+        held_as_one = {"y", "n", "ss"} <= set(rows.columns)
+        work = rows.select("features", "held", *series, "y", "n", "ss") if held_as_one else alike(rows.select(*columns))
+        many, ss = F.col("n"), F.col("ss")
+    else:
+        work = rows.select(*columns, F.xxhash64(*key).alias("row_hash"))
+        many, ss = F.lit(1), F.lit(0.0)
+    work = spread(materialize(work, "boost"))
+    y = F.col("y")
+    known = F.sum(F.when(y.isNotNull(), many))
+    total, mean = work.where(~F.col("held")).agg(F.sum(many), F.sum(y * many) / known).first()
+    base = loss.start(mean)
+    # a row may stand for many, so the least size of a leaf is a weight there; two leaves of it need twice as many rows
+    size = {"minInstancesPerNode": min_rows, "maxDepth": max_depth}
+    if as_one:
+        deep = max_depth if (total or 0) >= 2 * min_rows else 0
+        size = {"minWeightFractionPerNode": max(0.0, (min_rows - 0.5) / total) if deep else 0.0, "maxDepth": deep}
     trees, history, tables = [], [], []
     work = work.withColumn("eta", F.lit(base))
     learner = DecisionTreeRegressor(
@@ -343,21 +376,20 @@ def boost_rows(
         weightCol="h",
         predictionCol="pred",
         leafCol="leaf" if l2 or series else "",
-        maxDepth=max_depth,
         maxBins=max(32, max_arity(work)),
-        minInstancesPerNode=min_rows,
         seed=seed,
         cacheNodeIds=False,
+        **size,
     )
     best, best_round, previous, written = math.inf, 0, None, None
-    y, eta, held = F.col("y"), F.col("eta"), F.col("held")
-    g, h = loss.gradient(y, eta), loss.weight(y, eta)
+    eta, held = F.col("eta"), F.col("held")
+    step_label, g, h = loss.gradient(y, eta) / loss.weight(y, eta), loss.gradient(y, eta) * many, loss.weight(y, eta) * many
     for i in range(rounds):
         grown = ~held
         if subsample < 1.0:
             draw = F.pmod(F.xxhash64("row_hash", F.lit(seed + i)), F.lit(1_000_000))
             grown = grown & (draw < int(subsample * 1_000_000))
-        tree = learner.fit(work.where(grown).select("features", (g / h).alias("step"), h.alias("h")))
+        tree = learner.fit(work.where(grown).select("features", step_label.alias("step"), h.alias("h")))
         trees.append(tree)
         scored, step = tree.transform(work), F.col("pred")
         if l2:
@@ -370,11 +402,11 @@ def boost_rows(
             step = step + F.coalesce(F.try_element_at("deltas", F.col("leaf").cast("int")), F.lit(0.0))
         scored = scored.withColumn("eta", eta + F.lit(rate) * step).select(*work.columns)
         # sums of both parts in the pass that writes or keeps the new score
-        error = F.pow(y - loss.expected(eta), F.lit(2.0))
+        error = F.pow(y - loss.expected(eta), F.lit(2.0)) * many + ss
         sums = [
             F.sum(F.when(part, value)).alias(f"{name}_{what}")
             for name, part in (("train", ~held), ("valid", held))
-            for what, value in (("n", F.lit(1)), ("rmse", error), ("nll", loss.row_loss(y, eta)))
+            for what, value in (("n", many), ("rmse", error), ("nll", loss.row_loss(y, eta) * many + ss))
         ]
         if (i + 1) % cut_every == 0:
             seen, cut = Observation(), shared_path(spark, "boost")

@@ -20,3 +20,8 @@ def fit_residual_boost(
     """
     columns = ["features", label, *key, *series]
     return boost_rows(flagged(train, valid, columns), label, key, loss=squared(), series=series, **options)
+
+
+def fit_residual_cells(cells: DataFrame, series: Sequence[str] = (), **options) -> Boosted:
+    """As ``fit_residual_boost``, from rows that ``boost.alike`` has brought together; no subsample is drawn of them."""
+    return boost_rows(cells, "y", (), loss=squared(), series=series, **options)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators import features, metrics, reshape, varx
-from tidecast.operators.boost import Boosted, category_indexer
-from tidecast.operators.residual import fit_residual_boost
+from tidecast.operators.boost import Boosted, alike, category_indexer, flagged
+from tidecast.operators.residual import fit_residual_cells
 from tidecast.operators.split import blocked_split, origin_split
 from tidecast.plans import known
 from tidecast.session import materialize
@@ -27,6 +27,11 @@ CATEGORIES = (
     "snap",
 )
 KNOWN = ["wday", "month", *known.EVENTS, "snap", *known.LEAD_EVENTS]
+INPUTS = [f"{c}_ix" for c in CATEGORIES]
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=[*INPUTS, "step"], outputCol="features").transform(rows).drop(*INPUTS)
 
 
 class HybridForecast:
@@ -109,32 +114,37 @@ class HybridForecast:
         rows = rows.withColumns({c: F.col(c).cast("string") for c in text})
         learned, _ = blocked_split(rows.where(F.col("day_num") <= s.train_last), "day_num", s.windows)
         indexed = category_indexer(learned, CATEGORIES).transform(rows)
-        return indexed.select(*KEYS, "day_num", "demand", *[f"{c}_ix" for c in CATEGORIES])
+        return materialize(indexed.select(*KEYS, "day_num", "demand", *INPUTS), "day-features")
 
-    def residual_rows(self, forecasts: DataFrame) -> DataFrame:
-        """Forecast rows with the demand that followed and the residual model's feature vector."""
+    def residuals(self, forecasts: DataFrame) -> DataFrame:
+        """Forecast rows with the demand that followed, the residual and the parts of the residual model's feature vector."""
         rows = forecasts.select(*KEYS, "origin", "step", "day_num", "demand_fcast").join(
             self.day_features, [*KEYS, "day_num"]
         )
-        rows = rows.withColumn("resid", F.col("demand") - F.col("demand_fcast"))
-        inputs = [f"{c}_ix" for c in CATEGORIES]
-        assembled = VectorAssembler(inputCols=[*inputs, "step"], outputCol="features").transform(rows)
-        return assembled.drop(*inputs)
+        return rows.withColumn("resid", F.col("demand") - F.col("demand_fcast"))
+
+    def residual_rows(self, forecasts: DataFrame) -> DataFrame:
+        """The residuals with the residual model's feature vector."""
+        return assembled(self.residuals(forecasts))
 
     @cached_property
     def training(self) -> DataFrame:
-        """Residual rows of all origins, written once: every boosting round scans them."""
-        return materialize(self.residual_rows(self.rolling), "residuals")
+        """Residuals of all origins for the learner, ``held`` inside the windows.
+
+        A series has one forecast of every step on a day, and the days of a calendar look alike in few ways, so the rows
+        are brought together (``alike``) before their vectors are put together.
+        """
+        s = self.t.study
+        train, valid, _ = origin_split(self.residuals(self.rolling), "origin", "day_num", s.windows[0][0], s.windows)
+        rows = flagged(train, valid, [*KEYS, *INPUTS, "step", F.col("resid").cast("double").alias("y")])
+        return assembled(alike(rows))
 
     def fit(
         self, *, rounds: int = 1_000, rate: float = 0.02, max_depth: int = 5, patience: int | None = 10, l2: float = 0.0
     ) -> Boosted:
         """Trees common to all series, leaf values per store and department, stopped by patience on the windows."""
-        s = self.t.study
-        train, valid, _ = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
-        key = [*KEYS, "origin", "step"]
-        return fit_residual_boost(
-            train, valid, "resid", key, KEYS, rounds=rounds, rate=rate, max_depth=max_depth, patience=patience, l2=l2
+        return fit_residual_cells(
+            self.training, KEYS, rounds=rounds, rate=rate, max_depth=max_depth, patience=patience, l2=l2
         )
 
     def combine(self, rows: DataFrame, model: Boosted) -> DataFrame:
@@ -148,7 +158,8 @@ class HybridForecast:
     def scored(self, model: Boosted) -> DataFrame:
         """Base and final forecasts at the origins that open a validation window."""
         s = self.t.study
-        _, _, held = origin_split(self.training, "origin", "day_num", s.windows[0][0], s.windows)
+        opening = self.rolling.where(F.col("origin").isin([first for first, _ in s.windows]))
+        _, _, held = origin_split(self.residual_rows(opening), "origin", "day_num", s.windows[0][0], s.windows)
         return self.combine(held, model)
 
     def rmse(self, model: Boosted) -> DataFrame:
