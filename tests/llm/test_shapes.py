@@ -274,6 +274,22 @@ def test_log_probabilities_by_hand(spark):
         assert r.n_tokens == len(r.text.split())
 
 
+def test_a_step_needs_few_products_a_row():
+    """The members of a group are scored in one product: no copy of a group's classes is made for every row."""
+    import tracemalloc
+
+    model = lm_score.start_model(np.ones(512), 16, 1)
+    draw = np.random.default_rng(3)
+    context, target = draw.integers(0, 512, (lm_score.BATCH, 2 * lm_score.SIDE)), draw.integers(1, 512, lm_score.BATCH)
+    trainer = lm_score.Trainer(model, 0.1)
+    trainer.step(context, target)
+    tracemalloc.start()
+    trainer.step(context, target)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < lm_score.BATCH * model.out[0].nbytes
+
+
 def test_slopes_are_those_of_the_loss():
     draw = np.random.default_rng(2)
     model = lm_score.start_model(np.arange(11.0), 3, 1)

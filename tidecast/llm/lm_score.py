@@ -34,23 +34,39 @@ class Model(NamedTuple):
     bias: np.ndarray  # groups x (classes of a group)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(e[context[:, i]] for i, e in enumerate(self.inside)))
+        total = self.inside[0].take(context[:, 0], axis=0)
+        for i in range(1, len(self.inside)):
+            total += self.inside[i].take(context[:, i], axis=0)
+        return np.tanh(total, out=total)
 
-    def parts(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Group and member of every target, and the log-probabilities of all groups and of all members of its group."""
+    def runs(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the targets by group, group and member of each in that order, and ``(group, first, end)`` of every run."""
         group, member = np.divmod(target, self.bias.shape[1])
-        scores = np.matmul(self.out[group], hidden[:, :, None])[:, :, 0] + self.bias[group]
-        return group, member, log_softmax(hidden @ self.groups + self.group_bias), log_softmax(scores)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        ends = np.bincount(group, minlength=len(self.bias)).cumsum().tolist()
+        return order, group[order], member[order], [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+
+    def parts(self, hidden: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows in order of their groups: the hidden values with a one behind them, and the scores of all groups and
+        of all members of the row's group, less the largest. Scores stand in columns, so that sums run along the rows."""
+        wide = np.empty((len(hidden), hidden.shape[1] + 1), hidden.dtype)
+        wide[:, :-1], wide[:, -1] = hidden, 1
+        of_group = np.vstack([self.groups, self.group_bias]).T @ wide.T
+        own = np.concatenate([self.out, self.bias[:, :, None]], axis=2)
+        of_member = np.empty((self.bias.shape[1], len(hidden)), hidden.dtype)
+        for g, a, b in runs:
+            of_member[:, a:b] = own[g] @ wide[a:b].T
+        of_group -= of_group.max(axis=0)
+        of_member -= of_member.max(axis=0)
+        return wide, of_group, of_member
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        group, member, of_group, of_member = self.parts(self.hidden(context), target)
-        rows = np.arange(len(target))
-        return of_group[rows, group] + of_member[rows, member]
-
-
-def log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        order, group, member, runs = self.runs(target)
+        _, of_group, of_member = self.parts(self.hidden(context[order]), runs)
+        rows, out = np.arange(len(target)), np.empty(len(target), of_group.dtype)
+        both = np.exp(of_group).sum(axis=0) * np.exp(of_member).sum(axis=0)
+        out[order] = of_group[group, rows] + of_member[member, rows] - np.log(both)
+        return out
 
 
 #: Score of the places that fill up the last group: no class.
@@ -143,14 +159,6 @@ def targets(size: int, k: int, rounds: int) -> np.ndarray:
     return np.arange(SIDE + k, SIDE + size, rounds)
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and the sums of the rows of ``values`` that belong to each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(values[order], first, axis=0)
-
-
 class Trainer:
     """Mini-batch gradient descent with per-parameter steps (Adagrad)."""
 
@@ -160,35 +168,39 @@ class Trainer:
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[tuple[str, object, np.ndarray]]:
         """``(parameter, where, slope)`` of the mean loss of a batch; only what the batch touches."""
-        model, rows = self.model, np.arange(len(target))
+        model, n, rows = self.model, len(target), np.arange(len(target))
+        order, group, member, runs = model.runs(target)
+        context = context[order]
         hidden = model.hidden(context)
-        group, member, of_group, of_member = model.parts(hidden, target)
-        error = np.exp(of_group)
-        error[rows, group] -= 1
-        error /= len(target)
-        inner = np.exp(of_member)
-        inner[rows, member] -= 1
-        inner /= len(target)
-        back = error @ model.groups.T + np.matmul(inner[:, None, :], model.out[group])[:, 0]
-        back = (back * (1 - hidden * hidden)).astype(np.float32)
-        # the slopes of a group's classes: rows in order of groups, one product for each group of the batch
-        order = np.argsort(group, kind="stable")
-        which, first = np.unique(group[order], return_index=True)
-        ends = np.append(first[1:], len(order))
-        own = [order[a:b] for a, b in zip(first, ends, strict=True)]
-        slopes = np.stack([inner[x].T @ hidden[x] for x in own])
-        out = [("groups", slice(None), hidden.T @ error), ("group_bias", slice(None), error.sum(axis=0))]
-        out += [("out", which, slopes), ("bias", which, np.stack([inner[x].sum(axis=0) for x in own]))]
-        for i in range(len(model.inside)):
-            classes, slope = summed(context[:, i], back)
-            out.append(("inside", (i, classes), slope))
+        wide, *scores = model.parts(hidden, runs)
+        error, inner = (np.exp(x, out=x) for x in scores)
+        for x, at in ((error, group), (inner, member)):
+            x /= x.sum(axis=0) * n
+            x[at, rows] -= 1 / n
+        back = error.T @ model.groups.T
+        slopes = np.empty((len(runs), len(inner), wide.shape[1]), hidden.dtype)
+        for i, (g, a, b) in enumerate(runs):
+            back[a:b] += inner[:, a:b].T @ model.out[g]
+            np.matmul(inner[:, a:b], wide[a:b], out=slopes[i])
+        back *= 1 - hidden * hidden
+        top, which = wide.T @ error.T, np.array([g for g, _, _ in runs])
+        out = [("groups", slice(None), top[:-1]), ("group_bias", slice(None), top[-1])]
+        out += [("out", which, slopes[:, :, :-1]), ("bias", which, slopes[:, :, -1])]
+        # the rows of each place and class, all places at once; keys of 16 bits are sorted by radix
+        places, classes = model.inside.shape[:2]
+        keys = (context + np.arange(places) * classes).astype(np.int16 if places * classes < 1 << 15 else np.int64).ravel(order="F")
+        sort = np.argsort(keys, kind="stable")
+        keys = keys[sort].astype(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        out.append(("inside", np.divmod(keys[first], classes), np.add.reduceat(back[sort % n], first, axis=0)))
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         for name, where, slope in self.gradients(context, target):
-            value, total = getattr(self.model, name), getattr(self.sums, name)
-            total[where] += slope * slope
-            value[where] -= self.rate * slope / np.sqrt(total[where])
+            value, sums = getattr(self.model, name), getattr(self.sums, name)
+            total = sums[where] + slope * slope
+            sums[where] = total
+            value[where] -= self.rate * slope / np.sqrt(total)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -337,9 +349,9 @@ def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text
                 first = np.cumsum(size + 2 * SIDE) - size - SIDE
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
                 n[a:b] = size
-                for k in range(0, len(at), BATCH):
-                    now = at[k : k + BATCH]
-                    np.add.at(sums, owner[k : k + BATCH], model.log_probs(contexts(every, now), every[now]) + logs[now])
+                for k in range(0, len(at), 4 * BATCH):
+                    now = at[k : k + 4 * BATCH]
+                    np.add.at(sums, owner[k : k + 4 * BATCH], model.log_probs(contexts(every, now), every[now]) + logs[now])
             new = [pa.array(n), pa.array(sums), pa.array(rare, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=schema.names)
 
