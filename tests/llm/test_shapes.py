@@ -344,6 +344,45 @@ def test_rare_words_are_charged_by_their_counts(spark):
     assert found[0] == pytest.approx(found[1])
 
 
+def test_texts_are_read_twice(spark):
+    """Once for the counts and once for the classes of the words; both training rounds and the scores take the classes."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"w{i % 7} X{i % 5} y{i * i % 11} w{i % 3} rare{i}") for i in range(120)] + [(None, None), (3, ""), (3, "w1")]
+    bare = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    bare.count()
+    docs = bare.select("doc_id", told("text").alias("text"))
+    classes = lm_score.learned_classes(docs, words=5, shared=4, known=9)
+    texts = lm_score.encode(docs, classes, keep=["doc_id"])
+    found = lm_score.score(texts, *lm_score.fit(texts)).collect()
+    assert read.value == 2 * len(rows)
+    plain = lm_score.score(bare, *lm_score.fit(bare, words=5, shared=4, known=9)).drop("text").collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    found, plain = sorted(found, key=key), sorted(plain, key=key)
+    assert [key(r) for r in found] == [key(r) for r in plain]
+    assert [r.log_prob for r in found] == pytest.approx([r.log_prob for r in plain], rel=1e-4)
+
+
+@pytest.mark.parametrize("hidden", [4, 5])
+def test_embedding_slopes_of_few_and_of_many_classes(hidden):
+    draw = np.random.default_rng(4)
+    trainer = lm_score.Trainer(lm_score.start_model(np.ones(40), hidden, 1), 0.1)
+    context, back = draw.integers(0, 40, (100, 2 * lm_score.SIDE)), draw.normal(size=(100, hidden)).astype(np.float32)
+    plain = np.zeros(trainer.model.inside.shape)
+    for i in range(2 * lm_score.SIDE):
+        np.add.at(plain[i], context[:, i], back)
+    for cells in (trainer.cells, None):
+        trainer.cells, total = cells, np.zeros_like(plain)
+        where, slope = trainer.embedding_slopes(context, back)
+        total[where] += slope
+        assert total == pytest.approx(plain, abs=1e-5)
+
+
 def test_scores_of_awkward_rows(awkward, nothing):
     docs, rows = awkward
     out = lm_score.score(docs, *lm_score.fit(docs))

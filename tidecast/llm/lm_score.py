@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.tables import blocks, boxed, text_bytes, unboxed
+from tidecast.llm.tables import blocks, boxed, text_bytes
 from tidecast.operators.rank import numbered
 from tidecast.session import materialize
 
@@ -55,7 +55,7 @@ class Model(NamedTuple):
         own = np.concatenate([self.out, self.bias[:, :, None]], axis=2)
         of_member = np.empty((self.bias.shape[1], len(hidden)), hidden.dtype)
         for g, a, b in runs:
-            of_member[:, a:b] = own[g] @ wide[a:b].T
+            np.matmul(own[g], wide[a:b].T, out=of_member[:, a:b])
         of_group -= of_group.max(axis=0)
         of_member -= of_member.max(axis=0)
         return wide, of_group, of_member
@@ -99,6 +99,8 @@ class Classes(dict):
     def __init__(self, words: list[bytes], shared: int):
         super().__init__({w: i + shared + 1 for i, w in enumerate(words)})
         self.own, self.shared = len(words), shared
+        #: The words with classes of their own and their numbers.
+        self.words, self.counts = words, [0] * len(words)
         #: Words after those with classes of their own, the most frequent first, and their numbers.
         self.known: list[tuple[bytes, int]] = []
         #: Number of all words in each shared class.
@@ -142,11 +144,17 @@ class Shares(dict):
         return self.rare + xxhash.xxh3_64_intdigest(word) % self.shared
 
 
-def padded(text: bytes, classes: Classes) -> np.ndarray:
-    words = text.lower().split()
-    out = np.zeros(len(words) + 2 * SIDE, np.int64)
-    out[SIDE : SIDE + len(words)] = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
-    return out
+class Encoded(NamedTuple):
+    """Rows that ``encode`` has written, and the classes of their words, as ``fit`` and ``score`` take them."""
+
+    rows: DataFrame
+    classes: Classes
+    columns: list[str]
+
+
+def width(classes: int) -> type[np.signedinteger]:
+    """Whole numbers that hold any class."""
+    return np.int16 if classes < 1 << 15 else np.int32
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,6 +173,30 @@ class Trainer:
     def __init__(self, model: Model, rate: float):
         self.model, self.rate = Model(*(x.copy() for x in model)), rate
         self.sums = Model(*(np.full_like(x, 1e-6) for x in model))
+        places, classes, hidden = model.inside.shape
+        # two neighbouring numbers are added as one complex number
+        self.pair = np.result_type(model.inside, 1j) if hidden % 2 == 0 else model.inside.dtype
+        if places * classes < 1 << 15:
+            each = hidden // 2 if hidden % 2 == 0 else hidden
+            self.cells = np.arange(classes * each).reshape(classes, each)
+        else:
+            self.cells = None
+
+    def embedding_slopes(self, context: np.ndarray, back: np.ndarray) -> tuple[object, np.ndarray]:
+        """``back`` summed by place and class: for all classes where they are few, else for those of the batch."""
+        places, classes = self.model.inside.shape[:2]
+        if self.cells is not None:
+            total, added = np.zeros_like(self.model.inside), back.view(self.pair).ravel()
+            held = np.empty((len(context), self.cells.shape[1]), np.int64)
+            for i in range(places):
+                self.cells.take(context[:, i], axis=0, out=held, mode="clip")
+                np.add.at(total[i].view(self.pair).reshape(-1), held.ravel(), added)
+            return slice(None), total
+        keys = (context + np.arange(places, dtype=np.int64) * classes).ravel(order="F")
+        sort = np.argsort(keys, kind="stable")
+        keys = keys[sort]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return np.divmod(keys[first], classes), np.add.reduceat(back.take(sort % len(context), axis=0), first, axis=0)
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[tuple[str, object, np.ndarray]]:
         """``(parameter, where, slope)`` of the mean loss of a batch; only what the batch touches."""
@@ -177,30 +209,29 @@ class Trainer:
         for x, at in ((error, group), (inner, member)):
             x /= x.sum(axis=0) * n
             x[at, rows] -= 1 / n
-        back = error.T @ model.groups.T
+        back, own = np.ascontiguousarray(error.T @ model.groups.T), np.empty_like(hidden)
         slopes = np.empty((len(runs), len(inner), wide.shape[1]), hidden.dtype)
         for i, (g, a, b) in enumerate(runs):
-            back[a:b] += inner[:, a:b].T @ model.out[g]
+            np.matmul(inner[:, a:b].T, model.out[g], out=own[a:b])
             np.matmul(inner[:, a:b], wide[a:b], out=slopes[i])
+        back += own
         back *= 1 - hidden * hidden
-        top, which = wide.T @ error.T, np.array([g for g, _, _ in runs])
+        top = wide.T @ error.T
+        which = slice(None) if len(runs) == len(model.bias) else np.array([g for g, _, _ in runs])
         out = [("groups", slice(None), top[:-1]), ("group_bias", slice(None), top[-1])]
         out += [("out", which, slopes[:, :, :-1]), ("bias", which, slopes[:, :, -1])]
-        # the rows of each place and class, all places at once; keys of 16 bits are sorted by radix
-        places, classes = model.inside.shape[:2]
-        keys = (context + np.arange(places) * classes).astype(np.int16 if places * classes < 1 << 15 else np.int64).ravel(order="F")
-        sort = np.argsort(keys, kind="stable")
-        keys = keys[sort].astype(np.int64)
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        out.append(("inside", np.divmod(keys[first], classes), np.add.reduceat(back[sort % n], first, axis=0)))
-        return out
+        return [*out, ("inside", *self.embedding_slopes(context, back))]
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         for name, where, slope in self.gradients(context, target):
             value, sums = getattr(self.model, name), getattr(self.sums, name)
-            total = sums[where] + slope * slope
+            total = slope * slope
+            total += sums[where]
             sums[where] = total
-            value[where] -= self.rate * slope / np.sqrt(total)
+            np.sqrt(total, out=total)
+            np.divide(slope, total, out=total)
+            total *= self.rate
+            value[where] -= total
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -225,32 +256,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("_text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(
-    docs: DataFrame,
-    words: int = 447,
-    shared: int = 64,
-    hidden: int = 16,
-    rounds: int = 2,
-    rate: float = 0.05,
-    seed: int = 7,
-    text_col: str = "text",
-    known: int = 100_000,
-) -> tuple[Model, Classes]:
-    """Train on all documents.
+def learned_classes(docs: DataFrame, words: int = 447, shared: int = 64, text_col: str = "text", known: int = 100_000) -> Classes:
+    """The classes of the words of all texts, from the counts of all words.
 
-    Counts of all words give the classes; those of the ``known`` most frequent words are held, the others stay a table
-    that grows with the corpus and that ``score`` joins. In every round each task descends from the same model over its documents,
-    taking every ``rounds``-th word of each as target (each round begins one word later, so that every word is a target
-    of one round), and the resulting models are averaged by their numbers of targets. The sums run as a Spark aggregation
-    over single parameters; the driver holds ``known`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
+    The counts of the ``known`` most frequent words are held, the others stay a table that grows with the corpus.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     counts = materialize(word_counts(texts), "words")
     # places are found by ranges of the sorted words, so the driver gets these words once, not the best of every task
     ranked = numbered(counts, ["n", "word"], "place", descending=["n"]).where(F.col("place") < max(known, words))
     top = [(bytes(r.word), r.n) for r in sorted(ranked.collect(), key=lambda r: r.place)]
-    names = [w for w, _ in top[:words]]
-    classes = Classes(names, shared)
+    classes = Classes([w for w, _ in top[:words]], shared)
+    classes.counts = [n for _, n in top[:words]]
     classes.known = top[words:]
     on_top = frozenset(w for w, _ in top)
 
@@ -273,13 +290,85 @@ def fit(
         classes.totals[xxhash.xxh3_64_intdigest(w) % shared] -= n
     if len(top) == max(known, words):
         classes.rest = counts.where("n > 1").mapInArrow(others, "_word long, n long")
-    model = start_model(np.array([0, *classes.totals, *[n for _, n in top[:words]]]), hidden, seed)
+    return classes
+
+
+def encode(docs: DataFrame, classes: Classes, text_col: str = "text", keep: list[str] | None = None, write: bool = True) -> Encoded:
+    """Every text as the classes of its words, written once for all that ``fit`` and ``score`` do with it.
+
+    A row holds the columns ``keep`` of ``docs`` (default: all), ``n_tokens``, ``_classes`` (whole numbers of ``width``, ``SIDE``
+    zeros before and behind), ``_log`` (the words' shares of their classes, summed logarithms) and ``_rare`` (digests of
+    the words whose counts are not held; they count once so far).
+    """
+    columns = docs.columns if keep is None else keep
+    bare = docs.select(*[F.col(f"`{c}`") for c in columns]).drop("n_tokens", "log_prob", "mean_log_prob")
+    names, shared, known, totals = classes.words, classes.shared, classes.known, classes.totals
+    kind = width(classes.size)
+    row = boxed(bare) if bare.columns else F.lit(True).alias("_row")
+    texts = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = T.StructType(texts.select("_row").schema.fields).add("n_tokens", "long").add("_classes", "binary")
+    schema = schema.add("_log", "double").add("_rare", T.ArrayType(T.LongType()))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Shares(names, shared, known, totals)
+        place, of_place = places.__getitem__, places.classes.astype(kind)
+        for batch in batches:
+            data, starts = text_bytes(batch.column(1))
+            n, logs = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            told: list[bytes] = []
+            rare: list[list[int]] = []
+            for i in range(len(batch)):
+                words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
+                at = np.zeros(len(words) + 2 * SIDE, np.int64)
+                at[SIDE : SIDE + len(words)] = np.fromiter(map(place, words), np.int64, len(words))
+                n[i], logs[i] = len(words), places.logs.take(at).sum()
+                told.append(of_place.take(at).tobytes())
+                rare.append([digest(words[x]) for x in np.flatnonzero(at >= places.rare) - SIDE])
+            new = [pa.array(n), pa.array(told, pa.binary()), pa.array(logs), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=schema.names)
+
+    rows = texts.mapInArrow(tell, schema).withColumn("_id", F.monotonically_increasing_id())
+    return Encoded(materialize(rows, "encoded") if write else rows, classes, bare.columns)
+
+
+def encoded_ids(column: pa.Array, kind: type[np.signedinteger]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column ``_classes`` behind each other, and where each starts (one more entry: the end)."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    data, starts = text_bytes(column)
+    size = np.dtype(kind).itemsize
+    return data[starts[0] : starts[-1]].view(kind), (starts - starts[0]) // size
+
+
+def fit(
+    docs: DataFrame | Encoded,
+    words: int = 447,
+    shared: int = 64,
+    hidden: int = 16,
+    rounds: int = 2,
+    rate: float = 0.05,
+    seed: int = 7,
+    text_col: str = "text",
+    known: int = 100_000,
+) -> tuple[Model, Classes]:
+    """Train on all documents, or on what ``encode`` has made of them (with the classes that are there).
+
+    Counts of all words give the classes; those of the ``known`` most frequent words are held, the others stay a table
+    that grows with the corpus and that ``score`` joins. In every round each task descends from the same model over its documents,
+    taking every ``rounds``-th word of each as target (each round begins one word later, so that every word is a target
+    of one round), and the resulting models are averaged by their numbers of targets. The sums run as a Spark aggregation
+    over single parameters; the driver holds ``known`` words and one model, whose sizes the arguments fix. Without any word the model stays as it starts.
+    """
+    if isinstance(docs, DataFrame):
+        docs = encode(docs, learned_classes(docs, words, shared, text_col, known), text_col, keep=[])
+    classes, kind = docs.classes, width(docs.classes.size)
+    model = start_model(np.array([0, *classes.totals, *classes.counts]), hidden, seed)
 
     for k in range(rounds):
         now = model
 
         def descend(batches: Iterator[pa.RecordBatch], now: Model = now, k: int = k) -> Iterator[pa.RecordBatch]:
-            own, trainer, n = Classes(names, shared), Trainer(now, rate), 0
+            trainer, n = Trainer(now, rate), 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
 
@@ -290,11 +379,9 @@ def fit(
                     trainer.step(context[order[b : b + BATCH]], target[order[b : b + BATCH]])
 
             for batch in batches:
-                data, starts = text_bytes(batch.column(0))
-                for i in range(len(batch)):
-                    ids = padded(data[starts[i] : starts[i + 1]].tobytes(), own)
-                    size = len(ids) - 2 * SIDE
-                    at = targets(size, k, rounds)
+                ids, starts = encoded_ids(batch.column(0), kind)
+                for first, end in zip(starts.tolist(), starts[1:].tolist()):
+                    at = first + targets(end - first - 2 * SIDE, k, rounds)
                     if len(at):
                         held.append((contexts(ids, at), ids[at]))
                         n, waiting = n + len(at), waiting + len(at)
@@ -306,7 +393,7 @@ def fit(
             flat = np.concatenate([x.reshape(-1) for x in trainer.model]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat])], names=["n", "weights"])
 
-        models = materialize(texts.mapInArrow(descend, "n long, weights array<double>"), "models")
+        models = materialize(docs.rows.select("_classes").mapInArrow(descend, "n long, weights array<double>"), "models")
         taken = models.agg(F.sum("n").alias("n")).first().n
         if not taken:
             continue
@@ -319,49 +406,37 @@ def fit(
     return model, classes
 
 
-def score(docs: DataFrame, model: Model, classes: Classes, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame | Encoded, model: Model, classes: Classes, text_col: str = "text") -> DataFrame:
     """Every row with ``n_tokens``, ``log_prob`` (natural logarithms, summed over all words, each given its neighbours)
     and ``mean_log_prob`` added. Null and empty texts have no words, sum 0 and a null mean; any length is scored whole.
-    Columns named like the added ones are replaced; an empty table gives an empty result."""
-    bare = docs.drop("n_tokens", "log_prob", "mean_log_prob")
-    names = [w for w, _ in sorted(classes.items(), key=lambda x: x[1]) if classes[w] > classes.shared][: classes.own]
-    shared, known, totals = classes.shared, classes.known, classes.totals
-    texts = bare.select(boxed(bare), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = T.StructType(texts.select("_row").schema.fields).add("n_tokens", "long").add("log_prob", "double").add("_rare", T.ArrayType(T.LongType()))
+    Columns named like the added ones are replaced; an empty table gives an empty result. Rows that ``encode`` has
+    written keep the columns that are there."""
+    if isinstance(docs, DataFrame):
+        docs = encode(docs, classes, text_col, write=classes.rest is not None)
+    kind = width(classes.size)
+    rows = docs.rows.select("_id", "_row", "n_tokens", "_log", "_classes")
+    schema = T.StructType(rows.schema.fields[:3]).add("log_prob", "double")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Shares(names, shared, known, totals)
         for batch in batches:
-            data, starts = text_bytes(batch.column(1))
-            n, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            rare: list[list[int]] = []
-            for a, b in blocks(starts, 1 << 18):
-                ids = []
-                for i in range(a, b):
-                    words = data[starts[i] : starts[i + 1]].tobytes().lower().split()
-                    own = np.zeros(len(words) + 2 * SIDE, np.int64)
-                    own[SIDE : SIDE + len(words)] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                    ids.append(own)
-                    rare.append([digest(words[x - SIDE]) for x in np.flatnonzero(own >= places.rare)])
-                size = np.array([len(x) - 2 * SIDE for x in ids])
-                every, owner = np.concatenate(ids), np.repeat(np.arange(a, b), size)
-                logs, every = places.logs[every], places.classes[every]
-                first = np.cumsum(size + 2 * SIDE) - size - SIDE
-                at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                n[a:b] = size
+            ids, starts = encoded_ids(batch.column(4), kind)
+            sums = batch.column(3).to_numpy().copy()
+            for a, b in blocks(starts, 1 << 16):
+                at = np.ones(starts[b] - starts[a], bool)
+                for d in range(SIDE):
+                    at[starts[a:b] - starts[a] + d] = at[starts[a + 1 : b + 1] - starts[a] - 1 - d] = False
+                at = starts[a] + np.flatnonzero(at)
+                owner = np.repeat(np.arange(a, b), np.diff(starts[a : b + 1]) - 2 * SIDE)
                 for k in range(0, len(at), 4 * BATCH):
                     now = at[k : k + 4 * BATCH]
-                    np.add.at(sums, owner[k : k + 4 * BATCH], model.log_probs(contexts(every, now), every[now]) + logs[now])
-            new = [pa.array(n), pa.array(sums), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=schema.names)
+                    np.add.at(sums, owner[k : k + 4 * BATCH], model.log_probs(contexts(ids, now), ids[now]).astype(float))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], names=schema.names)
 
-    rows = texts.mapInArrow(tell, schema)
-    log_prob = F.col("log_prob")
+    found, log_prob = rows.mapInArrow(tell, schema), F.col("log_prob")
     if classes.rest is not None:
         # words that are not held counted once so far
-        rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "scored")
-        more = rows.select("_id", F.explode("_rare").alias("_word")).join(classes.rest, "_word")
+        more = docs.rows.select("_id", F.explode("_rare").alias("_word")).join(classes.rest, "_word")
         more = more.groupBy("_id").agg(F.sum(F.log("n")).alias("_more"))
-        rows, log_prob = rows.join(more, "_id", "left"), log_prob + F.coalesce("_more", F.lit(0.0))
-    rows = rows.select(*unboxed(bare), "n_tokens", log_prob.alias("log_prob"))
-    return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+        found, log_prob = found.join(more, "_id", "left"), log_prob + F.coalesce("_more", F.lit(0.0))
+    found = found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "n_tokens", log_prob.alias("log_prob"))
+    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
