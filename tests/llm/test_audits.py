@@ -2,10 +2,13 @@
 
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +86,20 @@ def test_divergence_equals_plain_version(mixed, monkeypatch, least, top, bundle,
     assert len(got) == len(set(got)) and set(got) == plain_divergence(rows, least, top)
 
 
+def test_counting_terms_holds_one_block():
+    """Texts of 16 MB in one batch: what a block takes in memory, not what the batch would."""
+    draw = np.random.default_rng(5)
+    words = np.array(["".join(map(chr, draw.integers(97, 123, 6))) for _ in range(30_000)])
+    texts = [" ".join(words[draw.integers(0, len(words), 30_000)]) for _ in range(80)]
+    batch = pa.record_batch([pa.array([c] * 80) for c in ("en", "s1")] + [pa.array(texts)], names=["lang", "source", "text"])
+    tracemalloc.start()
+    counted = sum(pc.sum(out.column(3)).as_py() for out in divergence._count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted == 80 * 30_000
+    assert peak < 100 << 20
+
+
 def test_divergence_of_nothing(spark, none):
     assert divergence.divergences(none).isEmpty()
     one = spark.createDataFrame([("a b c", "en", "s")] * 12, "text string, lang string, source string")

@@ -14,8 +14,8 @@ from tidecast.llm.tables import blocks, text_bytes
 from tidecast.operators.rank import numbered
 from tidecast.session import materialize
 
-#: Bytes of text whose terms are counted together inside a task.
-BLOCK = 1 << 24
+#: Bytes of text whose terms are counted together inside a task; counting holds about forty times as many.
+BLOCK = 1 << 22
 #: Sources whose bitmaps of one block of terms travel in one row.
 BUNDLE = 32
 
@@ -33,9 +33,11 @@ def _terms(data: np.ndarray, cuts: np.ndarray) -> tuple[pa.StringArray, np.ndarr
     inside[1:] &= letter[:-1]
     starts = cuts[:-1][cuts[:-1] < len(data)]
     inside[starts] = False  # a run never goes on in the next text
+    last = letter.copy()
+    last[:-1] &= ~inside[1:]
     at = np.flatnonzero(letter & ~inside)
-    kept = np.concatenate([[0], np.cumsum(letter)])
-    ends = np.append(kept[at], kept[-1]).astype(np.int32)
+    ends = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - at, out=ends[1:])
     packed = _LOWER[data[letter]]
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(packed))
     return words, np.searchsorted(cuts, at, side="right") - 1
