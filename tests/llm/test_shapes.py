@@ -91,6 +91,18 @@ def test_sharding(spark, awkward, nothing):
     assert sharding.shuffled_shards(nothing).isEmpty()
 
 
+def test_sharding_moves_rows_once(spark, awkward):
+    """Also where Spark would not broadcast the places of the buckets by itself."""
+    docs = awkward[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding.shuffled_shards(docs, 8, bucket_bytes=2000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_write_shards(awkward, tmp_path, spark):
     docs, rows = awkward
     sharding.write_shards(sharding.shuffled_shards(docs.select("doc_id", "text"), 4), str(tmp_path / "s"), 4)

@@ -42,7 +42,7 @@ def shuffled_shards(
     at = F.col("_first") + F.col("_at")
     shard = F.expr(f"(_g * {shards}) DIV {max(rows, 1)}")
     return (
-        filled.join(firsts, "_bucket")
+        filled.join(F.broadcast(firsts), "_bucket")  # one row for each bucket_bytes of text; rows move only once
         .withColumn("_g", at)
         .withColumn("_shard", shard)
         .select(
