@@ -1,7 +1,9 @@
 """Extraction, packing, sharding, chat windows, scoring and the pipeline."""
 
+import json
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -54,6 +56,39 @@ def test_special_strings_are_sought_before_lower_casing(spark):
         assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes()), text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abzABZéÉßÿªºµ×÷İıſΣσς'.,!-1½²日\u0301\u0338\u212b\u00ad", min_size=1, max_size=9))
+def test_words_have_the_ids_of_the_tokenizer(word):
+    known = packing._encoded(VOCABULARY)
+    ids = known.tokenizer.encode(word, add_special_tokens=False).ids
+    assert b"".join(map(known.__getitem__, known.words(word.encode()))) == np.array(ids, "<u4").tobytes()
+
+
+def test_words_of_letters_go_to_the_model_at_once():
+    class Long:
+        def encode(self, word, add_special_tokens):
+            asked.append(word)
+            return tokenizer.encode(word, add_special_tokens=add_special_tokens)
+
+    known, asked = packing._Encoded(VOCABULARY), []
+    tokenizer, known.tokenizer = known.tokenizer, Long()
+    words = "Wörter aus lateinischen Buchstaben, é. thnttiones it's 3 дом"
+    got = b"".join(map(known.__getitem__, known.words(words.encode())))
+    assert got == np.array(tokenizer.encode(words, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(asked) == [",", ".", "3", "it's", "дом"]
+
+
+def test_tokenizers_that_change_letters_or_split_words(tmp_path):
+    changed = json.loads(Path(VOCABULARY).read_text())
+    for step in ({"type": "Replace", "pattern": {"String": "ba"}, "content": "z z"}, {"type": "StripAccents"}):
+        changed["normalizer"]["normalizers"] = [{"type": "NFD"}, step, {"type": "Lowercase"}]
+        (path := tmp_path / "own.json").write_text(json.dumps(changed))
+        known = packing._Encoded(str(path))
+        for word in ("abba", "cab", "é", "aéa", "bab"):
+            ids = known.tokenizer.encode(word, add_special_tokens=False).ids
+            assert known[word.encode()] == np.array(ids, "<u4").tobytes(), (step, word)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), min_size=1))
 def test_plan_packs_every_piece_once(counts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -93,6 +95,9 @@ class _Encoded(dict):
     and the marks of ``TAIL``, so words and the marks behind them are looked up apart. Two generations of at most ``most``
     words are remembered: what is not asked for while one fills up is forgotten. Special strings are sought before the
     text is lower-cased, so a word that may hold one is looked up as it is written.
+
+    A word of Latin letters only is one pre-token, each letter standing for itself, so it goes to the tokenizer's model
+    at once; letters for which the tokenizer's own first steps say otherwise, and all other words, take the long way.
     """
 
     TAIL = b".,!?;:*#%$&|"
@@ -106,6 +111,30 @@ class _Encoded(dict):
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: strings that the tokenizer looks for before it lower-cases
         self.special = [t.content.lower().encode() for t in added if not t.normalized]
+        self.model = self.tokenizer.model
+        self.letters = self._letters()
+        told = "".join(map(chr, self.letters))
+        pairs = "".join(a + b for a in told for b in told)  # every letter behind every other
+        if self._first_steps(pairs) != [pairs.translate(self.letters)] or any(set(t.content) <= set(told) for t in added):
+            self.letters, told = {}, ""
+        self.plain = re.compile(f"[{told}]+" if told else r"(?!)").fullmatch
+
+    def _first_steps(self, text: str) -> list[str]:
+        """What the model gets of a text: pre-tokens of the normalized text."""
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normalizer is not None:
+            text = normalizer.normalize_str(text)
+        return [x for x, _ in splitter.pre_tokenize_str(text)] if splitter is not None else []
+
+    def _letters(self) -> dict[int, str]:
+        """Letters up to U+00FF (none of them combines with another) and what the model gets of each."""
+        found = ((c, self._first_steps(chr(c))) for c in range(256) if chr(c).isalpha())
+        return {c: steps[0] for c, steps in found if len(steps) == 1}
+
+    def _ids(self, word: str) -> list[int]:
+        if self.plain(word):
+            return [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def words(self, text: bytes) -> list[bytes]:
         """Words of a text as they are looked up: lower-cased, but for those that hold a special string in any case."""
@@ -121,10 +150,11 @@ class _Encoded(dict):
             self.clear()
         if (out := self.older.get(word)) is None:
             core = word.rstrip(self.TAIL)
-            if len(core) < len(word) and core[-1:].isalnum():
+            if len(core) < len(word) and (core[-1:].isalnum() or self.plain(core.decode())):
                 out = self[core] + self[word[len(core) :]]
             else:
-                out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self._ids(word.decode())
+                out = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = out
         return out
 
