@@ -1,10 +1,11 @@
 """Deduplication, rules, decontamination and the join against plain versions, on awkward rows and whole tables."""
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.llm import catalog, quality
+from tidecast.llm import catalog, ngram_join, quality
 from tidecast.llm.decontaminate import contamination
 from tidecast.llm.kmer_dedup import remove_windows
 from tidecast.llm.ngram_join import linked, one_of_each
@@ -58,6 +59,36 @@ def test_jaccard_join(awkward, size, percent):
     assert got == ordered(brute.jaccard(rows, size, percent))
 
 
+@pytest.mark.parametrize("percent", [50, 67, 80, 90])
+@pytest.mark.parametrize("spread", [False, True])
+def test_linked_sets_have_a_key_in_common(percent, spread):
+    rng = np.random.default_rng(percent)
+    classes = rng.choice(np.array([85, 102, 153, 255], np.uint8), 1 << (ngram_join.SLOT_BITS - 2))  # no class is 0
+    for _ in range(300):
+        shared = int(rng.integers(1, 120))
+        most = shared * (100 - percent) // percent
+        apart = int(rng.integers(0, most + 1)) if not spread else most
+        every = np.sort(rng.integers(0, 1 << 64, shared + apart, np.uint64, endpoint=False))
+        ranked = every[np.lexsort((every, ngram_join.class_of(every, classes)))]
+        # spread: of the first ones, every other is in one set only, so that shared ones meet as late as they can
+        odd = np.arange(apart) * 2 + 1 if spread else rng.choice(len(every), apart, replace=False)
+        mine = rng.random(apart) < rng.random()
+        a, b = (np.sort(np.delete(ranked, odd[x])) for x in (mine, ~mine))
+        if not (percent >= 67 and np.array_equal(a, b)):
+            assert len(np.intersect1d(ngram_join.keys(a, classes, percent), ngram_join.keys(b, classes, percent)))
+
+
+def test_a_rare_shingle_by_chance_joins_no_cluster(spark, monkeypatch):
+    """Every two of 41 texts have one word in common, which no third one has; two more texts are like another."""
+    seen, find = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or find(edges))
+    rows = [(i, " ".join(f"w{min(i, j)}x{max(i, j)}" for j in range(41) if j != i)) for i in range(41)]
+    rows += [(50, rows[7][1] + " more"), (51, rows[7][1] + " words")]
+    got = rows_of(linked(spark.createDataFrame(rows, "doc_id long, text string"), 1).select("_id", "n_shingles", "component_id"))
+    assert got == ordered(brute.jaccard(rows, 1))
+    assert 2 <= seen[0] <= 3  # among the three that are alike
+
+
 def test_one_of_each_keeps_one_row_of_a_component(awkward):
     docs, rows = awkward
     kept = one_of_each(docs)

@@ -10,16 +10,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.graph import components
-from tidecast.llm.minimizers import WordIds, gram_ids
+from tidecast.llm.minimizers import WordIds, gram_ids, joined
 from tidecast.llm.tables import boxed, keyed, same_row, sieve, sifted, text_bytes, unboxed
 from tidecast.session import materialize
 
-#: Slots that hold how frequent shingles are; their number does not depend on the corpus.
-SLOT_BITS = 25
+#: Slots that hold how frequent shingles are, two bits each; their number does not depend on the corpus.
+SLOT_BITS = 27
+#: Document counts from which on a shingle is in class 1, 2 and 3; class 0 is left to shingles of one document.
+OFTEN = (2, 4, 32)
 #: Shingles that one task sorts at a time, when it counts its own and when it sums a range of identifiers.
 RUN_SHINGLES = 1 << 21
 #: Shingles of one block of documents, which a task holds twice.
@@ -44,7 +46,8 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """How frequent shingles are: for every slot (top bits of an identifier) the logarithm of the largest document count.
+    """How frequent shingles are: for every slot (top bits of an identifier) the class of the largest document count,
+    four slots in a byte. A shingle in a slot of class 0 is surely in one document only.
 
     All shingles of all documents are counted by the first 40 bits of their identifiers. They travel as sorted runs of
     differences, one for each range of identifiers, and every range is summed by a group of its own; there are as many
@@ -96,37 +99,64 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
         often = df > 1
         classes = np.zeros(1 << span, np.uint8)
         slot = (ids[start][often] >> np.uint64(40 - SLOT_BITS)).astype(np.int64) & ((1 << span) - 1)
-        np.maximum.at(classes, slot, np.log2(df[often]).astype(np.uint8))
+        np.maximum.at(classes, slot, np.searchsorted(OFTEN, df[often], side="right").astype(np.uint8))
+        classes = np.bitwise_or.reduce(classes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "classes": [zstandard.compress(classes.tobytes(), 3)]})
 
     runs = texts.select("_text").mapInArrow(count, "part int, first long, steps binary, times binary")
-    out = np.zeros((1 << range_bits, 1 << span), np.uint8)
+    out = np.zeros((1 << range_bits, 1 << (span - 2)), np.uint8)
     for r in runs.groupBy("part").applyInPandas(add, "part int, classes binary").toLocalIterator():
         out[r.part] = np.frombuffer(zstandard.decompress(r.classes), np.uint8)
     return out.reshape(-1)
 
 
+def class_of(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class of each shingle, see ``rarity``."""
+    slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return classes[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & np.uint8(3)
+
+
+def keys(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Identifiers of which the sorted set ``s`` has one in common with every other set that it links with.
+
+    Both sets are put in one order, by class and identifier, and two shingles that follow each other there make a key.
+    Of all shingles that one of the sets has, an ``a`` are only in ``s`` and ``b`` only in the other one. Before the
+    first two shared ones that follow each other, every shared one is followed by one that is not, so these two are
+    among the first ``2a + b + 2`` of ``s``; that is largest, ``2 * (1 - percent) * n + 2``, if the other set is a part of
+    ``s``. They exist if the sets differ and ``percent`` is 67 or more; below that, single shingles are keys. Texts that
+    share a rare shingle by chance seldom share two that follow each other. Keys of shingles that are surely in one
+    document only are left out.
+    """
+    kind = class_of(s, classes)
+    order = np.lexsort((s, kind))
+    if percent < 67:
+        order = order[: len(s) - -(-percent * len(s) // 100) + 1]
+        return s[order[kind[order] > 0]]
+    order = order[: 2 * len(s) * (100 - percent) // 100 + 2]
+    order = order[kind[order] > 0]
+    return joined(s[order[:-1]], s[order[1:]], 2)
+
+
 def _described(texts: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Each text's number of shingles, the identifier of its set, and its rarest shingles that a partner must share."""
+    """Each text's number of shingles, the identifier of its set, and its keys."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)  # of fixed size
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes = WordIds(), shared.value
         for batch in batches:
-            n, digest, rare = [], [], []
+            n, digest, own = [], [], []
             for s in _of(batch, 2, known, size):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s))
-                rank = np.lexsort((s, classes[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
-                rare.append(s[rank[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64) if len(s) else [])
+                own.append(keys(s, classes, percent).view(np.int64))
             digest = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-                + [pa.array(rare, pa.list_(pa.int64()))],
-                names=["_id", "_h", "n", "s1", "s2", "rare"],
+                + [pa.array(own, pa.list_(pa.int64()))],
+                names=["_id", "_h", "n", "s1", "s2", "keys"],
             )
 
-    return texts.mapInArrow(describe, "_id long, _h long, n long, s1 long, s2 long, rare array<long>")
+    return texts.mapInArrow(describe, "_id long, _h long, n long, s1 long, s2 long, keys array<long>")
 
 
 class _Sets:
@@ -204,8 +234,10 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
     text of fewer words is one shingle, and a text without words links with nothing. ``component_id`` is the smallest id
     reachable by links (null ids come last). Equal sets are one document here, however many copies there are.
 
-    Shingles are ordered by rarity over all documents. Linked documents share one of their rarest shingles, so documents
-    that are connected by those form clusters, and all links lie inside clusters. Clusters are cut into blocks of
+    Shingles are ordered by rarity over all documents. Linked documents share two of their rarest shingles that follow
+    each other in that order (``keys``), so documents that are connected by those form clusters, and all links lie
+    inside clusters. Single shingles would not do: the larger the corpus, the more texts share a rare one by chance, until
+    most texts are one cluster, of which every block meets every other. Clusters are cut into blocks of
     bounded size; every pair of blocks is a group of its own, in which ``_Sets.search`` finds the links over inverted
     lists. Documents that are connected already are not compared again, and only connecting links leave a group.
     """
@@ -214,19 +246,19 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
     reps = (
         found.where("n > 0")
         .groupBy("s1", "s2")
-        .agg(F.min("_id").alias("low"), *[F.first(c).alias(c) for c in ("_id", "_h", "n", "rare")])
+        .agg(F.min("_id").alias("low"), *[F.first(c).alias(c) for c in ("_id", "_h", "n")], F.count("*").alias("copies"))
         .withColumn("uid", F.monotonically_increasing_id())
     )
     reps = materialize(reps, "sets")
-    postings = reps.select("uid", "n", F.posexplode("rare").alias("i", "token"))
-    # of a pair, the smaller set has a shared shingle already in this shorter prefix
-    inner = f"i < n - CEIL(2 * {percent} * n / (100 + {percent}D)) + 1"
-    lists = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("uid").alias("hub"), F.max(F.expr(inner)).alias("inner"))
-    lists = materialize(lists.where("k > 1 AND inner").select("token", "hub"), "lists")
-    shared = sifted(postings, "token", sieve(lists, "token")).where("_maybe").join(lists, "token")
-    edges = shared.where("uid != hub").selectExpr("uid AS a", "hub AS b").distinct()
+    # keys of equal sets count once; a bitmap tells most of the others, which need not be moved for that
+    named = sifted(found.where("size(keys) > 0"), "s1", sieve(reps.where("copies > 1"), "s1"))
+    once = named.where("_maybe").groupBy("s1", "s2").agg(F.first("keys").alias("keys"))
+    every = named.where("NOT _maybe").select("s1", "keys").unionByName(once.select("s1", "keys"))
+    postings = every.select("s1", F.explode("keys").alias("key"))
+    hubs = postings.withColumn("hub", F.min("s1").over(Window.partitionBy("key")))
+    edges = hubs.where("s1 != hub").selectExpr("s1 AS a", "hub AS b").distinct()
     clusters = components(materialize(edges, "candidates"))
-    members = materialize(reps.join(clusters.withColumnRenamed("v", "uid"), "uid").select("uid", "root", "_id", "_h", "n"), "members")
+    members = materialize(reps.join(clusters.withColumnRenamed("v", "s1"), "s1").select("uid", "root", "_id", "_h", "n"), "members")
     totals = members.groupBy("root").agg(F.expr(f"CAST(CEIL(sum(n) / {BLOCK_SHINGLES}D) AS INT)").alias("blocks"))
     members = materialize(members.join(materialize(totals, "totals"), "root"), "members")
     pack = F.pandas_udf(lambda x: x.map(lambda t: zstandard.compress(t.encode(), 3)), "binary")
@@ -254,7 +286,7 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc
     lows = materialize(names.groupBy("root").agg(F.min("low").alias("component")), "lows")
     sets = materialize(names.join(lows, "root").select("s1", "s2", "root", "component"), "classes")
     return (
-        found.drop("rare")
+        found.drop("keys")
         .join(sets, ["s1", "s2"], "left")
         .select("_id", "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"), "root")
     )
