@@ -1,6 +1,7 @@
 """Deduplication, rules, decontamination and the join against plain versions, on awkward rows and whole tables."""
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def test_a_rare_shingle_by_chance_joins_no_cluster(spark, monkeypatch):
     assert 2 <= seen[0] <= 3  # among the three that are alike
 
 
+def test_stage_clusters_only_copies_when_the_table_of_rarity_is_full(spark, monkeypatch):
+    """Every two of 41 texts share a run of five words; all shingles look as frequent as in a corpus of any size."""
+    seen, find = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or find(edges))
+    monkeypatch.setattr(ngram_join, "rarity", lambda texts, size: np.full(1 << 25, 255, np.uint8))
+    run = lambda i, j: " ".join(f"{c}{min(i, j)}x{max(i, j)}" for c in "abcde")
+    rows = [(i, " ".join(run(i, j) for j in range(41) if j != i)) for i in range(41)]
+    rows += [(50, rows[7][1] + " more"), (51, rows[9][1] + " words")]
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(kept.collect()) == sorted(rows[:41])
+    assert seen[0] == 2
+
+
 def test_one_of_each_keeps_one_row_of_a_component(awkward):
     docs, rows = awkward
     kept = one_of_each(docs)
